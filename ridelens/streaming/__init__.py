@@ -1,0 +1,6 @@
+"""Streaming.
+
+The analytics this library rebuilds are batch-only: no stream source,
+watermark, window or stateful operator exists in the workload, so this
+package is intentionally empty.  Every operator is a batch DataFrame plan.
+"""

@@ -94,7 +94,6 @@ def _funnel_steps(age: bool, daily: bool, per_user: bool) -> str:
     nulls = ("CAST(NULL AS BIGINT) AS total_usd, CAST(NULL AS BIGINT) AS rides, "
              "CAST(NULL AS BIGINT) AS cancellations, CAST(NULL AS BIGINT) AS total_reviews, "
              "CAST(NULL AS DOUBLE) AS avg_rating")
-    idc = "user_ids" if per_user else "users"
     if per_user:
         step1 = (f"SELECT 1 AS funnel_step, 'downloads' AS funnel_name, app_download_key AS user_ids, "
                  f"platform, {null_age}{nulls}{day('download_ts')} FROM app_downloads")
@@ -133,7 +132,6 @@ def _funnel_steps(age: bool, daily: bool, per_user: bool) -> str:
              f"LEFT JOIN reviews v ON v.ride_id = q.ride_id "
              f"WHERE q.dropoff_ts IS NOT NULL AND t.charge_status = 'Approved' "
              f"GROUP BY {s_a}x.platform{gday('q.dropoff_ts')}{step4_grp}")
-    del idc
     return f"{step1}\nUNION {step2}\nUNION {step3}\nUNION {step4}"
 
 
@@ -161,7 +159,6 @@ HAVING SUM(CASE WHEN {dec} THEN 1 ELSE 0 END) > 1"""
 
 
 _DRIVER_CELLS = """
-, driver_cells AS (
   SELECT q.driver_id, u.age_range, u.platform,
          COUNT(DISTINCT q.user_id) AS users, COUNT(DISTINCT q.ride_id) AS rides,
          COUNT(q.dropoff_ts) AS rides_completed, COUNT(q.cancel_ts) AS rides_canceled,
@@ -170,38 +167,38 @@ _DRIVER_CELLS = """
   FROM ride_requests q
   LEFT JOIN user_dim u ON u.user_id = q.user_id
   LEFT JOIN reviews v ON v.ride_id = q.ride_id
-  GROUP BY q.driver_id, u.age_range, u.platform
-)"""
+  GROUP BY q.driver_id, u.age_range, u.platform"""
 
 
-def _q(body: str, extra_ctes: str = "") -> str:
-    return BASE.rstrip() + extra_ctes + "\n" + body.strip()
+def _with(ctes: list[tuple[str, str]]) -> str:
+    return "".join(f",\n{name} AS (\n{sql}\n)" for name, sql in ctes)
 
 
-def oracle_sql() -> dict[str, str]:
+def _core() -> dict[str, tuple[list[tuple[str, str]], str]]:
+    """name -> (private CTEs, final SELECT) for every core query."""
     steps = {
         "platform": _funnel_steps(False, False, False),
         "age_platform": _funnel_steps(True, False, False),
         "daily": _funnel_steps(True, True, False),
         "daily_user": _funnel_steps(True, True, True),
     }
-    q = {}
-    q["funnel_by_platform"] = _q(_conversion("platform"),
-                                 f", steps AS ({steps['platform']})")
-    q["funnel_by_age_platform"] = _q(_conversion("age_range, platform"),
-                                     f", steps AS ({steps['age_platform']})")
-    q["funnel_daily"] = _q(f"SELECT * FROM ({steps['daily']})")
-    q["funnel_daily_user"] = _q(f"SELECT * FROM ({steps['daily_user']})")
+    driver_cells = [("driver_cells", _DRIVER_CELLS)]
     sums = ", ".join(f"CAST(SUM(CASE WHEN funnel_step = {k} THEN users ELSE 0 END) AS BIGINT) AS funnel_{k}"
                      for k in range(1, 5))
     ratios = ", ".join(f"{_half_up(f'funnel_{k}', 'funnel_1')} AS funnel_{k}_ratio" for k in range(1, 5))
-    q["funnel_totals"] = _q(f"SELECT funnel_1, funnel_2, funnel_3, funnel_4, {ratios} FROM totals",
-                            f", steps AS ({steps['platform']}), totals AS (SELECT {sums} FROM steps)")
-    q["requests_by_hour"] = _q("""
+    c: dict[str, tuple[list[tuple[str, str]], str]] = {}
+    c["funnel_by_platform"] = ([("steps", steps["platform"])], _conversion("platform"))
+    c["funnel_by_age_platform"] = ([("steps", steps["age_platform"])],
+                                   _conversion("age_range, platform"))
+    c["funnel_daily"] = ([("steps", steps["daily"])], "SELECT * FROM steps")
+    c["funnel_daily_user"] = ([("steps", steps["daily_user"])], "SELECT * FROM steps")
+    c["funnel_totals"] = ([("steps", steps["platform"]), ("totals", f"SELECT {sums} FROM steps")],
+                          f"SELECT funnel_1, funnel_2, funnel_3, funnel_4, {ratios} FROM totals")
+    c["requests_by_hour"] = ([], """
 SELECT CAST(hour(request_ts) AS INTEGER) AS request_hour, COUNT(*) AS num_requests
 FROM ride_requests GROUP BY 1""")
-    q["rides_per_user"] = _q("SELECT user_id, COUNT(ride_id) AS rides FROM ride_requests GROUP BY user_id")
-    q["charge_status_stats"] = _q(f"""
+    c["rides_per_user"] = ([], "SELECT user_id, COUNT(ride_id) AS rides FROM ride_requests GROUP BY user_id")
+    c["charge_status_stats"] = ([], f"""
 SELECT t.charge_status, COUNT(DISTINCT v.user_id) AS users, COUNT(DISTINCT q.driver_id) AS drivers,
        COUNT(q.ride_id) AS rides, COUNT(v.review_id) AS reviews,
        CAST(ROUND(SUM({_usd('t.purchase_amount_usd')}), 2) AS DOUBLE) AS total_usd
@@ -210,20 +207,20 @@ LEFT JOIN reviews v ON v.ride_id = q.ride_id
 LEFT JOIN transactions t ON t.ride_id = q.ride_id
 WHERE t.charge_status IS NOT NULL
 GROUP BY t.charge_status""")
-    q["user_declines"] = _q(_decline_sql("user_id", "driver_id", "unique_drivers"))
-    q["driver_declines"] = _q(_decline_sql("driver_id", "user_id", "unique_users"))
-    q["driver_rating_distribution"] = _q("""
+    c["user_declines"] = ([], _decline_sql("user_id", "driver_id", "unique_drivers"))
+    c["driver_declines"] = ([], _decline_sql("driver_id", "user_id", "unique_users"))
+    c["driver_rating_distribution"] = (driver_cells, """
 SELECT driver_id, users, rides, rides_completed, rides_canceled, age_range, platform, reviews,
        CAST(rating_cents AS DOUBLE) / 100 AS avg_rating
-FROM driver_cells""", _DRIVER_CELLS)
-    q["driver_rating_summary"] = _q(f"""
+FROM driver_cells""")
+    c["driver_rating_summary"] = (driver_cells, """
 SELECT driver_id, CAST(SUM(rides) AS BIGINT) AS total_rides, CAST(SUM(users) AS BIGINT) AS total_users,
        CAST(SUM(rides_completed) AS BIGINT) AS rides_completed,
        CAST(SUM(rides_canceled) AS BIGINT) AS rides_canceled, CAST(SUM(reviews) AS BIGINT) AS reviews,
        CAST((2 * SUM(rating_cents) + COUNT(rating_cents)) // NULLIF(2 * COUNT(rating_cents), 0) AS DOUBLE) / 100
          AS avg_ratings
-FROM driver_cells GROUP BY driver_id""", _DRIVER_CELLS)
-    q["review_rating_stats"] = _q(f"""
+FROM driver_cells GROUP BY driver_id""")
+    c["review_rating_stats"] = ([], f"""
 SELECT v.rating, COUNT(DISTINCT v.user_id) AS users, COUNT(q.ride_id) AS rides,
        COUNT(v.review_id) AS reviews, CAST(SUM({_usd('t.purchase_amount_usd')}) AS DOUBLE) AS total_usd
 FROM reviews v
@@ -236,13 +233,36 @@ SELECT CAST(NULL AS INTEGER), COUNT(DISTINCT q.user_id), COUNT(q.ride_id), CAST(
 FROM ride_requests q
 LEFT JOIN transactions t ON t.ride_id = q.ride_id
 WHERE NOT EXISTS (SELECT 1 FROM reviews v WHERE v.ride_id = q.ride_id)""")
-    q["rides_without_reviews"] = _q("""
+    c["rides_without_reviews"] = ([], """
 SELECT q.ride_id FROM ride_requests q
 WHERE NOT EXISTS (SELECT 1 FROM reviews v WHERE v.ride_id = q.ride_id)""")
-    q["user_ride_status"] = _q("SELECT user_id, age_range, platform FROM rider_dim")
-    q["user_ride_stats"] = _q("""
+    c["user_ride_status"] = ([], "SELECT user_id, age_range, platform FROM rider_dim")
+    c["user_ride_stats"] = ([], """
 SELECT user_id, COUNT(ride_id) AS total_rides, COUNT(dropoff_ts) AS rides_completed,
        COUNT(cancel_ts) AS rides_canceled
 FROM ride_requests GROUP BY user_id""")
-    q["reviews_per_user"] = _q("SELECT user_id, COUNT(*) AS review_count FROM reviews GROUP BY user_id")
-    return q
+    c["reviews_per_user"] = ([], "SELECT user_id, COUNT(*) AS review_count FROM reviews GROUP BY user_id")
+    return c
+
+
+def _embedded(core: dict, name: str, alias: str) -> tuple[str, str]:
+    """A core query as one CTE (its private CTEs nested inside)."""
+    ctes, body = core[name]
+    if ctes:
+        inner = "WITH " + ",\n".join(f"{n} AS (\n{sql}\n)" for n, sql in ctes)
+        return alias, f"{inner}\n{body.strip()}"
+    return alias, body.strip()
+
+
+def oracle_sql() -> dict[str, str]:
+    core = _core()
+    out = {name: BASE.rstrip() + _with(ctes) + "\n" + body.strip()
+           for name, (ctes, body) in core.items()}
+    from ridelens.plans.panel_oracle import panel_sql
+    for name, (sources, body) in panel_sql().items():
+        ctes = [_embedded(core, src, alias) for alias, src in sources]
+        body = body.strip()
+        if body.upper().startswith("WITH "):  # merge the panel's own CTE list
+            body = "," + body[len("WITH"):]
+        out[name] = BASE.rstrip() + _with(ctes) + "\n" + body
+    return out

@@ -258,8 +258,9 @@ def oracle_sql() -> dict[str, str]:
     core = _core()
     out = {name: BASE.rstrip() + _with(ctes) + "\n" + body.strip()
            for name, (ctes, body) in core.items()}
+    from ridelens.plans.exchange import exchange_sql
     from ridelens.plans.panel_oracle import panel_sql
-    for name, (sources, body) in panel_sql().items():
+    for name, (sources, body) in {**panel_sql(), **exchange_sql()}.items():
         ctes = [_embedded(core, src, alias) for alias, src in sources]
         body = body.strip()
         if body.upper().startswith("WITH "):  # merge the panel's own CTE list

@@ -45,9 +45,8 @@ CORE_QUERIES: dict[str, Callable[[RideTables], DataFrame]] = {
 
 def queries() -> dict[str, QueryFn]:
     out = {name: _over_tables(op) for name, op in CORE_QUERIES.items()}
-    try:
-        from ridelens.plans.panels import panel_queries
-    except ImportError:
-        return out
+    from ridelens.plans.exchange import exchange_queries
+    from ridelens.plans.panels import panel_queries
     out.update(panel_queries())
+    out.update(exchange_queries())
     return out

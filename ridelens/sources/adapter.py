@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType,
+                               TimestampNTZType)
 
 from ridelens.sources.tables import RideTables
 
@@ -24,6 +26,19 @@ SEGMENT_AGE = {
 }
 DOWNLOAD_EPOCH = "1994-01-01 00:00:00"
 
+# The columns of the driver tables the mapping reads.  Declaring them skips
+# Parquet schema inference (a Spark job per read) and prunes the scan.
+CUSTOMER_COLUMNS = StructType([
+    StructField("c_custkey", LongType()),
+    StructField("c_mktsegment", StringType()),
+])
+ORDERS_COLUMNS = StructType([
+    StructField("o_orderkey", LongType()),
+    StructField("o_custkey", LongType()),
+    StructField("o_totalprice", DoubleType()),
+    StructField("o_orderdate", TimestampNTZType()),
+])
+
 
 def _keeps_signup(custkey: Column) -> Column:
     return custkey * 53 % 103 % 4 != 3
@@ -105,8 +120,8 @@ def rides_transactions_reviews(orders: DataFrame) -> tuple[DataFrame, DataFrame,
 
 def from_driver_tables(spark: SparkSession, sf_dir: str) -> RideTables:
     """Five ride tables over `/root/testdata/sf*/{customer,orders}.parquet`."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    customer = spark.read.schema(CUSTOMER_COLUMNS).parquet(f"{sf_dir}/customer.parquet")
+    orders = spark.read.schema(ORDERS_COLUMNS).parquet(f"{sf_dir}/orders.parquet")
     app_downloads, signups = downloads_and_signups(customer)
     rides, transactions, reviews = rides_transactions_reviews(orders)
     return RideTables(app_downloads, signups, rides, transactions, reviews)

@@ -26,17 +26,22 @@ def dense_grid(cells: DataFrame, row_key: str, col_key: str,
     """Every (row_key, col_key) pair whose row value and column value each
     occur in `cells`, with measures taken from `cells` or filled.
 
-    `cells` is already aggregated to one row per present pair, so it is bounded
-    by (#row values x #column values), a handful of age ranges times platforms.
-    The column values are gathered with a window over that small aggregate and
-    exploded per row value, then matched back with an equi-join, so no cross
-    product of the underlying data is ever formed."""
+    `cells` is already aggregated to one row per present pair, so it holds at
+    most (#row values x #column values) rows -- a handful of age ranges times
+    platforms.  One pass: fold each row value's cells into a map, gather the
+    column values of all rows with a window over those few folded rows, and
+    explode.  No cross product and no second evaluation of `cells`."""
+    measures = [c for c in cells.columns if c not in (row_key, col_key)]
+    folded = (cells.groupBy(row_key)
+              .agg(F.map_from_entries(F.collect_list(
+                  F.struct(F.col(col_key), F.struct(*measures)))).alias("_cells")))
     everything = Window.partitionBy()
-    grid = (cells
-            .select(row_key, F.array_sort(F.collect_set(col_key).over(everything)).alias("_cols"))
-            .distinct()
-            .select(row_key, F.explode("_cols").alias(col_key)))
-    out = grid.join(cells, [row_key, col_key], "left")
+    all_cols = F.array_sort(F.array_distinct(F.flatten(
+        F.collect_list(F.map_keys("_cells")).over(everything))))
+    out = (folded.withColumn("_all", all_cols)
+           .select(row_key, "_cells", F.explode("_all").alias(col_key))
+           .select(row_key, col_key,
+                   *[F.col("_cells")[F.col(col_key)][m].alias(m) for m in measures]))
     for name, value in fill.items():
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
     return out

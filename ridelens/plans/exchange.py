@@ -22,23 +22,25 @@ def filter_domains(df: DataFrame) -> DataFrame:
     """Dropdown options of a dataset: ages (non-NULL, not 'Unknown') by lower
     bound, then 'Unknown' and the 'None' sentinel; platforms alphabetically.
 
-    Rows: domain, value, position.  The window per domain sees only distinct
-    values (a handful), never the dataset's rows."""
+    Rows: domain, value, position.  One scan emits (domain, value) pairs and a
+    single distinct reduces them; the numbering window per domain then sees
+    only distinct values (a handful), never the dataset's rows."""
     spark = df.sparkSession
-    ages = (df.where(F.col("age_range").isNotNull() & (F.col("age_range") != "Unknown"))
-            .select(F.col("age_range").alias("value")).distinct()
-            .withColumn("grp", F.lit(0)))
+    pairs = (df.select(F.inline(F.array(
+                F.struct(F.lit("age_range").alias("domain"), F.col("age_range").alias("value")),
+                F.struct(F.lit("platform").alias("domain"), F.col("platform").alias("value")))))
+             .where(F.col("value").isNotNull()
+                    & ~((F.col("domain") == "age_range") & (F.col("value") == "Unknown")))
+             .distinct()
+             .withColumn("grp", F.lit(0)))
     tail = spark.range(2).select(
+        F.lit("age_range").alias("domain"),
         F.when(F.col("id") == 0, F.lit("Unknown")).otherwise(F.lit(NO_AGE_BOUND)).alias("value"),
         (F.col("id") + 1).cast("int").alias("grp"))
-    age_rows = ages.unionByName(tail).withColumn("domain", F.lit("age_range"))
-    platforms = (df.where(F.col("platform").isNotNull())
-                 .select(F.col("platform").alias("value")).distinct()
-                 .withColumns({"grp": F.lit(0), "domain": F.lit("platform")}))
-    rows = age_rows.unionByName(platforms)
     w = Window.partitionBy("domain").orderBy(
         "grp", age_sort_key("value").asc_nulls_last(), "value")
-    return rows.select("domain", "value", F.row_number().over(w).cast("int").alias("position"))
+    return (pairs.unionByName(tail)
+            .select("domain", "value", F.row_number().over(w).cast("int").alias("position")))
 
 
 def slider_bounds(summary: DataFrame) -> DataFrame:

@@ -76,18 +76,18 @@ def _columns(g: Grain) -> list[str]:
     return cols
 
 
-def _finish(df: DataFrame, step: int, g: Grain, **measures: Column) -> DataFrame:
-    """Fill the step constants and NULL placeholders, then fix column order."""
-    defaults = {"total_usd": _null("bigint"), "rides": _null("bigint"),
-                "cancellations": _null("bigint"), "total_reviews": _null("bigint"),
-                "avg_rating": _null("double"), "age_range": _null("string"),
-                "daily_date": _null("date")}
-    out = df.withColumns({"funnel_step": F.lit(step),
-                          "funnel_name": F.lit(FUNNEL_STEPS[step])})
-    for name, value in {**defaults, **measures}.items():
-        if name not in out.columns:
-            out = out.withColumn(name, value)
-    return out.select(*_columns(g))
+def _finish(df: DataFrame, step: int, g: Grain) -> DataFrame:
+    """Add the step constants and typed NULL placeholders in one projection."""
+    defaults = {"total_usd": "bigint", "rides": "bigint", "cancellations": "bigint",
+                "total_reviews": "bigint", "avg_rating": "double", "age_range": "string",
+                "daily_date": "date", "users": "bigint", "user_ids": "string"}
+    consts = {"funnel_step": F.lit(step), "funnel_name": F.lit(FUNNEL_STEPS[step])}
+    present = set(df.columns)
+    return df.select(*[
+        consts[c].alias(c) if c in consts
+        else F.col(c) if c in present
+        else _null(defaults[c]).alias(c)
+        for c in _columns(g)])
 
 
 def _keys(g: Grain, date_col: str | None = None, id_col: str | None = None,
@@ -138,10 +138,10 @@ def _requested(t: RideTables, users: DataFrame, g: Grain) -> DataFrame:
     cells = rr.groupBy(*cell_keys).agg(F.count("ride_id").alias("n_rides"),
                                       F.count("cancel_ts").alias("n_cancels"))
     joined = (users.select("user_id", "age_range", "platform")
-              .join(cells, F.col("user_id") == F.col("rider_id"), "left")
-              # a signup that never rode has no platform at this step
-              .withColumn("platform", F.when(F.col("rider_id").isNotNull(), F.col("platform"))))
-    keys = ([F.col("age_range")] if g.age else []) + [F.col("platform")]
+              .join(cells, F.col("user_id") == F.col("rider_id"), "left"))
+    # a signup that never rode has no platform at this step
+    rider_platform = F.when(F.col("rider_id").isNotNull(), F.col("platform")).alias("platform")
+    keys = ([F.col("age_range")] if g.age else []) + [rider_platform]
     if g.daily:
         keys.append(F.col("daily_date"))
     if g.per_user:

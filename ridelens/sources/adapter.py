@@ -119,9 +119,22 @@ def rides_transactions_reviews(orders: DataFrame) -> tuple[DataFrame, DataFrame,
 
 
 def from_driver_tables(spark: SparkSession, sf_dir: str) -> RideTables:
-    """Five ride tables over `/root/testdata/sf*/{customer,orders}.parquet`."""
-    customer = spark.read.schema(CUSTOMER_COLUMNS).parquet(f"{sf_dir}/customer.parquet")
-    orders = spark.read.schema(ORDERS_COLUMNS).parquet(f"{sf_dir}/orders.parquet")
-    app_downloads, signups = downloads_and_signups(customer)
-    rides, transactions, reviews = rides_transactions_reviews(orders)
-    return RideTables(app_downloads, signups, rides, transactions, reviews)
+    """Five ride tables over `/root/testdata/sf*/{customer,orders}.parquet`,
+    each built on first use."""
+    cache: dict[str, tuple[DataFrame, ...]] = {}
+
+    def customer_side() -> tuple[DataFrame, DataFrame]:
+        if "c" not in cache:
+            customer = spark.read.schema(CUSTOMER_COLUMNS).parquet(f"{sf_dir}/customer.parquet")
+            cache["c"] = downloads_and_signups(customer)
+        return cache["c"]
+
+    def orders_side() -> tuple[DataFrame, DataFrame, DataFrame]:
+        if "o" not in cache:
+            orders = spark.read.schema(ORDERS_COLUMNS).parquet(f"{sf_dir}/orders.parquet")
+            cache["o"] = rides_transactions_reviews(orders)
+        return cache["o"]
+
+    return RideTables(lambda: customer_side()[0], lambda: customer_side()[1],
+                      lambda: orders_side()[0], lambda: orders_side()[1],
+                      lambda: orders_side()[2])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,18 +10,36 @@ from pyspark.sql import functions as F
 from ridelens.sources.schemas import TABLE_SCHEMAS
 
 TABLE_NAMES = tuple(TABLE_SCHEMAS)
+Source = DataFrame | Callable[[], DataFrame]
 
 
-@dataclass(frozen=True)
 class RideTables:
-    app_downloads: DataFrame
-    signups: DataFrame
-    ride_requests: DataFrame
-    transactions: DataFrame
-    reviews: DataFrame
+    """The five source tables.  Each may be given as a DataFrame or as a
+    zero-argument function returning one; functions run on first access, so a
+    query that touches one table never builds the plans of the others."""
+
+    __slots__ = ("_sources", "_frames")
+
+    def __init__(self, app_downloads: Source, signups: Source, ride_requests: Source,
+                 transactions: Source, reviews: Source):
+        self._sources = dict(zip(TABLE_NAMES, (app_downloads, signups, ride_requests,
+                                               transactions, reviews)))
+        self._frames: dict[str, DataFrame] = {}
+
+    def _get(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            src = self._sources[name]
+            self._frames[name] = src if isinstance(src, DataFrame) else src()
+        return self._frames[name]
+
+    app_downloads = property(lambda self: self._get("app_downloads"))
+    signups = property(lambda self: self._get("signups"))
+    ride_requests = property(lambda self: self._get("ride_requests"))
+    transactions = property(lambda self: self._get("transactions"))
+    reviews = property(lambda self: self._get("reviews"))
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in TABLE_NAMES}
+        return {name: self._get(name) for name in TABLE_NAMES}
 
     def register_views(self, prefix: str = "") -> None:
         """Expose the tables to `spark.sql` under their own names."""

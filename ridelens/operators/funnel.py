@@ -130,60 +130,66 @@ def _signups(users: DataFrame, g: Grain) -> DataFrame:
     return _finish(cells, 2, g)
 
 
-def _requested(t: RideTables, users: DataFrame, g: Grain) -> DataFrame:
-    rr = t.ride_requests
-    cell_keys = [F.col("user_id").alias("rider_id")]
-    if g.daily:
-        cell_keys.append(day("request_ts").alias("daily_date"))
-    cells = rr.groupBy(*cell_keys).agg(F.count("ride_id").alias("n_rides"),
-                                      F.count("cancel_ts").alias("n_cancels"))
-    joined = (users.select("user_id", "age_range", "platform")
-              .join(cells, F.col("user_id") == F.col("rider_id"), "left"))
-    # a signup that never rode has no platform at this step
-    rider_platform = F.when(F.col("rider_id").isNotNull(), F.col("platform")).alias("platform")
-    keys = ([F.col("age_range")] if g.age else []) + [rider_platform]
-    if g.daily:
-        keys.append(F.col("daily_date"))
-    if g.per_user:
-        keys.append(F.col("rider_id").cast("string").alias("user_ids"))
-    measures = [F.coalesce(F.sum("n_rides"), F.lit(0)).alias("rides"),
-                F.coalesce(F.sum("n_cancels"), F.lit(0)).alias("cancellations")]
-    if not g.per_user:
-        measures.insert(0, F.count("rider_id").alias("users"))
-    return _finish(joined.groupBy(*keys).agg(*measures), 3, g)
-
+def _ride_steps(t: RideTables, users: DataFrame, g: Grain) -> DataFrame:
+    """Steps 3 and 4 from one join with the user dimension.
+
+    Rides are reduced to cells per (user[, day]) twice -- every request for
+    step 3 (day = request day), dropped-off Approved rides with their reviews
+    for step 4 (day = drop-off day) -- and the two cell sets are unioned with
+    a step tag.  Both aggregates are hash-partitioned on the user, which the
+    union keeps, so the user dimension is joined once and only it shuffles.
+    One aggregation then yields both steps.  A signup that never rode matches
+    no cell and becomes the NULL-platform step-3 row."""
+    day3 = [day("request_ts").alias("daily_date")] if g.daily else []
+    requested = (t.ride_requests.groupBy(F.col("user_id").alias("rider_id"), *day3)
+                 .agg(F.lit(3).alias("step"),
+                      F.count("ride_id").alias("n_rides"),
+                      F.count("cancel_ts").alias("n_cancels"),
+                      _null("decimal(28,2)").alias("usd"),
+                      _null("bigint").alias("n_reviews"),
+                      _null("bigint").alias("rating_sum"),
+                      _null("bigint").alias("rating_n")))
 
-def _completed(t: RideTables, users: DataFrame, g: Grain) -> DataFrame:
     rides = (t.ride_requests.where(F.col("dropoff_ts").isNotNull())
              .select("ride_id", "user_id", "dropoff_ts", "cancel_ts"))
     approved = (t.transactions.where(F.col("charge_status") == "Approved")
                 .select("ride_id", usd("purchase_amount_usd").alias("usd")))
     reviews = t.reviews.select("ride_id", "review_id", "rating")
-    cell_keys = [F.col("user_id")]
-    if g.daily:
-        cell_keys.append(day("dropoff_ts").alias("daily_date"))
-    cells = (rides.join(approved, "ride_id").join(reviews, "ride_id", "left")
-             .groupBy(*cell_keys)
-             .agg(F.count("ride_id").alias("n_rides"),
-                  F.count("cancel_ts").alias("n_cancels"),
-                  F.sum("usd").alias("usd"),
-                  F.count_distinct("review_id").alias("n_reviews"),
-                  F.sum("rating").alias("rating_sum"),
-                  F.count("rating").alias("rating_n")))
-    joined = cells.join(users.select("user_id", "age_range", "platform"), "user_id")
-    keys = ([F.col("age_range")] if g.age else []) + [F.col("platform")]
+    day4 = [day("dropoff_ts").alias("daily_date")] if g.daily else []
+    completed = (rides.join(approved, "ride_id").join(reviews, "ride_id", "left")
+                 .groupBy(F.col("user_id").alias("rider_id"), *day4)
+                 .agg(F.lit(4).alias("step"),
+                      F.count("ride_id").alias("n_rides"),
+                      F.count("cancel_ts").alias("n_cancels"),
+                      F.sum("usd").cast("decimal(28,2)").alias("usd"),
+                      F.count_distinct("review_id").alias("n_reviews"),
+                      F.sum("rating").cast("bigint").alias("rating_sum"),
+                      F.count("rating").alias("rating_n")))
+
+    joined = (users.select("user_id", "age_range", "platform")
+              .join(requested.unionByName(completed), F.col("user_id") == F.col("rider_id"), "left"))
+
+    rider = F.col("rider_id")
+    step = F.coalesce(F.col("step"), F.lit(3))
+    keys = [step.alias("funnel_step")]
+    if g.age:
+        keys.append(F.col("age_range"))
+    # a signup that never rode has no platform at step 3
+    keys.append(F.when(rider.isNotNull(), F.col("platform")).alias("platform"))
     if g.daily:
         keys.append(F.col("daily_date"))
     if g.per_user:
-        keys.append(F.col("user_id").cast("string").alias("user_ids"))
+        keys.append(rider.cast("string").alias("user_ids"))
     measures = [F.round(F.sum("usd"), 0).cast("bigint").alias("total_usd"),
-                F.sum("n_rides").alias("rides"),
-                F.sum("n_cancels").alias("cancellations"),
+                F.coalesce(F.sum("n_rides"), F.lit(0)).alias("rides"),
+                F.coalesce(F.sum("n_cancels"), F.lit(0)).alias("cancellations"),
                 F.sum("n_reviews").alias("total_reviews"),
                 ratio(F.sum("rating_sum"), F.sum("rating_n")).alias("avg_rating")]
     if not g.per_user:
-        measures.insert(0, F.count("user_id").alias("users"))
-    return _finish(joined.groupBy(*keys).agg(*measures), 4, g)
+        measures.insert(0, F.count(rider).alias("users"))
+    out = joined.groupBy(*keys).agg(*measures)
+    name = F.when(F.col("funnel_step") == 3, F.lit(FUNNEL_STEPS[3])).otherwise(F.lit(FUNNEL_STEPS[4]))
+    return out.select(*[name.alias(c) if c == "funnel_name" else F.col(c) for c in _columns(g)])
 
 
 def funnel_steps(t: RideTables, grain: str) -> DataFrame:
@@ -192,8 +198,7 @@ def funnel_steps(t: RideTables, grain: str) -> DataFrame:
     users = user_dim(t)
     return (_downloads(t, g)
             .unionByName(_signups(users, g))
-            .unionByName(_requested(t, users, g))
-            .unionByName(_completed(t, users, g)))
+            .unionByName(_ride_steps(t, users, g)))
 
 
 def with_conversion(steps: DataFrame, segment: list[str]) -> DataFrame:

@@ -13,6 +13,13 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Coalesce shuffle partitions to the advisory size rather than keeping
+    # the default parallelism (recommended for shared clusters).
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    # Let AQE swap a sort-merge join for a shuffled hash join when every
+    # post-shuffle partition is below this size (checked at runtime, so a
+    # skewed or large join keeps sort-merge and skew splitting).
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.ansi.enabled": "true",
     "spark.ui.enabled": "false",
 }

@@ -38,7 +38,8 @@ def _declines(t: RideTables, key: str, other: str, other_name: str) -> DataFrame
                  mean_half_up(F.when(declined, F.col("rating")), 2).alias("avg_rating"),
                  F.sum(F.when(declined, money).otherwise(zero)).cast("double").alias("lost_total_usd"),
                  F.sum(F.when(approved, money).otherwise(zero)).cast("double").alias("gained_total_usd"))
-            .where(F.col("decline_count") > 1))
+            .where(F.col("decline_count") > 1)
+            .orderBy(F.col("decline_count").desc(), F.col(key).asc_nulls_last()))
 
 
 def user_declines(t: RideTables) -> DataFrame:

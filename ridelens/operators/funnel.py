@@ -232,12 +232,17 @@ def funnel_by_age_platform(t: RideTables) -> DataFrame:
 
 
 def funnel_daily(t: RideTables) -> DataFrame:
-    """Q03: step x age x platform x day, no conversion columns."""
-    return funnel_steps(t, "daily")
+    """Q03: step x age x platform x day, no conversion columns, in step, day,
+    platform, age order (NULLs last).  The result is bounded by the calendar
+    (steps x ages x platforms x days), so the range sort is cheap."""
+    return _ordered(funnel_steps(t, "daily"),
+                    ["funnel_step", "daily_date", "platform", "age_range"])
 
 
 def funnel_daily_user(t: RideTables) -> DataFrame:
-    """Q04: step x age x platform x day x user id."""
+    """Q04: step x age x platform x day x user id.  Grows with the user base,
+    so it is left unsorted; `sources.io.export_all_pages` writes it in total
+    order with a distributed range sort."""
     return funnel_steps(t, "daily_user")
 
 

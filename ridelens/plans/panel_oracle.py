@@ -136,7 +136,11 @@ WHERE avg_ratings >= 0 AND avg_ratings <= 2.5 AND reviews >= 17 AND rides_comple
 SELECT user_id, total_rides, rides_completed, rides_canceled,
        CASE WHEN rides_completed = 0 AND rides_canceled > 0 THEN 'Full Cancellations'
             WHEN rides_completed > 0 AND rides_canceled = 0 THEN 'Full Completed Rides'
-            ELSE 'Mixed' END AS user_type
+            ELSE 'Mixed' END AS user_type,
+       CASE WHEN rides_completed = 0 AND rides_canceled > 0 THEN 'Full Cancellations'
+            WHEN rides_completed > 0 AND rides_canceled = 0 THEN 'Full Completed Rides'
+            ELSE 'Mixed' END || '<br>Rides Canceled: ' || CAST(rides_canceled AS VARCHAR)
+         || '<br>Rides Completed: ' || CAST(rides_completed AS VARCHAR) AS label
 FROM stats WHERE rides_canceled >= 0 AND rides_completed >= 0 AND total_rides >= 0""")
     charge = [("cs", "charge_status_stats")]
     out["panel_charge_users_drivers"] = (charge, _long(

@@ -267,8 +267,10 @@ def panel_user_types(stats: DataFrame, min_canceled: float = 0, min_completed: f
                  .otherwise(F.lit("Mixed")))
     f = stats.where(at_least(rides_canceled=min_canceled, rides_completed=min_completed,
                              total_rides=min_total))
+    label = F.concat(user_type, F.lit("<br>Rides Canceled: "), F.col("rides_canceled").cast("string"),
+                     F.lit("<br>Rides Completed: "), F.col("rides_completed").cast("string"))
     return f.select("user_id", "total_rides", "rides_completed", "rides_canceled",
-                    user_type.alias("user_type"))
+                    user_type.alias("user_type"), label.alias("label"))
 
 
 def panel_charge_users_drivers(charge_stats: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ floating-point rounding.
 
 from __future__ import annotations
 
-BASE = """
+MAPPING = """
 WITH
 app_downloads AS (
   SELECT 'dl-' || CAST(c_custkey AS VARCHAR) AS app_download_key,
@@ -58,7 +58,11 @@ reviews AS (
   SELECT 1000000 + ride_id AS review_id, ride_id, user_id,
          CAST(1 + ride_id * 13 % 113 % 5 AS INTEGER) AS rating
   FROM ride_base WHERE NOT cancelled AND ride_id * 67 % 127 % 10 < 7
-),
+)
+"""
+
+# Derived dimensions every statement may use (after the five tables).
+DIMENSIONS = """
 user_dim AS (
   SELECT s.user_id, s.signup_ts, s.age_range, d.platform
   FROM signups s LEFT JOIN app_downloads d ON d.app_download_key = s.session_id
@@ -69,6 +73,9 @@ rider_dim AS (
 )
 """
 
+# The mapping from the driver's tables followed by the dimensions.
+BASE = MAPPING.rstrip() + ",\n" + DIMENSIONS.strip() + "\n"
+
 
 def _half_up(total: str, n: str) -> str:
     """round(total / n, 2) HALF_UP as DOUBLE; total and n are integers."""
@@ -254,10 +261,20 @@ def _embedded(core: dict, name: str, alias: str) -> tuple[str, str]:
     return alias, body.strip()
 
 
+def core_sql(prefix: str = "") -> dict[str, str]:
+    """Core statements over tables named app_downloads ... reviews.  With the
+    default prefix those are the fixture mapping; pass "WITH " to run them on
+    real tables of those names."""
+    prefix = prefix or BASE
+    if prefix.strip().upper() == "WITH":
+        prefix = "WITH " + DIMENSIONS.strip() + "\n"
+    return {name: prefix.rstrip() + _with(ctes) + "\n" + body.strip()
+            for name, (ctes, body) in _core().items()}
+
+
 def oracle_sql() -> dict[str, str]:
     core = _core()
-    out = {name: BASE.rstrip() + _with(ctes) + "\n" + body.strip()
-           for name, (ctes, body) in core.items()}
+    out = core_sql()
     from ridelens.plans.exchange import exchange_sql
     from ridelens.plans.panel_oracle import panel_sql
     for name, (sources, body) in {**panel_sql(), **exchange_sql()}.items():

@@ -61,7 +61,6 @@ GRAINS = {
 }
 
 
-
 def _null(type_name: str) -> Column:
     return F.lit(None).cast(type_name)
 
@@ -137,8 +136,9 @@ def _ride_steps(t: RideTables, users: DataFrame, g: Grain) -> DataFrame:
     step 3 (day = request day), dropped-off Approved rides with their reviews
     for step 4 (day = drop-off day) -- and the two cell sets are unioned with
     a step tag.  Both aggregates are hash-partitioned on the user, which the
-    union keeps, so the user dimension is joined once and only it shuffles.
-    One aggregation then yields both steps.  A signup that never rode matches
+    union keeps, so the user dimension is joined once and only it shuffles
+    (at daily grains the cells are keyed by user and day, so the union is
+    re-partitioned by user).  One aggregation then yields both steps.  A signup that never rode matches
     no cell and becomes the NULL-platform step-3 row."""
     day3 = [day("request_ts").alias("daily_date")] if g.daily else []
     requested = (t.ride_requests.groupBy(F.col("user_id").alias("rider_id"), *day3)

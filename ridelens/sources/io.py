@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,11 +57,41 @@ def merge_drifting_shards(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def export_page(df: DataFrame, order_by: list[str], page: int, page_size: int) -> DataFrame:
+def export_page(df: DataFrame, order_by: list[str], page: int, page_size: int,
+                num_partitions: int | None = None) -> DataFrame:
     """One page of a result under a total order (`order_by` must be unique per
-    row, otherwise pages can overlap or skip rows).  NULLs sort last."""
-    ordered = df.orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
-    return ordered.offset(page * page_size).limit(page_size)
+    row, otherwise pages can overlap or skip rows).  NULLs sort last.
+
+    Rows are numbered without a single-task sort: the data is range
+    partitioned and sorted inside each partition; per-partition row counts
+    (one row per partition) are prefix-summed into start offsets, and every
+    row's global position is its partition's start plus its index within the
+    partition.  No task ever holds more than its own partition, whatever the
+    page index.
+
+    The sorted partitions are checkpointed (reliably, to the shared
+    checkpoint folder) so the counts and the positions read the very same
+    partitions: range bounds come from sampling, and a recomputation could
+    draw different ones."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    cols = [F.col(c).asc_nulls_last() for c in order_by]
+    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_parts = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).checkpoint()
+    ranged = sorted_parts.withColumns({"_part": F.spark_partition_id(),
+                                       "_mono": F.monotonically_increasing_id()})
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+              .select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")))
+    # `starts` has exactly one row per partition, a bound fixed by `parts`
+    position = (F.col("_start") + F.col("_mono")
+                - F.shiftleft(F.col("_part").cast("bigint"), 33))
+    lo = page * page_size
+    return (ranged.join(F.broadcast(starts), "_part")
+            .withColumn("_pos", position)
+            .where((F.col("_pos") >= lo) & (F.col("_pos") < lo + page_size))
+            .orderBy("_pos")
+            .drop("_part", "_mono", "_start", "_pos"))
 
 
 def export_all_pages(df: DataFrame, path: str, order_by: list[str], page_size: int,

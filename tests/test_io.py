@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -77,3 +78,12 @@ def test_materialize_cuts_lineage(spark):
     assert "Scan parquet" in m._jdf.queryExecution().executedPlan().toString()
     assert spark_rows(m) == spark_rows(df)
     assert m.where(F.col("funnel_step") == 1).count() > 0
+
+
+@pytest.mark.parametrize("page,size", [(0, 700), (3, 700), (19, 700), (40, 700), (2, 2500)])
+def test_export_page_equals_brute_force(spark, page, size):
+    t = from_driver_tables(spark, SF_SMALL)
+    df = funnel.funnel_daily_user(t)
+    everything = df.orderBy(*[F.col(c).asc_nulls_last() for c in DAILY_USER_ORDER]).collect()
+    got = io.export_page(df, DAILY_USER_ORDER, page, size).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in everything[page * size:(page + 1) * size]]

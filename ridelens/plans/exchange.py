@@ -66,14 +66,16 @@ def sharded_roundtrip(df: DataFrame, name: str, rows_per_shard: int) -> DataFram
     return io.merge_shards(spark, [f"{path}/part-*.csv"], df.schema)
 
 
-def exchange_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def exchange_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Registered I/O and control queries; `load` as in `panels.panel_queries`."""
     from ridelens.operators import drivers, funnel
     from ridelens.plans.panels import panel_driver_ratings
     from ridelens.sources.adapter import from_driver_tables
+    load = load or from_driver_tables
 
     def run(build):
         def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(from_driver_tables(spark, sf_dir))
+            return build(load(spark, sf_dir))
         return q
 
     return {
@@ -117,9 +119,10 @@ SELECT MAX(avg_ratings) AS max_avg_ratings, MAX(reviews) AS max_reviews,
        MAX(rides_completed) AS max_rides_completed FROM summary"""),
         "panel_driver_ratings_below_3": ([("summary", "driver_rating_summary")], """
 SELECT driver_id, avg_ratings, reviews, rides_completed,
-       'Driver_id: ' || CAST(driver_id AS VARCHAR) || '<br>AVG.Rating: ' || CAST(avg_ratings AS VARCHAR)
-       || '<br>Reviews: ' || CAST(reviews AS VARCHAR) || '<br>Rides Completed: '
-       || CAST(rides_completed AS VARCHAR) AS label
+       'Driver_id: ' || COALESCE(CAST(driver_id AS VARCHAR), 'nan')
+       || '<br>AVG.Rating: ' || COALESCE(CAST(avg_ratings AS VARCHAR), 'nan')
+       || '<br>Reviews: ' || COALESCE(CAST(reviews AS VARCHAR), 'nan')
+       || '<br>Rides Completed: ' || COALESCE(CAST(rides_completed AS VARCHAR), 'nan') AS label
 FROM summary
 WHERE avg_ratings >= 0 AND avg_ratings <= 3.0 AND reviews >= 1 AND rides_completed >= 1"""),
     }

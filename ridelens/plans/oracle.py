@@ -272,15 +272,23 @@ def core_sql(prefix: str = "") -> dict[str, str]:
             for name, (ctes, body) in _core().items()}
 
 
-def oracle_sql() -> dict[str, str]:
-    core = _core()
-    out = core_sql()
+def derived_sql(prefix: str = "") -> dict[str, str]:
+    """Panel and exchange statements; `prefix` as in `core_sql`."""
     from ridelens.plans.exchange import exchange_sql
     from ridelens.plans.panel_oracle import panel_sql
+    prefix = prefix or BASE
+    if prefix.strip().upper() == "WITH":
+        prefix = "WITH " + DIMENSIONS.strip() + "\n"
+    core = _core()
+    out = {}
     for name, (sources, body) in {**panel_sql(), **exchange_sql()}.items():
         ctes = [_embedded(core, src, alias) for alias, src in sources]
         body = body.strip()
         if body.upper().startswith("WITH "):  # merge the panel's own CTE list
             body = "," + body[len("WITH"):]
-        out[name] = BASE.rstrip() + _with(ctes) + "\n" + body
+        out[name] = prefix.rstrip() + _with(ctes) + "\n" + body
     return out
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**core_sql(), **derived_sql()}

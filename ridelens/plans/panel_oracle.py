@@ -127,9 +127,10 @@ SELECT g.bin * 5 AS bin_start, (g.bin + 1) * 5 AS bin_end,
 FROM g LEFT JOIN b ON b.bin = g.bin""")
     out["panel_driver_ratings"] = ([("summary", "driver_rating_summary")], """
 SELECT driver_id, avg_ratings, reviews, rides_completed,
-       'Driver_id: ' || CAST(driver_id AS VARCHAR) || '<br>AVG.Rating: ' || CAST(avg_ratings AS VARCHAR)
-       || '<br>Reviews: ' || CAST(reviews AS VARCHAR) || '<br>Rides Completed: '
-       || CAST(rides_completed AS VARCHAR) AS label
+       'Driver_id: ' || COALESCE(CAST(driver_id AS VARCHAR), 'nan')
+       || '<br>AVG.Rating: ' || COALESCE(CAST(avg_ratings AS VARCHAR), 'nan')
+       || '<br>Reviews: ' || COALESCE(CAST(reviews AS VARCHAR), 'nan')
+       || '<br>Rides Completed: ' || COALESCE(CAST(rides_completed AS VARCHAR), 'nan') AS label
 FROM summary
 WHERE avg_ratings >= 0 AND avg_ratings <= 2.5 AND reviews >= 17 AND rides_completed >= 21""")
     out["panel_user_types"] = ([("stats", "user_ride_stats")], """

@@ -30,6 +30,8 @@ from ridelens.sources.schemas import PLATFORMS
 # Dashboard defaults (fixed values).
 FIRST_PLATFORM, LAST_PLATFORM = "android", "web"
 FIRST_AGE, LAST_AGE = "18-24", "Unknown"
+# How the dashboard's hover text shows a missing number (fixed value).
+MISSING = "nan"
 
 
 def _step_filter(df: DataFrame, step: int, start_date, end_date, start_platform, end_platform,
@@ -251,9 +253,10 @@ def panel_driver_ratings(summary: DataFrame, min_rating: float = 0.0, max_rating
     f = summary.where(at_least(avg_ratings=min_rating, reviews=min_reviews,
                                rides_completed=min_completed)
                       & at_most(avg_ratings=max_rating))
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+             for c in ("driver_id", "avg_ratings", "reviews", "rides_completed")]
     label = F.format_string("Driver_id: %s<br>AVG.Rating: %s<br>Reviews: %s<br>Rides Completed: %s",
-                            F.col("driver_id"), F.col("avg_ratings"), F.col("reviews"),
-                            F.col("rides_completed"))
+                            *shown)
     return f.select("driver_id", "avg_ratings", "reviews", "rides_completed", label.alias("label"))
 
 
@@ -313,13 +316,16 @@ def panel_usd_by_driver(driver_declines: DataFrame, min_lost: float = 0,
 TEST_WINDOW = {"start_date": "1994-01-01", "end_date": "1997-12-31"}
 
 
-def panel_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def panel_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Registered panels; `load(spark, sf_dir) -> RideTables` supplies the
+    tables (default: the fixture mapping of the driver's test data)."""
     from ridelens.operators import charges, demand, drivers, funnel
     from ridelens.sources.adapter import from_driver_tables
+    load = load or from_driver_tables
 
     def over(source, panel, **params):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return panel(source(from_driver_tables(spark, sf_dir)), **params)
+            return panel(source(load(spark, sf_dir)), **params)
         run.__doc__ = panel.__doc__
         return run
 

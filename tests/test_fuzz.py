@@ -1,4 +1,4 @@
-"""Random five-table datasets: every core query equals its SQL statement.
+"""Random five-table datasets: every registered query equals its SQL statement.
 
 The generated data breaks every convenient assumption except primary keys:
 several transactions and reviews per ride (join fan-out), declined and
@@ -16,13 +16,16 @@ import pandas as pd
 import pytest
 
 from helpers import duck_rows, spark_rows
-from ridelens.plans.oracle import core_sql
+from ridelens.plans.exchange import exchange_queries
+from ridelens.plans.oracle import core_sql, derived_sql
+from ridelens.plans.panels import panel_queries
 from ridelens.plans.registry import CORE_QUERIES
 from ridelens.sources.schemas import AGE_RANGES, PLATFORMS, TABLE_SCHEMAS
 from ridelens.sources.tables import RideTables
 
 SEEDS = [1, 7, 42]
-T0 = dt.datetime(2021, 1, 1)
+# inside the date window the panels are registered with, so they return rows
+T0 = dt.datetime(1995, 3, 1)
 
 
 def _maybe(rng, value, p_null):
@@ -93,3 +96,17 @@ def test_core_query_matches_sql_on_random_data(dataset, name):
     df = CORE_QUERIES[name](tables)
     cols = sorted(df.columns)
     assert spark_rows(df, cols) == duck_rows(con.sql(SQL[name]), cols)
+
+
+DERIVED_SQL = derived_sql("WITH")
+DERIVED_NAMES = sorted({**panel_queries(), **exchange_queries()})
+
+
+@pytest.mark.parametrize("name", DERIVED_NAMES)
+def test_derived_query_matches_sql_on_random_data(dataset, name):
+    tables, con = dataset
+    load = lambda spark, sf_dir: tables  # noqa: E731 - the random tables instead of the fixture
+    registry = {**panel_queries(load), **exchange_queries(load)}
+    df = registry[name](tables.ride_requests.sparkSession, "unused")
+    cols = sorted(df.columns)
+    assert spark_rows(df, cols) == duck_rows(con.sql(DERIVED_SQL[name]), cols)

@@ -2,8 +2,8 @@
 
 usage: python scripts/plan_audit.py [sf_dir] [--no-broadcast]
 
-Prints a Markdown table: shuffles (by kind), joins by strategy, scans, and a
-flag for any cartesian / nested-loop join.  With --no-broadcast, Spark may not
+Prints a Markdown table: executed shuffles (by key), reused exchanges, joins
+by strategy, scans, and a flag for any cartesian / nested-loop join.  With --no-broadcast, Spark may not
 broadcast any side, which is how the plans look when every table is far above
 the broadcast threshold (the 100 TB case).
 """
@@ -21,7 +21,9 @@ WRITES = {"csv_roundtrip", "merge_shards"}  # these write files when called
 
 
 def summarise(plan: str) -> dict:
-    exchanges = re.findall(r"\bExchange (hashpartitioning\([^)]*\)|rangepartitioning|SinglePartition)", plan)
+    executed = "\n".join(line for line in plan.splitlines() if "ReusedExchange" not in line)
+    exchanges = re.findall(r"\bExchange (hashpartitioning\([^)]*\)|rangepartitioning|SinglePartition)",
+                           executed)
     keys = sorted({re.sub(r"#\d+L?|, \d+\)$", "", e).replace("hashpartitioning(", "(") for e in exchanges})
     return {
         "shuffles": len(exchanges),
@@ -29,6 +31,7 @@ def summarise(plan: str) -> dict:
         "smj": plan.count("SortMergeJoin"),
         "bhj": plan.count("BroadcastHashJoin"),
         "scans": plan.count("FileScan parquet"),
+        "reused": plan.count("ReusedExchange"),
         "bad": any(k in plan for k in ("CartesianProduct", "BroadcastNestedLoopJoin")),
         "keys": keys,
     }
@@ -41,14 +44,14 @@ def main() -> None:
     if "--no-broadcast" in sys.argv:
         extra["spark.sql.autoBroadcastJoinThreshold"] = "-1"
     spark = build_session(extra=extra)
-    print("| query | shuffles | single-partition | SMJ | BHJ | scans | cartesian/BNLJ | shuffle keys |")
-    print("| --- | --- | --- | --- | --- | --- | --- | --- |")
+    print("| query | shuffles | reused | single-partition | SMJ | BHJ | scans | cartesian/BNLJ | shuffle keys |")
+    print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
     for name, fn in E.queries().items():
         if name in WRITES:
             continue
         plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         s = summarise(plan)
-        print(f"| {name} | {s['shuffles']} | {s['single']} | {s['smj']} | {s['bhj']} | {s['scans']} | "
+        print(f"| {name} | {s['shuffles']} | {s['reused']} | {s['single']} | {s['smj']} | {s['bhj']} | {s['scans']} | "
               f"{'YES' if s['bad'] else 'no'} | {'; '.join(s['keys'])} |")
     spark.stop()
 

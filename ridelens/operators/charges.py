@@ -25,21 +25,32 @@ def charge_status_stats(t: RideTables) -> DataFrame:
                  F.round(F.sum(usd("purchase_amount_usd")), 2).cast("double").alias("total_usd")))
 
 
-def _declines(t: RideTables, key: str, other: str, other_name: str) -> DataFrame:
+def decline_cells(t: RideTables, key: str) -> DataFrame:
+    """Q09 (`key="user_id"`) or Q10 (`key="driver_id"`) rows without the
+    presentation sort, for consumers that reshape them further."""
+    other, other_name = (("driver_id", "unique_drivers") if key == "user_id"
+                         else ("user_id", "unique_users"))
+    return _declines(t, key, other, other_name, ordered=False)
+
+
+def _declines(t: RideTables, key: str, other: str, other_name: str,
+              ordered: bool = True) -> DataFrame:
     f = rides_with_charges(t)
     declined = F.col("charge_status") == "Decline"
     approved = F.col("charge_status") == "Approved"
     money = usd("purchase_amount_usd")
     zero = F.lit(0).cast("decimal(18,2)")
-    return (f.groupBy(key)
-            .agg(F.count_distinct(other).alias(other_name),
-                 F.count_distinct("ride_id").alias("unique_rides"),
-                 F.sum(F.when(declined, 1).otherwise(0)).cast("bigint").alias("decline_count"),
-                 mean_half_up(F.when(declined, F.col("rating")), 2).alias("avg_rating"),
-                 F.sum(F.when(declined, money).otherwise(zero)).cast("double").alias("lost_total_usd"),
-                 F.sum(F.when(approved, money).otherwise(zero)).cast("double").alias("gained_total_usd"))
-            .where(F.col("decline_count") > 1)
-            .orderBy(F.col("decline_count").desc(), F.col(key).asc_nulls_last()))
+    out = (f.groupBy(key)
+           .agg(F.count_distinct(other).alias(other_name),
+                F.count_distinct("ride_id").alias("unique_rides"),
+                F.sum(F.when(declined, 1).otherwise(0)).cast("bigint").alias("decline_count"),
+                mean_half_up(F.when(declined, F.col("rating")), 2).alias("avg_rating"),
+                F.sum(F.when(declined, money).otherwise(zero)).cast("double").alias("lost_total_usd"),
+                F.sum(F.when(approved, money).otherwise(zero)).cast("double").alias("gained_total_usd"))
+           .where(F.col("decline_count") > 1))
+    if not ordered:
+        return out
+    return out.orderBy(F.col("decline_count").desc(), F.col(key).asc_nulls_last())
 
 
 def user_declines(t: RideTables) -> DataFrame:

@@ -231,12 +231,18 @@ def funnel_by_age_platform(t: RideTables) -> DataFrame:
     return _ordered(out, ["funnel_step", "platform", "age_range", "users"])
 
 
+def daily_cells(t: RideTables) -> DataFrame:
+    """Q03's rows without the presentation sort -- the input of the panels and
+    the store.  (A sort under an aggregate of doubles is not removed by the
+    optimizer, so consumers must not inherit one.)"""
+    return funnel_steps(t, "daily")
+
+
 def funnel_daily(t: RideTables) -> DataFrame:
     """Q03: step x age x platform x day, no conversion columns, in step, day,
     platform, age order (NULLs last).  The result is bounded by the calendar
     (steps x ages x platforms x days), so the range sort is cheap."""
-    return _ordered(funnel_steps(t, "daily"),
-                    ["funnel_step", "daily_date", "platform", "age_range"])
+    return _ordered(daily_cells(t), ["funnel_step", "daily_date", "platform", "age_range"])
 
 
 def funnel_daily_user(t: RideTables) -> DataFrame:

@@ -329,7 +329,7 @@ def panel_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFram
         run.__doc__ = panel.__doc__
         return run
 
-    daily, per_user = funnel.funnel_daily, funnel.funnel_daily_user
+    daily, per_user = funnel.daily_cells, funnel.funnel_daily_user
     w = TEST_WINDOW
     return {
         "panel_user_funnel": over(per_user, panel_user_funnel, **w),
@@ -359,6 +359,7 @@ def panel_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFram
         "panel_charge_users_drivers": over(charges.charge_status_stats, panel_charge_users_drivers),
         "panel_charge_rides_reviews": over(charges.charge_status_stats, panel_charge_rides_reviews),
         "panel_charge_usd": over(charges.charge_status_stats, panel_charge_usd),
-        "panel_usd_by_user": over(charges.user_declines, panel_usd_by_user),
-        "panel_usd_by_driver": over(charges.driver_declines, panel_usd_by_driver),
+        "panel_usd_by_user": over(lambda t: charges.decline_cells(t, "user_id"), panel_usd_by_user),
+        "panel_usd_by_driver": over(lambda t: charges.decline_cells(t, "driver_id"),
+                                    panel_usd_by_driver),
     }

@@ -20,7 +20,7 @@ from ridelens.sources import io
 from ridelens.sources.tables import RideTables
 
 STORED: dict[str, tuple[Callable[[RideTables], DataFrame], list[str]]] = {
-    "funnel_daily": (funnel.funnel_daily, ["funnel_step"]),
+    "funnel_daily": (funnel.daily_cells, ["funnel_step"]),
     "funnel_daily_user": (funnel.funnel_daily_user, ["funnel_step"]),
     "requests_by_hour": (demand.requests_by_hour, []),
     "rides_per_user": (demand.rides_per_user, []),

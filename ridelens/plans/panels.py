@@ -34,6 +34,12 @@ FIRST_AGE, LAST_AGE = "18-24", "Unknown"
 MISSING = "nan"
 
 
+def _sorted(df: DataFrame, *cols: str) -> DataFrame:
+    """Chart order (x axis, then series).  Panels are chart-sized -- at most
+    days x platforms x series rows -- so this final sort is cheap."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in cols])
+
+
 def _step_filter(df: DataFrame, step: int, start_date, end_date, start_platform, end_platform,
                  start_age=None, end_age=None) -> DataFrame:
     cond = ((F.col("funnel_step") == step)
@@ -64,14 +70,14 @@ def panel_user_funnel(daily_user: DataFrame, start_date=None, end_date=None,
                          & text_between("platform", start_platform, end_platform))
     cells = (f.groupBy("funnel_step", "funnel_name", "platform")
              .agg(F.count_distinct("user_ids").alias("users")))
-    return (_with_pct_initial(cells, "users")
-            .withColumn("funnel_label", relabel_steps()))
+    return _sorted(_with_pct_initial(cells, "users").withColumn("funnel_label", relabel_steps()),
+                   "funnel_step", "platform")
 
 
 def panel_user_funnel_pivot(daily_user: DataFrame, **params) -> DataFrame:
     """D01 as the chart's matrix: one row per step, one column per platform."""
-    return pivot_wide(panel_user_funnel(daily_user, **params), ["funnel_step"], "platform",
-                      PLATFORMS, "users")
+    return _sorted(pivot_wide(panel_user_funnel(daily_user, **params), ["funnel_step"], "platform",
+                              PLATFORMS, "users"), "funnel_step")
 
 
 def panel_rides_funnel(daily_user: DataFrame, start_date=None, end_date=None,
@@ -86,7 +92,8 @@ def panel_rides_funnel(daily_user: DataFrame, start_date=None, end_date=None,
     cells = (f.groupBy("funnel_step", "funnel_name", "platform")
              .agg(F.count_distinct("user_ids").alias("users"),
                   F.sum("rides").cast("bigint").alias("rides")))
-    return _with_pct_initial(cells, "rides").withColumn("funnel_label", relabel_steps())
+    return _sorted(_with_pct_initial(cells, "rides").withColumn("funnel_label", relabel_steps()),
+                   "funnel_step", "platform")
 
 
 # -- segment bars (age x platform, or platform when ages are merged) -------------
@@ -97,11 +104,12 @@ def _segment_bars(df: DataFrame, step: int, measure, fill, params: dict, merge_a
                      params["start_platform"], params["end_platform"],
                      params["start_age"], params["end_age"])
     if merge_ages:
-        return f.groupBy("platform").agg(*(merged_measures or [measure]))
+        return _sorted(f.groupBy("platform").agg(*(merged_measures or [measure])), "platform")
     cells = f.groupBy("age_range", "platform").agg(measure)
     name = cells.columns[-1]
-    return (dense_grid(cells, "age_range", "platform", {name: fill} if fill is not None else {})
+    grid = (dense_grid(cells, "age_range", "platform", {name: fill} if fill is not None else {})
             .withColumn("label", segment_label("age_range", "platform")))
+    return _sorted(grid, "age_range", "platform")
 
 
 def _params(start_date, end_date, start_age, end_age, start_platform, end_platform) -> dict:
@@ -182,7 +190,9 @@ def _daily_lines(daily: DataFrame, step: int, p: dict, merge_platforms: bool,
                      p["end_platform"], p["start_age"], p["end_age"])
     keys = ["daily_date"] if merge_platforms else ["daily_date", "platform"]
     out = f.groupBy(*keys).agg(*measures)
-    return to_long(out, keys, labels) if labels else out
+    if labels:
+        return _sorted(to_long(out, keys, labels), *keys, "measure")
+    return _sorted(out, *keys)
 
 
 def panel_daily_downloads(daily: DataFrame, start_date=None, end_date=None,
@@ -244,7 +254,7 @@ def panel_requests_by_hour(hourly: DataFrame) -> DataFrame:
 
 def panel_rides_histogram(rides_per_user: DataFrame) -> DataFrame:
     """Users per bucket of 5 rides over [0, 60); 60 and above are dropped."""
-    return histogram(rides_per_user, "rides", "user_id", width=5, bins=12)
+    return _sorted(histogram(rides_per_user, "rides", "user_id", width=5, bins=12), "bin_start")
 
 
 def panel_driver_ratings(summary: DataFrame, min_rating: float = 0.0, max_rating: float = 2.5,

@@ -43,11 +43,18 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised intermediates.
 
-    The cluster names it in `spark.checkpoint.dir`; we only set our own when it
-    is unset (local runs and tests), never overriding the cluster's."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="ridelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    Named by `spark.checkpoint.dir`, or set on the context by the user (never
+    overridden).  Only a local master, where driver and executors are one
+    process, falls back to a temporary folder; on a cluster an unnamed folder
+    is an error, since executors would write to disks nobody else reads."""
+    sc = spark.sparkContext
+    given = sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not (named or given):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="ridelens-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    if not given:
+        sc.setCheckpointDir(named)
+    return named or given

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ridelens.llm.quality import op10_quality_rules
+from ridelens.llm.toxicity import op9_toxicity
 
 OPERATORS = (
+    op9_toxicity,
     op10_quality_rules,
 )
 

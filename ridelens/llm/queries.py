@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ridelens.llm.bpe import op7_byte_bpe
 from ridelens.llm.quality import op10_quality_rules
 from ridelens.llm.toxicity import op9_toxicity
 
 OPERATORS = (
+    op7_byte_bpe,
     op9_toxicity,
     op10_quality_rules,
 )

@@ -49,9 +49,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM merged
 """
 
+OP6 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+windows AS (
+  SELECT item_id, least(len(ws), 13) AS n, list_slice(ws, i, i + 12) AS win FROM (
+    SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM items
+    WHERE len(ws) > 0)),
+starts AS (
+  SELECT rid, i, n, list_slice(ws, i, i + n - 1) AS win FROM (
+    SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+    FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(ws) >= n)),
+hits AS (SELECT rid, i, s.n, item_id FROM starts s JOIN windows w ON s.win = w.win),
+words_hit AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (
+    SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid),
+items_hit AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
+    SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hits) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM docs LEFT JOIN words_hit USING (rid) LEFT JOIN items_hit USING (rid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     from ridelens.llm.quality import STOP_WORDS
     return {
+        "op6_decontaminate": OP6,
         "op10_quality_rules": OP10.replace("{stop_words}", " ".join(STOP_WORDS)),
     }

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ridelens.llm.bpe import op7_byte_bpe
+from ridelens.llm.decontaminate import op6_decontaminate
 from ridelens.llm.quality import op10_quality_rules
 from ridelens.llm.token_files import op8_token_files
 from ridelens.llm.toxicity import op9_toxicity
 
 OPERATORS = (
+    op6_decontaminate,
     op7_byte_bpe,
     op8_token_files,
     op9_toxicity,

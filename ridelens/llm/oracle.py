@@ -49,6 +49,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM merged
 """
 
+OP1 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, list_slice(ws, i, i + 4) AS s FROM (
+    SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM docs WHERE len(ws) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 75 * (x.n + y.n - c)),
+arcs AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM docs
+  UNION SELECT reach.a, arcs.b FROM reach JOIN arcs ON reach.b = arcs.a),
+least_reached AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM docs d JOIN least_reached USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
 OP6 = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
@@ -83,6 +106,7 @@ FROM docs LEFT JOIN words_hit USING (rid) LEFT JOIN items_hit USING (rid)
 def oracle_sql() -> dict[str, str]:
     from ridelens.llm.quality import STOP_WORDS
     return {
+        "op1_near_duplicates": OP1,
         "op6_decontaminate": OP6,
         "op10_quality_rules": OP10.replace("{stop_words}", " ".join(STOP_WORDS)),
     }

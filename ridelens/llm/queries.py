@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ridelens.llm.bpe import op7_byte_bpe
 from ridelens.llm.decontaminate import op6_decontaminate
+from ridelens.llm.neardup import op1_near_duplicates
 from ridelens.llm.pii import op4_pii
 from ridelens.llm.quality import op10_quality_rules
 from ridelens.llm.token_files import op8_token_files
 from ridelens.llm.toxicity import op9_toxicity
 
 OPERATORS = (
+    op1_near_duplicates,
     op4_pii,
     op6_decontaminate,
     op7_byte_bpe,

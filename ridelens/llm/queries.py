@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ridelens.llm.bpe import op7_byte_bpe
 from ridelens.llm.decontaminate import op6_decontaminate
+from ridelens.llm.html_extract import op2_html_text
 from ridelens.llm.line_dedup import op5_line_dedup
 from ridelens.llm.neardup import op1_near_duplicates
 from ridelens.llm.pii import op4_pii
@@ -16,6 +17,7 @@ from ridelens.llm.token_files import op8_token_files
 from ridelens.llm.toxicity import op9_toxicity
 
 OPERATORS = (
+    op2_html_text,
     op5_line_dedup,
     op1_near_duplicates,
     op4_pii,

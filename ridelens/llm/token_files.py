@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import uuid
 from itertools import accumulate, chain
 
@@ -34,32 +35,52 @@ from pyspark.sql import functions as F
 from ridelens.llm.common import bounded_batches, pick, read_table, scratch
 
 CHUNK = re.compile(r"[^ \n]+").findall
-CACHE_CHUNKS = 300_000
+MARKS = ".,;:!?"
+CACHE_CHUNKS = 500_000
 PART_SCHEMA = "part int, name string, n_docs long, n_tokens long"
 
 
 class ChunkEncoder:
     """Ids of a text from the ids of its chunks between spaces and line ends,
-    each distinct chunk encoded by the library once per cache.  Right for
-    tokenizers whose pieces never hold white space (it is dropped)."""
+    kept as packed bytes.  A chunk seen for the first time is taken apart into
+    its word and the sentence marks behind it (always pieces of their own),
+    ASCII capitals are lowered (as the tokenizer does), and only words not seen
+    before go through the library.  Right for lower-casing tokenizers whose
+    pieces never hold white space."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, dtype: np.dtype):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.cache: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        chunks, cache = CHUNK(text), self.cache
-        missing = [c for c in dict.fromkeys(chunks) if c not in cache]
-        if missing:
-            if len(cache) + len(missing) > CACHE_CHUNKS:
+        self.dtype = dtype
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _encode_new(self, chunks: list[str]) -> None:
+        apart = []
+        for c in chunks:
+            word = c.rstrip(MARKS)
+            if not word or not unicodedata.normalize("NFC", word[-1]).lower()[-1].isalnum():
+                word = c
+            apart.append((c, word.lower() if word.isascii() else word, c[len(word):]))
+        if len(self.words) > CACHE_CHUNKS:
+            self.words.clear()
+        words = self.words
+        new = [w for w in dict.fromkeys(x for _, w, m in apart for x in (w, m)) if w not in words]
+        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        words.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(new, encoded))
+        self.chunks.update((c, words[w] + words[m]) for c, w, m in apart)
+
+    def encode(self, text: str) -> bytes:
+        found, cache = CHUNK(text), self.chunks
+        new = [c for c in dict.fromkeys(found) if c not in cache]
+        if new:
+            if len(cache) + len(new) > CACHE_CHUNKS:
                 cache.clear()
-                missing = list(dict.fromkeys(chunks))
-            encoded = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-            cache.update(zip(missing, (e.ids for e in encoded)))
-        return list(chain.from_iterable(map(cache.__getitem__, chunks)))
+                new = list(dict.fromkeys(found))
+            self._encode_new(new)
+        return b"".join(map(cache.__getitem__, found))
 
 
 def open_store(path: str):
@@ -83,8 +104,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def write(batches):
         store, folder = open_store(path)
         store.create_dir(folder, recursive=True)
-        encoder, name = ChunkEncoder(spec), f"part-{uuid.uuid4().hex}"
-        starts, n_docs = 0, 0
+        encoder, name = ChunkEncoder(spec, ids_type), f"part-{uuid.uuid4().hex}"
+        starts, n_docs, end = 0, 0, np.array([end_id], ids_type).tobytes()
         with store.open_output_stream(f"{folder}/{name}.ids") as ids_out, \
                 store.open_output_stream(f"{folder}/{name}.offsets") as offsets_out, \
                 store.open_output_stream(f"{folder}/{name}.docs") as docs_out:
@@ -92,10 +113,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             for batch in batches:
                 doc_ids, ends = batch.column("doc_id").to_pylist(), []
                 for text in batch.column("text"):
-                    ids = encoder.encode(text.as_py() or "")
-                    ids.append(end_id)
-                    ids_out.write(np.array(ids, ids_type).tobytes())
-                    starts += len(ids)
+                    ids = encoder.encode(text.as_py() or "") + end
+                    ids_out.write(ids)
+                    starts += len(ids) // len(end)
                     ends.append(starts)
                 n_docs += len(ends)
                 offsets_out.write(np.array(ends, "<u8").tobytes())

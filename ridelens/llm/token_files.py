@@ -23,6 +23,7 @@ import os
 import re
 import unicodedata
 import uuid
+from array import array as pack
 from itertools import accumulate, chain
 
 import numpy as np
@@ -40,6 +41,17 @@ CACHE_CHUNKS = 500_000
 PART_SCHEMA = "part int, name string, n_docs long, n_tokens long"
 
 
+def byte_chars() -> list[str]:
+    """The printable character that byte-level tokenizers write for each byte:
+    itself where it is printable, else the next one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+BYTE_CHARS = byte_chars()
+
+
 class ChunkEncoder:
     """Ids of a text from the ids of its chunks between spaces and line ends,
     kept as packed bytes.  A chunk seen for the first time is taken apart into
@@ -53,10 +65,26 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.dtype = dtype
+        self.model = self.tokenizer.model
+        self.code = "H" if dtype.itemsize == 2 else "I"  # little endian, as Spark's platforms are
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of letters only are one piece: normalised here, they go straight
+        to the library's model; the others take its whole path."""
+        rest = []
+        for w in words:
+            low = "".join(c.lower() for c in w) if "Σ" in w else w.lower()  # letter by letter
+            if low.isalpha() and unicodedata.is_normalized("NFC", w):
+                piece = low if low.isascii() else "".join(map(BYTE_CHARS.__getitem__, low.encode()))
+                ids = [t.id for t in self.model.tokenize(piece)]
+                self.words[w] = pack(self.code, ids).tobytes()
+            else:
+                rest.append(w)
+        encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        self.words.update((w, pack(self.code, e.ids).tobytes()) for w, e in zip(rest, encoded))
+
     def _encode_new(self, chunks: list[str]) -> None:
         apart = []
         for c in chunks:
@@ -68,12 +96,12 @@ class ChunkEncoder:
             self.words.clear()
         words = self.words
         new = [w for w in dict.fromkeys(x for _, w, m in apart for x in (w, m)) if w not in words]
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        words.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(new, encoded))
+        self._encode_words(new)
         self.chunks.update((c, words[w] + words[m]) for c, w, m in apart)
 
     def encode(self, text: str) -> bytes:
-        found, cache = CHUNK(text), self.chunks
+        cache = self.chunks
+        found = CHUNK(text)
         new = [c for c in dict.fromkeys(found) if c not in cache]
         if new:
             if len(cache) + len(new) > CACHE_CHUNKS:

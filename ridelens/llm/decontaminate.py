@@ -121,7 +121,8 @@ def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFr
 def build_index(docs: DataFrame, phrases: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(index, lookup plan) for the phrases (phrase)."""
     vocabulary = phrases.select(F.explode(F.split("phrase", " ")).alias("term")).distinct()
-    plan = stored(lookup_plan(phrases, term_counts(docs, vocabulary)), "lookup-plan")
+    counts = stored(term_counts(docs, vocabulary), "term-counts")
+    plan = stored(lookup_plan(phrases, counts), "lookup-plan")
     terms = (plan.select(F.col("first.term").alias("term"), F.lit(True).alias("anchor"))
              .unionByName(plan.where("second is not null").select(
                  F.col("second.term").alias("term"), F.lit(False).alias("anchor")))

@@ -11,16 +11,18 @@ from ridelens.llm.decontaminate import op6_decontaminate
 from ridelens.llm.html_extract import op2_html_text
 from ridelens.llm.line_dedup import op5_line_dedup
 from ridelens.llm.neardup import op1_near_duplicates
+from ridelens.llm.ngram_model import op3_ngram_score
 from ridelens.llm.pii import op4_pii
 from ridelens.llm.quality import op10_quality_rules
 from ridelens.llm.token_files import op8_token_files
 from ridelens.llm.toxicity import op9_toxicity
 
 OPERATORS = (
-    op2_html_text,
-    op5_line_dedup,
     op1_near_duplicates,
+    op2_html_text,
+    op3_ngram_score,
     op4_pii,
+    op5_line_dedup,
     op6_decontaminate,
     op7_byte_bpe,
     op8_token_files,

@@ -165,6 +165,5 @@ def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated, with their columns."""
     bad = (contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated")
            .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct())
-    text = F.col("text").cast("string")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
-                     & F.xxhash64(text).eqNullSafe(F.col("_digest")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"])
+                     & F.xxhash64(docs["text"].cast("string")).eqNullSafe(bad["_digest"]), "left_anti")

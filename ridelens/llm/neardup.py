@@ -287,4 +287,4 @@ def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (the smallest doc_id), and all unlinked ones."""
     gone = (near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Money is exact: source doubles become DECIMAL(18,2) before any arithmetic.
-USD = "decimal(18,2)"
+# Money is exact: source doubles become DECIMAL(28,8) before any arithmetic, so
+# sub-cent amounts count and only results are rounded.  Under ANSI mode an
+# amount of 10^20 or more is an error, not a silent NULL.
+USD = "decimal(28,8)"
 # Wide enough for exact HALF_UP division of any realistic sum by any count.
 _WIDE = "decimal(20,0)"
 
@@ -38,6 +40,14 @@ def round_half_up_ratio(num: Column, den: Column, digits: int,
     return rounded.cast("double") if as_double else rounded.cast(f"decimal(20,{digits})")
 
 
+def mean_of_means(c: Column | str, digits: int) -> Column:
+    """Aggregate: HALF_UP-rounded unweighted mean of DOUBLE means, each taken to
+    10 decimals.  Sums are integral, so the result depends neither on the order
+    of rows nor on the partitioning."""
+    col = F.col(c) if isinstance(c, str) else c
+    return mean_half_up(col.cast("decimal(20,10)"), digits, scale=10)
+
+
 def mean_half_up(c: Column, digits: int, scale: int = 0) -> Column:
     """Aggregate: HALF_UP-rounded mean of `c` (values with `scale` decimals)."""
     if scale:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.functions.exprs import mean_half_up, usd
+from ridelens.functions.exprs import USD, mean_half_up, usd
 from ridelens.operators.facts import rides_with_charges
 from ridelens.sources.tables import RideTables
 
@@ -39,7 +39,7 @@ def _declines(t: RideTables, key: str, other: str, other_name: str,
     declined = F.col("charge_status") == "Decline"
     approved = F.col("charge_status") == "Approved"
     money = usd("purchase_amount_usd")
-    zero = F.lit(0).cast("decimal(18,2)")
+    zero = F.lit(0).cast(USD)
     out = (f.groupBy(key)
            .agg(F.count_distinct(other).alias(other_name),
                 F.count_distinct("ride_id").alias("unique_rides"),

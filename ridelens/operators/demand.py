@@ -20,13 +20,15 @@ def requests_by_hour(t: RideTables) -> DataFrame:
             .orderBy("request_hour"))
 
 
+def ride_counts(t: RideTables) -> DataFrame:
+    """Q07 without the presentation sort, for consumers that go on."""
+    return t.ride_requests.groupBy("user_id").agg(F.count("ride_id").alias("rides"))
+
+
 def rides_per_user(t: RideTables) -> DataFrame:
-    """Q07: rides requested per user, fewest first (user id breaks ties).
-    The sort is a distributed range sort; consumers that aggregate further
-    (the histogram) have it removed by the optimizer."""
-    return (t.ride_requests.groupBy("user_id")
-            .agg(F.count("ride_id").alias("rides"))
-            .orderBy(F.col("rides").asc(), F.col("user_id").asc_nulls_last()))
+    """Q07: rides requested per user, fewest first (user id breaks ties), by a
+    distributed range sort."""
+    return ride_counts(t).orderBy(F.col("rides").asc(), F.col("user_id").asc_nulls_last())
 
 
 def user_ride_stats(t: RideTables) -> DataFrame:

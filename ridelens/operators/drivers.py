@@ -52,7 +52,12 @@ def driver_rating_distribution(t: RideTables) -> DataFrame:
 def driver_rating_summary(t: RideTables) -> DataFrame:
     """Q12: sums of Q11 per driver and the unweighted mean of its rounded
     per-segment means (two decimals, HALF_UP)."""
-    return (_distribution(t).groupBy("driver_id")
+    return summarise(_distribution(t))
+
+
+def summarise(distribution: DataFrame) -> DataFrame:
+    """Q12 from the rows of Q11 (computed or stored)."""
+    return (distribution.groupBy("driver_id")
             .agg(F.sum("rides").alias("total_rides"),
                  F.sum("users").alias("total_users"),
                  F.sum("rides_completed").alias("rides_completed"),

@@ -145,7 +145,7 @@ def _ride_steps(t: RideTables, users: DataFrame, g: Grain) -> DataFrame:
                  .agg(F.lit(3).alias("step"),
                       F.count("ride_id").alias("n_rides"),
                       F.count("cancel_ts").alias("n_cancels"),
-                      _null("decimal(28,2)").alias("usd"),
+                      _null("decimal(38,8)").alias("usd"),
                       _null("bigint").alias("n_reviews"),
                       _null("bigint").alias("rating_sum"),
                       _null("bigint").alias("rating_n")))
@@ -161,7 +161,7 @@ def _ride_steps(t: RideTables, users: DataFrame, g: Grain) -> DataFrame:
                  .agg(F.lit(4).alias("step"),
                       F.count("ride_id").alias("n_rides"),
                       F.count("cancel_ts").alias("n_cancels"),
-                      F.sum("usd").cast("decimal(28,2)").alias("usd"),
+                      F.sum("usd").cast("decimal(38,8)").alias("usd"),
                       F.count_distinct("review_id").alias("n_reviews"),
                       F.sum("rating").cast("bigint").alias("rating_sum"),
                       F.count("rating").alias("rating_n")))

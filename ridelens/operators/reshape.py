@@ -28,20 +28,20 @@ def dense_grid(cells: DataFrame, row_key: str, col_key: str,
 
     `cells` is already aggregated to one row per present pair, so it holds at
     most (#row values x #column values) rows -- a handful of age ranges times
-    platforms.  One pass: fold each row value's cells into a map, gather the
+    platforms.  One pass: fold each row value's cells into a list (NULL keys included), gather the
     column values of all rows with a window over those few folded rows, and
     explode.  No cross product and no second evaluation of `cells`."""
     measures = [c for c in cells.columns if c not in (row_key, col_key)]
     folded = (cells.groupBy(row_key)
-              .agg(F.map_from_entries(F.collect_list(
-                  F.struct(F.col(col_key), F.struct(*measures)))).alias("_cells")))
+              .agg(F.collect_list(F.struct(F.col(col_key).alias("key"), *measures)).alias("_cells")))
     everything = Window.partitionBy()
     all_cols = F.array_sort(F.array_distinct(F.flatten(
-        F.collect_list(F.map_keys("_cells")).over(everything))))
+        F.collect_list(F.col("_cells")["key"]).over(everything))))
+    own = F.get(F.filter("_cells", lambda c: c["key"].eqNullSafe(F.col(col_key))), F.lit(0))
     out = (folded.withColumn("_all", all_cols)
            .select(row_key, "_cells", F.explode("_all").alias(col_key))
-           .select(row_key, col_key,
-                   *[F.col("_cells")[F.col(col_key)][m].alias(m) for m in measures]))
+           .select(row_key, col_key, own.alias("_own"))
+           .select(row_key, col_key, *[F.col("_own")[m].alias(m) for m in measures]))
     for name, value in fill.items():
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
     return out
@@ -64,24 +64,30 @@ def to_long(df: DataFrame, keys: list[str], measures: dict[str, str],
 
 
 def pivot_wide(df: DataFrame, index: list[str], column: str, values: list[str],
-               value_col: str) -> DataFrame:
-    """Long -> wide over a fixed list of column values (no distinct scan)."""
-    return df.groupBy(*index).pivot(column, values).agg(F.first(value_col))
+               value_col: str, other: str = "other") -> DataFrame:
+    """Long -> wide over a given list of column values (no distinct scan).
+    Cells of any further value, NULL included, are summed into the column
+    `other`, so no row is lost."""
+    known = F.when(F.col(column).isin(values), F.col(column)).otherwise(F.lit(other))
+    return (df.withColumn(column, known).groupBy(*index)
+            .pivot(column, [*values, other]).agg(F.sum(value_col)))
 
 
 def histogram(df: DataFrame, value_col: str, id_col: str, width: int, bins: int) -> DataFrame:
-    """Distinct ids per fixed-width bin [k*width, (k+1)*width), k < bins.
+    """Distinct ids per fixed-width bin [k*width, (k+1)*width), k < bins, and
+    one open bin for all larger values; empty bins report 0.
 
-    Values outside [0, width*bins) are dropped; empty bins report 0.  The bin
-    table has `bins` rows, generated by Spark and joined on the bin index."""
+    Counts are never negative, so every id is in one bin.  The bin table has
+    `bins` + 1 rows, generated by Spark and joined on the bin index."""
     spark = df.sparkSession
-    binned = (df.where((F.col(value_col) >= 0) & (F.col(value_col) < width * bins))
-              .groupBy(F.floor(F.col(value_col) / width).cast("int").alias("bin"))
+    bin_of = F.least(F.floor(F.col(value_col) / width), F.lit(bins)).cast("int")
+    binned = (df.where(F.col(value_col) >= 0).groupBy(bin_of.alias("bin"))
               .agg(F.count_distinct(id_col).alias("users")))
-    edges = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    edges = spark.range(bins + 1).select(F.col("id").cast("int").alias("bin"))
+    start, end = F.col("bin") * width, (F.col("bin") + 1) * width
+    last = F.col("bin") == bins
     return (edges.join(binned, "bin", "left")
-            .select((F.col("bin") * width).alias("bin_start"),
-                    ((F.col("bin") + 1) * width).alias("bin_end"),
-                    F.concat_ws("-", (F.col("bin") * width).cast("string"),
-                                ((F.col("bin") + 1) * width).cast("string")).alias("bin_label"),
+            .select(start.alias("bin_start"), F.when(~last, end).alias("bin_end"),
+                    F.when(last, F.concat(start.cast("string"), F.lit("+")))
+                     .otherwise(F.concat_ws("-", start.cast("string"), end.cast("string"))).alias("bin_label"),
                     F.coalesce(F.col("users"), F.lit(0)).alias("users")))

@@ -18,9 +18,10 @@ DAILY_USER_ORDER = ["funnel_step", "daily_date", "platform", "age_range", "user_
 PAGE_SIZE = 5000
 
 
-def filter_domains(df: DataFrame) -> DataFrame:
+def filter_domains(df: DataFrame, none_option: bool = True) -> DataFrame:
     """Dropdown options of a dataset: ages (non-NULL, not 'Unknown') by lower
-    bound, then 'Unknown' and the 'None' sentinel; platforms alphabetically.
+    bound, then 'Unknown' and (with `none_option`) the 'None' sentinel;
+    platforms alphabetically.
 
     Rows: domain, value, position.  One scan emits (domain, value) pairs and a
     single distinct reduces them; the numbering window per domain then sees
@@ -33,7 +34,7 @@ def filter_domains(df: DataFrame) -> DataFrame:
                     & ~((F.col("domain") == "age_range") & (F.col("value") == "Unknown")))
              .distinct()
              .withColumn("grp", F.lit(0)))
-    tail = spark.range(2).select(
+    tail = spark.range(2 if none_option else 1).select(
         F.lit("age_range").alias("domain"),
         F.when(F.col("id") == 0, F.lit("Unknown")).otherwise(F.lit(NO_AGE_BOUND)).alias("value"),
         (F.col("id") + 1).cast("int").alias("grp"))
@@ -50,6 +51,24 @@ def slider_bounds(summary: DataFrame) -> DataFrame:
                        F.max("rides_completed").alias("max_rides_completed"))
 
 
+def column_maxima(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Maximum of each column as `max_<column>` (one row)."""
+    return df.agg(*[F.max(c).alias(f"max_{c}") for c in columns])
+
+
+def stored_driver_summary(t, spark: SparkSession) -> DataFrame:
+    """Q12 over a stored Q11: the distribution is computed once and read back."""
+    from ridelens.operators import drivers
+    return drivers.summarise(io.materialize(drivers.driver_rating_distribution(t), "driver_distribution"))
+
+
+def all_pages(t, spark: SparkSession) -> DataFrame:
+    """The whole per-user daily funnel with the page of every row."""
+    from ridelens.operators import funnel
+    path = io.number_rows(funnel.funnel_daily_user(t), DAILY_USER_ORDER, io.scratch_path(spark, "numbered"))
+    return io.read_all_pages(spark, path, PAGE_SIZE)
+
+
 def csv_roundtrip(df: DataFrame, name: str) -> DataFrame:
     """Write a dataset as header CSV to the shared folder and read it back
     under its own schema."""
@@ -68,7 +87,7 @@ def sharded_roundtrip(df: DataFrame, name: str, rows_per_shard: int) -> DataFram
 
 def exchange_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Registered I/O and control queries; `load` as in `panels.panel_queries`."""
-    from ridelens.operators import drivers, funnel
+    from ridelens.operators import charges, demand, drivers, funnel
     from ridelens.plans.panels import panel_driver_ratings
     from ridelens.sources.adapter import from_driver_tables
     load = load or from_driver_tables
@@ -85,6 +104,16 @@ def exchange_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataF
         "export_page": run(lambda t: io.export_page(funnel.funnel_daily_user(t), DAILY_USER_ORDER,
                                                     page=1, page_size=PAGE_SIZE)),
         "filter_domains": run(lambda t: filter_domains(funnel.funnel_daily_user(t))),
+        "filter_domains_signups": run(lambda t: filter_domains(
+            funnel.daily_cells(t).where("funnel_step = 2"), none_option=False)),
+        "slider_bounds_user_stats": run(lambda t: column_maxima(
+            demand.user_ride_stats(t), ["total_rides", "rides_completed", "rides_canceled"])),
+        "slider_bounds_user_declines": run(lambda t: column_maxima(
+            charges.decline_cells(t, "user_id"), ["lost_total_usd", "gained_total_usd"])),
+        "slider_bounds_driver_declines": run(lambda t: column_maxima(
+            charges.decline_cells(t, "driver_id"), ["lost_total_usd", "gained_total_usd"])),
+        "export_all_pages": lambda spark, sf_dir: all_pages(load(spark, sf_dir), spark),
+        "driver_summary_stored": lambda spark, sf_dir: stored_driver_summary(load(spark, sf_dir), spark),
         "slider_bounds": run(lambda t: slider_bounds(drivers.driver_rating_summary(t))),
         "panel_driver_ratings_below_3": run(lambda t: panel_driver_ratings(
             drivers.driver_rating_summary(t), max_rating=3.0, min_reviews=1, min_completed=1)),
@@ -114,6 +143,25 @@ FROM ages
 UNION ALL
 SELECT 'platform', value, CAST(ROW_NUMBER() OVER (ORDER BY value) AS INTEGER)
 FROM (SELECT DISTINCT platform AS value FROM daily_user WHERE platform IS NOT NULL)"""),
+        "filter_domains_signups": (daily, """
+SELECT 'age_range' AS domain, value,
+       CAST(ROW_NUMBER() OVER (ORDER BY grp, TRY_CAST(split_part(value, '-', 1) AS INTEGER) NULLS LAST,
+                               value) AS INTEGER) AS position
+FROM (SELECT DISTINCT age_range AS value, 0 AS grp FROM daily
+      WHERE funnel_step = 2 AND age_range IS NOT NULL AND age_range <> 'Unknown'
+      UNION ALL SELECT 'Unknown', 1)
+UNION ALL
+SELECT 'platform', value, CAST(ROW_NUMBER() OVER (ORDER BY value) AS INTEGER)
+FROM (SELECT DISTINCT platform AS value FROM daily WHERE funnel_step = 2 AND platform IS NOT NULL)"""),
+        "slider_bounds_user_stats": ([("stats", "user_ride_stats")], """
+SELECT MAX(total_rides) AS max_total_rides, MAX(rides_completed) AS max_rides_completed,
+       MAX(rides_canceled) AS max_rides_canceled FROM stats"""),
+        **{f"slider_bounds_{who}_declines": ([("points", f"{who}_declines")], """
+SELECT MAX(lost_total_usd) AS max_lost_total_usd, MAX(gained_total_usd) AS max_gained_total_usd FROM points""")
+           for who in ("user", "driver")},
+        "export_all_pages": (per_user, f"""
+SELECT *, (ROW_NUMBER() OVER (ORDER BY {order}) - 1) // {PAGE_SIZE} AS page FROM daily_user"""),
+        "driver_summary_stored": ([("summary", "driver_rating_summary")], "SELECT * FROM summary"),
         "slider_bounds": ([("summary", "driver_rating_summary")], """
 SELECT MAX(avg_ratings) AS max_avg_ratings, MAX(reviews) AS max_reviews,
        MAX(rides_completed) AS max_rides_completed FROM summary"""),

@@ -30,18 +30,25 @@ signups AS (
   FROM customer
   WHERE c_custkey * 53 % 103 % 4 <> 3
 ),
+ride_orders AS (
+  SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice,
+         CASE WHEN o_custkey * 59 % 107 % 10 < 7 THEN o_custkey
+              WHEN (o_custkey + 1) * 59 % 107 % 10 < 7 THEN o_custkey + 1
+              WHEN (o_custkey + 2) * 59 % 107 % 10 < 7 THEN o_custkey + 2
+              ELSE o_custkey + 3 END AS rider
+  FROM orders
+),
 ride_base AS (
   SELECT CAST(o_orderkey AS BIGINT) AS ride_id,
-         CAST(o_custkey AS BIGINT) AS user_id,
+         CAST(rider AS BIGINT) AS user_id,
          CAST(1 + (o_orderkey * 7 + o_custkey) % 997 AS BIGINT) AS driver_id,
          CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' HOUR * (
            CASE WHEN o_orderkey % 5 < 2 THEN 8 + o_orderkey % 3
                 WHEN o_orderkey % 5 = 2 THEN 16 + o_orderkey % 4
                 ELSE o_orderkey * 7 % 24 END) AS request_ts,
-         (o_orderkey * 73 % 137 % 10 < 2 OR o_custkey * 61 % 109 % 2 = 0) AS cancelled,
+         (o_orderkey * 73 % 137 % 10 < 2 OR rider * 61 % 109 % 2 = 0) AS cancelled,
          o_totalprice
-  FROM orders
-  WHERE o_custkey * 53 % 103 % 4 <> 3 AND o_custkey * 59 % 107 % 10 < 7
+  FROM ride_orders
 ),
 ride_requests AS (
   SELECT ride_id, user_id, driver_id, request_ts,
@@ -82,8 +89,14 @@ def _half_up(total: str, n: str) -> str:
     return (f"CAST((200 * CAST({total} AS HUGEINT) + {n}) // NULLIF(2 * {n}, 0) AS DOUBLE) / 100")
 
 
+def _double(c: str) -> str:
+    """The DOUBLE nearest to a DECIMAL (through its text, so large sums keep
+    their last digits)."""
+    return f"CAST(CAST({c} AS VARCHAR) AS DOUBLE)"
+
+
 def _usd(c: str) -> str:
-    return f"CAST({c} AS DECIMAL(18,2))"
+    return f"CAST({c} AS DECIMAL(28,8))"
 
 
 def _funnel_steps(age: bool, daily: bool, per_user: bool) -> str:
@@ -156,8 +169,8 @@ SELECT q.{key}, COUNT(DISTINCT q.{other}) AS {other_name},
        COUNT(DISTINCT q.ride_id) AS unique_rides,
        CAST(SUM(CASE WHEN {dec} THEN 1 ELSE 0 END) AS BIGINT) AS decline_count,
        {_half_up(f"SUM(CASE WHEN {dec} THEN v.rating END)", f"COUNT(CASE WHEN {dec} THEN v.rating END)")} AS avg_rating,
-       CAST(SUM(CASE WHEN {dec} THEN {_usd('t.purchase_amount_usd')} ELSE 0 END) AS DOUBLE) AS lost_total_usd,
-       CAST(SUM(CASE WHEN t.charge_status = 'Approved' THEN {_usd('t.purchase_amount_usd')} ELSE 0 END) AS DOUBLE) AS gained_total_usd
+       {_double(f"SUM(CASE WHEN {dec} THEN {_usd('t.purchase_amount_usd')} ELSE 0 END)")} AS lost_total_usd,
+       {_double(f"SUM(CASE WHEN t.charge_status = 'Approved' THEN {_usd('t.purchase_amount_usd')} ELSE 0 END)")} AS gained_total_usd
 FROM ride_requests q
 LEFT JOIN transactions t ON t.ride_id = q.ride_id
 LEFT JOIN reviews v ON v.ride_id = q.ride_id
@@ -208,7 +221,7 @@ FROM ride_requests GROUP BY 1""")
     c["charge_status_stats"] = ([], f"""
 SELECT t.charge_status, COUNT(DISTINCT v.user_id) AS users, COUNT(DISTINCT q.driver_id) AS drivers,
        COUNT(q.ride_id) AS rides, COUNT(v.review_id) AS reviews,
-       CAST(ROUND(SUM({_usd('t.purchase_amount_usd')}), 2) AS DOUBLE) AS total_usd
+       {_double(f"ROUND(SUM({_usd('t.purchase_amount_usd')}), 2)")} AS total_usd
 FROM ride_requests q
 LEFT JOIN reviews v ON v.ride_id = q.ride_id
 LEFT JOIN transactions t ON t.ride_id = q.ride_id
@@ -229,14 +242,14 @@ SELECT driver_id, CAST(SUM(rides) AS BIGINT) AS total_rides, CAST(SUM(users) AS
 FROM driver_cells GROUP BY driver_id""")
     c["review_rating_stats"] = ([], f"""
 SELECT v.rating, COUNT(DISTINCT v.user_id) AS users, COUNT(q.ride_id) AS rides,
-       COUNT(v.review_id) AS reviews, CAST(SUM({_usd('t.purchase_amount_usd')}) AS DOUBLE) AS total_usd
+       COUNT(v.review_id) AS reviews, {_double(f"SUM({_usd('t.purchase_amount_usd')})")} AS total_usd
 FROM reviews v
 LEFT JOIN ride_requests q ON q.ride_id = v.ride_id
 LEFT JOIN transactions t ON t.ride_id = v.ride_id
 GROUP BY v.rating
 UNION ALL
 SELECT CAST(NULL AS INTEGER), COUNT(DISTINCT q.user_id), COUNT(q.ride_id), CAST(NULL AS BIGINT),
-       CAST(SUM({_usd('t.purchase_amount_usd')}) AS DOUBLE)
+       {_double(f"SUM({_usd('t.purchase_amount_usd')})")}
 FROM ride_requests q
 LEFT JOIN transactions t ON t.ride_id = q.ride_id
 WHERE NOT EXISTS (SELECT 1 FROM reviews v WHERE v.ride_id = q.ride_id)""")

@@ -20,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ridelens.functions.exprs import mean_of_means
 from ridelens.operators.filters import (NO_AGE_BOUND, age_between_null_tolerant,
                                         age_between_unless_unset, at_least, at_most,
                                         date_between, text_between)
@@ -74,10 +75,17 @@ def panel_user_funnel(daily_user: DataFrame, start_date=None, end_date=None,
                    "funnel_step", "platform")
 
 
-def panel_user_funnel_pivot(daily_user: DataFrame, **params) -> DataFrame:
-    """D01 as the chart's matrix: one row per step, one column per platform."""
-    return _sorted(pivot_wide(panel_user_funnel(daily_user, **params), ["funnel_step"], "platform",
-                              PLATFORMS, "users"), "funnel_step")
+def panel_user_funnel_pivot(daily_user: DataFrame, platforms: list[str] = PLATFORMS, **params) -> DataFrame:
+    """D01 as the chart's matrix: one row per step with its display name, one
+    column per platform of `platforms` and one for all others."""
+    return _sorted(pivot_wide(panel_user_funnel(daily_user, **params), ["funnel_step", "funnel_label"], "platform",
+                              platforms, "users"), "funnel_step")
+
+
+def panel_rides_funnel_pivot(daily_user: DataFrame, platforms: list[str] = PLATFORMS, **params) -> DataFrame:
+    """D02 as the chart's matrix of rides."""
+    return _sorted(pivot_wide(panel_rides_funnel(daily_user, **params), ["funnel_step", "funnel_label"], "platform",
+                              platforms, "rides"), "funnel_step")
 
 
 def panel_rides_funnel(daily_user: DataFrame, start_date=None, end_date=None,
@@ -178,7 +186,7 @@ def panel_avg_rating(daily: DataFrame, start_date=None, end_date=None, start_age
     """Unweighted mean of the daily mean ratings, 2 decimals; NULL for an
     empty segment.  (Rounds HALF_UP; the notebook's pandas rounds half-even.)"""
     p = _params(start_date, end_date, start_age, end_age, start_platform, end_platform)
-    return _segment_bars(daily, 4, F.round(F.avg("avg_rating"), 2).alias("avg_rating"), None, p,
+    return _segment_bars(daily, 4, mean_of_means("avg_rating", 2).alias("avg_rating"), None, p,
                          merge_ages)
 
 
@@ -237,11 +245,12 @@ def panel_daily_rides_usd(daily: DataFrame, start_date=None, end_date=None, star
 def panel_daily_reviews_rating(daily: DataFrame, start_date=None, end_date=None, start_age=FIRST_AGE,
                                end_age=LAST_AGE, start_platform=FIRST_PLATFORM,
                                end_platform=LAST_PLATFORM, merge_platforms: bool = False) -> DataFrame:
-    """Reviews (sum) and mean rating (mean of cell means) per day, long form."""
+    """Reviews (sum) and mean rating (mean of cell means, 10 decimals) per
+    day, long form."""
     p = _params(start_date, end_date, start_age, end_age, start_platform, end_platform)
     return _daily_lines(daily, 4, p, merge_platforms,
                         [F.sum("total_reviews").alias("total_reviews"),
-                         F.avg("avg_rating").alias("avg_rating")],
+                         mean_of_means("avg_rating", 10).alias("avg_rating")],
                         {"total_reviews": "Reviews", "avg_rating": "Rating"})
 
 
@@ -252,9 +261,10 @@ def panel_requests_by_hour(hourly: DataFrame) -> DataFrame:
     return hourly.select("request_hour", "num_requests")
 
 
-def panel_rides_histogram(rides_per_user: DataFrame) -> DataFrame:
-    """Users per bucket of 5 rides over [0, 60); 60 and above are dropped."""
-    return _sorted(histogram(rides_per_user, "rides", "user_id", width=5, bins=12), "bin_start")
+def panel_rides_histogram(rides_per_user: DataFrame, width: int = 5, bins: int = 12) -> DataFrame:
+    """Users per bucket of `width` rides; users beyond the last bucket are
+    counted in an open one."""
+    return _sorted(histogram(rides_per_user, "rides", "user_id", width, bins), "bin_start")
 
 
 def panel_driver_ratings(summary: DataFrame, min_rating: float = 0.0, max_rating: float = 2.5,
@@ -320,10 +330,13 @@ def panel_usd_by_driver(driver_declines: DataFrame, min_lost: float = 0,
 
 # -- registry hook --------------------------------------------------------------------
 
-# Date window used when the panels are registered over the synthetic test tables:
-# it holds every download and signup and part of the ride history, so the date
-# predicate really removes rows.
-TEST_WINDOW = {"start_date": "1994-01-01", "end_date": "1997-12-31"}
+# Panels are registered with the open window; these parameters belong to the
+# extra keys that exercise the filters (each removes rows of the test tables).
+WINDOW = {"start_date": "1994-02-01", "end_date": "1995-06-30"}
+AGES = {"start_age": "25-34", "end_age": "35-44"}
+IOS = {"start_platform": "ios", "end_platform": "ios"}
+USER_TYPE_BOUNDS = {"min_canceled": 2, "min_completed": 1, "min_total": 4}
+USD_BOUNDS = {"min_lost": 100000, "min_gained": 200000}
 
 
 def panel_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -340,35 +353,51 @@ def panel_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFram
         return run
 
     daily, per_user = funnel.daily_cells, funnel.funnel_daily_user
-    w = TEST_WINDOW
     return {
-        "panel_user_funnel": over(per_user, panel_user_funnel, **w),
-        "panel_user_funnel_pivot": over(per_user, panel_user_funnel_pivot, **w),
-        "panel_rides_funnel": over(per_user, panel_rides_funnel, **w),
-        "panel_daily_downloads": over(daily, panel_daily_downloads, **w),
-        "panel_signups": over(daily, panel_signups, **w),
-        "panel_signups_merged": over(daily, panel_signups, merge_ages=True, **w),
-        "panel_daily_signups": over(daily, panel_daily_signups, **w),
-        "panel_requesting_users": over(per_user, panel_requesting_users, **w),
-        "panel_requesting_users_merged": over(per_user, panel_requesting_users, merge_ages=True, **w),
-        "panel_rides_requested": over(daily, panel_rides_requested, **w),
-        "panel_daily_rides_cancellations": over(daily, panel_daily_rides_cancellations, **w),
+        "panel_user_funnel": over(per_user, panel_user_funnel),
+        "panel_user_funnel_pivot": over(per_user, panel_user_funnel_pivot),
+        "panel_rides_funnel": over(per_user, panel_rides_funnel),
+        "panel_daily_downloads": over(daily, panel_daily_downloads),
+        "panel_signups": over(daily, panel_signups),
+        "panel_signups_merged": over(daily, panel_signups, merge_ages=True),
+        "panel_daily_signups": over(daily, panel_daily_signups),
+        "panel_requesting_users": over(per_user, panel_requesting_users),
+        "panel_requesting_users_merged": over(per_user, panel_requesting_users, merge_ages=True),
+        "panel_rides_requested": over(daily, panel_rides_requested),
+        "panel_daily_rides_cancellations": over(daily, panel_daily_rides_cancellations),
         "panel_daily_rides_cancellations_merged": over(daily, panel_daily_rides_cancellations,
-                                                       merge_platforms=True, **w),
+                                                       merge_platforms=True),
         "panel_requests_by_hour": over(demand.requests_by_hour, panel_requests_by_hour),
-        "panel_rides_histogram": over(demand.rides_per_user, panel_rides_histogram),
-        "panel_completing_users": over(per_user, panel_completing_users, **w),
-        "panel_rides_completed": over(daily, panel_rides_completed, **w),
-        "panel_usd": over(daily, panel_usd, **w),
-        "panel_daily_rides_usd": over(daily, panel_daily_rides_usd, **w),
-        "panel_avg_rating": over(daily, panel_avg_rating, **w),
-        "panel_avg_rating_merged": over(daily, panel_avg_rating, merge_ages=True, **w),
+        "panel_rides_histogram": over(demand.ride_counts, panel_rides_histogram),
+        "panel_completing_users": over(per_user, panel_completing_users),
+        "panel_rides_completed": over(daily, panel_rides_completed),
+        "panel_usd": over(daily, panel_usd),
+        "panel_daily_rides_usd": over(daily, panel_daily_rides_usd),
+        "panel_avg_rating": over(daily, panel_avg_rating),
+        "panel_avg_rating_merged": over(daily, panel_avg_rating, merge_ages=True),
         "panel_driver_ratings": over(drivers.driver_rating_summary, panel_driver_ratings),
-        "panel_daily_reviews_rating": over(daily, panel_daily_reviews_rating, **w),
+        "panel_daily_reviews_rating": over(daily, panel_daily_reviews_rating),
         "panel_user_types": over(demand.user_ride_stats, panel_user_types),
         "panel_charge_users_drivers": over(charges.charge_status_stats, panel_charge_users_drivers),
         "panel_charge_rides_reviews": over(charges.charge_status_stats, panel_charge_rides_reviews),
         "panel_charge_usd": over(charges.charge_status_stats, panel_charge_usd),
+        "panel_daily_downloads_merged": over(daily, panel_daily_downloads, merge_platforms=True),
+        "panel_daily_signups_merged": over(daily, panel_daily_signups, merge_platforms=True),
+        "panel_rides_requested_merged": over(daily, panel_rides_requested, merge_ages=True),
+        "panel_completing_users_merged": over(per_user, panel_completing_users, merge_ages=True),
+        "panel_rides_completed_merged": over(daily, panel_rides_completed, merge_ages=True),
+        "panel_usd_merged": over(daily, panel_usd, merge_ages=True),
+        "panel_daily_rides_usd_merged": over(daily, panel_daily_rides_usd, merge_platforms=True),
+        "panel_daily_reviews_rating_merged": over(daily, panel_daily_reviews_rating, merge_platforms=True),
+        "panel_rides_funnel_pivot": over(per_user, panel_rides_funnel_pivot),
+        "panel_rides_requested_window": over(daily, panel_rides_requested, **WINDOW),
+        "panel_user_funnel_ages": over(per_user, panel_user_funnel, **AGES),
+        "panel_signups_ios": over(daily, panel_signups, **IOS),
+        "panel_user_types_bounded": over(demand.user_ride_stats, panel_user_types, **USER_TYPE_BOUNDS),
+        "panel_usd_by_user_bounded": over(lambda t: charges.decline_cells(t, "user_id"), panel_usd_by_user,
+                                          **USD_BOUNDS),
+        "panel_usd_by_driver_bounded": over(lambda t: charges.decline_cells(t, "driver_id"),
+                                            panel_usd_by_driver, **USD_BOUNDS),
         "panel_usd_by_user": over(lambda t: charges.decline_cells(t, "user_id"), panel_usd_by_user),
         "panel_usd_by_driver": over(lambda t: charges.decline_cells(t, "driver_id"),
                                     panel_usd_by_driver),

@@ -19,15 +19,16 @@ from ridelens.operators import charges, demand, drivers, funnel
 from ridelens.sources import io
 from ridelens.sources.tables import RideTables
 
+# Unsorted builders: readers sort what they show.
 STORED: dict[str, tuple[Callable[[RideTables], DataFrame], list[str]]] = {
     "funnel_daily": (funnel.daily_cells, ["funnel_step"]),
     "funnel_daily_user": (funnel.funnel_daily_user, ["funnel_step"]),
     "requests_by_hour": (demand.requests_by_hour, []),
-    "rides_per_user": (demand.rides_per_user, []),
+    "rides_per_user": (demand.ride_counts, []),
     "user_ride_stats": (demand.user_ride_stats, []),
     "charge_status_stats": (charges.charge_status_stats, []),
-    "user_declines": (charges.user_declines, []),
-    "driver_declines": (charges.driver_declines, []),
+    "user_declines": (lambda t: charges.decline_cells(t, "user_id"), []),
+    "driver_declines": (lambda t: charges.decline_cells(t, "driver_id"), []),
     "driver_rating_summary": (drivers.driver_rating_summary, []),
 }
 
@@ -37,7 +38,8 @@ def write_store(t: RideTables, root: str, names: list[str] | None = None) -> dic
     paths = {}
     for name in names or list(STORED):
         build, partition_by = STORED[name]
-        paths[name] = io.store_partitioned(build(t), f"{root.rstrip('/')}/{name}", partition_by)
+        paths[name] = io.store_partitioned(build(t), f"{root.rstrip('/')}/{name}", partition_by,
+                                            sort_by="daily_date" if partition_by else None)
     return paths
 
 

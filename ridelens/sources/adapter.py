@@ -66,6 +66,16 @@ def _request_hour(orderkey: Column) -> Column:
             .otherwise(orderkey * 7 % 24))
 
 
+def _rider(custkey: Column) -> Column:
+    """The customer who rides: three in ten customers never do, and their
+    orders go to the next one who does.  No order is left out; riders without a
+    signup (or without any customer row) are the rides of unknown users."""
+    def rides(key: Column) -> Column:
+        return key * 59 % 107 % 10 < 7
+    return (F.when(rides(custkey), custkey).when(rides(custkey + 1), custkey + 1)
+            .when(rides(custkey + 2), custkey + 2).otherwise(custkey + 3))
+
+
 def downloads_and_signups(customer: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = F.col("c_custkey")
     epoch = F.lit(DOWNLOAD_EPOCH).cast("timestamp_ntz")
@@ -88,12 +98,12 @@ def rides_transactions_reviews(orders: DataFrame) -> tuple[DataFrame, DataFrame,
     okey, ckey = F.col("o_orderkey"), F.col("o_custkey")
     request_ts = (F.col("o_orderdate").cast("timestamp_ntz")
                   + F.make_dt_interval(hours=_request_hour(okey).cast("int")))
-    cancelled = (okey * 73 % 137 % 10 < 2) | (ckey * 61 % 109 % 2 == 0)
+    rider = _rider(ckey)
+    cancelled = (okey * 73 % 137 % 10 < 2) | (rider * 61 % 109 % 2 == 0)
     rides = (orders
-             .where(_keeps_signup(ckey) & (ckey * 59 % 107 % 10 < 7))
              .select(
                  okey.cast("bigint").alias("ride_id"),
-                 ckey.cast("bigint").alias("user_id"),
+                 rider.cast("bigint").alias("user_id"),
                  (1 + (okey * 7 + ckey) % 997).cast("bigint").alias("driver_id"),
                  request_ts.alias("request_ts"),
                  F.when(~cancelled, request_ts + F.make_dt_interval(

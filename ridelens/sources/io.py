@@ -3,8 +3,9 @@ materialised intermediates.
 
 All writes are distributed (one file per task) and all reads are single
 multi-path scans; nothing passes through the driver.  Intermediates go to
-the shared folder named by `spark.checkpoint.dir`, never to a machine-local
-temporary folder, so a lost executor only costs a task retry.
+the shared folder named by `spark.checkpoint.dir` (only a local master may go
+without one, see `session.checkpoint_dir`), so a lost executor costs a task
+retry.  `drop_scratch` removes them when their readers are done.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from ridelens.session import checkpoint_dir
 
@@ -23,22 +24,54 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_csv(df: DataFrame, path: str, max_records_per_file: int | None = None) -> str:
-    """CSV with a header row; NULL is written as an empty field."""
-    w = df.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd")
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a folder made by `scratch_path` (and nothing outside the shared folder)."""
+    if not path.startswith(checkpoint_dir(spark).rstrip("/") + "/"):
+        raise ValueError(f"not a scratch folder: {path}")
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+# The exchange dialect: quotes are doubled inside quoted fields, NULL is an
+# empty field and an empty string is written "".
+CSV_DIALECT = {"header": True, "dateFormat": "yyyy-MM-dd", "quote": '"', "escape": '"',
+               "nullValue": "", "emptyValue": '""'}
+
+
+def _one_line(df: DataFrame) -> DataFrame:
+    """Strings with line breaks fail: files are read back in splits, by line."""
+    def checked(f):
+        c = F.col(f"`{f.name}`")
+        if not isinstance(f.dataType, StringType):
+            return c
+        return F.when(c.rlike("[\\r\\n]"), F.raise_error(F.lit(
+            f"line break in {f.name}: write with multi_line=True"))).otherwise(c).alias(f.name)
+    return df.select(*[checked(f) for f in df.schema.fields])
+
+
+def write_csv(df: DataFrame, path: str, max_records_per_file: int | None = None,
+              multi_line: bool = False) -> str:
+    """CSV with a header row.  Line breaks inside strings are an error unless
+    `multi_line`, since only a reader that does not split files takes them."""
+    w = (df if multi_line else _one_line(df)).write.mode("overwrite").options(**CSV_DIALECT)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
     w.csv(path)
     return path
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], schema: StructType) -> DataFrame:
+def read_csv(spark: SparkSession, paths: str | list[str], schema: StructType,
+             multi_line: bool = False) -> DataFrame:
     """Header CSV under a fixed schema.  `enforceSchema=False` checks each
     file's header against the schema names (Spark maps CSV columns by
     position), so a shard with a different column order fails loudly instead
     of shifting values; empty fields read as NULL."""
-    return (spark.read.option("header", True).option("enforceSchema", False)
-            .option("mode", "FAILFAST").option("dateFormat", "yyyy-MM-dd")
+    # the parser hands an unquoted empty field over as its null value: one that
+    # no text holds keeps it apart from a quoted empty string
+    return (spark.read.options(**{**CSV_DIALECT, "emptyValue": "", "nullValue": "\x01"})
+            .option("enforceSchema", False)
+            .option("mode", "FAILFAST").option("multiLine", multi_line)
             .schema(schema).csv(paths))
 
 
@@ -57,22 +90,18 @@ def merge_drifting_shards(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def export_page(df: DataFrame, order_by: list[str], page: int, page_size: int,
-                num_partitions: int | None = None) -> DataFrame:
-    """One page of a result under a total order (`order_by` must be unique per
-    row, otherwise pages can overlap or skip rows).  NULLs sort last.
-
-    Rows are numbered without a single-task sort: the data is range
-    partitioned and sorted inside each partition; per-partition row counts
-    (one row per partition) are prefix-summed into start offsets, and every
-    row's global position is its partition's start plus its index within the
-    partition.  No task ever holds more than its own partition, whatever the
-    page index.
-
-    The sorted partitions are checkpointed (reliably, to the shared
-    checkpoint folder) so the counts and the positions read the very same
-    partitions: range bounds come from sampling, and a recomputation could
-    draw different ones."""
+def number_rows(df: DataFrame, order_by: list[str], path: str, num_partitions: int | None = None) -> str:
+    """Store a result with each row's position under a total order (`order_by`
+    must be unique per row); NULLs sort last.  Any page is then a range of
+    `_pos`, which Parquet row groups prune: one sort serves all pages.
+
+    Nothing is sorted in one task: the data is range partitioned and sorted
+    inside each partition; per-partition row counts (one row per partition)
+    are prefix-summed into start offsets, and a row's position is its
+    partition's start plus its index there.  The sorted partitions are
+    checkpointed (reliably, to the shared folder) so that counts and positions
+    read the very same ones: range bounds come from sampling, and a
+    recomputation could draw different ones."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     cols = [F.col(c).asc_nulls_last() for c in order_by]
@@ -86,12 +115,31 @@ def export_page(df: DataFrame, order_by: list[str], page: int, page_size: int,
     # `starts` has exactly one row per partition, a bound fixed by `parts`
     position = (F.col("_start") + F.col("_mono")
                 - F.shiftleft(F.col("_part").cast("bigint"), 33))
+    numbered = (ranged.join(F.broadcast(starts), "_part").withColumn("_pos", position)
+                .drop("_part", "_mono", "_start"))
+    numbered.write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_page(spark: SparkSession, path: str, page: int, page_size: int) -> DataFrame:
+    """One page of a numbered result, in order: a pruned scan."""
     lo = page * page_size
-    return (ranged.join(F.broadcast(starts), "_part")
-            .withColumn("_pos", position)
-            .where((F.col("_pos") >= lo) & (F.col("_pos") < lo + page_size))
-            .orderBy("_pos")
-            .drop("_part", "_mono", "_start", "_pos"))
+    return (spark.read.parquet(path).where((F.col("_pos") >= lo) & (F.col("_pos") < lo + page_size))
+            .orderBy("_pos").drop("_pos"))
+
+
+def read_all_pages(spark: SparkSession, path: str, page_size: int) -> DataFrame:
+    """Every row of a numbered result with its page."""
+    return spark.read.parquet(path).withColumn("page", F.floor(F.col("_pos") / page_size).cast("bigint")).drop("_pos")
+
+
+def export_page(df: DataFrame, order_by: list[str], page: int, page_size: int,
+                num_partitions: int | None = None) -> DataFrame:
+    """One page of a result that is not numbered yet.  This runs the numbering;
+    for more than one page call `number_rows` once and `read_page` for each."""
+    spark = df.sparkSession
+    return read_page(spark, number_rows(df, order_by, scratch_path(spark, "numbered"), num_partitions),
+                     page, page_size)
 
 
 def export_all_pages(df: DataFrame, path: str, order_by: list[str], page_size: int,
@@ -106,10 +154,15 @@ def export_all_pages(df: DataFrame, path: str, order_by: list[str], page_size: i
     return write_csv(ranged, path, max_records_per_file=page_size)
 
 
-def store_partitioned(df: DataFrame, path: str, partition_by: list[str]) -> str:
+def store_partitioned(df: DataFrame, path: str, partition_by: list[str], sort_by: str | None = None) -> str:
     """Persist a dataset as Parquet partitioned on low-cardinality filter keys
-    (e.g. `funnel_step`), so readers prune partitions and push the rest of
-    their predicates into the scan."""
+    (e.g. `funnel_step`).  Rows meet by key and month of the date `sort_by`
+    before the write, and are sorted by it, so each task writes few files whose
+    row groups the date predicates prune."""
+    if partition_by:
+        keys = [F.col(c) for c in partition_by]
+        df = df.repartition(*keys, *([F.trunc(sort_by, "month")] if sort_by else []))
+        df = df.sortWithinPartitions(*keys, *([sort_by] if sort_by else []))
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return path
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
+from ridelens.sources.io import read_csv
 from ridelens.sources.schemas import TABLE_SCHEMAS
 
 TABLE_NAMES = tuple(TABLE_SCHEMAS)
@@ -41,31 +43,29 @@ class RideTables:
     def as_dict(self) -> dict[str, DataFrame]:
         return {name: self._get(name) for name in TABLE_NAMES}
 
-    def register_views(self, prefix: str = "") -> None:
-        """Expose the tables to `spark.sql` under their own names."""
-        for name, df in self.as_dict().items():
-            df.createOrReplaceTempView(prefix + name)
-
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Project a table onto its fixed schema: column order and types."""
-    schema = TABLE_SCHEMAS[name]
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    """Project a table of other types onto its fixed schema.  Zone-aware
+    timestamps are taken as UTC, whatever the session's zone is."""
+    def cast(f):
+        c = F.col(f.name)
+        if isinstance(f.dataType, TimestampNTZType) and isinstance(df.schema[f.name].dataType, TimestampType):
+            return F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast(f.dataType)).alias(f.name)
+        return c.cast(f.dataType).alias(f.name)
+    return df.select(*[cast(f) for f in TABLE_SCHEMAS[name].fields])
 
 
 def read_parquet_tables(spark: SparkSession, root: str) -> RideTables:
     """Production layout: one Parquet dataset per table under `root`.
 
-    Columns are projected onto the fixed schema, so a scan only reads the
-    columns the downstream plan uses (Catalyst prunes through the casts)."""
-    return RideTables(*[conform(spark.read.parquet(f"{root}/{name}"), name)
+    The schema is declared, so no file is opened to infer it, and each table is
+    built on first use; a scan reads the columns the plan uses."""
+    return RideTables(*[lambda name=name: spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{root}/{name}")
                         for name in TABLE_NAMES])
 
 
 def read_csv_tables(spark: SparkSession, root: str) -> RideTables:
-    """CSV exports of the five tables, with header, under the fixed schema."""
-    frames = []
-    for name in TABLE_NAMES:
-        frames.append(spark.read.csv(f"{root}/{name}", header=True,
-                                     schema=TABLE_SCHEMAS[name], enforceSchema=False))
-    return RideTables(*frames)
+    """CSV exports of the five tables, with header, under the fixed schema.  A
+    field that does not fit its type is an error, never a silent NULL."""
+    return RideTables(*[lambda name=name: read_csv(spark, f"{root}/{name}", TABLE_SCHEMAS[name])
+                        for name in TABLE_NAMES])

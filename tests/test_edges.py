@@ -131,9 +131,9 @@ def test_histogram_bins(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate([0, 4, 5, 59, 60])],
                                "user_id bigint, rides bigint")
     bins = {r.bin_label: r.users for r in histogram(df, "rides", "user_id", 5, 12).collect()}
-    assert len(bins) == 12
-    assert bins["0-5"] == 2 and bins["5-10"] == 1 and bins["55-60"] == 1
-    assert sum(bins.values()) == 4  # 60 is outside the last bin
+    assert len(bins) == 13
+    assert bins["0-5"] == 2 and bins["5-10"] == 1 and bins["55-60"] == 1 and bins["60+"] == 1
+    assert sum(bins.values()) == 5  # nobody is lost
 
 
 def test_age_filters(spark):

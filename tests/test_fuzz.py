@@ -24,7 +24,7 @@ from ridelens.sources.schemas import AGE_RANGES, PLATFORMS, TABLE_SCHEMAS
 from ridelens.sources.tables import RideTables
 
 SEEDS = [1, 7, 42]
-# inside the date window the panels are registered with, so they return rows
+# inside the window of the window-filtered panel, so it returns rows
 T0 = dt.datetime(1995, 3, 1)
 
 
@@ -35,7 +35,7 @@ def _maybe(rng, value, p_null):
 def generate(seed):
     rng = random.Random(seed)
     keys = [f"k{i}" for i in range(60)]
-    downloads = [(k, rng.choice(PLATFORMS), T0 + dt.timedelta(days=rng.randrange(40))) for k in keys]
+    downloads = [(k, rng.choice([*PLATFORMS, "tablet"]), T0 + dt.timedelta(days=rng.randrange(40))) for k in keys]
     sessions = rng.sample(keys, 40) + [f"missing-{i}" for i in range(5)]
     signups = [(uid, sessions[uid - 1], T0 + dt.timedelta(days=rng.randrange(40), hours=rng.randrange(24)),
                 _maybe(rng, rng.choice(AGE_RANGES), 0.08)) for uid in range(1, 46)]
@@ -51,7 +51,7 @@ def generate(seed):
         rides.append((ride_id, user, _maybe(rng, rng.randrange(1, 9), 0.05), start, dropoff, cancel))
         for _ in range(rng.choice([0, 1, 1, 1, 1, 1, 2]) if dropoff else rng.choice([0, 0, 0, 1])):
             status = rng.choice(["Approved"] * 6 + ["Decline", "Decline", None])
-            amount = _maybe(rng, round(rng.uniform(1, 80), 2), 0.05)
+            amount = _maybe(rng, round(rng.uniform(0, 80), rng.choice([2, 2, 3])), 0.05)  # some below a cent
             tx.append((ride_id, amount, status))
         for _ in range(rng.choice([0, 0, 1, 1, 1, 2])):
             review_id += 1

@@ -13,7 +13,7 @@ import json
 import numpy as np
 
 U64 = np.uint64
-BLOCK = 8  # words of the bit vector per directory entry
+BLOCK = 2  # words of the bit vector per directory entry
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -61,80 +61,91 @@ class EliasFano:
         at = upper + np.arange(n, dtype=U64)
         np.bitwise_or.at(high, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
         ones = np.bitwise_count(high).astype(np.int64).reshape(-1, BLOCK).sum(axis=1)
-        zeros = np.concatenate([[0], np.cumsum(64 * BLOCK - ones)]).astype(np.int64)
+        zeros = np.concatenate([[0], np.cumsum(64 * BLOCK - ones)]).astype(np.uint32 if words < 1 << 25 else np.int64)
         return {"meta": np.array([n, width, n_zeros], np.int64),
                 "low": pack_bits(values & U64((1 << width) - 1), width), "high": high, "zeros": zeros}
 
-    def _zero_at(self, k: np.ndarray) -> np.ndarray:
-        """Position in the bit vector of zero number k (from 0)."""
-        block = np.searchsorted(self.zeros, k, "right") - 1
-        rest = k - self.zeros[block]
+    def _place(self, k: np.ndarray, directory: np.ndarray, words: np.ndarray, flip: bool) -> np.ndarray:
+        """Position of bit number k (from 0) among the zeros (`flip`) or ones,
+        given how many stand before each block."""
+        block = np.searchsorted(directory, k, "right") - 1
+        rest = k - directory[block]
         word = block * BLOCK
         for _ in range(BLOCK - 1):
-            inside = 64 - np.bitwise_count(self.high[word]).astype(np.int64)
+            bits = ~words[word] if flip else words[word]
+            inside = np.bitwise_count(bits).astype(np.int64)
             on = rest >= inside
             rest = np.where(on, rest - inside, rest)
-            word = np.where(on, word + 1, word)
-        bits = ~self.high[word]
-        at = np.zeros(len(k), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):  # halve the window that holds the zero
+            word = word + on
+        bits = ~words[word] if flip else words[word]
+        at = word * 64
+        for half in (32, 16, 8, 4, 2, 1):  # halve the window that holds the bit
             low = bits & U64((1 << half) - 1)
             count = np.bitwise_count(low).astype(np.int64)
             on = rest >= count
             rest = np.where(on, rest - count, rest)
             bits = np.where(on, bits >> U64(half), low)
-            at += np.where(on, half, 0)
-        return word * 64 + at
+            at += on * half
+        return at
 
-    def lower_bound(self, keys: np.ndarray) -> np.ndarray:
-        """Index of the first element >= key."""
-        upper = (keys >> U64(self.width)).astype(np.int64)
-        out = np.full(len(keys), self.n, np.int64)
-        ok = upper < self.n_zeros
-        h, low_key = upper[ok], keys[ok] & U64((1 << self.width) - 1)
+    def _zero_at(self, k: np.ndarray) -> np.ndarray:
+        return self._place(k, self.zeros, self.high, True)
+
+    def _bucket(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and past-last index of the elements that share a key's high
+        part, which must be below the number of zeros."""
+        h = (keys >> U64(self.width)).astype(np.int64)
         start = np.zeros(len(h), np.int64)
         later = h > 0
         start[later] = self._zero_at(h[later] - 1) - (h[later] - 1)
-        end = self._zero_at(h) - h
-        while True:  # binary search between start and end
-            open_ = np.flatnonzero(start < end)
-            if not len(open_):
-                break
+        return start, self._zero_at(h) - h
+
+    def _search(self, low_key: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """First index in [start, end) whose low bits reach the key's."""
+        start, end = start.copy(), end.copy()
+        open_ = np.flatnonzero(start < end)
+        while len(open_):
             mid = (start[open_] + end[open_]) >> 1
             less = unpack_bits(self.low, self.width, mid) < low_key[open_]
-            start[open_] = np.where(less, mid + 1, start[open_])
-            end[open_] = np.where(less, end[open_], mid)
-        out[ok] = start
+            start[open_[less]] = mid[less] + 1
+            end[open_[~less]] = mid[~less]
+            open_ = open_[start[open_] < end[open_]]
+        return start
+
+    def _inside(self, keys: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(keys >> U64(self.width) < U64(self.n_zeros))
+
+    def lower_bound(self, keys: np.ndarray) -> np.ndarray:
+        """Index of the first element >= key."""
+        out = np.full(len(keys), self.n, np.int64)
+        ok = self._inside(keys)
+        start, end = self._bucket(keys[ok])
+        out[ok] = self._search(keys[ok] & U64((1 << self.width) - 1), start, end)
         return out
 
     def get(self, index: np.ndarray) -> np.ndarray:
-        """Elements at the indices (through their upper part's zeros)."""
+        """Elements at the indices: the high part is the number of zeros before
+        an element's one."""
         index = np.asarray(index, np.int64)
-        lo, hi = np.zeros(len(index), np.int64), np.full(len(index), self.n_zeros - 1, np.int64)
-        while True:  # the high part is the number of zeros before the element's one
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
-            mid = (lo[open_] + hi[open_]) >> 1
-            past = self._zero_at(mid) - mid > index[open_]
-            hi[open_] = np.where(past, mid, hi[open_])
-            lo[open_] = np.where(past, lo[open_], mid + 1)
-        return (lo.astype(U64) << U64(self.width)) | unpack_bits(self.low, self.width, index)
+        ones = np.arange(len(self.zeros), dtype=np.int64) * (64 * BLOCK) - self.zeros
+        upper = self._place(index, ones, self.high, False) - index
+        return (upper.astype(U64) << U64(self.width)) | unpack_bits(self.low, self.width, index)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key, -1 where it is absent."""
+        out = np.full(len(keys), -1, np.int64)
         if not self.n or not len(keys):
-            return np.full(len(keys), -1, np.int64)
-        at = self.lower_bound(keys)
-        ok = at < self.n
-        hit = np.zeros(len(keys), bool)
-        inside = at[ok]
-        # equal low bits, and the element lies in the key's own high part
-        same = unpack_bits(self.low, self.width, inside) == (keys[ok] & U64((1 << self.width) - 1))
-        upper = (keys[ok] >> U64(self.width)).astype(np.int64)
-        end = self._zero_at(np.minimum(upper, self.n_zeros - 1)) - upper
-        hit[ok] = same & (inside < end) & (upper < self.n_zeros)
-        return np.where(hit, at, -1)
+            return out
+        ok = self._inside(keys)
+        start, end = self._bucket(keys[ok])
+        filled = start < end
+        ok, start, end = ok[filled], start[filled], end[filled]
+        low_key = keys[ok] & U64((1 << self.width) - 1)
+        at = self._search(low_key, start, end)
+        inside = np.flatnonzero(at < end)  # equal high part; now the low bits
+        hit = inside[unpack_bits(self.low, self.width, at[inside]) == low_key[inside]]
+        out[ok[hit]] = at[hit]
+        return out
 
 
 def write_arrays(stream, arrays: dict[str, np.ndarray]) -> None:

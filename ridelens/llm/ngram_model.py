@@ -5,8 +5,10 @@ Pairs seen fewer than `PAIR_LEAST` times and triples seen fewer than
 `TRIPLE_LEAST` are pruned (triples are only counted where both their pairs are
 frequent enough, which loses none).  Probabilities are interpolated absolute
 discounting: p(w|b,c) = max(n(bcw)-D,0)/n(bc) + rest(bc) p(w|c), p(w|c) the
-same one order lower, p(w) add-one.  They are stored as base-10 logarithms in
-16 bits, rounded down, so no context gives out more than 1.
+same one order lower, p(w) add-one.  The discounted shares and the rest masses are
+stored as base-10 logarithms in 16 bits, rounded down, so no context gives out
+more than 1.  Tasks send the counts of their pairs and triples as packed sorted
+keys, one row a shard, and each shard is merged and written by one task.
 
 The trie is three levels of array files in the shared folder, memory-mapped by
 the scoring tasks.  Level 1: word hashes (Elias-Fano; a word's id is its rank),
@@ -26,7 +28,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,10 +43,11 @@ from ridelens.llm.common import bounded_batches, pick, read_table, scratch, stor
 from ridelens.llm.elias_fano import EliasFano, named, read_arrays, sequence, write_arrays
 
 U64 = np.uint64
-END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line end
+END_WORD = b"\n"  # no word holds a line end
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 PAIR_LEAST, TRIPLE_LEAST, DISCOUNT = 2, 3, 0.75
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 4_000_000
+LOCAL_WORDS = 600_000
 REST_BLOCK = 1 << 20
 STEP = 12 / 65535  # logarithms from -12 to 0 in 16 bits
 
@@ -69,33 +71,119 @@ def shard_of(c: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
     return (mix(c.astype(U64) * U64(0x9E3779B97F4A7C15) + w.astype(U64)) % U64(shards)).astype(np.int64)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+class Words(dict):
+    """Numbers of the words a task has met, in the order of meeting."""
 
+    def __init__(self):
+        self.fresh: list[bytes] = []
+        self[END_WORD]
 
-def token_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
-    words = (text or "").encode().translate(LOWER).split()
-    out = np.fromiter((hashes[w] for w in words), U64, len(words))
-    return np.append(out, U64(END))
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
 
 
-def groups(batches, hashes: WordHashes, most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """doc_ids and token hashes of consecutive documents, about `most` tokens each."""
-    ids, tokens, n = [], [], 0
+def groups(batches, most: int) -> Iterator[tuple[list, list[int], np.ndarray, Words]]:
+    """doc_ids, token counts and word numbers of consecutive documents, about
+    `most` tokens together."""
+    words = Words()
+    ids, lengths, parts, n = [], [], [], 0
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            tokens = (text.as_py() or "").encode().translate(LOWER).split()
+            tokens.append(END_WORD)
             ids.append(doc_id)
-            tokens.append(token_hashes(text.as_py(), hashes))
-            n += len(tokens[-1])
+            lengths.append(len(tokens))
+            parts.append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
+            n += len(tokens)
             if n >= most:
-                yield ids, tokens
-                ids, tokens, n = [], [], 0
+                yield ids, lengths, np.concatenate(parts), words
+                ids, lengths, parts, n = [], [], [], 0
+                if len(words) > LOCAL_WORDS:
+                    words = Words()
     if ids:
-        yield ids, tokens
+        yield ids, lengths, np.concatenate(parts), words
+
+
+class Known:
+    """What the model knows of a task's words, by their number."""
+
+    def __init__(self, trie: "Trie | None" = None):
+        self.trie, self.words = trie, None
+
+    def update(self, words: Words) -> "Known":
+        if words is not self.words:
+            self.words = words
+            self.hashes, self.ids = np.empty(0, U64), np.empty(0, np.int64)
+            self.counts, self.rest = np.empty(0, np.int64), np.empty(0)
+        new = np.fromiter(map(xxhash.xxh3_64_intdigest, words.fresh), U64, len(words.fresh))
+        words.fresh = []
+        self.hashes = np.concatenate([self.hashes, new])
+        if self.trie:
+            ids, counts = self.trie.ids(new)
+            rest = np.zeros(len(ids))
+            rest[ids >= 0] = self.trie.rest(ids[ids >= 0])
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+            self.rest = np.concatenate([self.rest, rest])
+        return self
+
+
+def starts(lengths: list[int]) -> np.ndarray:
+    return np.cumsum([0, *lengths[:-1]])
+
+
+def first_marks(lengths: list[int]) -> np.ndarray:
+    first = np.zeros(sum(lengths), bool)
+    first[starts(lengths)] = True
+    return first
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned integers as byte planes, so that the shuffle's compression finds
+    their empty high bytes side by side."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def unpack(raw: bytes, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def blob(shard: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One row: sorted keys as differences, and their counts."""
+    return pa.RecordBatch.from_pydict({
+        "shard": pa.array([shard], pa.int64()),
+        "keys": pa.array([pack(np.diff(keys, prepend=U64(0)))], pa.binary()),
+        "counts": pa.array([pack(counts.astype(np.uint32))], pa.binary())})
+
+
+BLOB = "shard long, keys binary, counts binary"
+
+
+def merged_shards(batches, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Shards of a partition sorted by shard: their keys with summed counts of
+    at least `least`."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    current = None
+
+    def done():
+        keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
+        keep = total >= least
+        return current, keys[keep], total[keep]
+    for batch in batches:
+        for row in range(batch.num_rows):
+            shard = batch.column("shard")[row].as_py()
+            if held and shard != current:
+                yield done()
+                held.clear()
+            current = shard
+            held.append((np.cumsum(unpack(batch.column("keys")[row].as_py(), U64), dtype=U64),
+                         unpack(batch.column("counts")[row].as_py(), np.uint32)))
+    if held:
+        yield done()
 
 
 class Store:
@@ -164,15 +252,14 @@ class Trie:
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word ids (-1: unknown) and training counts."""
-        unique, back = np.unique(hashes, return_inverse=True)
-        ids, counts = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
-        for k, some in self._by(np.searchsorted(self.ends, unique)):
+        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for k, some in self._by(np.searchsorted(self.ends, hashes)):
             if k < len(self.ends):
-                at = self._sequence(f"words/{k}", "hash").find(unique[some])
+                at = self._sequence(f"words/{k}", "hash").find(hashes[some])
                 hit = at >= 0
                 ids[some[hit]] = at[hit] + self.shape.bases[k]
                 counts[some[hit]] = self.store.read(f"words/{k}")["count"][at[hit]]
-        return ids[back], counts[back]
+        return ids, counts
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
@@ -211,45 +298,54 @@ class Trie:
         return out
 
     def triples(self, b: np.ndarray, c: np.ndarray, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 p(w|b,c) of the pairs (c, w) at their places, NaN where pruned."""
-        out = np.full(len(b), np.nan)
+        """log10 of the discounted p(w|b,c) of the pairs (c, w) at their places,
+        -inf where pruned."""
+        out = np.full(len(b), -np.inf)
         for k, some in self._by(shard):
             a = self.store.read(f"triples/{k}")
             if a is None:
                 continue
-            first = self._sequence(f"pairs/{k}", "key").lower_bound(self.key(c[some], np.zeros(len(some), np.int64)))
             node = self._sequence(f"triples/{k}", "node").find(self.key(c[some], b[some]))
             hit = np.flatnonzero(node >= 0)
             if len(hit):
+                some = some[hit]
+                first = self._sequence(f"pairs/{k}", "key").lower_bound(self.key(c[some], np.zeros(len(some), np.int64)))
                 offset = self._sequence(f"triples/{k}", "offset").get(node[hit])
-                rank = (place[some[hit]] - first[hit]).astype(U64)
-                at = self._sequence(f"triples/{k}", "rank").find(offset + rank)
+                at = self._sequence(f"triples/{k}", "rank").find(offset + (place[some] - first).astype(U64))
                 good = at >= 0
-                out[some[hit[good]]] = restore(a["p"][at[good]])
+                out[some[good]] = restore(a["p"][at[good]])
         return out
 
     def log_unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.shape.tokens + self.shape.words + 1))
 
-    def score(self, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of every token; `first` marks documents' first tokens."""
-        out = self.log_unigram(counts)
-        before = np.flatnonzero(~first)  # tokens with one word of context
-        known = before[ids[before - 1] >= 0]
-        out[known] += self.rest(ids[known - 1])
-        both = known[ids[known] >= 0]
-        shard, place = np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64)
-        shard[both], place[both] = self.pairs(ids[both - 1], ids[both])
-        hit = np.flatnonzero(place >= 0)
-        out[hit] = restore(self.pair_values(shard[hit], place[hit], "pairs", "p"))
-        # two words of context, whose pair was kept
-        longer = known[place[known - 1] >= 0]
-        longer = longer[~first[longer - 1]]
-        back = restore(self.pair_values(shard[longer - 1], place[longer - 1], "pair-rest", "rest"))
-        out[longer] += back
-        kept = longer[place[longer] >= 0]
-        p = self.triples(ids[kept - 2], ids[kept - 1], shard[kept], place[kept])
-        out[kept] = np.where(np.isnan(p), out[kept], p)
+    def score(self, tokens: np.ndarray, first: np.ndarray, known: Known) -> np.ndarray:
+        """log10 probability of every token; `first` marks documents' first ones."""
+        ids, one = known.ids[tokens], self.log_unigram(known.counts)[tokens]
+        out = one.copy()
+        context = np.flatnonzero(~first)  # tokens with a word before them
+        context = context[ids[context - 1] >= 0]
+        out[context] += known.rest[tokens[context - 1]]
+        both = context[ids[context] >= 0]
+        keys = self.key(ids[both - 1], ids[both])
+        unique = np.unique(keys)
+        words = U64(max(1, self.shape.words))
+        shard, place = self.pairs((unique // words).astype(np.int64), (unique % words).astype(np.int64))
+        kept = place >= 0
+        which = np.full(len(ids), -1, np.int64)  # each token's pair among the kept ones
+        slot = np.searchsorted(unique, keys)
+        which[both] = np.where(kept[slot], slot, -1)
+        hit = np.flatnonzero(which >= 0)
+        direct = restore(self.pair_values(shard, place, "pairs", "p"))
+        out[hit] = np.log10(10 ** direct[which[hit]] + 10 ** out[hit])
+        # tokens with two words before them whose pair was kept
+        longer = np.flatnonzero(~first)
+        longer = longer[which[longer - 1] >= 0]
+        rest = restore(self.pair_values(shard, place, "pair-rest", "rest"))
+        out[longer] += rest[which[longer - 1]]
+        deep = longer[which[longer] >= 0]
+        p = self.triples(ids[deep - 2], ids[deep - 1], shard[which[deep]], place[which[deep]])
+        out[deep] = np.log10(10 ** p + 10 ** out[deep])
         return out
 
 
@@ -280,18 +376,18 @@ def _columns(held: list[pa.RecordBatch], by: str) -> tuple[int, dict[str, np.nda
             {c: table.column(c).to_numpy() for c in table.column_names})
 
 
-def _counted(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """hash (as a signed long in unsigned order), n."""
     def count(batches):
-        for _, tokens in groups(batches, WordHashes(), FLUSH_TOKENS):
-            h, n = np.unique(np.concatenate(tokens), return_counts=True)
+        known = Known()
+        for _, _, tokens, words in groups(batches, FLUSH_TOKENS):
+            n = np.bincount(tokens)
+            met = np.flatnonzero(n)
+            h = known.update(words).hashes[met]
             yield pa.RecordBatch.from_pydict({
-                "h": pa.array((h ^ U64(1 << 63)).view(np.int64)), "n": pa.array(n)})
-    return _counted(pick(docs, doc_id="long", text="string").mapInArrow(count, "h long, n long"), ["h"], 1)
+                "h": pa.array((h ^ U64(1 << 63)).view(np.int64)), "n": pa.array(n[met])})
+    return (pick(docs, doc_id="long", text="string").mapInArrow(count, "h long, n long")
+            .groupBy("h").agg(F.sum("n").alias("n")))
 
 
 def write_words(docs: DataFrame, path: str, parts: int, shards: int) -> Shape:
@@ -321,42 +417,40 @@ def write_words(docs: DataFrame, path: str, parts: int, shards: int) -> Shape:
                  sum(r["tokens"] for r in rows), bases[-1], shards)
 
 
-def _runs(tokens: list[np.ndarray], trie: Trie) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of the documents one after the other, and where each starts."""
-    ids, _ = trie.ids(np.concatenate(tokens))
-    first = np.zeros(len(ids), bool)
-    first[np.cumsum([0, *(len(t) for t in tokens[:-1])])] = True
-    return ids, first
+def _by_shard(rows: DataFrame, shards: int) -> DataFrame:
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard")
 
 
-def count_pairs(docs: DataFrame, shape: Shape) -> DataFrame:
-    """shard, c, w, n of the pairs that are kept."""
-    def count(batches):
-        trie = Trie(shape)
-        for _, tokens in groups(batches, WordHashes(), FLUSH_TOKENS):
-            ids, first = _runs(tokens, trie)
-            at = np.flatnonzero(~first)
-            _, where, n = np.unique(trie.key(ids[at - 1], ids[at]), return_index=True, return_counts=True)
-            c, w = ids[at[where] - 1], ids[at[where]]
-            yield pa.RecordBatch.from_pydict({"c": pa.array(c), "w": pa.array(w), "n": pa.array(n)})
-
-    return _counted(pick(docs, doc_id="long", text="string").mapInArrow(count, "c long, w long, n long"),
-                    ["c", "w"], PAIR_LEAST)
+def write_pairs(docs: DataFrame, shape: Shape) -> DataFrame:
+    """Level 2: count the pairs, keep the frequent ones; c and mass (discounted
+    counts of its kept successors, by shard)."""
+    words = U64(max(1, shape.words))
 
+    def count(batches):
+        known = Known(Trie(shape))
+        for _, lengths, tokens, met in groups(batches, FLUSH_TOKENS):
+            ids = known.update(met).ids[tokens]
+            at = np.flatnonzero(~first_marks(lengths))
+            keys, n = np.unique(known.trie.key(ids[at - 1], ids[at]), return_counts=True)
+            shard = shard_of(keys // words, keys % words, shape.shards)
+            for k, some in Trie._by(shard):
+                yield blob(k, keys[some], n[some])
 
-def with_shard(rows: DataFrame, shards: int) -> DataFrame:
-    """Adds `shard` of (c, w)."""
-    fields = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields]
+    def write(batches):
+        trie = Trie(shape)
+        for shard, keys, n in merged_shards(batches, PAIR_LEAST):
+            c = (keys // words).astype(np.int64)
+            trie.store.write(f"pairs/{shard}", {
+                **named("key", keys), "p": quantise((n - DISCOUNT) / trie.counts(c)), "n": n.astype(np.uint32)})
+            heads, back = np.unique(c, return_inverse=True)
+            yield pa.RecordBatch.from_pydict({
+                "c": pa.array(heads), "mass": pa.array(np.bincount(back, n - DISCOUNT, len(heads)))})
 
-    def add(batches):
-        for b in batches:
-            c, w = b.column("c").to_numpy(), b.column("w").to_numpy()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard_of(c, w, shards))],
-                                             names=[*b.schema.names, "shard"])
-    return rows.mapInArrow(add, ", ".join(f"{n} {t}" for n, t in fields) + ", shard long")
+    counted = pick(docs, doc_id="long", text="string").mapInArrow(count, BLOB)
+    return stored(_by_shard(counted, shape.shards).mapInArrow(write, "c long, mass double"), "pair-masses")
 
 
-def write_rests(pairs: DataFrame, shape: Shape) -> None:
+def write_rests(masses: DataFrame, shape: Shape) -> None:
     """Mass that each context word leaves: blocks of REST_BLOCK ids."""
     def write(batches):
         trie = Trie(shape)
@@ -366,84 +460,83 @@ def write_rests(pairs: DataFrame, shape: Shape) -> None:
             trie.store.write(f"rest/{block}", {"rest": rest})
             yield pa.RecordBatch.from_pydict({"block": pa.array([block])})
 
-    masses = pairs.groupBy("c").agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
-    blocks = masses.withColumn("block", F.floor(F.col("c") / REST_BLOCK).cast("long"))
+    blocks = (masses.groupBy("c").agg(F.sum("mass").alias("mass"))
+              .withColumn("block", F.floor(F.col("c") / REST_BLOCK).cast("long")))
     n = max(1, -(-shape.words // REST_BLOCK))
     _sorted_shards(blocks, "block", ["c"], n).mapInArrow(write, "block long").write.format("noop").mode(
         "overwrite").save()
 
 
-def write_pairs(pairs: DataFrame, shape: Shape) -> None:
-    def write(batches):
-        trie = Trie(shape)
-        for shard, a in _per_shard(batches, "shard"):
-            c, w, n = a["c"], a["w"], a["n"]
-            lower = 10 ** (trie.rest(c) + trie.log_unigram(trie.counts(w)))
-            p = (n - DISCOUNT) / trie.counts(c) + lower
-            trie.store.write(f"pairs/{shard}", {**named("key", trie.key(c, w)), "p": quantise(p),
-                                                "n": np.minimum(n, 65535).astype(np.uint16)})
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard])})
-    _sorted_shards(pairs, "shard", ["c", "w"], shape.shards).mapInArrow(
-        write, "shard long").write.format("noop").mode("overwrite").save()
-
+def write_triples(docs: DataFrame, shape: Shape) -> DataFrame:
+    """Level 3: count the triples whose pairs are both frequent, keep the
+    frequent ones; shard of (b, c), b, c and mass of the kept triples."""
+    words = U64(max(1, shape.words))
 
-def count_triples(docs: DataFrame, shape: Shape) -> DataFrame:
-    """b, c, w, n of the triples that are kept."""
     def count(batches):
-        trie = Trie(shape)
-        for _, tokens in groups(batches, WordHashes(), FLUSH_TOKENS // 2):
-            ids, first = _runs(tokens, trie)
+        known = Known(Trie(shape))
+        trie = known.trie
+        for _, lengths, tokens, met in groups(batches, FLUSH_TOKENS):
+            ids = known.update(met).ids[tokens]
+            first = first_marks(lengths)
             at = np.flatnonzero(~first)
-            key, back = np.unique(trie.key(ids[at - 1], ids[at]), return_inverse=True)
-            c, w = (key // U64(shape.words)).astype(np.int64), (key % U64(shape.words)).astype(np.int64)
-            often = trie.pair_values(*trie.pairs(c, w), "pairs", "n") >= TRIPLE_LEAST
-            frequent = np.zeros(len(ids), bool)
-            frequent[at] = often[back]
-            ends = at[frequent[at] & frequent[at - 1]]
-            h = mix(key[back][np.searchsorted(at, ends)]) + ids[ends - 2].astype(U64) * U64(0x9E3779B97F4A7C15)
-            _, where, n = np.unique(h, return_index=True, return_counts=True)
-            e = ends[where]
-            yield pa.RecordBatch.from_pydict({"b": pa.array(ids[e - 2]), "c": pa.array(ids[e - 1]),
-                                              "w": pa.array(ids[e]), "n": pa.array(n)})
-    return _counted(pick(docs, doc_id="long", text="string").mapInArrow(
-        count, "b long, c long, w long, n long"), ["b", "c", "w"], TRIPLE_LEAST)
-
-
-def write_triples(pairs: DataFrame, triples: DataFrame, shape: Shape) -> None:
-    """Level 3, and the rest masses of level 2."""
-    masses = triples.groupBy("b", "c").agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
-    left = stored(pairs.join(masses.select(F.col("b").alias("c"), F.col("c").alias("w"), "mass"), ["c", "w"], "left")
-                  .select("shard", "c", "w", "n", F.coalesce("mass", F.lit(0.0)).alias("mass")), "pair-masses")
-
-    def write_rest(batches):
-        store = Store(shape.path)
-        for shard, a in _per_shard(batches, "shard"):
-            store.write(f"pair-rest/{shard}", {"rest": quantise(1 - a["mass"] / a["n"])})
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard])})
-    _sorted_shards(left, "shard", ["c", "w"], shape.shards).mapInArrow(
-        write_rest, "shard long").write.format("noop").mode("overwrite").save()
+            keys = trie.key(ids[at - 1], ids[at])
+            pairs = np.unique(keys)
+            shard, place = trie.pairs((pairs // words).astype(np.int64), (pairs % words).astype(np.int64))
+            often = trie.pair_values(shard, place, "pairs", "n") >= TRIPLE_LEAST
+            slot = np.searchsorted(pairs, keys)
+            which = np.full(len(ids), -1, np.int64)
+            which[at] = np.where(often[slot], slot, -1)
+            ends = at[(which[at] >= 0) & (which[at - 1] >= 0)]
+            ends = ends[~first[ends - 1]]
+            pair = which[ends]
+            for k, some in Trie._by(shard[pair]):
+                key = place[pair[some]].astype(U64) * words + ids[ends[some] - 2].astype(U64)
+                yield blob(k, *np.unique(key, return_counts=True))
 
     def write(batches):
         trie = Trie(shape)
-        for shard, a in _per_shard(batches, "shard"):
-            keys = trie._sequence(f"pairs/{shard}", "key")
-            place = keys.find(trie.key(a["c"], a["w"]))
-            start = keys.lower_bound(trie.key(a["c"], np.zeros(len(place), np.int64)))
-            stop = keys.lower_bound(trie.key(a["c"] + 1, np.zeros(len(place), np.int64)))
-            lower = restore(trie.store.read(f"pairs/{shard}")["p"][place])
-            p = (a["n"] - DISCOUNT) / a["before"] + (1 - a["mass"] / a["before"]) * 10 ** lower
-            node, which = np.unique(trie.key(a["c"], a["b"]), return_inverse=True)
+        for shard, keys, n in merged_shards(batches, TRIPLE_LEAST):
+            if not len(keys):
+                continue
+            place, b = (keys // words).astype(np.int64), (keys % words).astype(np.int64)
+            pairs = trie._sequence(f"pairs/{shard}", "key")
+            c = (pairs.get(place) // words).astype(np.int64)
+            before = trie.pair_values(*trie.pairs(b, c), "pairs", "n")
+            start = pairs.lower_bound(trie.key(c, np.zeros(len(c), np.int64)))
+            stop = pairs.lower_bound(trie.key(c + 1, np.zeros(len(c), np.int64)))
+            node, which = np.unique(trie.key(c, b), return_inverse=True)
             width = np.zeros(len(node), np.int64)  # successors of the last context word
             width[which] = stop - start
             offset = np.concatenate([[0], np.cumsum(width)[:-1]]).astype(U64)
             rank = offset[which] + (place - start).astype(U64)
             order = np.argsort(rank)
-            trie.store.write(f"triples/{shard}", {**named("node", node), **named("offset", offset),
-                                                  **named("rank", rank[order]), "p": quantise(p[order])})
+            trie.store.write(f"triples/{shard}", {
+                **named("node", node), **named("offset", offset), **named("rank", rank[order]),
+                "p": quantise((n - DISCOUNT) / before)[order]})
+            heads = (node % words).astype(np.int64), (node // words).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "shard": pa.array(shard_of(*heads, shape.shards)), "b": pa.array(heads[0]), "c": pa.array(heads[1]),
+                "mass": pa.array(np.bincount(which, n - DISCOUNT, len(node)))})
+
+    counted = pick(docs, doc_id="long", text="string").mapInArrow(count, BLOB)
+    return stored(_by_shard(counted, shape.shards).mapInArrow(
+        write, "shard long, b long, c long, mass double"), "triple-masses")
+
+
+def write_pair_rests(masses: DataFrame, shape: Shape) -> None:
+    """Mass that each kept pair leaves as a context, beside level 2."""
+    def write(batches):
+        trie = Trie(shape)
+        for shard, a in _per_shard(batches, "shard"):
+            keys, back = np.unique(trie.key(a["b"], a["c"]), return_inverse=True)
+            mass = np.bincount(back, a["mass"], len(keys))
+            place = trie._sequence(f"pairs/{shard}", "key").find(keys)
+            n = trie.store.read(f"pairs/{shard}")["n"]
+            rest = np.zeros(len(n), np.uint16)
+            rest[place] = quantise(1 - mass / n[place])
+            trie.store.write(f"pair-rest/{shard}", {"rest": rest})
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard])})
-    context = left.select(F.col("c").alias("b"), F.col("w").alias("c"), F.col("n").alias("before"), "mass")
-    rows = with_shard(triples.join(context, ["b", "c"]), shape.shards)
-    _sorted_shards(rows, "shard", ["c", "b", "w"], shape.shards).mapInArrow(
+    _sorted_shards(masses, "shard", ["b", "c"], shape.shards).mapInArrow(
         write, "shard long").write.format("noop").mode("overwrite").save()
 
 
@@ -453,11 +546,10 @@ def learn(docs: DataFrame, shards: int | None = None) -> Shape:
     bounded_batches(spark)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     shape = write_words(docs, scratch(spark, "ngram-trie"), n, n)
-    pairs = stored(with_shard(count_pairs(docs, shape), n), "pairs")
-    write_rests(pairs, shape)
-    write_pairs(pairs, shape)
-    triples = stored(count_triples(docs, shape), "triples")
-    write_triples(pairs, triples, shape)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # rows of packed keys
+    write_rests(write_pairs(docs, shape), shape)
+    write_pair_rests(write_triples(docs, shape), shape)
+    bounded_batches(spark)
     return shape
 
 
@@ -466,19 +558,16 @@ def score(docs: DataFrame, shape: Shape) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        trie = Trie(shape)
-        for doc_ids, tokens in groups(batches, WordHashes(), 500_000):
-            ids, counts = trie.ids(np.concatenate(tokens))
-            starts = np.cumsum([0, *(len(t) for t in tokens[:-1])])
-            first = np.zeros(len(ids), bool)
-            first[starts] = True
-            base = trie.log_unigram(counts)
+        known = Known(Trie(shape))
+        for doc_ids, lengths, tokens, words in groups(batches, FLUSH_TOKENS // 2):
+            known.update(words)
+            at, counts = starts(lengths), known.counts[tokens]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(doc_ids, pa.int64()),
-                "n_tokens": pa.array([len(t) for t in tokens], pa.int64()),
-                "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
-                "base_score": pa.array(np.add.reduceat(base, starts)),
-                "score": pa.array(np.add.reduceat(trie.score(ids, counts, first), starts))})
+                "n_tokens": pa.array(lengths, pa.int64()),
+                "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), at)),
+                "base_score": pa.array(np.add.reduceat(known.trie.log_unigram(known.counts)[tokens], at)),
+                "score": pa.array(np.add.reduceat(known.trie.score(tokens, first_marks(lengths), known), at))})
     return pick(docs, doc_id="long", text="string").mapInArrow(
         run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 

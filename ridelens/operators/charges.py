@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.functions.exprs import USD, mean_half_up, usd
-from ridelens.operators.facts import rides_with_charges
+from ridelens.functions.exprs import USD, round_half_up_ratio, usd
+from ridelens.operators.facts import ride_facts, rides_with_charges
 from ridelens.sources.tables import RideTables
 
 
@@ -35,18 +35,23 @@ def decline_cells(t: RideTables, key: str) -> DataFrame:
 
 def _declines(t: RideTables, key: str, other: str, other_name: str,
               ordered: bool = True) -> DataFrame:
-    f = rides_with_charges(t)
-    declined = F.col("charge_status") == "Decline"
-    approved = F.col("charge_status") == "Approved"
-    money = usd("purchase_amount_usd")
-    zero = F.lit(0).cast(USD)
+    """Over one row per ride: rides are counted plainly and only `other` needs a
+    distinct count, so no row is expanded.  A ride's declines count once per
+    review of it, as in the joined tables."""
+    f = ride_facts(t)
+
+    def joined_usd(c: str) -> Column:
+        # 28 + 9 digits: the product keeps all eight decimals
+        product = F.col(c).cast(USD) * F.col("per_review").cast("decimal(9,0)")
+        return F.coalesce(F.sum(product), F.lit(0).cast("decimal(38,8)")).cast("double")
     out = (f.groupBy(key)
            .agg(F.count_distinct(other).alias(other_name),
-                F.count_distinct("ride_id").alias("unique_rides"),
-                F.sum(F.when(declined, 1).otherwise(0)).cast("bigint").alias("decline_count"),
-                mean_half_up(F.when(declined, F.col("rating")), 2).alias("avg_rating"),
-                F.sum(F.when(declined, money).otherwise(zero)).cast("double").alias("lost_total_usd"),
-                F.sum(F.when(approved, money).otherwise(zero)).cast("double").alias("gained_total_usd"))
+                F.count("ride_id").alias("unique_rides"),
+                F.sum(F.coalesce("n_declined", F.lit(0)) * F.col("per_review")).alias("decline_count"),
+                round_half_up_ratio(F.sum(F.col("rating_sum") * F.col("n_declined")),
+                                    F.sum(F.col("rating_n") * F.col("n_declined")), 2).alias("avg_rating"),
+                joined_usd("declined_usd").alias("lost_total_usd"),
+                joined_usd("approved_usd").alias("gained_total_usd"))
            .where(F.col("decline_count") > 1))
     if not ordered:
         return out

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridelens.functions.exprs import usd
 from ridelens.sources.tables import RideTables
 
 
@@ -36,6 +37,31 @@ def rider_status(t: RideTables) -> DataFrame:
     return riders.join(users, "user_id", "left").distinct()
 
 
+def ride_facts(t: RideTables) -> DataFrame:
+    """One row per ride with the sums of its charges and reviews.
+
+    Charges and reviews are each reduced per ride before they meet it, so all
+    three sides shuffle once, on ride_id, and nothing fans out.  Joining the
+    raw tables instead would give every charge once per review (and back):
+    `per_review` and `per_charge` are those multiplicities, with which sums
+    over the joined rows are restored exactly."""
+    declined, approved = F.col("charge_status") == "Decline", F.col("charge_status") == "Approved"
+    money = usd("purchase_amount_usd")
+    charges = t.transactions.groupBy("ride_id").agg(
+        F.count(F.lit(1)).alias("n_charges"),
+        F.count(F.when(declined, 1)).alias("n_declined"),
+        F.sum(F.when(declined, money)).alias("declined_usd"),
+        F.sum(F.when(approved, money)).alias("approved_usd"),
+        F.sum(money).alias("usd"))
+    reviews = t.reviews.groupBy("ride_id").agg(
+        F.count(F.lit(1)).alias("n_reviews"),
+        F.sum("rating").alias("rating_sum"), F.count("rating").alias("rating_n"))
+    one = F.lit(1).cast("bigint")
+    return (t.ride_requests.join(charges, "ride_id", "left").join(reviews, "ride_id", "left")
+            .withColumns({"per_review": F.greatest(F.coalesce("n_reviews", F.lit(0)), one),
+                          "per_charge": F.greatest(F.coalesce("n_charges", F.lit(0)), one)}))
+
+
 def rides_with_charges(t: RideTables) -> DataFrame:
     """ride_requests LEFT JOIN transactions LEFT JOIN reviews on ride_id."""
     tx = t.transactions.select("ride_id", "purchase_amount_usd", "charge_status")

@@ -14,10 +14,10 @@ import re
 import sys
 
 sys.path.insert(0, ".")
-import __spark_entry__ as E  # noqa: E402
+from ridelens.plans import registry  # noqa: E402
 from ridelens.session import build_session  # noqa: E402
 
-WRITES = {"csv_roundtrip", "merge_shards"}  # these write files when called
+WRITES = {"csv_roundtrip", "merge_shards", "export_page", "export_all_pages", "driver_summary_stored"}  # these store something when called
 
 
 def summarise(plan: str) -> dict:
@@ -46,7 +46,7 @@ def main() -> None:
     spark = build_session(extra=extra)
     print("| query | shuffles | reused | single-partition | SMJ | BHJ | scans | cartesian/BNLJ | shuffle keys |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, fn in E.queries().items():
+    for name, fn in registry.queries().items():
         if name in WRITES:
             continue
         plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

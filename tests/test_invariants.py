@@ -1,4 +1,5 @@
-"""Cross-query invariants on the derived tables (sf0.01)."""
+"""Cross-query invariants on the derived tables (sf0.01), over the rides of
+signed-up users: the funnel only knows those."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,11 +8,15 @@ from conftest import SF_MEDIUM
 from ridelens.operators import charges, demand, funnel
 from ridelens.plans import panels
 from ridelens.sources.adapter import from_driver_tables
+from ridelens.sources.tables import RideTables
 
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return from_driver_tables(spark, SF_MEDIUM)
+    t = from_driver_tables(spark, SF_MEDIUM)
+    rides = t.ride_requests.join(t.signups, "user_id", "left_semi")
+    return RideTables(t.app_downloads, t.signups, rides, t.transactions.join(rides, "ride_id", "left_semi"),
+                      t.reviews.join(rides, "ride_id", "left_semi"))
 
 
 @pytest.fixture(scope="module")

@@ -1,17 +1,20 @@
-"""Every registered query equals its DuckDB statement (sf0.001)."""
+"""Every registered ride query equals its DuckDB statement (sf0.001).  The
+training-data queries have tests of their own in tests/llm."""
 
 import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 from helpers import duck_rows, spark_rows
+from ridelens.plans import oracle, registry
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = oracle.oracle_sql()
 
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

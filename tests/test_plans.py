@@ -7,17 +7,17 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
+from ridelens.plans import registry
 
-WRITES = {"csv_roundtrip", "merge_shards"}
-NAMES = sorted(n for n in entry.queries() if n not in WRITES)
+WRITES = {"csv_roundtrip", "merge_shards", "export_page", "export_all_pages", "driver_summary_stored"}
+NAMES = sorted(n for n in registry.queries() if n not in WRITES)
 # Queries whose single-partition step only sees bounded aggregates: a global
 # total (one row per partition in), the funnel totals, the dense grid over
-# ages x platforms, the driver-summary maxima, the per-partition row counts
-# of the paged export.
-BOUNDED_SINGLE = {"export_page", "funnel_totals", "review_rating_stats", "slider_bounds", "panel_signups",
-                  "panel_requesting_users", "panel_rides_requested", "panel_completing_users",
+# ages x platforms, the slider maxima.
+BOUNDED_SINGLE = {"funnel_totals", "slider_bounds", "slider_bounds_user_stats", "slider_bounds_user_declines",
+                  "slider_bounds_driver_declines", "panel_rides_requested_window", "panel_signups_ios",
+                  "panel_signups", "panel_requesting_users", "panel_rides_requested", "panel_completing_users",
                   "panel_rides_completed", "panel_usd", "panel_avg_rating"}
 
 
@@ -27,7 +27,7 @@ def plans(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        qs = entry.queries()
+        qs = registry.queries()
         yield {n: qs[n](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
                for n in NAMES}
     finally:
@@ -64,3 +64,11 @@ def test_aggregates_are_partial_before_shuffles(plans, name):
 def test_scans_prune_columns(plans):
     plan = plans["requests_by_hour"]
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in plan
+
+
+@pytest.mark.parametrize("name,most", [("user_declines", 6), ("driver_declines", 6), ("review_rating_stats", 7)])
+def test_shuffle_counts(plans, name, most):
+    """Each table shuffles by ride once; then the distinct count and the sort."""
+    executed = [x for x in plans[name].splitlines() if " Exchange " in x and "Reused" not in x]
+    assert len(executed) <= most, executed
+    assert "Expand" not in plans[name]

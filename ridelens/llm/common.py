@@ -37,7 +37,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows (counted, the
-    count stops at the bound); otherwise as it is, for a shuffled join."""
+    count stops at the bound); otherwise as it is, for a shuffled join.  Give it
+    something stored or cheap: it is read for the count and for the join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -119,8 +119,8 @@ def repeated_regions(chunks: DataFrame, min_words: int) -> DataFrame:
     place of the first one: first_id, first_digest, first_start."""
     place = F.struct(F.col("doc_id"), F.col("digest"), F.col("k"))
     # a null doc_id sorts first in a struct, so every occurrence has a place in the order
-    firsts = (chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("p")).where("n > 1")
-              .select("h", "p"))
+    firsts = stored(chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("p")).where("n > 1")
+                    .select("h", "p"), "firsts")
     again = chunks.join(if_small(firsts, PLACE_ROWS), "h")
     is_first = (F.col("doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("digest") == F.col("p.digest"))
                 & (F.col("k") == F.col("p.k")))

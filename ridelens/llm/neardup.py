@@ -173,7 +173,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
     """Pairs that reach the similarity on their full sets."""
     pairs = stored(pairs, "plausible")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(shingles_of(docs, nodes.join(classes.select("node", "first"), "node")), "shingles")
+    needed = stored(nodes.join(classes.select("node", "first"), "node"), "needed")
+    sets = stored(shingles_of(docs, needed), "shingles")
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -209,10 +210,11 @@ def components(links: DataFrame) -> DataFrame:
 def prefix_pairs(hot: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components among `hot` (node, comp) that share one of
     their rarest shingles, exact for the similarity `percent`."""
-    sets = stored(shingles_of(docs, hot.join(classes.select("node", "first"), "node")), "hot-shingles")
+    needed = stored(hot.join(classes.select("node", "first"), "node"), "needed")
+    sets = stored(shingles_of(docs, needed), "hot-shingles")
     tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     # shingles held once can match nothing: only the others need a place in the order
-    shared = tokens.groupBy("s").count().where("count > 1")
+    shared = stored(tokens.groupBy("s").count().where("count > 1"), "shared-shingles")
     kept = tokens.join(if_small(shared, ID_ROWS), "s")
     ordered = kept.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("t"))
     # of n shingles, the n - ceil(n * percent / 100) + 1 rarest; the n - size(t) unique ones come first
@@ -222,8 +224,8 @@ def prefix_pairs(hot: DataFrame, docs: DataFrame, classes: DataFrame, percent: i
               .join(hot, "node"))
     prefix = stored(prefix, "prefix")
     per = prefix.groupBy("s", "comp").count()
-    main = per.groupBy("s").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"),
-                                F.count("*").alias("k")).where("k > 1").select("s", "main")
+    main = stored(per.groupBy("s").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"),
+                                       F.count("*").alias("k")).where("k > 1").select("s", "main"), "main-components")
     placed = prefix.join(if_small(main, ID_ROWS), "s")
     minor = placed.where("comp <> main").select("s", F.col("node").alias("x"), F.col("comp").alias("comp_x"))
     return (minor.join(placed, "s").where("comp <> comp_x")
@@ -241,8 +243,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
         rows_.join(known, "node").where("doc_id = first").dropDuplicates(["node"])
         .select("node", "first", "n_shingles", "sketch", "bands"), "classes")
     keyed = classes.select("node", "first", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"),
-                                       F.min(F.struct("first", "node"))["node"].alias("leader")).where("size > 1")
+    buckets = stored(keyed.groupBy("key").agg(
+        F.count("*").alias("size"), F.min(F.struct("first", "node"))["node"].alias("leader")).where("size > 1"),
+        "buckets")
     members = stored(keyed.join(if_small(buckets, ID_ROWS), "key").select("key", "node", "size", "leader"),
                      "members")
     listed = (members.where(F.col("size") <= pair_bucket).groupBy("key")
@@ -260,8 +263,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     if not crowd.isEmpty():
         placed = crowd.join(comps, "node", "left").select(
             "key", "node", F.coalesce("root", "node").alias("comp"))
-        open_keys = (placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                     .where("lo <> hi").select("key"))
+        open_keys = stored(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                           .where("lo <> hi").select("key"), "open-buckets")
         hot = stored(placed.join(if_small(open_keys, ID_ROWS), "key", "left_semi")
                      .select("node", "comp").distinct(), "hot")
         more = plausible(prefix_pairs(hot, docs, classes, percent), classes, flips, percent)

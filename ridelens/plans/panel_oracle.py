@@ -196,4 +196,6 @@ FROM stats WHERE rides_canceled >= {c} AND rides_completed >= {d} AND total_ride
         for suffix, lost, gained in (("", 0, 0), ("_bounded", 100000, 200000)):
             out[key + suffix] = ([("points", source)], _long(
                 column, f"SELECT * FROM points WHERE lost_total_usd >= {lost} AND gained_total_usd >= {gained}", usd))
+    for name in ("panel_signups", "panel_daily_rides_usd", "panel_user_funnel"):
+        out[f"{name}_stored"] = out[name]
     return out

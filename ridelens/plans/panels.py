@@ -346,6 +346,18 @@ def panel_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFram
     from ridelens.sources.adapter import from_driver_tables
     load = load or from_driver_tables
 
+    def stored_over(name, panel, **params):
+        """The panel over its dataset in a store written first: the step prunes
+        partitions and the dates row groups."""
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ridelens.plans.store import read_store, write_store
+            from ridelens.sources.io import scratch_path
+            root = scratch_path(spark, "store")
+            write_store(load(spark, sf_dir), root, [name])
+            return panel(read_store(spark, root, [name])[name], **params)
+        run.__doc__ = panel.__doc__
+        return run
+
     def over(source, panel, **params):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return panel(source(load(spark, sf_dir)), **params)
@@ -389,6 +401,9 @@ def panel_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFram
         "panel_usd_merged": over(daily, panel_usd, merge_ages=True),
         "panel_daily_rides_usd_merged": over(daily, panel_daily_rides_usd, merge_platforms=True),
         "panel_daily_reviews_rating_merged": over(daily, panel_daily_reviews_rating, merge_platforms=True),
+        "panel_signups_stored": stored_over("funnel_daily", panel_signups),
+        "panel_daily_rides_usd_stored": stored_over("funnel_daily", panel_daily_rides_usd),
+        "panel_user_funnel_stored": stored_over("funnel_daily_user", panel_user_funnel),
         "panel_rides_funnel_pivot": over(per_user, panel_rides_funnel_pivot),
         "panel_rides_requested_window": over(daily, panel_rides_requested, **WINDOW),
         "panel_user_funnel_ages": over(per_user, panel_user_funnel, **AGES),

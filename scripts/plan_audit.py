@@ -17,7 +17,8 @@ sys.path.insert(0, ".")
 from ridelens.plans import registry  # noqa: E402
 from ridelens.session import build_session  # noqa: E402
 
-WRITES = {"csv_roundtrip", "merge_shards", "export_page", "export_all_pages", "driver_summary_stored"}  # these store something when called
+WRITES = {"csv_roundtrip", "merge_shards", "export_page", "export_all_pages", "driver_summary_stored",
+          "panel_signups_stored", "panel_daily_rides_usd_stored", "panel_user_funnel_stored"}  # these store something when called
 
 
 def summarise(plan: str) -> dict:

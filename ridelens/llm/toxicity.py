@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -330,8 +331,6 @@ def stage_toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _series_scorer(lexicon: Lexicon):
-    import pandas as pd
-
     def scores(texts: pd.Series) -> pd.Series:
         matcher = Matcher(lexicon)
         return texts.map(matcher.score)

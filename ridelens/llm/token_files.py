@@ -52,63 +52,55 @@ def byte_chars() -> list[str]:
 BYTE_CHARS = byte_chars()
 
 
-class ChunkEncoder:
-    """Ids of a text from the ids of its chunks between spaces and line ends,
-    kept as packed bytes.  A chunk seen for the first time is taken apart into
-    its word and the sentence marks behind it (always pieces of their own),
-    ASCII capitals are lowered (as the tokenizer does), and only words not seen
-    before go through the library.  Right for lower-casing tokenizers whose
-    pieces never hold white space."""
+class ChunkEncoder(dict):
+    """Packed ids of the chunks of a text between spaces and line ends, encoded
+    on first use.  A chunk is taken apart into its word and the sentence marks
+    behind it (always pieces of their own), ASCII capitals are lowered (as the
+    tokenizer does), and only words not seen before go through the library:
+    words of letters alone are one piece and, normalised here, go straight to
+    its model; others take its whole path.  Right for lower-casing tokenizers
+    whose pieces never hold white space."""
 
     def __init__(self, tokenizer_json: str, dtype: np.dtype):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.tokenizer.model
         self.code = "H" if dtype.itemsize == 2 else "I"  # little endian, as Spark's platforms are
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def _encode_words(self, words: list[str]) -> None:
-        """Words of letters only are one piece: normalised here, they go straight
-        to the library's model; the others take its whole path."""
-        rest = []
-        for w in words:
-            low = "".join(c.lower() for c in w) if "Σ" in w else w.lower()  # letter by letter
-            if low.isalpha() and unicodedata.is_normalized("NFC", w):
+    def _word(self, word: str) -> bytes:
+        packed = self.words.get(word)
+        if packed is None:
+            low = "".join(c.lower() for c in word) if "Σ" in word else word.lower()  # letter by letter
+            if low.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
                 piece = low if low.isascii() else "".join(map(BYTE_CHARS.__getitem__, low.encode()))
                 ids = [t.id for t in self.model.tokenize(piece)]
-                self.words[w] = pack(self.code, ids).tobytes()
             else:
-                rest.append(w)
-        encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        self.words.update((w, pack(self.code, e.ids).tobytes()) for w, e in zip(rest, encoded))
-
-    def _encode_new(self, chunks: list[str]) -> None:
-        apart = []
-        for c in chunks:
-            word = c.rstrip(MARKS)
-            if not word or not unicodedata.normalize("NFC", word[-1]).lower()[-1].isalnum():
-                word = c
-            apart.append((c, word.lower() if word.isascii() else word, c[len(word):]))
-        if len(self.words) > CACHE_CHUNKS:
-            self.words.clear()
-        words = self.words
-        new = [w for w in dict.fromkeys(x for _, w, m in apart for x in (w, m)) if w not in words]
-        self._encode_words(new)
-        self.chunks.update((c, words[w] + words[m]) for c, w, m in apart)
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            packed = self.words[word] = pack(self.code, ids).tobytes()
+        return packed
+
+    def __missing__(self, chunk: str) -> bytes:
+        word = chunk.rstrip(MARKS)
+        if len(word) < len(chunk):
+            if word and unicodedata.normalize("NFC", word[-1]).lower()[-1].isalnum():
+                packed = self[word] + self._word(chunk[len(word):])
+            else:
+                packed = self._word(chunk)
+        else:
+            packed = self._word(chunk.lower() if chunk.isascii() else chunk)
+        self[chunk] = packed
+        return packed
 
     def encode(self, text: str) -> bytes:
-        cache = self.chunks
-        found = CHUNK(text)
-        new = [c for c in dict.fromkeys(found) if c not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_CHUNKS:
-                cache.clear()
-                new = list(dict.fromkeys(found))
-            self._encode_new(new)
-        return b"".join(map(cache.__getitem__, found))
+        if len(self) > CACHE_CHUNKS:
+            self.clear()
+        if len(self.words) > CACHE_CHUNKS:
+            self.words.clear()
+        return b"".join(map(self.__getitem__, CHUNK(text)))
 
 
 def open_store(path: str):

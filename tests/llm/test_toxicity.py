@@ -32,7 +32,7 @@ def learned(spark):
         toxic = i % 6 == 0
         if toxic:
             words.insert(rng.randrange(60), rng.choice(["blorgs", "blorgish", "grumpf"]))
-        elif i % 6 == 1:
+        elif i % 60 == 1:
             words[10:10] = ["grumpf", "cheese"]
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
@@ -43,6 +43,7 @@ def learned(spark):
 def test_learns_prefix_and_exception(learned):
     lex = T.fit_lexicon(*learned)
     assert any(p.startswith("blorg") for p in lex.weights)
+    assert any(p.startswith("grump") for p in lex.weights) and "grumpf cheese" in lex.exceptions
     scores = {r["doc_id"]: r["score"] for r in T.toxicity_scores(learned[0], lex).collect()}
     wrong = sum((s >= 0.3) != (i % 6 == 0) for i, s in scores.items())
     assert wrong <= 0.03 * len(scores)

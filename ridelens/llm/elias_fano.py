@@ -13,6 +13,7 @@ import json
 import numpy as np
 
 U64 = np.uint64
+MANY = 32  # elements decoded in the time of one search
 BLOCK = 2  # words of the bit vector per directory entry
 
 
@@ -115,8 +116,20 @@ class EliasFano:
     def _inside(self, keys: np.ndarray) -> np.ndarray:
         return np.flatnonzero(keys >> U64(self.width) < U64(self.n_zeros))
 
+    def values(self) -> np.ndarray:
+        """All elements."""
+        ones = np.flatnonzero(np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little"))
+        upper = (ones - np.arange(self.n)).astype(U64)
+        return (upper << U64(self.width)) | unpack_bits(self.low, self.width, np.arange(self.n))
+
+    def _many(self, queries: int) -> bool:
+        """Whether decoding everything once costs less than that many searches."""
+        return queries * MANY >= self.n
+
     def lower_bound(self, keys: np.ndarray) -> np.ndarray:
         """Index of the first element >= key."""
+        if self._many(len(keys)):
+            return np.searchsorted(self.values(), keys)
         out = np.full(len(keys), self.n, np.int64)
         ok = self._inside(keys)
         start, end = self._bucket(keys[ok])
@@ -127,6 +140,8 @@ class EliasFano:
         """Elements at the indices: the high part is the number of zeros before
         an element's one."""
         index = np.asarray(index, np.int64)
+        if self._many(len(index)):
+            return self.values()[index]
         ones = np.arange(len(self.zeros), dtype=np.int64) * (64 * BLOCK) - self.zeros
         upper = self._place(index, ones, self.high, False) - index
         return (upper.astype(U64) << U64(self.width)) | unpack_bits(self.low, self.width, index)
@@ -136,6 +151,10 @@ class EliasFano:
         out = np.full(len(keys), -1, np.int64)
         if not self.n or not len(keys):
             return out
+        if self._many(len(keys)):
+            every = self.values()
+            at = np.minimum(np.searchsorted(every, keys), self.n - 1)
+            return np.where(every[at] == keys, at, -1)
         ok = self._inside(keys)
         start, end = self._bucket(keys[ok])
         filled = start < end

@@ -21,9 +21,10 @@ def test_elias_fano(values, others):
     s = E.sequence(E.read_arrays(np.frombuffer(f.getvalue(), np.uint8)), "x")
     keys = np.array([*values, *others], np.uint64)
     place = {int(x): k for k, x in enumerate(v)}
-    assert s.find(keys).tolist() == [place.get(int(k), -1) for k in keys]
-    assert s.lower_bound(keys).tolist() == np.searchsorted(v, keys).tolist()
-    if len(v):
+    for many in (True, False):  # decoding everything, and searching each key
+        s._many = lambda n, many=many: many
+        assert s.find(keys).tolist() == [place.get(int(k), -1) for k in keys]
+        assert s.lower_bound(keys).tolist() == np.searchsorted(v, keys).tolist()
         assert (s.get(np.arange(len(v))) == v).all()
 
 

@@ -61,6 +61,12 @@ def restore(q: np.ndarray) -> np.ndarray:
     return q.astype(np.float64) * -STEP
 
 
+def log_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log10 of the sum of two numbers given by their log10."""
+    ln10 = np.log(10.0)
+    return np.log(np.exp(a * ln10) + np.exp(b * ln10)) / ln10
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
@@ -244,6 +250,8 @@ class Trie:
 
     @staticmethod
     def _by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        if len(part) and part.max() < 1 << 16:
+            part = part.astype(np.uint16)  # sorted by radix
         order = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.diff(part[order])) + 1
         for some in np.split(order, cuts):
@@ -328,16 +336,15 @@ class Trie:
         out[context] += known.rest[tokens[context - 1]]
         both = context[ids[context] >= 0]
         keys = self.key(ids[both - 1], ids[both])
-        unique = np.unique(keys)
+        unique, slot = np.unique(keys, return_inverse=True)
         words = U64(max(1, self.shape.words))
         shard, place = self.pairs((unique // words).astype(np.int64), (unique % words).astype(np.int64))
         kept = place >= 0
         which = np.full(len(ids), -1, np.int64)  # each token's pair among the kept ones
-        slot = np.searchsorted(unique, keys)
         which[both] = np.where(kept[slot], slot, -1)
         hit = np.flatnonzero(which >= 0)
         direct = restore(self.pair_values(shard, place, "pairs", "p"))
-        out[hit] = np.log10(10 ** direct[which[hit]] + 10 ** out[hit])
+        out[hit] = log_sum(direct[which[hit]], out[hit])
         # tokens with two words before them whose pair was kept
         longer = np.flatnonzero(~first)
         longer = longer[which[longer - 1] >= 0]
@@ -345,7 +352,7 @@ class Trie:
         out[longer] += rest[which[longer - 1]]
         deep = longer[which[longer] >= 0]
         p = self.triples(ids[deep - 2], ids[deep - 1], shard[which[deep]], place[which[deep]])
-        out[deep] = np.log10(10 ** p + 10 ** out[deep])
+        out[deep] = log_sum(p, out[deep])
         return out
 
 
@@ -480,10 +487,9 @@ def write_triples(docs: DataFrame, shape: Shape) -> DataFrame:
             first = first_marks(lengths)
             at = np.flatnonzero(~first)
             keys = trie.key(ids[at - 1], ids[at])
-            pairs = np.unique(keys)
+            pairs, slot = np.unique(keys, return_inverse=True)
             shard, place = trie.pairs((pairs // words).astype(np.int64), (pairs % words).astype(np.int64))
             often = trie.pair_values(shard, place, "pairs", "n") >= TRIPLE_LEAST
-            slot = np.searchsorted(pairs, keys)
             which = np.full(len(ids), -1, np.int64)
             which[at] = np.where(often[slot], slot, -1)
             ends = at[(which[at] >= 0) & (which[at - 1] >= 0)]

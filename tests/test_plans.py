@@ -64,7 +64,7 @@ def test_aggregates_are_partial_before_shuffles(plans, name):
 
 def test_scans_prune_columns(plans):
     plan = plans["requests_by_hour"]
-    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan
 
 
 @pytest.mark.parametrize("name,most", [("user_declines", 6), ("driver_declines", 6), ("review_rating_stats", 7)])

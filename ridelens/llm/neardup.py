@@ -209,7 +209,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def prefix_pairs(hot: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components among `hot` (node, comp) that share one of
-    their rarest shingles, exact for the similarity `percent`."""
+    their rarest shingles, exact for the similarity `percent`.  In the order by
+    rarity, the first common shingle bounds how many can be common, so a pair
+    is only made where that bound and the sizes allow the similarity."""
     needed = stored(hot.join(classes.select("node", "first"), "node"), "needed")
     sets = stored(shingles_of(docs, needed), "hot-shingles")
     tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
@@ -218,17 +220,23 @@ def prefix_pairs(hot: DataFrame, docs: DataFrame, classes: DataFrame, percent: i
     kept = tokens.join(if_small(shared, ID_ROWS), "s")
     ordered = kept.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("t"))
     # of n shingles, the n - ceil(n * percent / 100) + 1 rarest; the n - size(t) unique ones come first
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("t"))
+    alone = F.col("n") - F.size("t")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     prefix = (ordered.where(length > 0)
-              .select("node", F.explode(F.slice("t", 1, length.cast("int"))["s"]).alias("s"))
-              .join(hot, "node"))
+              .select("node", "n", alone.alias("alone"),
+                      F.posexplode(F.slice("t", 1, length.cast("int"))["s"]).alias("k", "s"))
+              # shingles from this one on, itself included: no more can be common if it is the first common one
+              .select("node", "n", "s", (F.col("n") - F.col("alone") - F.col("k")).alias("left")).join(hot, "node"))
     prefix = stored(prefix, "prefix")
     per = prefix.groupBy("s", "comp").count()
     main = stored(per.groupBy("s").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"),
                                        F.count("*").alias("k")).where("k > 1").select("s", "main"), "main-components")
     placed = prefix.join(if_small(main, ID_ROWS), "s")
-    minor = placed.where("comp <> main").select("s", F.col("node").alias("x"), F.col("comp").alias("comp_x"))
-    return (minor.join(placed, "s").where("comp <> comp_x")
+    minor = placed.where("comp <> main").select("s", F.col("node").alias("x"), F.col("comp").alias("comp_x"),
+                                                F.col("n").alias("n_x"), F.col("left").alias("left_x"))
+    enough = (100 + percent) * F.least("left", "left_x") >= percent * (F.col("n") + F.col("n_x"))
+    near = 100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x")
+    return (minor.join(placed, ["s"]).where((F.col("comp") != F.col("comp_x")) & enough & near)
             .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
 
 

@@ -8,12 +8,21 @@ first occurrence (smallest doc_id, then position) stays.  Around a repeated
 chunk the neighbouring lines (on each side up to the line that exceeds
 `min_words` words) are compared too, and if chunk and equal neighbours
 together hold more than `min_words` words and are equal byte for byte to the
-first occurrence, they are removed.  So a passage of that length is found if
-one chunk ends and the next one ends inside it.
+first occurrence, they are removed.
+
+Passages without a common chunk are found by their windows: for every line the
+shortest run of lines from it on that exceeds `min_words` words, unless it does
+so without that line.  Every passage of more than `min_words` words holds such
+a window, whatever its lines are, and each window has a first occurrence of its
+own, so a passage is found in whatever surroundings its parts stood before.
+Windows that follow each other in both places are joined, and neighbouring
+lines equal to those of the first occurrence are removed with them.
 
 Every removed line stands, equal, in an earlier place, so the first copy of a
 line always stays.  Shorter repetitions (licence lines, headings) are no
-passages and stay.
+passages and stay, and so do up to `min_words` words beside a passage that
+stand so in a later copy but not in the first one.  A window that overlaps its
+first occurrence is no copy.
 
 Edge cases: null and empty texts have no chunk and stay as they are; lines
 without a word count 0 words; rows equal in doc_id and text count as one
@@ -24,6 +33,9 @@ used here start with `_ld_`).
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -103,9 +115,82 @@ def chunk_table(docs: DataFrame, min_words: int) -> DataFrame:
     return keyed.dropna(subset=["text"]).mapInArrow(cut, CHUNK_SCHEMA)
 
 
+def line_windows(lines: list[bytes], min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int, int]]:
+    """(first line, end, hash, lines to compare before, lines to compare after)
+    of each shortest run of more than `min_words` words."""
+    sums = [0, *accumulate(len(line.split()) for line in lines)]
+    hashes = b"".join(xxhash.xxh3_64_digest(line) for line in lines)
+    out = []
+    for i in range(len(lines)):
+        end = bisect_right(sums, sums[i] + min_words)
+        if end > len(lines):
+            break
+        if sums[end] - sums[i + 1] <= min_words:
+            before = i - max(0, bisect_right(sums, sums[i] - min_words - 1) - 1)
+            after = min(len(lines), bisect_right(sums, sums[end] + min_words)) - end
+            out.append((i, end, xxhash.xxh3_64_intdigest(hashes[8 * i:8 * end]) - (1 << 63), before, after))
+    return out
+
+
+def window_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """One row a window: where it stands, its hash and how many lines beside it
+    are to be compared."""
+    bounded_batches(docs.sparkSession)
+
+    def cut(batches):
+        for batch in batches:
+            found = [(doc_id, digest, *w)
+                     for doc_id, digest, text in zip(batch.column("doc_id").to_pylist(),
+                                                     batch.column("digest").to_pylist(), batch.column("text"))
+                     for w in line_windows(text.as_py().encode().split(b"\n"), min_words)]
+            columns = list(zip(*found)) or [()] * 7
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)],
+                names=["doc_id", "digest", "start", "end", "h", "n_before", "n_after"])
+
+    keyed = pick(docs, doc_id="long", text="string").withColumn("digest", F.xxhash64("text"))
+    return keyed.dropna(subset=["text"]).mapInArrow(
+        cut, "doc_id long, digest long, start int, end int, h long, n_before int, n_after int")
+
+
+def repeated_windows(windows: DataFrame) -> DataFrame:
+    """Later occurrences of windows: columns as of `repeated_regions`, and how
+    many lines beside them are to be compared."""
+    place = F.struct("doc_id", "digest", "start")
+    firsts = stored(windows.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("p")).where("n > 1")
+                    .select("h", "p"), "first-windows")
+    again = windows.join(if_small(firsts, PLACE_ROWS), "h")
+    same_text = F.col("doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("digest") == F.col("p.digest"))
+    later = again.where(~(same_text & (F.col("start") < F.col("p.start") + F.col("end") - F.col("start"))))
+    return later.select("doc_id", "digest", "start", "end", F.col("p.doc_id").alias("first_id"),
+                        F.col("p.digest").alias("first_digest"), F.col("p.start").alias("first_start"),
+                        "n_before", "n_after")
+
+
+def joined_regions(regions: DataFrame) -> DataFrame:
+    """Regions that overlap or touch here and in their first occurrences, as one."""
+    span = F.struct("start", "end", "n_before", "n_after")
+    runs = (regions.groupBy("doc_id", "digest", "first_id", "first_digest",
+                            (F.col("start") - F.col("first_start")).alias("shift"))
+            .agg(F.sort_array(F.collect_set(span)).alias("found")))
+
+    def joined(done, s):
+        last = F.try_element_at(done, F.lit(-1))  # null at first
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"),
+                          last["n_before"].alias("n_before"),
+                          F.when(s["end"] > last["end"], s["n_after"]).otherwise(last["n_after"]).alias("n_after"))
+        rest = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(last["end"] >= s["start"], F.concat(rest, F.array(longer))).otherwise(F.concat(done, F.array(s)))
+    none = F.array().cast("array<struct<start:int,end:int,n_before:int,n_after:int>>")
+    return (runs.withColumn("r", F.explode(F.aggregate("found", none, joined)))
+            .select("doc_id", "digest", "r.start", "r.end", "first_id", "first_digest",
+                    (F.col("r.start") - F.col("shift")).alias("first_start"), "r.n_before", "r.n_after"))
+
+
 def _same(a: Column, b: Column) -> Column:
     """How many leading lines are equal."""
-    equal = F.zip_with(a, b, lambda x, y: x["h"].eqNullSafe(y["h"]))
+    equal = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
     first = F.array_position(equal, False)
     return F.when(first == 0, F.size(equal)).otherwise(first - 1).cast("int")
 
@@ -141,36 +226,45 @@ def repeated_regions(chunks: DataFrame, min_words: int) -> DataFrame:
 
 
 def equal_regions(docs: DataFrame, regions: DataFrame) -> DataFrame:
-    """The regions whose bytes equal those of their first occurrence."""
+    """The regions whose bytes equal those of their first occurrence, with the
+    equal ones of the lines to be compared beside them."""
     first_end = F.col("first_start") + F.col("end") - F.col("start")
+    beside = ("n_before", "n_after")
     named = stored(regions.withColumns({
-        "name": F.concat_ws(":", "doc_id", "digest", "start", "end"),
-        "first": F.concat_ws(":", "first_id", "first_digest", "first_start", first_end)}), "regions")
-    asked = (named.select("doc_id", "digest", "start", "end").unionByName(named.select(
+        "name": F.concat_ws(":", "doc_id", "digest", "start", "end", *beside),
+        "first": F.concat_ws(":", "first_id", "first_digest", "first_start", first_end, *beside)}), "regions")
+    asked = (named.select("doc_id", "digest", "start", "end", *beside).unionByName(named.select(
         F.col("first_id").alias("doc_id"), F.col("first_digest").alias("digest"),
-        F.col("first_start").alias("start"), first_end.alias("end")))
-        .groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "end")).alias("asked"))
+        F.col("first_start").alias("start"), first_end.alias("end"), *beside))
+        .groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "end", *beside)).alias("asked"))
         .withColumnsRenamed({"doc_id": "id2", "digest": "digest2"}))
-    if named.limit(PLACE_ROWS + 1).count() <= PLACE_ROWS:  # two line numbers a region
+    if named.limit(PLACE_ROWS + 1).count() <= PLACE_ROWS:  # four line numbers a region
         asked = F.broadcast(asked)
     texts = pick(docs, doc_id="long", text="string").withColumn("digest", F.xxhash64("text"))
     found = texts.join(asked, texts["doc_id"].eqNullSafe(asked["id2"]) & (texts["digest"] == asked["digest2"]))
     lines = found.select("doc_id", "digest", F.split("text", "\n").alias("l"), F.explode("asked").alias("r"))
+    upper = F.greatest(F.col("r.start") - F.col("r.n_before"), F.lit(0))
     bodies = stored(lines.select(
-        F.concat_ws(":", "doc_id", "digest", "r.start", "r.end").alias("name"),
-        F.array_join(F.slice("l", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")), "\n").alias("body"))
+        F.concat_ws(":", "doc_id", "digest", "r.start", "r.end", "r.n_before", "r.n_after").alias("name"),
+        F.array_join(F.slice("l", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")), "\n").alias("body"),
+        F.reverse(F.slice("l", upper + 1, F.col("r.start") - upper)).alias("before"),
+        F.slice("l", F.col("r.end") + 1, F.col("r.n_after")).alias("after"))
         .dropDuplicates(["name"]), "bodies")
-    first = bodies.select(F.col("name").alias("first"), F.col("body").alias("first_body"))
+    first = bodies.select(F.col("name").alias("first"), F.col("body").alias("first_body"),
+                          F.col("before").alias("b1"), F.col("after").alias("a1"))
     return (named.join(bodies, "name").join(first, "first").where(F.col("body") == F.col("first_body"))
-            .select("doc_id", "digest", "start", "end"))
+            .select("doc_id", "digest", (F.col("start") - _same(F.col("before"), F.col("b1"))).alias("start"),
+                    (F.col("end") + _same(F.col("after"), F.col("a1"))).alias("end")))
 
 
 def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with repeated passages removed from `text`, and the new columns
     `_ld_lines`, `_ld_removed` (lines before, lines removed)."""
     chunks = stored(chunk_table(docs, min_words), "chunks")
-    regions = repeated_regions(chunks, min_words)
-    equal = stored(equal_regions(docs, regions), "equal")
+    windows = stored(window_table(docs, min_words), "windows")
+    none = {"n_before": F.lit(0), "n_after": F.lit(0)}
+    regions = repeated_regions(chunks, min_words).withColumns(none).unionByName(repeated_windows(windows))
+    equal = stored(equal_regions(docs, joined_regions(regions)), "equal")
     removed = (equal.groupBy("doc_id", "digest")
                .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_ld_spans"))
                .withColumnsRenamed({"doc_id": "_ld_id", "digest": "_ld_digest"}))

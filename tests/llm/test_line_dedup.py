@@ -82,3 +82,62 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     got = {(r["doc_id"], r["text"]) for r in out.collect()}
     assert {(1, None), (2, ""), (3, " \n\t "), (None, None), (6, "same row")} <= got
     assert L.remove_passages(no_docs).count() == 0
+
+
+def runs(lines, min_words=L.MIN_WORDS):
+    """(start, end) of the shortest runs of more than `min_words` words from each
+    line on, without those that are long enough without their first line."""
+    n = [len(x.split()) for x in lines]
+    for i in range(len(lines)):
+        end = next((e for e in range(i, len(lines) + 1) if sum(n[i:e]) > min_words), None)
+        if end and sum(n[i + 1:end]) <= min_words:
+            yield i, end
+
+
+def must_go(rows):
+    """Lines (by doc_id) of every run that stands earlier, found without chunks or hashes."""
+    places = defaultdict(list)
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        for a, b in runs(lines):
+            places[tuple(lines[a:b])].append((i, a, b))
+    gone = defaultdict(set)
+    for (i1, a1, b1), *later in places.values():
+        for i, a, b in later:
+            if i != i1 or a >= b1:
+                gone[i].update(range(a, b))
+    return gone
+
+
+def check_all_copies_go(spark, rows):
+    """All lines of repeated runs go; besides them only lines next to one go, and
+    each line's first copy stays."""
+    out = L.remove_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = {r["doc_id"]: r for r in out.collect()}
+    gone = must_go(rows)
+    assert gone
+    for i, text in rows:
+        lines = text.split("\n")
+        left = got[i]["text"].split("\n") if got[i]["_ld_removed"] < len(lines) else []
+        kept = [x for k, x in enumerate(lines) if k not in gone[i]]
+        rest = iter(kept)
+        assert all(x in rest for x in left), i  # nothing stays that must go
+        if not gone[i]:
+            assert left == lines
+    assert {x for _, t in rows for x in t.split("\n") if x} <= {x for r in got.values() for x in r["text"].split("\n")}
+    return got
+
+
+def test_passages_of_short_lines_are_found_without_a_common_chunk(spark):
+    rng = random.Random(11)
+
+    def line(n):
+        return " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(n))
+    rows = []
+    for shape in [(11, 5), (26, 2), (7, 8), (6, 10)] * 25:
+        passage = [line(shape[1]) for _ in range(shape[0])]
+        for _ in range(2):
+            lines = [line(8) for _ in range(4)] + passage + [line(8) for _ in range(4)]
+            rows.append((len(rows), "\n".join(lines)))
+    got = check_all_copies_go(spark, rows)
+    assert all(got[i]["_ld_removed"] == (0 if i % 2 == 0 else len(rows[i][1].split("\n")) - 8) for i in got)

@@ -141,3 +141,16 @@ def test_passages_of_short_lines_are_found_without_a_common_chunk(spark):
             rows.append((len(rows), "\n".join(lines)))
     got = check_all_copies_go(spark, rows)
     assert all(got[i]["_ld_removed"] == (0 if i % 2 == 0 else len(rows[i][1].split("\n")) - 8) for i in got)
+
+
+def test_copies_in_surroundings_unlike_the_first(spark):
+    rng = random.Random(12)
+
+    def line(n):
+        return " ".join(f"u{rng.randrange(10 ** 6)}" for _ in range(n))
+    hot = [line(20) for _ in range(4)]  # a chunk each or two: 20 of 16 words always end one
+    passage = "\n".join(hot)
+    rows = [(0, "\n".join(x for h in hot for x in (h, line(6)))), (1, "\n".join(reversed(hot)))]
+    rows += [(i, "\n".join([line(9), passage, line(9)])) for i in range(2, 12)]
+    got = check_all_copies_go(spark, rows)
+    assert [got[i]["_ld_removed"] for i in range(12)] == [0, 0, 0] + [4] * 9

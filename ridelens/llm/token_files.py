@@ -37,6 +37,7 @@ from ridelens.llm.common import bounded_batches, pick, read_table, scratch
 
 CHUNK = re.compile(r"[^ \n]+").findall
 MARKS = ".,;:!?"
+SPECIAL = "<|"
 CACHE_CHUNKS = 500_000
 PART_SCHEMA = "part int, name string, n_docs long, n_tokens long"
 
@@ -58,15 +59,16 @@ class ChunkEncoder(dict):
     behind it (always pieces of their own), ASCII capitals are lowered (as the
     tokenizer does), and only words not seen before go through the library:
     words of letters alone are one piece and, normalised here, go straight to
-    its model; others take its whole path.  Right for lower-casing tokenizers
-    whose pieces never hold white space."""
+    its model; others take its whole path.  A chunk with the beginning of a
+    special token goes to the library as it stands, which finds special tokens
+    before it lowers.  Right for lower-casing tokenizers whose pieces never hold
+    white space and whose special tokens begin with `SPECIAL`."""
 
     def __init__(self, tokenizer_json: str, dtype: np.dtype):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.tokenizer.model
         self.code = "H" if dtype.itemsize == 2 else "I"  # little endian, as Spark's platforms are
         self.words: dict[str, bytes] = {}
@@ -85,7 +87,9 @@ class ChunkEncoder(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         word = chunk.rstrip(MARKS)
-        if len(word) < len(chunk):
+        if SPECIAL in chunk:
+            packed = pack(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        elif len(word) < len(chunk):
             if word and unicodedata.normalize("NFC", word[-1]).lower()[-1].isalnum():
                 packed = self[word] + self._word(chunk[len(word):])
             else:

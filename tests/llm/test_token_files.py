@@ -58,3 +58,22 @@ def test_query(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert sorted(map(tuple, TF.op8_token_files(spark, d).collect())) == expected(rows)
+
+
+UNTOUCHED = Tokenizer.from_file(PATH)
+PIECES = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "one", "É", "Σ", "\u0301",
+                          " ", "\n", "\t", ".", "'s", "12", "İ"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, max_size=12).map("".join) | st.text(max_size=40))
+def test_special_tokens_as_the_untouched_library(text):
+    assert np.frombuffer(OURS.encode(text), "<u2").tolist() == UNTOUCHED.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_in_a_document(spark):
+    path, rows = scratch(spark, "tokens"), [(1, "one <|endoftext|> two"), (2, "x<|STARTOFTEXT|><|startoftext|>.")]
+    TF.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, PATH, 1, partitions=2)
+    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in TF.read_token_files(spark, path).collect()}
+    assert got == {i: [*UNTOUCHED.encode(t, add_special_tokens=False).ids, 1] for i, t in rows}
+    assert got[1] == [637, 49407, 1237, 1]

@@ -1,9 +1,8 @@
 """Language-model scoring over a sharded Elias-Fano n-gram trie.
 
-Learning counts words, pairs and triples of all training documents in Spark.
-Pairs seen fewer than `PAIR_LEAST` times and triples seen fewer than
-`TRIPLE_LEAST` are pruned (triples are only counted where both their pairs are
-frequent enough, which loses none).  Probabilities are interpolated absolute
+Learning counts words, pairs and triples of all training documents in Spark, and
+all of them are kept, those seen once too.  The number of shards follows the
+number of tokens.  Probabilities are interpolated absolute
 discounting: p(w|b,c) = max(n(bcw)-D,0)/n(bc) + rest(bc) p(w|c), p(w|c) the
 same one order lower, p(w) add-one.  The discounted shares and the rest masses are
 stored as base-10 logarithms in 16 bits, rounded down, so no context gives out
@@ -45,8 +44,9 @@ from ridelens.llm.elias_fano import EliasFano, named, read_arrays, sequence, wri
 U64 = np.uint64
 END_WORD = b"\n"  # no word holds a line end
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-PAIR_LEAST, TRIPLE_LEAST, DISCOUNT = 2, 3, 0.75
+PAIR_LEAST, TRIPLE_LEAST, DISCOUNT = 1, 1, 0.75
 FLUSH_TOKENS = 4_000_000
+SHARD_TOKENS = 4_000_000  # a shard's pairs or triples are merged in memory
 LOCAL_WORDS = 600_000
 REST_BLOCK = 1 << 20
 STEP = 12 / 65535  # logarithms from -12 to 0 in 16 bits
@@ -288,7 +288,7 @@ class Trie:
         return c.astype(U64) * U64(max(1, self.shape.words)) + w.astype(U64)
 
     def pairs(self, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shard of each pair and its place there, -1 where it was pruned."""
+        """Shard of each pair and its place there, -1 where it was never seen."""
         shard = shard_of(c, w, self.shape.shards)
         place = np.full(len(c), -1, np.int64)
         for k, some in self._by(shard):
@@ -307,7 +307,7 @@ class Trie:
 
     def triples(self, b: np.ndarray, c: np.ndarray, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
         """log10 of the discounted p(w|b,c) of the pairs (c, w) at their places,
-        -inf where pruned."""
+        -inf where never seen."""
         out = np.full(len(b), -np.inf)
         for k, some in self._by(shard):
             a = self.store.read(f"triples/{k}")
@@ -398,7 +398,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def write_words(docs: DataFrame, path: str, parts: int, shards: int) -> Shape:
-    """Level 1 files by hash range; returns the shape of the model."""
+    """Level 1 files by hash range; returns the shape of the model, with `shards`
+    pair shards at least."""
     def write(batches):
         from pyspark import TaskContext
         held = [b for b in batches if b.num_rows]
@@ -420,8 +421,9 @@ def write_words(docs: DataFrame, path: str, parts: int, shards: int) -> Shape:
         if place != r["k"]:
             store.fs.move(f"{store.folder}/words/{r['k']}", f"{store.folder}/words/{place}")
     bases = np.cumsum([0, *(r["words"] for r in rows)]).tolist()
+    tokens = sum(r["tokens"] for r in rows)
     return Shape(path, tuple(int(r["last"]) for r in rows), tuple(bases[:-1]),
-                 sum(r["tokens"] for r in rows), bases[-1], shards)
+                 tokens, bases[-1], max(shards, -(-tokens // SHARD_TOKENS)))
 
 
 def _by_shard(rows: DataFrame, shards: int) -> DataFrame:
@@ -429,8 +431,8 @@ def _by_shard(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def write_pairs(docs: DataFrame, shape: Shape) -> DataFrame:
-    """Level 2: count the pairs, keep the frequent ones; c and mass (discounted
-    counts of its kept successors, by shard)."""
+    """Level 2: count the pairs; c and mass (discounted counts of its successors,
+    by shard)."""
     words = U64(max(1, shape.words))
 
     def count(batches):
@@ -475,8 +477,7 @@ def write_rests(masses: DataFrame, shape: Shape) -> None:
 
 
 def write_triples(docs: DataFrame, shape: Shape) -> DataFrame:
-    """Level 3: count the triples whose pairs are both frequent, keep the
-    frequent ones; shard of (b, c), b, c and mass of the kept triples."""
+    """Level 3: count the triples; shard of (b, c), b, c and mass of the triples."""
     words = U64(max(1, shape.words))
 
     def count(batches):
@@ -489,9 +490,8 @@ def write_triples(docs: DataFrame, shape: Shape) -> DataFrame:
             keys = trie.key(ids[at - 1], ids[at])
             pairs, slot = np.unique(keys, return_inverse=True)
             shard, place = trie.pairs((pairs // words).astype(np.int64), (pairs % words).astype(np.int64))
-            often = trie.pair_values(shard, place, "pairs", "n") >= TRIPLE_LEAST
             which = np.full(len(ids), -1, np.int64)
-            which[at] = np.where(often[slot], slot, -1)
+            which[at] = np.where(place[slot] >= 0, slot, -1)
             ends = at[(which[at] >= 0) & (which[at - 1] >= 0)]
             ends = ends[~first[ends - 1]]
             pair = which[ends]

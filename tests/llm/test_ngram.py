@@ -96,3 +96,22 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     assert M.score(no_docs, shape).count() == 0
     nothing = M.learn(no_docs, shards=2)
     assert all(r["score"] == 0 for r in M.score(odd_docs, nothing).collect())
+
+
+def test_what_was_seen_once_counts(spark):
+    seen, unseen = "red green blue", "red blue green"
+    docs = spark.createDataFrame([(1, seen)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in M.score(
+        spark.createDataFrame([(1, seen), (2, unseen)], "doc_id long, text string"), M.learn(docs, shards=2)).collect()}
+    # n = v = 4: p1 = 2 / 9, p2 = 1/4 + 3/4 p1 = 5/12, p3 = 1/4 + 3/4 p2 = 9/16
+    assert abs(got[1] - math.log10(2 / 9 * 5 / 12 * 9 / 16 * 9 / 16)) < 16 * M.STEP
+    assert got[1] > got[2] + 0.5
+
+
+def test_more_tokens_make_more_shards(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_TOKENS", 100)
+    rows = [(i, " ".join(f"w{(i * k) % 37}" for k in range(60))) for i in range(20)]
+    shape = M.learn(spark.createDataFrame(rows, "doc_id long, text string"), shards=2)
+    assert shape.shards == -(-shape.tokens // 100) > 2
+    close(M.score(spark.createDataFrame(rows, "doc_id long, text string"), shape).collect(),
+          Brute([t for _, t in rows]), rows)

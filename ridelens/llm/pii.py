@@ -42,12 +42,12 @@ SHAPES = {
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "local_phone": r"(?<![0-9+(-]|[0-9+]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])",
-    "masked_email": (r"\b[A-Za-z0-9._%+-]{2,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{2,63}"
-                     r"\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,24}\b"),
+    "masked_email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{2,}+"
+                     r"\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,}+\b"),
     "name": (r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra|Señor|Señora)\.?"
              r"(?:\x20[\p{Lu}][\p{Ll}]{1,30}){1,3}"),
     "secret": (r"\b(?:AKIA[0-9A-Z]{16}\b|(?i:password|passwd|pwd|secret|token|api[_-]?key)"
-               r"\x20?[=:]\x20?\"?[A-Za-z0-9_+/.-]{6,200}\"?)"),
+               r"\x20?[=:]\x20?\"?[A-Za-z0-9_+/.-]{6,}+\"?)"),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 KINDS = (*BASE_KINDS, *SHAPES)

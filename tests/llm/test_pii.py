@@ -82,3 +82,15 @@ def test_no_python_on_the_executors(odd_docs):
 
 def test_empty_table(no_docs):
     assert pii.find_pii(no_docs).count() == 0
+
+
+def test_long_values_are_whole(spark):
+    token = "eyJ0" + "aB3_x.Y-" * 125
+    name, host = "long.name" * 12, "host-" * 20 + "x"
+    texts = [f"token={token} rest", f'secret: "{token}" rest', f"write to {name} (at) {host} (dot) com today",
+             "a." * 20_000 + " (at"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: {texts[r["doc_id"]][c["start"]:c["end"]] for c in r["candidates"]}
+             for r in pii.find_candidates(rows).collect()}
+    assert len(token) > 1000
+    assert found == {0: {f"token={token}"}, 1: {f'secret: "{token}"'}, 2: {f"{name} (at) {host} (dot) com"}, 3: set()}

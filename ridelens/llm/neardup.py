@@ -296,6 +296,17 @@ def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group (the smallest doc_id), and all unlinked ones."""
-    gone = (near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """One row of each group (the smallest doc_id; a null one only where there is
+    no other), and all unlinked ones.  Rows are told apart by a number of their
+    own, so repeated and null ids are separate documents."""
+    numbered = stored(docs.withColumn("_nd_row", F.monotonically_increasing_id()), "numbered")
+    found = stored(near_duplicates(numbered.select(F.col("_nd_row").alias("doc_id"), "text"))
+                   .select(F.col("doc_id").alias("_nd_row"), F.col("component_id").alias("_nd_group"), "kept"), "groups")
+    shared = stored(found.where(~F.col("kept")).select("_nd_group").distinct(), "shared-groups")
+    members = stored(found.join(if_small(shared, ID_ROWS), "_nd_group").select("_nd_row", "_nd_group"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"),
+                     F.xxhash64("text").alias("digest"), F.col("_nd_row").alias("row"))
+    best = (numbered.join(if_small(members, ID_ROWS), "_nd_row").groupBy("_nd_group")
+            .agg(F.min(order)["row"].alias("_nd_row")))
+    gone = members.join(best, ["_nd_group", "_nd_row"], "left_anti").select("_nd_row")
+    return numbered.join(gone, "_nd_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -100,3 +100,19 @@ def test_components_of_long_chain(spark):
 
 def test_same_as_sql(same_as_sql):
     same_as_sql("op1_near_duplicates")
+
+
+def test_stage_with_repeated_and_null_ids(spark):
+    rng = random.Random(6)
+
+    def text():
+        return " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(80))
+    a, b, c, d = text(), text(), text(), text()
+    near = d + " one more"
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d), (None, near), (None, c), (4, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    left = [(r["doc_id"], r["text"]) for r in N.stage_near_duplicates(spark, docs, "").collect()]
+    nulls = [t for i, t in left if i is None]
+    assert len(nulls) == 1 and nulls[0] in (d, near)
+    assert sorted((x for x in left if x[0] is not None), key=repr) == sorted(
+        [(1, a), (2, b), (3, c), (4, ""), (4, None)], key=repr)

@@ -158,11 +158,13 @@ def store_partitioned(df: DataFrame, path: str, partition_by: list[str], sort_by
     """Persist a dataset as Parquet partitioned on low-cardinality filter keys
     (e.g. `funnel_step`).  Rows meet by key and month of the date `sort_by`
     before the write, and are sorted by it, so each task writes few files whose
-    row groups the date predicates prune."""
+    row groups the date predicates prune.  Adaptive execution splits a large key
+    and month over several tasks."""
     if partition_by:
-        keys = [F.col(c) for c in partition_by]
-        df = df.repartition(*keys, *([F.trunc(sort_by, "month")] if sort_by else []))
-        df = df.sortWithinPartitions(*keys, *([sort_by] if sort_by else []))
+        # the hint takes names only
+        months = {"_store_month": F.trunc(sort_by, "month")} if sort_by else {}
+        df = df.withColumns(months).hint("rebalance", *partition_by, *months)
+        df = df.sortWithinPartitions(*partition_by, *([sort_by] if sort_by else [])).drop(*months)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return path
 

@@ -115,3 +115,17 @@ def test_five_tables_from_parquet(spark):
     assert spark_rows(user_declines(back)) == spark_rows(user_declines(t))
     plan = user_declines(back)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<ride_id:bigint,user_id:bigint,driver_id:bigint>" in plan
+
+
+def test_store_splits_a_hot_month(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        df = spark.range(0, 200_000, 1, 8).selectExpr(
+            "1 AS step", "date_add(date'2021-03-01', cast(id % 31 AS int)) AS day", "uuid() AS user")
+        path = io.store_partitioned(df, str(tmp_path / "hot"), ["step"], "day")
+    finally:
+        spark.conf.set(size, before)
+    assert len(list((tmp_path / "hot" / "step=1").glob("*.parquet"))) > 4
+    assert spark.read.parquet(path).agg({"user": "count"}).first()[0] == 200_000

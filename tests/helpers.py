@@ -1,9 +1,13 @@
-"""Row normalisation shared by the tests."""
+"""Table folders and row normalisation shared by the tests (import these from here,
+never from a conftest: each folder has its own)."""
 
 import datetime as dt
 import math
 from decimal import Decimal
 
+SF_SMALL = "/root/testdata/sf0.001"
+SF_MEDIUM = "/root/testdata/sf0.01"
+
 
 def norm(v):
     if v is None:

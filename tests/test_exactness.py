@@ -5,7 +5,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from ridelens.functions.exprs import mean_of_means, usd
 from ridelens.operators import charges, demand, funnel
 from ridelens.operators.reshape import dense_grid, pivot_wide

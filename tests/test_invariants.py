@@ -4,7 +4,7 @@ signed-up users: the funnel only knows those."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MEDIUM
+from helpers import SF_MEDIUM
 from ridelens.operators import charges, demand, funnel
 from ridelens.plans import panels
 from ridelens.sources.adapter import from_driver_tables

@@ -6,8 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
-from helpers import spark_rows
+from helpers import SF_SMALL, spark_rows
 from ridelens.operators import funnel
 from ridelens.plans import panels
 from ridelens.plans.exchange import DAILY_USER_ORDER

@@ -4,8 +4,7 @@ training-data queries have tests of their own in tests/llm."""
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
-from helpers import duck_rows, spark_rows
+from helpers import SF_SMALL, duck_rows, spark_rows
 from ridelens.plans import oracle, registry
 
 QUERIES = registry.queries()

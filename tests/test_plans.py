@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from ridelens.plans import registry
 
 WRITES = {"csv_roundtrip", "merge_shards", "export_page", "export_all_pages", "driver_summary_stored",

@@ -8,8 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conftest import SF_MEDIUM
-from helpers import duck_rows, spark_rows
+from helpers import SF_MEDIUM, duck_rows, spark_rows
 from ridelens.plans.registry import CORE_QUERIES
 from ridelens.sources.adapter import (CUSTOMER_COLUMNS, ORDERS_COLUMNS, downloads_and_signups,
                                       rides_transactions_reviews)

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from ridelens import session
 from ridelens.sources import io, tables
 from ridelens.sources.adapter import from_driver_tables

@@ -102,6 +102,50 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM docs LEFT JOIN words_hit USING (rid) LEFT JOIN items_hit USING (rid)
 """
 
+OP12 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+    min(doc_id) OVER (PARTITION BY text) AS first_id FROM docs),
+marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first_id, false)::INT AS fails
+  FROM words w LEFT JOIN marks USING (doc_id)),
+cells AS MATERIALIZED (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+  FROM masks GROUP BY ALL),
+filters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT '' AS o, 0 AS step, 0 AS own, 0 AS earlier, [{'own': 0, 'earlier': 0}] AS steps UNION ALL
+  SELECT o || f, step + 1, bit, orders.earlier + orders.own,
+    list_append(steps, {'own': bit, 'earlier': orders.earlier + orders.own})
+  FROM orders, filters WHERE NOT contains(o, f)),
+steps AS (
+  SELECT o AS filter_order, unnest(range(1, 6)) AS step, unnest(list_slice(steps, 2, 6)) AS s
+  FROM orders WHERE step = 5),
+hits AS (
+  SELECT part, filter_order, step, s.own AS filter, n, n_good, n_toxic,
+    (fails & s.own) > 0 AS own, (fails & s.earlier) > 0 AS earlier, fails = s.own AS alone
+  FROM cells, steps),
+counted AS (
+  SELECT part, filter_order, step, filter,
+    sum(n) FILTER (NOT own AND NOT earlier) AS kept, sum(n) FILTER (own AND NOT earlier) AS removed,
+    sum(n) FILTER (own AND earlier) AS redundant, sum(n) FILTER (alone) AS unique_fails,
+    sum(n_good) FILTER (own AND NOT earlier) AS good_lost, sum(n_toxic) FILTER (own AND NOT earlier) AS toxic_lost
+  FROM hits GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
+  coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM counted
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     from ridelens.llm.quality import STOP_WORDS
@@ -109,4 +153,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_near_duplicates": OP1,
         "op6_decontaminate": OP6,
         "op10_quality_rules": OP10.replace("{stop_words}", " ".join(STOP_WORDS)),
+        "op12_filter_audit": OP12,
     }

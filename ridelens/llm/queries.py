@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ridelens.llm.bpe import op7_byte_bpe
 from ridelens.llm.decontaminate import op6_decontaminate
+from ridelens.llm.filter_audit import op12_filter_audit
 from ridelens.llm.html_extract import op2_html_text
 from ridelens.llm.line_dedup import op5_line_dedup
 from ridelens.llm.neardup import op1_near_duplicates
@@ -28,6 +29,7 @@ OPERATORS = (
     op8_token_files,
     op9_toxicity,
     op10_quality_rules,
+    op12_filter_audit,
 )
 
 

@@ -102,6 +102,48 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM docs LEFT JOIN words_hit USING (rid) LEFT JOIN items_hit USING (rid)
 """
 
+OP11 = r"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL),
+components AS MATERIALIZED (
+  SELECT rid, vec_id, len(embedding) AS width, unnest(embedding)::DOUBLE AS x,
+    generate_subscripts(embedding, 1) - 1 AS pos FROM vectors),
+broken AS (SELECT rid FROM components WHERE x IS NULL OR NOT isfinite(x)),
+ints AS MATERIALIZED (
+  SELECT rid, vec_id, pos // (width // 16) AS part, pos % (width // 16) AS k, floor(256 * x)::BIGINT AS v
+  FROM components WHERE rid NOT IN (SELECT rid FROM broken)),
+seeds AS (
+  SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (
+    SELECT DISTINCT rid, vec_id FROM ints ORDER BY vec_id LIMIT 64)),
+book0 AS MATERIALIZED (SELECT part, entry, k, v FROM ints JOIN seeds USING (rid)),
+near1 AS MATERIALIZED ({near0}),
+book1 AS MATERIALIZED ({book0}),
+near2 AS MATERIALIZED ({near1}),
+book2 AS MATERIALIZED ({book1}),
+near3 AS MATERIALIZED ({near2}),
+coded AS (
+  SELECT rid, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM near3 GROUP BY rid),
+digest AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, k)) AS h FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM coded JOIN vectors USING (rid), digest
+"""
+
+NEAR = """
+  SELECT rid, part, entry, d FROM (
+    SELECT i.rid, i.part, b.entry, sum((i.v - b.v) * (i.v - b.v)) AS d
+    FROM ints i JOIN {book} b ON i.part = b.part AND i.k = b.k GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY d, entry) = 1"""
+
+BOOK = """
+  SELECT part, entry, k, coalesce(m.v, {book}.v) AS v FROM {book} LEFT JOIN (
+    SELECT part, entry, k, floor(sum(i.v) / count(*))::BIGINT AS v
+    FROM {near} JOIN ints i USING (rid, part) GROUP BY ALL) m USING (part, entry, k)"""
+
+for _n in range(3):
+    OP11 = OP11.replace(f"{{near{_n}}}", NEAR.replace("{book}", f"book{_n}"))
+    OP11 = OP11.replace(f"{{book{_n}}}", BOOK.replace("{book}", f"book{_n}").replace("{near}", f"near{_n + 1}"))
+
 OP12 = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
@@ -153,5 +195,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_near_duplicates": OP1,
         "op6_decontaminate": OP6,
         "op10_quality_rules": OP10.replace("{stop_words}", " ".join(STOP_WORDS)),
+        "op11_vector_codes": OP11,
         "op12_filter_audit": OP12,
     }

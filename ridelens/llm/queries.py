@@ -17,6 +17,7 @@ from ridelens.llm.pii import op4_pii
 from ridelens.llm.quality import op10_quality_rules
 from ridelens.llm.token_files import op8_token_files
 from ridelens.llm.toxicity import op9_toxicity
+from ridelens.llm.vector_codes import op11_vector_codes
 
 OPERATORS = (
     op1_near_duplicates,
@@ -29,6 +30,7 @@ OPERATORS = (
     op8_token_files,
     op9_toxicity,
     op10_quality_rules,
+    op11_vector_codes,
     op12_filter_audit,
 )
 

@@ -37,7 +37,7 @@ def duck_llm():
 
     def connect(sf_dir):
         con = duckdb.connect()
-        for t in ("documents", "benchmark", "labels", "pages"):
+        for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
         return con
     return connect

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +47,19 @@ def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches small enough for tables of very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches small enough for very long texts, for the jobs run inside
+    (a lazy frame that leaves the block is planned with the session's own)."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+              "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

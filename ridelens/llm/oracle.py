@@ -188,6 +188,14 @@ SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
 FROM counted
 """
 
+OP13 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, strlen(html)::BIGINT AS n, min(page_id) OVER (PARTITION BY html) AS first_id FROM p),
+r AS (SELECT *, CASE WHEN n >= 100 AND first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to FROM f)
+SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     from ridelens.llm.quality import STOP_WORDS
@@ -197,4 +205,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_quality_rules": OP10.replace("{stop_words}", " ".join(STOP_WORDS)),
         "op11_vector_codes": OP11,
         "op12_filter_audit": OP12,
+        "op13_warc": OP13,
     }

@@ -18,6 +18,7 @@ from ridelens.llm.quality import op10_quality_rules
 from ridelens.llm.token_files import op8_token_files
 from ridelens.llm.toxicity import op9_toxicity
 from ridelens.llm.vector_codes import op11_vector_codes
+from ridelens.llm.warc import op13_warc
 
 OPERATORS = (
     op1_near_duplicates,
@@ -32,6 +33,7 @@ OPERATORS = (
     op10_quality_rules,
     op11_vector_codes,
     op12_filter_audit,
+    op13_warc,
 )
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.functions.exprs import USD, round_half_up_ratio, usd
-from ridelens.operators.facts import ride_facts, rides_with_charges
+from ridelens.functions.exprs import round_half_up_ratio
+from ridelens.operators.facts import TOTAL, ride_charges, ride_facts, ride_reviews, times
 from ridelens.sources.tables import RideTables
 
 
@@ -14,15 +14,33 @@ def charge_status_stats(t: RideTables) -> DataFrame:
     """Q08: per charge status, distinct *reviewing* users, distinct drivers,
     rides, reviews and total usd (2 decimals).
 
-    The NULL-status filter makes the transaction join inner (Catalyst
-    rewrites it), and the two distinct counts share one Expand."""
-    f = rides_with_charges(t).where(F.col("charge_status").isNotNull())
-    return (f.groupBy("charge_status")
-            .agg(F.count_distinct("reviewer_id").alias("users"),
-                 F.count_distinct("driver_id").alias("drivers"),
-                 F.count("ride_id").alias("rides"),
-                 F.count("review_id").alias("reviews"),
-                 F.round(F.sum(usd("purchase_amount_usd")), 2).cast("double").alias("total_usd")))
+    Drivers and reviewers are counted from (status, driver) and (status,
+    reviewer) cells, which partial aggregation makes of the joined rows, so no
+    row is expanded; the two cell sets meet as at most two rows a status and
+    partition.  Rides and reviews count once per joined row, as `per_review`
+    and the number of charges say."""
+    charges = ride_charges(t).where(F.col("charge_status").isNotNull())
+    rides = ride_facts(t, charges=False)
+    by_driver = (charges.join(rides.select("ride_id", "driver_id", "per_review", "n_review_ids"), "ride_id")
+                 .groupBy("charge_status", "driver_id").agg(
+                     F.sum(F.col("n_charges") * F.col("per_review")).alias("rides"),
+                     F.sum(F.col("n_charges") * F.coalesce("n_review_ids", F.lit(0))).alias("reviews"),
+                     F.sum(times("usd", "per_review")).alias("usd")))
+    reviewed = (ride_reviews(t).select("ride_id", "reviewer_id")
+                .join(t.ride_requests.select("ride_id"), "ride_id")
+                .join(charges.select("ride_id", "charge_status"), "ride_id")
+                .select("charge_status", "reviewer_id").distinct())
+    drivers = by_driver.groupBy("charge_status").agg(
+        F.lit(None).cast("bigint").alias("users"), F.count("driver_id").alias("drivers"),
+        *[F.sum(c).alias(c) for c in ("rides", "reviews", "usd")])
+    users = reviewed.groupBy("charge_status").agg(
+        F.count("reviewer_id").alias("users"), *[F.lit(None).cast("bigint").alias(c) for c in
+                                                 ("drivers", "rides", "reviews")],
+        F.lit(None).cast(TOTAL).alias("usd"))
+    return (drivers.unionByName(users).groupBy("charge_status").agg(
+        F.coalesce(F.sum("users"), F.lit(0)).alias("users"),
+        *[F.sum(c).cast("bigint").alias(c) for c in ("drivers", "rides", "reviews")],
+        F.round(F.sum("usd"), 2).cast("double").alias("total_usd")))
 
 
 def decline_cells(t: RideTables, key: str) -> DataFrame:
@@ -41,9 +59,7 @@ def _declines(t: RideTables, key: str, other: str, other_name: str,
     f = ride_facts(t)
 
     def joined_usd(c: str) -> Column:
-        # 28 + 9 digits: the product keeps all eight decimals
-        product = F.col(c).cast(USD) * F.col("per_review").cast("decimal(9,0)")
-        return F.coalesce(F.sum(product), F.lit(0).cast("decimal(38,8)")).cast("double")
+        return F.coalesce(F.sum(times(c, "per_review")), F.lit(0).cast(TOTAL)).cast("double")
     out = (f.groupBy(key)
            .agg(F.count_distinct(other).alias(other_name),
                 F.count("ride_id").alias("unique_rides"),

@@ -6,26 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelens.functions.exprs import mean_half_up, round_half_up_ratio
-from ridelens.operators.facts import user_dim
+from ridelens.operators.facts import ride_facts, user_dim
 from ridelens.sources.tables import RideTables
 
 
 def _driver_user_cells(t: RideTables) -> DataFrame:
     """Rides (with their reviews) reduced to one row per (driver, user).
 
-    The review join and the distinct ride count both cluster on ride_id, so
-    they share one shuffle; the result is far smaller than the ride table
-    and is what meets the user dimension."""
-    rv = t.reviews.select("ride_id", "review_id", "rating")
-    rides = t.ride_requests.select("ride_id", "user_id", "driver_id", "dropoff_ts", "cancel_ts")
-    return (rides.join(rv, "ride_id", "left")
-            .groupBy("driver_id", "user_id")
-            .agg(F.count_distinct("ride_id").alias("rides"),
-                 F.count("dropoff_ts").alias("rides_completed"),
-                 F.count("cancel_ts").alias("rides_canceled"),
-                 F.count("review_id").alias("reviews"),
-                 F.sum("rating").alias("rating_sum"),
-                 F.count("rating").alias("rating_n")))
+    Drop-offs and cancellations count once per review of their ride, as in the
+    joined tables; the result is far smaller than the ride table and is what
+    meets the user dimension."""
+    def per_review(c: str):
+        return F.sum(F.when(F.col(c).isNotNull(), F.col("per_review")).otherwise(0))
+    return (ride_facts(t, charges=False).groupBy("driver_id", "user_id")
+            .agg(F.count("ride_id").alias("rides"),
+                 per_review("dropoff_ts").alias("rides_completed"),
+                 per_review("cancel_ts").alias("rides_canceled"),
+                 F.sum(F.coalesce("n_review_ids", F.lit(0))).alias("reviews"),
+                 F.sum("rating_sum").alias("rating_sum"),
+                 F.sum(F.coalesce("rating_n", F.lit(0))).alias("rating_n")))
 
 
 def _distribution(t: RideTables) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelens.functions.exprs import day, ratio, round_half_up_ratio, usd
-from ridelens.operators.facts import user_dim
+from ridelens.operators.facts import TOTAL, times, user_dim
 from ridelens.sources.schemas import FUNNEL_STEPS
 from ridelens.sources.tables import RideTables
 
@@ -129,6 +129,37 @@ def _signups(users: DataFrame, g: Grain) -> DataFrame:
     return _finish(cells, 2, g)
 
 
+def _completed(t: RideTables, day4: list[Column]) -> DataFrame:
+    """Step-4 cells per rider [and day]: dropped-off rides with an Approved
+    charge, once per charge and review.  Stored rides carry the sums of both, so
+    nothing is joined."""
+    if t.cells:
+        joined = F.col("n_approved") * F.col("per_review")
+        return (t.cells["rides"].where(F.col("dropoff_ts").isNotNull() & (F.col("n_approved") > 0))
+                .groupBy(F.col("user_id").alias("rider_id"), *day4)
+                .agg(F.lit(4).alias("step"),
+                     F.sum(joined).alias("n_rides"),
+                     F.sum(F.when(F.col("cancel_ts").isNotNull(), joined).otherwise(0)).alias("n_cancels"),
+                     F.sum(times("approved_usd", "per_review")).cast(TOTAL).alias("usd"),
+                     F.sum(F.coalesce("n_review_ids", F.lit(0))).alias("n_reviews"),
+                     F.sum(F.col("rating_sum") * F.col("n_approved")).alias("rating_sum"),
+                     F.sum(F.coalesce("rating_n", F.lit(0)) * F.col("n_approved")).alias("rating_n")))
+    rides = (t.ride_requests.where(F.col("dropoff_ts").isNotNull())
+             .select("ride_id", "user_id", "dropoff_ts", "cancel_ts"))
+    approved = (t.transactions.where(F.col("charge_status") == "Approved")
+                .select("ride_id", usd("purchase_amount_usd").alias("usd")))
+    reviews = t.reviews.select("ride_id", "review_id", "rating")
+    return (rides.join(approved, "ride_id").join(reviews, "ride_id", "left")
+            .groupBy(F.col("user_id").alias("rider_id"), *day4)
+            .agg(F.lit(4).alias("step"),
+                 F.count("ride_id").alias("n_rides"),
+                 F.count("cancel_ts").alias("n_cancels"),
+                 F.sum("usd").cast(TOTAL).alias("usd"),
+                 F.count_distinct("review_id").alias("n_reviews"),
+                 F.sum("rating").cast("bigint").alias("rating_sum"),
+                 F.count("rating").alias("rating_n")))
+
+
 def _ride_steps(t: RideTables, users: DataFrame, g: Grain) -> DataFrame:
     """Steps 3 and 4 from one join with the user dimension.
 
@@ -145,27 +176,12 @@ def _ride_steps(t: RideTables, users: DataFrame, g: Grain) -> DataFrame:
                  .agg(F.lit(3).alias("step"),
                       F.count("ride_id").alias("n_rides"),
                       F.count("cancel_ts").alias("n_cancels"),
-                      _null("decimal(38,8)").alias("usd"),
+                      _null(TOTAL).alias("usd"),
                       _null("bigint").alias("n_reviews"),
                       _null("bigint").alias("rating_sum"),
                       _null("bigint").alias("rating_n")))
 
-    rides = (t.ride_requests.where(F.col("dropoff_ts").isNotNull())
-             .select("ride_id", "user_id", "dropoff_ts", "cancel_ts"))
-    approved = (t.transactions.where(F.col("charge_status") == "Approved")
-                .select("ride_id", usd("purchase_amount_usd").alias("usd")))
-    reviews = t.reviews.select("ride_id", "review_id", "rating")
-    day4 = [day("dropoff_ts").alias("daily_date")] if g.daily else []
-    completed = (rides.join(approved, "ride_id").join(reviews, "ride_id", "left")
-                 .groupBy(F.col("user_id").alias("rider_id"), *day4)
-                 .agg(F.lit(4).alias("step"),
-                      F.count("ride_id").alias("n_rides"),
-                      F.count("cancel_ts").alias("n_cancels"),
-                      F.sum("usd").cast("decimal(38,8)").alias("usd"),
-                      F.count_distinct("review_id").alias("n_reviews"),
-                      F.sum("rating").cast("bigint").alias("rating_sum"),
-                      F.count("rating").alias("rating_n")))
-
+    completed = _completed(t, [day("dropoff_ts").alias("daily_date")] if g.daily else [])
     joined = (users.select("user_id", "age_range", "platform")
               .join(requested.unionByName(completed), F.col("user_id") == F.col("rider_id"), "left"))
 

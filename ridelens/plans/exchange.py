@@ -69,6 +69,23 @@ def all_pages(t, spark: SparkSession) -> DataFrame:
     return io.read_all_pages(spark, path, PAGE_SIZE)
 
 
+def page_files(t, spark: SparkSession) -> DataFrame:
+    """The per-user daily funnel written as page files and read back with the
+    page each row stands in."""
+    from ridelens.operators import funnel
+    df = funnel.funnel_daily_user(t)
+    path = io.export_all_pages(df, io.scratch_path(spark, "pages"), DAILY_USER_ORDER, PAGE_SIZE)
+    return io.read_page_files(spark, path, df.schema)
+
+
+def download_numbers(t, spark: SparkSession) -> DataFrame:
+    """A dense number (from 1) for every download, in key order, without a
+    single-task window."""
+    path = io.number_rows(t.app_downloads.select("app_download_key"), ["app_download_key"],
+                          io.scratch_path(spark, "numbered"))
+    return spark.read.parquet(path).select("app_download_key", (F.col("_pos") + 1).alias("download_no"))
+
+
 def csv_roundtrip(df: DataFrame, name: str) -> DataFrame:
     """Write a dataset as header CSV to the shared folder and read it back
     under its own schema."""
@@ -113,6 +130,8 @@ def exchange_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataF
         "slider_bounds_driver_declines": run(lambda t: column_maxima(
             charges.decline_cells(t, "driver_id"), ["lost_total_usd", "gained_total_usd"])),
         "export_all_pages": lambda spark, sf_dir: all_pages(load(spark, sf_dir), spark),
+        "export_page_files": lambda spark, sf_dir: page_files(load(spark, sf_dir), spark),
+        "download_numbers": lambda spark, sf_dir: download_numbers(load(spark, sf_dir), spark),
         "driver_summary_stored": lambda spark, sf_dir: stored_driver_summary(load(spark, sf_dir), spark),
         "slider_bounds": run(lambda t: slider_bounds(drivers.driver_rating_summary(t))),
         "panel_driver_ratings_below_3": run(lambda t: panel_driver_ratings(
@@ -161,6 +180,10 @@ SELECT MAX(lost_total_usd) AS max_lost_total_usd, MAX(gained_total_usd) AS max_g
            for who in ("user", "driver")},
         "export_all_pages": (per_user, f"""
 SELECT *, (ROW_NUMBER() OVER (ORDER BY {order}) - 1) // {PAGE_SIZE} AS page FROM daily_user"""),
+        "export_page_files": (per_user, f"""
+SELECT *, (ROW_NUMBER() OVER (ORDER BY {order}) - 1) // {PAGE_SIZE} AS page FROM daily_user"""),
+        "download_numbers": ([], """
+SELECT app_download_key, ROW_NUMBER() OVER (ORDER BY app_download_key) AS download_no FROM app_downloads"""),
         "driver_summary_stored": ([("summary", "driver_rating_summary")], "SELECT * FROM summary"),
         "slider_bounds": ([("summary", "driver_rating_summary")], """
 SELECT MAX(avg_ratings) AS max_avg_ratings, MAX(reviews) AS max_reviews,

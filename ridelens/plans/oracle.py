@@ -286,16 +286,18 @@ def core_sql(prefix: str = "") -> dict[str, str]:
 
 
 def derived_sql(prefix: str = "") -> dict[str, str]:
-    """Panel and exchange statements; `prefix` as in `core_sql`."""
+    """Panel, exchange and store statements; `prefix` as in `core_sql`."""
     from ridelens.plans.exchange import exchange_sql
     from ridelens.plans.panel_oracle import panel_sql
+    from ridelens.plans.store_queries import FROM_FACTS, store_sql
     prefix = prefix or BASE
     if prefix.strip().upper() == "WITH":
         prefix = "WITH " + DIMENSIONS.strip() + "\n"
     core = _core()
     out = {}
-    for name, (sources, body) in {**panel_sql(), **exchange_sql()}.items():
-        ctes = [_embedded(core, src, alias) for alias, src in sources]
+    facts_keys = {f"{name}_from_facts" for name in FROM_FACTS}  # core statements, with CTEs of their own
+    for name, (sources, body) in {**panel_sql(), **exchange_sql(), **store_sql(core, panel_sql())}.items():
+        ctes = sources if name in facts_keys else [_embedded(core, src, alias) for alias, src in sources]
         body = body.strip()
         if body.upper().startswith("WITH "):  # merge the panel's own CTE list
             body = "," + body[len("WITH"):]

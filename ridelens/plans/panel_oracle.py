@@ -198,4 +198,6 @@ FROM stats WHERE rides_canceled >= {c} AND rides_completed >= {d} AND total_ride
                 column, f"SELECT * FROM points WHERE lost_total_usd >= {lost} AND gained_total_usd >= {gained}", usd))
     for name in ("panel_signups", "panel_daily_rides_usd", "panel_user_funnel"):
         out[f"{name}_stored"] = out[name]
+    for name in ("panel_signups", "panel_user_funnel"):
+        out[f"{name}_raw"] = out[name]
     return out

@@ -10,7 +10,8 @@ scan; only chart-sized rows (days x platforms at most) come out.
 Parameters mirror the dashboard controls; the defaults are its defaults
 except the date window, which is open (None) instead of a calendar range
 tied to one data set.  "merge" drops a dimension before aggregating; distinct
-users are always recounted from per-user rows, never added across segments.
+users are always recounted, from per-user rows or as the OR of stored bitmaps,
+never added across segments.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from ridelens.operators.filters import (NO_AGE_BOUND, age_between_null_tolerant,
                                         date_between, text_between)
 from ridelens.operators.reshape import (dense_grid, histogram, pivot_wide, relabel_steps,
                                         segment_label, to_long)
+from ridelens.operators.user_bitmaps import distinct_users
 from ridelens.sources.schemas import PLATFORMS
 
 # Dashboard defaults (fixed values).
@@ -58,6 +60,15 @@ def _with_pct_initial(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("pct_initial", F.col(value).cast("double") / first.cast("double"))
 
 
+def _users_by(f: DataFrame, keys: list[str], rides: bool = False) -> DataFrame:
+    """Distinct users [and rides] by `keys`: from per-user rows, or from the
+    stored bitmaps of `operators.user_bitmaps`."""
+    if "bitmap" in f.columns:
+        return distinct_users(f, keys, rides)
+    return f.groupBy(*keys).agg(F.count_distinct("user_ids").alias("users"),
+                                *([F.sum("rides").cast("bigint").alias("rides")] if rides else []))
+
+
 # -- funnels from the per-user dataset -------------------------------------------
 
 def panel_user_funnel(daily_user: DataFrame, start_date=None, end_date=None,
@@ -69,8 +80,7 @@ def panel_user_funnel(daily_user: DataFrame, start_date=None, end_date=None,
     f = daily_user.where(age_between_unless_unset("age_range", start_age, end_age)
                          & date_between("daily_date", start_date, end_date)
                          & text_between("platform", start_platform, end_platform))
-    cells = (f.groupBy("funnel_step", "funnel_name", "platform")
-             .agg(F.count_distinct("user_ids").alias("users")))
+    cells = _users_by(f, ["funnel_step", "funnel_name", "platform"])
     return _sorted(_with_pct_initial(cells, "users").withColumn("funnel_label", relabel_steps()),
                    "funnel_step", "platform")
 
@@ -97,23 +107,21 @@ def panel_rides_funnel(daily_user: DataFrame, start_date=None, end_date=None,
                          & date_between("daily_date", start_date, end_date)
                          & age_between_null_tolerant("age_range", start_age, end_age)
                          & text_between("platform", start_platform, end_platform))
-    cells = (f.groupBy("funnel_step", "funnel_name", "platform")
-             .agg(F.count_distinct("user_ids").alias("users"),
-                  F.sum("rides").cast("bigint").alias("rides")))
+    cells = _users_by(f, ["funnel_step", "funnel_name", "platform"], rides=True)
     return _sorted(_with_pct_initial(cells, "rides").withColumn("funnel_label", relabel_steps()),
                    "funnel_step", "platform")
 
 
 # -- segment bars (age x platform, or platform when ages are merged) -------------
 
-def _segment_bars(df: DataFrame, step: int, measure, fill, params: dict, merge_ages: bool,
-                  merged_measures=None) -> DataFrame:
-    f = _step_filter(df, step, params["start_date"], params["end_date"],
-                     params["start_platform"], params["end_platform"],
-                     params["start_age"], params["end_age"])
+def _segment_bars(df: DataFrame, step: int, measure, fill, params: dict, merge_ages: bool) -> DataFrame:
+    f = _step_filter(df, step, **params)
     if merge_ages:
-        return _sorted(f.groupBy("platform").agg(*(merged_measures or [measure])), "platform")
-    cells = f.groupBy("age_range", "platform").agg(measure)
+        return _sorted(f.groupBy("platform").agg(measure), "platform")
+    return _segment_grid(f.groupBy("age_range", "platform").agg(measure), fill)
+
+
+def _segment_grid(cells: DataFrame, fill) -> DataFrame:
     name = cells.columns[-1]
     grid = (dense_grid(cells, "age_range", "platform", {name: fill} if fill is not None else {})
             .withColumn("label", segment_label("age_range", "platform")))
@@ -134,9 +142,10 @@ def panel_signups(daily: DataFrame, start_date=None, end_date=None, start_age=FI
 
 
 def _distinct_users_bars(daily_user: DataFrame, step: int, p: dict, merge_ages: bool) -> DataFrame:
-    users = F.count_distinct("user_ids").alias("users")
-    return _segment_bars(daily_user, step, users, 0, p, merge_ages,
-                         merged_measures=[users, F.sum("rides").cast("bigint").alias("rides")])
+    f = _step_filter(daily_user, step, **p)
+    if merge_ages:
+        return _sorted(_users_by(f, ["platform"], rides=True), "platform")
+    return _segment_grid(_users_by(f, ["age_range", "platform"]), 0)
 
 
 def panel_requesting_users(daily_user: DataFrame, start_date=None, end_date=None, start_age=FIRST_AGE,
@@ -339,12 +348,17 @@ USER_TYPE_BOUNDS = {"min_canceled": 2, "min_completed": 1, "min_total": 4}
 USD_BOUNDS = {"min_lost": 100000, "min_gained": 200000}
 
 
-def panel_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def panel_queries(load=None, store=None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Registered panels; `load(spark, sf_dir) -> RideTables` supplies the
-    tables (default: the fixture mapping of the driver's test data)."""
-    from ridelens.operators import charges, demand, drivers, funnel
+    tables (default: the fixture mapping of the driver's test data).  As the
+    dashboard does, they read the datasets of a store (`SessionStore`), which is
+    written when the first of them asks for one; the `*_raw` keys compute theirs
+    from the tables instead, and the `*_stored` ones write a store of their own."""
+    from ridelens.operators import funnel
+    from ridelens.plans.store import SessionStore
     from ridelens.sources.adapter import from_driver_tables
     load = load or from_driver_tables
+    store = store or SessionStore(load)
 
     def stored_over(name, panel, **params):
         """The panel over its dataset in a store written first: the step prunes
@@ -358,17 +372,25 @@ def panel_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFram
         run.__doc__ = panel.__doc__
         return run
 
-    def over(source, panel, **params):
+    def over_raw(source, panel, **params):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return panel(source(load(spark, sf_dir)), **params)
         run.__doc__ = panel.__doc__
         return run
 
-    daily, per_user = funnel.daily_cells, funnel.funnel_daily_user
+    def over(name, panel, **params):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return panel(store.dataset(spark, sf_dir, name), **params)
+        run.__doc__ = panel.__doc__
+        return run
+
+    daily, per_user = "funnel_daily", "funnel_daily_user"
     return {
         "panel_user_funnel": over(per_user, panel_user_funnel),
         "panel_user_funnel_pivot": over(per_user, panel_user_funnel_pivot),
         "panel_rides_funnel": over(per_user, panel_rides_funnel),
+        "panel_user_funnel_raw": over_raw(funnel.funnel_daily_user, panel_user_funnel),
+        "panel_signups_raw": over_raw(funnel.daily_cells, panel_signups),
         "panel_daily_downloads": over(daily, panel_daily_downloads),
         "panel_signups": over(daily, panel_signups),
         "panel_signups_merged": over(daily, panel_signups, merge_ages=True),
@@ -379,20 +401,20 @@ def panel_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFram
         "panel_daily_rides_cancellations": over(daily, panel_daily_rides_cancellations),
         "panel_daily_rides_cancellations_merged": over(daily, panel_daily_rides_cancellations,
                                                        merge_platforms=True),
-        "panel_requests_by_hour": over(demand.requests_by_hour, panel_requests_by_hour),
-        "panel_rides_histogram": over(demand.ride_counts, panel_rides_histogram),
+        "panel_requests_by_hour": over("requests_by_hour", panel_requests_by_hour),
+        "panel_rides_histogram": over("rides_per_user", panel_rides_histogram),
         "panel_completing_users": over(per_user, panel_completing_users),
         "panel_rides_completed": over(daily, panel_rides_completed),
         "panel_usd": over(daily, panel_usd),
         "panel_daily_rides_usd": over(daily, panel_daily_rides_usd),
         "panel_avg_rating": over(daily, panel_avg_rating),
         "panel_avg_rating_merged": over(daily, panel_avg_rating, merge_ages=True),
-        "panel_driver_ratings": over(drivers.driver_rating_summary, panel_driver_ratings),
+        "panel_driver_ratings": over("driver_rating_summary", panel_driver_ratings),
         "panel_daily_reviews_rating": over(daily, panel_daily_reviews_rating),
-        "panel_user_types": over(demand.user_ride_stats, panel_user_types),
-        "panel_charge_users_drivers": over(charges.charge_status_stats, panel_charge_users_drivers),
-        "panel_charge_rides_reviews": over(charges.charge_status_stats, panel_charge_rides_reviews),
-        "panel_charge_usd": over(charges.charge_status_stats, panel_charge_usd),
+        "panel_user_types": over("user_ride_stats", panel_user_types),
+        "panel_charge_users_drivers": over("charge_status_stats", panel_charge_users_drivers),
+        "panel_charge_rides_reviews": over("charge_status_stats", panel_charge_rides_reviews),
+        "panel_charge_usd": over("charge_status_stats", panel_charge_usd),
         "panel_daily_downloads_merged": over(daily, panel_daily_downloads, merge_platforms=True),
         "panel_daily_signups_merged": over(daily, panel_daily_signups, merge_platforms=True),
         "panel_rides_requested_merged": over(daily, panel_rides_requested, merge_ages=True),
@@ -408,12 +430,10 @@ def panel_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFram
         "panel_rides_requested_window": over(daily, panel_rides_requested, **WINDOW),
         "panel_user_funnel_ages": over(per_user, panel_user_funnel, **AGES),
         "panel_signups_ios": over(daily, panel_signups, **IOS),
-        "panel_user_types_bounded": over(demand.user_ride_stats, panel_user_types, **USER_TYPE_BOUNDS),
-        "panel_usd_by_user_bounded": over(lambda t: charges.decline_cells(t, "user_id"), panel_usd_by_user,
+        "panel_user_types_bounded": over("user_ride_stats", panel_user_types, **USER_TYPE_BOUNDS),
+        "panel_usd_by_user_bounded": over("user_declines", panel_usd_by_user,
                                           **USD_BOUNDS),
-        "panel_usd_by_driver_bounded": over(lambda t: charges.decline_cells(t, "driver_id"),
-                                            panel_usd_by_driver, **USD_BOUNDS),
-        "panel_usd_by_user": over(lambda t: charges.decline_cells(t, "user_id"), panel_usd_by_user),
-        "panel_usd_by_driver": over(lambda t: charges.decline_cells(t, "driver_id"),
-                                    panel_usd_by_driver),
+        "panel_usd_by_driver_bounded": over("driver_declines", panel_usd_by_driver, **USD_BOUNDS),
+        "panel_usd_by_user": over("user_declines", panel_usd_by_user),
+        "panel_usd_by_driver": over("driver_declines", panel_usd_by_driver),
     }

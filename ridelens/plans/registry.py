@@ -47,6 +47,10 @@ def queries() -> dict[str, QueryFn]:
     out = {name: _over_tables(op) for name, op in CORE_QUERIES.items()}
     from ridelens.plans.exchange import exchange_queries
     from ridelens.plans.panels import panel_queries
-    out.update(panel_queries())
+    from ridelens.plans.store import SessionStore
+    from ridelens.plans.store_queries import store_queries
+    store = SessionStore(from_driver_tables)
+    out.update(panel_queries(store=store))
     out.update(exchange_queries())
+    out.update(store_queries(store=store))
     return out

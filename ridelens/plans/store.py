@@ -1,12 +1,14 @@
 """Persisted inputs of the dashboard.
 
 The panels read the daily funnels and the summary results, not the raw
-tables.  `write_store` computes each once and writes it as Parquet under a
-shared root (the daily funnels partitioned by `funnel_step`, the key every
-panel filters on first); `read_store` returns them for the panel functions,
-whose step and date predicates then prune partitions and push into the scan.
-Writing a dataset also cuts its lineage, so a lost executor never re-runs the
-joins behind it.
+tables.  `write_store` joins the ride-keyed tables once (the bucketed ride
+cells of `ride_store`), computes each dataset from them and writes it as
+Parquet under a shared root (the daily funnels partitioned by `funnel_step`,
+the key every panel filters on first); `read_store` returns them for the panel
+functions, whose step and date predicates then prune partitions and push into
+the scan.  Writing a dataset also cuts its lineage, so a lost executor never
+re-runs the joins behind it.  `SessionStore` is such a store for the registered
+queries: written once per session and source, each dataset on first use.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridelens.operators import charges, demand, drivers, funnel
+from ridelens.operators import charges, demand, drivers, funnel, user_bitmaps
+from ridelens.plans.ride_store import read_ride_cells, write_ride_cells
 from ridelens.sources import io
 from ridelens.sources.tables import RideTables
 
@@ -31,17 +34,74 @@ STORED: dict[str, tuple[Callable[[RideTables], DataFrame], list[str]]] = {
     "driver_declines": (lambda t: charges.decline_cells(t, "driver_id"), []),
     "driver_rating_summary": (drivers.driver_rating_summary, []),
 }
+# Distinct users per day cell as bitmaps over the stored numbers of the users.
+USER_BITMAPS, USER_NUMBERS = "user_bitmaps", "user_numbers"
 
 
-def write_store(t: RideTables, root: str, names: list[str] | None = None) -> dict[str, str]:
-    """Compute and persist the dashboard inputs; returns name -> path."""
-    paths = {}
-    for name in names or list(STORED):
-        build, partition_by = STORED[name]
-        paths[name] = io.store_partitioned(build(t), f"{root.rstrip('/')}/{name}", partition_by,
-                                            sort_by="daily_date" if partition_by else None)
-    return paths
+RIDE_CELLS = "ride_cells"
+
+
+def write_ride_store(t: RideTables, root: str, buckets: int | None = None) -> RideTables:
+    """Write the ride cells of a store; returns the tables over them."""
+    path = write_ride_cells(t, f"{root.rstrip('/')}/{RIDE_CELLS}", buckets)
+    return t.with_cells(read_ride_cells(t.ride_requests.sparkSession, path))
+
+
+def open_ride_store(t: RideTables, root: str) -> RideTables:
+    """The tables over a store's ride cells, for any operator."""
+    return t.with_cells(read_ride_cells(t.signups.sparkSession, f"{root.rstrip('/')}/{RIDE_CELLS}"))
+
+
+def bitmap_cells(t: RideTables, root: str) -> DataFrame:
+    """The user bitmaps over the numbers in `root`, which are given once and
+    then kept, so that cells written later can be merged with earlier ones."""
+    spark = t.signups.sparkSession
+    path = f"{root.rstrip('/')}/{USER_NUMBERS}"
+    if not io.path_exists(spark, path):
+        user_bitmaps.write_numbers(t, path)
+    return user_bitmaps.user_cells(funnel.funnel_daily_user(t), spark.read.parquet(path))
+
+
+def write_dataset(t: RideTables, root: str, name: str) -> str:
+    build, partition_by = STORED[name] if name != USER_BITMAPS else (
+        lambda tables: bitmap_cells(tables, root), ["funnel_step"])
+    return io.store_partitioned(build(t), f"{root.rstrip('/')}/{name}", partition_by,
+                                sort_by="daily_date" if partition_by else None)
+
+
+def write_store(t: RideTables, root: str, names: list[str] | None = None, buckets: int | None = None) -> dict[str, str]:
+    """Persist the ride cells and, from them, the dashboard inputs; returns
+    name -> path."""
+    over_cells = write_ride_store(t, root, buckets)
+    return {name: write_dataset(over_cells, root, name) for name in names or [*STORED, USER_BITMAPS]}
 
 
 def read_store(spark: SparkSession, root: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{root.rstrip('/')}/{name}") for name in names or list(STORED)}
+    return {name: spark.read.parquet(f"{root.rstrip('/')}/{name}") for name in names or [*STORED, USER_BITMAPS]}
+
+
+class SessionStore:
+    """A store in the session's scratch folder for each source folder, written
+    when first asked for: the ride cells, then each dataset from them."""
+
+    def __init__(self, load: Callable[[SparkSession, str], RideTables]):
+        self._load = load
+        self._tables: dict[tuple[str, str], tuple[str, RideTables]] = {}
+        self._written: dict[tuple[str, str, str], str] = {}
+
+    def _opened(self, spark: SparkSession, sf_dir: str) -> tuple[str, RideTables]:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in self._tables:
+            root = io.scratch_path(spark, "store")
+            self._tables[key] = root, write_ride_store(self._load(spark, sf_dir), root)
+        return self._tables[key]
+
+    def tables(self, spark: SparkSession, sf_dir: str) -> RideTables:
+        return self._opened(spark, sf_dir)[1]
+
+    def dataset(self, spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+        root, tables = self._opened(spark, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in self._written:
+            self._written[key] = write_dataset(tables, root, name)
+        return spark.read.parquet(self._written[key])

@@ -10,6 +10,7 @@ retry.  `drop_scratch` removes them when their readers are done.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,6 +25,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Remove a folder made by `scratch_path` (and nothing outside the shared folder)."""
     if not path.startswith(checkpoint_dir(spark).rstrip("/") + "/"):
@@ -144,14 +150,40 @@ def export_page(df: DataFrame, order_by: list[str], page: int, page_size: int,
 
 def export_all_pages(df: DataFrame, path: str, order_by: list[str], page_size: int,
                      num_partitions: int | None = None) -> str:
-    """The whole result, in order, as CSV files of at most `page_size` rows.
+    """The whole result, in order, as CSV files that are its pages: in the order
+    of their names, file k holds the rows from k * page_size on, and only the
+    last one may have fewer than `page_size`.
+
+    Positions come from one distributed numbering.  Task p is then given the
+    p-th run of whole pages (a row's task is its position div the run's length),
+    sorts it and starts a file every `page_size` rows, so no file ends where a
+    range partition happens to end."""
+    spark = df.sparkSession
+    numbers = scratch_path(spark, "numbered")
+    number_rows(df, order_by, numbers, num_partitions)
+    numbered = spark.read.parquet(numbers)
+    pages = -(-numbered.count() // page_size)
+    per_task = max(1, -(-pages // (num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    task = F.floor(F.col("_pos") / (page_size * per_task)).cast("int")
+    runs = numbered.repartitionById(max(1, -(-pages // per_task)), task).sortWithinPartitions("_pos")
+    write_csv(runs.drop("_pos"), path, max_records_per_file=page_size)
+    drop_scratch(spark, numbers)  # its only reader is done
+    return path
 
-    Range partitioning sorts in parallel (each task writes a contiguous key
-    range), unlike re-running ORDER BY ... OFFSET once per page."""
-    cols = [F.col(c).asc_nulls_last() for c in order_by]
-    parts = num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.repartitionByRange(int(parts), *cols).sortWithinPartitions(*cols)
-    return write_csv(ranged, path, max_records_per_file=page_size)
+
+_PAGE_FILE = r"part-(\d+)-.*-c(\d+)\.csv"
+
+
+def read_page_files(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The pages written by `export_all_pages` with the `page` each row is on.
+    Every task but the last writes the same number of files, so a file's page
+    follows from its name."""
+    rows = read_csv(spark, path, schema)
+    files = [re.search(_PAGE_FILE, name) for name in rows.inputFiles()]
+    per_task = 1 + max((int(f[2]) for f in files if f), default=0)
+    name = F.col("_metadata.file_name")
+    task, file = (F.regexp_extract(name, _PAGE_FILE, k).cast("bigint") for k in (1, 2))
+    return rows.select("*", (task * per_task + file).alias("page"))
 
 
 def store_partitioned(df: DataFrame, path: str, partition_by: list[str], sort_by: str | None = None) -> str:

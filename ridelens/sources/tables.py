@@ -18,12 +18,17 @@ Source = DataFrame | Callable[[], DataFrame]
 class RideTables:
     """The five source tables.  Each may be given as a DataFrame or as a
     zero-argument function returning one; functions run on first access, so a
-    query that touches one table never builds the plans of the others."""
+    query that touches one table never builds the plans of the others.
 
-    __slots__ = ("_sources", "_frames")
+    `cells`: the stored ride cells (rides, charges, reviews) of
+    `plans.ride_store`, which the operators then read instead of joining the
+    ride-keyed tables."""
+
+    __slots__ = ("_sources", "_frames", "cells")
 
     def __init__(self, app_downloads: Source, signups: Source, ride_requests: Source,
-                 transactions: Source, reviews: Source):
+                 transactions: Source, reviews: Source, cells: dict[str, DataFrame] | None = None):
+        self.cells = cells
         self._sources = dict(zip(TABLE_NAMES, (app_downloads, signups, ride_requests,
                                                transactions, reviews)))
         self._frames: dict[str, DataFrame] = {}
@@ -40,6 +45,12 @@ class RideTables:
     transactions = property(lambda self: self._get("transactions"))
     reviews = property(lambda self: self._get("reviews"))
 
+    def with_cells(self, cells: dict[str, DataFrame]) -> RideTables:
+        """The same tables with stored ride cells; the ride requests are then
+        the rides of the store."""
+        columns = [f.name for f in TABLE_SCHEMAS["ride_requests"].fields]
+        return RideTables(**{**self._sources, "ride_requests": cells["rides"].select(*columns)}, cells=cells)
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {name: self._get(name) for name in TABLE_NAMES}
 

@@ -20,6 +20,8 @@ from ridelens.plans.exchange import exchange_queries
 from ridelens.plans.oracle import core_sql, derived_sql
 from ridelens.plans.panels import panel_queries
 from ridelens.plans.registry import CORE_QUERIES
+from ridelens.plans.store import SessionStore
+from ridelens.plans.store_queries import store_queries
 from ridelens.sources.schemas import AGE_RANGES, PLATFORMS, TABLE_SCHEMAS
 from ridelens.sources.tables import RideTables
 
@@ -84,7 +86,10 @@ def load_duck(data):
 def dataset(request, spark):
     data = generate(request.param)
     tables = RideTables(*[spark.createDataFrame(data[n], TABLE_SCHEMAS[n]) for n in TABLE_SCHEMAS])
-    return tables, load_duck(data)
+    load = lambda spark, sf_dir: tables  # noqa: E731 - the random tables instead of the fixture
+    store = SessionStore(load)
+    registry = {**panel_queries(load, store), **exchange_queries(load), **store_queries(load, store)}
+    return tables, load_duck(data), registry
 
 
 SQL = core_sql("WITH")
@@ -92,21 +97,19 @@ SQL = core_sql("WITH")
 
 @pytest.mark.parametrize("name", sorted(CORE_QUERIES))
 def test_core_query_matches_sql_on_random_data(dataset, name):
-    tables, con = dataset
+    tables, con, _ = dataset
     df = CORE_QUERIES[name](tables)
     cols = sorted(df.columns)
     assert spark_rows(df, cols) == duck_rows(con.sql(SQL[name]), cols)
 
 
 DERIVED_SQL = derived_sql("WITH")
-DERIVED_NAMES = sorted({**panel_queries(), **exchange_queries()})
+DERIVED_NAMES = sorted({**panel_queries(), **exchange_queries(), **store_queries()})
 
 
 @pytest.mark.parametrize("name", DERIVED_NAMES)
 def test_derived_query_matches_sql_on_random_data(dataset, name):
-    tables, con = dataset
-    load = lambda spark, sf_dir: tables  # noqa: E731 - the random tables instead of the fixture
-    registry = {**panel_queries(load), **exchange_queries(load)}
+    tables, con, registry = dataset
     df = registry[name](tables.ride_requests.sparkSession, "unused")
     cols = sorted(df.columns)
     assert spark_rows(df, cols) == duck_rows(con.sql(DERIVED_SQL[name]), cols)

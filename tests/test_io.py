@@ -50,6 +50,23 @@ def test_export_all_pages_is_ordered_and_bounded(spark):
     assert [tuple(r) for r in second] == [tuple(r) for r in rows[300:600]]
 
 
+@pytest.mark.parametrize("rows,page_size,parts", [(1000, 90, 4), (1000, 250, 8), (7, 3, 5), (10, 10, 3), (10, 1, 4),
+                                                  (11, 100, 4), (0, 5, 2)])
+def test_page_files_hold_exactly_a_page(spark, rows, page_size, parts):
+    """Sizes that do and do not divide the rows or the tasks; many keys share a
+    leading value, so range partitions are uneven."""
+    df = spark.range(rows).select((F.col("id") % 3).alias("a"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("b"),
+                                  F.col("id").alias("c")).repartition(3)
+    path = io.export_all_pages(df, io.scratch_path(spark, "pages"), ["a", "b", "c"], page_size, parts)
+    files = sorted(f for f in glob.glob(os.path.join(path, "part-*.csv")) if sum(1 for _ in open(f)) > 1)
+    assert [sum(1 for _ in open(f)) - 1 for f in files] == \
+        [page_size] * (rows // page_size) + [rows % page_size] * (rows % page_size > 0)
+    order = [F.col(c).asc_nulls_last() for c in ("a", "b", "c")]
+    want = [(r["a"], r["b"], r["c"], k // page_size) for k, r in enumerate(df.orderBy(*order).collect())]
+    got = io.read_page_files(spark, path, df.schema).orderBy("page", *order).collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_merge_drifting_shards(spark):
     a = spark.createDataFrame([(1, "x")], "user_id bigint, platform string")
     b = spark.createDataFrame([("ios", 2, 7)], "platform string, user_id bigint, rides bigint")

@@ -10,7 +10,8 @@ import pytest
 from helpers import SF_SMALL
 from ridelens.plans import registry
 
-WRITES = {"csv_roundtrip", "merge_shards", "export_page", "export_all_pages", "driver_summary_stored",
+WRITES = {"csv_roundtrip", "merge_shards", "export_page", "export_all_pages", "export_page_files",
+          "download_numbers", "driver_summary_stored",
           "panel_signups_stored", "panel_daily_rides_usd_stored", "panel_user_funnel_stored"}
 NAMES = sorted(n for n in registry.queries() if n not in WRITES)
 # Queries whose single-partition step only sees bounded aggregates: a global

@@ -20,7 +20,8 @@ NAMES = sorted(n for n in registry.queries() if n not in WRITES)
 BOUNDED_SINGLE = {"funnel_totals", "slider_bounds", "slider_bounds_user_stats", "slider_bounds_user_declines",
                   "slider_bounds_driver_declines", "panel_rides_requested_window", "panel_signups_ios",
                   "panel_signups", "panel_requesting_users", "panel_rides_requested", "panel_completing_users",
-                  "panel_rides_completed", "panel_usd", "panel_avg_rating"}
+                  "panel_rides_completed", "panel_usd", "panel_avg_rating", "panel_signups_raw",
+                  "panel_requesting_users_bitmap", "panel_completing_users_bitmap"}
 
 
 @pytest.fixture(scope="module")

@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from ridelens.llm.common import bounded_batches, pick, read_table, scratch
 
-CHUNK = re.compile(r"[^ \n]+").findall
 MARKS = ".,;:!?"
 SPECIAL = "<|"
 CACHE_CHUNKS = 500_000
@@ -86,6 +85,9 @@ class ChunkEncoder(dict):
         return packed
 
     def __missing__(self, chunk: str) -> bytes:
+        if not chunk:  # between two white spaces
+            self[chunk] = b""
+            return b""
         word = chunk.rstrip(MARKS)
         if SPECIAL in chunk:
             packed = pack(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
@@ -104,7 +106,7 @@ class ChunkEncoder(dict):
             self.clear()
         if len(self.words) > CACHE_CHUNKS:
             self.words.clear()
-        return b"".join(map(self.__getitem__, CHUNK(text)))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def open_store(path: str):
@@ -150,7 +152,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                               ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    written = (pick(docs, doc_id="long", text="string").repartitionByRange(n, "doc_id")
+    # rows that share an id (or have none) are split by how their texts begin
+    written = (pick(docs, doc_id="long", text="string")
+               .repartitionByRange(n, "doc_id", F.substring("text", 1, 64))
                .sortWithinPartitions("doc_id", "text").mapInArrow(write, PART_SCHEMA))
     # one row per part: their number is that of the partitions, not of the documents
     rows = sorted(r for r in written.collect() if r["n_docs"])

@@ -77,3 +77,13 @@ def test_special_tokens_in_a_document(spark):
     got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in TF.read_token_files(spark, path).collect()}
     assert got == {i: [*UNTOUCHED.encode(t, add_special_tokens=False).ids, 1] for i, t in rows}
     assert got[1] == [637, 49407, 1237, 1]
+
+
+def test_rows_without_an_id_are_split(spark):
+    """All rows share the null id; order of texts and starts hold over the parts."""
+    rows = [(None, f"text number {k}") for k in range(400)]
+    path = scratch(spark, "tokens")
+    parts = TF.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3),
+                                 path, PATH, 1, partitions=4).collect()
+    assert len(parts) == 4 and max(p["n_docs"] for p in parts) < 200
+    assert sorted(map(repr, read_back(spark, path))) == sorted(map(repr, expected(rows)))

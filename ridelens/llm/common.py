@@ -50,10 +50,10 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession):
+def small_batches(spark: SparkSession, rows: int = 512):
     """Arrow batches small enough for very long texts, for the jobs run inside
     (a lazy frame that leaves the block is planned with the session's own)."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
               "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():

@@ -4,10 +4,13 @@ Learning counts words, pairs and triples of all training documents in Spark, and
 all of them are kept, those seen once too.  The number of shards follows the
 number of tokens.  Probabilities are interpolated absolute
 discounting: p(w|b,c) = max(n(bcw)-D,0)/n(bc) + rest(bc) p(w|c), p(w|c) the
-same one order lower, p(w) add-one.  The discounted shares and the rest masses are
-stored as base-10 logarithms in 16 bits, rounded down, so no context gives out
-more than 1.  Tasks send the counts of their pairs and triples as packed sorted
-keys, one row a shard, and each shard is merged and written by one task.
+same one order lower, p(w) add-one.  Every occurrence of a context that does not
+end its text has a successor, so its rest is D x (different successors) / count:
+only contexts seen twice or more need their number of successors, all others
+leave D.  The discounted shares and the rests are stored as base-10 logarithms in
+16 bits, rounded down, so no context gives out more than 1.  Tasks send counts of
+pairs, triples and successors as packed sorted keys, one row a shard, and each
+shard is merged and written by one task.
 
 The trie is three levels of array files in the shared folder, memory-mapped by
 the scoring tasks.  Level 1: word hashes (Elias-Fano; a word's id is its rank),
@@ -38,8 +41,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.llm.common import bounded_batches, pick, read_table, scratch, stored
+from ridelens.llm.common import bounded_batches, pick, read_table, scratch, small_batches
 from ridelens.llm.elias_fano import EliasFano, named, read_arrays, sequence, write_arrays
+from ridelens.sources.io import drop_scratch
 
 U64 = np.uint64
 END_WORD = b"\n"  # no word holds a line end
@@ -57,6 +61,9 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.ceil(np.clip(-np.log10(np.maximum(p, 1e-300)), 0, 12) / STEP - 1e-9).astype(np.uint16)
 
 
+SEEN_ONCE = quantise(np.array(DISCOUNT))  # the rest of a context seen once
+
+
 def restore(q: np.ndarray) -> np.ndarray:
     return q.astype(np.float64) * -STEP
 
@@ -277,7 +284,7 @@ class Trie:
 
     def rest(self, ids: np.ndarray) -> np.ndarray:
         """log10 of the mass a word leaves to shorter contexts."""
-        out = np.zeros(len(ids))
+        out = np.full(len(ids), restore(SEEN_ONCE))
         for k, some in self._by(ids // REST_BLOCK):
             a = self.store.read(f"rest/{k}")
             if a is not None:
@@ -296,8 +303,8 @@ class Trie:
                 place[some] = self._sequence(f"pairs/{k}", "key").find(self.key(c[some], w[some]))
         return shard, place
 
-    def pair_values(self, shard: np.ndarray, place: np.ndarray, file: str, name: str) -> np.ndarray:
-        out = np.zeros(len(place), np.int64)
+    def pair_values(self, shard: np.ndarray, place: np.ndarray, file: str, name: str, default: int = 0) -> np.ndarray:
+        out = np.full(len(place), default, np.int64)
         ok = np.flatnonzero(place >= 0)
         for k, some in self._by(shard[ok]):
             a = self.store.read(f"{file}/{k}")
@@ -348,7 +355,7 @@ class Trie:
         # tokens with two words before them whose pair was kept
         longer = np.flatnonzero(~first)
         longer = longer[which[longer - 1] >= 0]
-        rest = restore(self.pair_values(shard, place, "pair-rest", "rest"))
+        rest = restore(self.pair_values(shard, place, "pair-rest", "rest", int(SEEN_ONCE)))
         out[longer] += rest[which[longer - 1]]
         deep = longer[which[longer] >= 0]
         p = self.triples(ids[deep - 2], ids[deep - 1], shard[which[deep]], place[which[deep]])
@@ -356,33 +363,6 @@ class Trie:
         return out
 
 
-def _sorted_shards(df: DataFrame, by: str, keys: list[str], n: int) -> DataFrame:
-    return df.repartition(n, by).sortWithinPartitions(by, *keys)
-
-
-def _per_shard(batches, by: str) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """The columns of each shard of a sorted partition."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        column = batch.column(by).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), len(column)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            if held and held[0].column(by)[0].as_py() != column[a]:
-                yield _columns(held, by)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield _columns(held, by)
-
-
-def _columns(held: list[pa.RecordBatch], by: str) -> tuple[int, dict[str, np.ndarray]]:
-    table = pa.Table.from_batches(held)
-    return (table.column(by)[0].as_py(),
-            {c: table.column(c).to_numpy() for c in table.column_names})
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """hash (as a signed long in unsigned order), n."""
     def count(batches):
@@ -412,9 +392,11 @@ def write_words(docs: DataFrame, path: str, parts: int, shards: int) -> Shape:
                 "k": pa.array([k]), "last": pa.array([str(int(h[-1]))]), "words": pa.array([len(h)]),
                 "tokens": pa.array([int(counts.sum())])})
 
-    counted = stored(count_words(docs), "word-counts")
-    rows = (counted.repartitionByRange(parts, "h").sortWithinPartitions("h")
+    spark, counts = docs.sparkSession, scratch(docs.sparkSession, "word-counts")
+    count_words(docs).write.parquet(counts)
+    rows = (spark.read.schema("h long, n long").parquet(counts).repartitionByRange(parts, "h").sortWithinPartitions("h")
             .mapInArrow(write, "k long, last string, words long, tokens long").collect())  # one row a shard
+    drop_scratch(spark, counts)  # its only reader is done
     rows = sorted(rows)
     store = Store(path)
     for place, r in enumerate(rows):  # empty ranges leave no file: close the gaps
@@ -430,9 +412,14 @@ def _by_shard(rows: DataFrame, shards: int) -> DataFrame:
     return rows.repartition(shards, "shard").sortWithinPartitions("shard")
 
 
-def write_pairs(docs: DataFrame, shape: Shape) -> DataFrame:
-    """Level 2: count the pairs; c and mass (discounted counts of its successors,
-    by shard)."""
+def _finish(rows: DataFrame, shards: int, write) -> None:
+    """Bring successor counts to their shards and write them there."""
+    _by_shard(rows, shards).mapInArrow(write, "shard long").write.format("noop").mode("overwrite").save()
+
+
+def write_pairs(docs: DataFrame, shape: Shape) -> None:
+    """Level 2: the pairs, and the rest of each word as a context (level 1), in
+    blocks of REST_BLOCK ids."""
     words = U64(max(1, shape.words))
 
     def count(batches):
@@ -446,38 +433,33 @@ def write_pairs(docs: DataFrame, shape: Shape) -> DataFrame:
                 yield blob(k, keys[some], n[some])
 
     def write(batches):
+        """Successors in the shard of the words seen twice or more, by block."""
         trie = Trie(shape)
         for shard, keys, n in merged_shards(batches, PAIR_LEAST):
             c = (keys // words).astype(np.int64)
+            seen = trie.counts(c)
             trie.store.write(f"pairs/{shard}", {
-                **named("key", keys), "p": quantise((n - DISCOUNT) / trie.counts(c)), "n": n.astype(np.uint32)})
-            heads, back = np.unique(c, return_inverse=True)
-            yield pa.RecordBatch.from_pydict({
-                "c": pa.array(heads), "mass": pa.array(np.bincount(back, n - DISCOUNT, len(heads)))})
+                **named("key", keys), "p": quantise((n - DISCOUNT) / seen), "n": n.astype(np.uint32)})
+            heads, successors = np.unique(c[seen > 1], return_counts=True)
+            for block, some in Trie._by(heads // REST_BLOCK):
+                yield blob(block, (heads[some] - block * REST_BLOCK).astype(U64), successors[some])
 
-    counted = pick(docs, doc_id="long", text="string").mapInArrow(count, BLOB)
-    return stored(_by_shard(counted, shape.shards).mapInArrow(write, "c long, mass double"), "pair-masses")
-
-
-def write_rests(masses: DataFrame, shape: Shape) -> None:
-    """Mass that each context word leaves: blocks of REST_BLOCK ids."""
-    def write(batches):
+    def write_rests(batches):
         trie = Trie(shape)
-        for block, a in _per_shard(batches, "block"):
-            rest = np.zeros(REST_BLOCK, np.uint16)
-            rest[a["c"] - block * REST_BLOCK] = quantise(1 - a["mass"] / trie.counts(a["c"]))
+        for block, places, successors in merged_shards(batches, 1):
+            ids = places.astype(np.int64) + block * REST_BLOCK
+            rest = np.full(REST_BLOCK, SEEN_ONCE)
+            rest[places.astype(np.int64)] = quantise(DISCOUNT * successors / trie.counts(ids))
             trie.store.write(f"rest/{block}", {"rest": rest})
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block])})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([block])})
 
-    blocks = (masses.groupBy("c").agg(F.sum("mass").alias("mass"))
-              .withColumn("block", F.floor(F.col("c") / REST_BLOCK).cast("long")))
-    n = max(1, -(-shape.words // REST_BLOCK))
-    _sorted_shards(blocks, "block", ["c"], n).mapInArrow(write, "block long").write.format("noop").mode(
-        "overwrite").save()
+    counted = pick(docs, doc_id="long", text="string").mapInArrow(count, BLOB)
+    _finish(_by_shard(counted, shape.shards).mapInArrow(write, BLOB), max(1, -(-shape.words // REST_BLOCK)), write_rests)
 
 
-def write_triples(docs: DataFrame, shape: Shape) -> DataFrame:
-    """Level 3: count the triples; shard of (b, c), b, c and mass of the triples."""
+def write_triples(docs: DataFrame, shape: Shape) -> None:
+    """Level 3: the triples, and the rest of each pair as a context, beside
+    level 2."""
     words = U64(max(1, shape.words))
 
     def count(batches):
@@ -500,6 +482,8 @@ def write_triples(docs: DataFrame, shape: Shape) -> DataFrame:
                 yield blob(k, *np.unique(key, return_counts=True))
 
     def write(batches):
+        """Successors in the shard of the pairs seen twice or more, by their
+        place in their own shard."""
         trie = Trie(shape)
         for shard, keys, n in merged_shards(batches, TRIPLE_LEAST):
             if not len(keys):
@@ -507,10 +491,11 @@ def write_triples(docs: DataFrame, shape: Shape) -> DataFrame:
             place, b = (keys // words).astype(np.int64), (keys % words).astype(np.int64)
             pairs = trie._sequence(f"pairs/{shard}", "key")
             c = (pairs.get(place) // words).astype(np.int64)
-            before = trie.pair_values(*trie.pairs(b, c), "pairs", "n")
             start = pairs.lower_bound(trie.key(c, np.zeros(len(c), np.int64)))
             stop = pairs.lower_bound(trie.key(c + 1, np.zeros(len(c), np.int64)))
             node, which = np.unique(trie.key(c, b), return_inverse=True)
+            own, at = trie.pairs((node % words).astype(np.int64), (node // words).astype(np.int64))
+            seen = trie.pair_values(own, at, "pairs", "n")
             width = np.zeros(len(node), np.int64)  # successors of the last context word
             width[which] = stop - start
             offset = np.concatenate([[0], np.cumsum(width)[:-1]]).astype(U64)
@@ -518,44 +503,34 @@ def write_triples(docs: DataFrame, shape: Shape) -> DataFrame:
             order = np.argsort(rank)
             trie.store.write(f"triples/{shard}", {
                 **named("node", node), **named("offset", offset), **named("rank", rank[order]),
-                "p": quantise((n - DISCOUNT) / before)[order]})
-            heads = (node % words).astype(np.int64), (node // words).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({
-                "shard": pa.array(shard_of(*heads, shape.shards)), "b": pa.array(heads[0]), "c": pa.array(heads[1]),
-                "mass": pa.array(np.bincount(which, n - DISCOUNT, len(node)))})
-
-    counted = pick(docs, doc_id="long", text="string").mapInArrow(count, BLOB)
-    return stored(_by_shard(counted, shape.shards).mapInArrow(
-        write, "shard long, b long, c long, mass double"), "triple-masses")
-
-
-def write_pair_rests(masses: DataFrame, shape: Shape) -> None:
-    """Mass that each kept pair leaves as a context, beside level 2."""
-    def write(batches):
+                "p": quantise((n - DISCOUNT) / seen[which])[order]})
+            successors, twice = np.bincount(which, minlength=len(node)), np.flatnonzero(seen > 1)
+            for k, some in Trie._by(own[twice]):
+                some = twice[some]
+                some = some[np.argsort(at[some])]
+                yield blob(k, at[some].astype(U64), successors[some])
+
+    def write_rests(batches):
         trie = Trie(shape)
-        for shard, a in _per_shard(batches, "shard"):
-            keys, back = np.unique(trie.key(a["b"], a["c"]), return_inverse=True)
-            mass = np.bincount(back, a["mass"], len(keys))
-            place = trie._sequence(f"pairs/{shard}", "key").find(keys)
-            n = trie.store.read(f"pairs/{shard}")["n"]
-            rest = np.zeros(len(n), np.uint16)
-            rest[place] = quantise(1 - mass / n[place])
+        for shard, places, successors in merged_shards(batches, 1):
+            n, places = trie.store.read(f"pairs/{shard}")["n"], places.astype(np.int64)
+            rest = np.full(len(n), SEEN_ONCE)
+            rest[places] = quantise(DISCOUNT * successors / n[places])
             trie.store.write(f"pair-rest/{shard}", {"rest": rest})
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard])})
-    _sorted_shards(masses, "shard", ["b", "c"], shape.shards).mapInArrow(
-        write, "shard long").write.format("noop").mode("overwrite").save()
+
+    counted = pick(docs, doc_id="long", text="string").mapInArrow(count, BLOB)
+    _finish(_by_shard(counted, shape.shards).mapInArrow(write, BLOB), shape.shards, write_rests)
 
 
 def learn(docs: DataFrame, shards: int | None = None) -> Shape:
     """Count all rows of `docs` and write the trie; returns its shape."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shape = write_words(docs, scratch(spark, "ngram-trie"), n, n)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # rows of packed keys
-    write_rests(write_pairs(docs, shape), shape)
-    write_pair_rests(write_triples(docs, shape), shape)
-    bounded_batches(spark)
+    with small_batches(spark, 64):  # rows of packed keys
+        shape = write_words(docs, scratch(spark, "ngram-trie"), n, n)
+        write_pairs(docs, shape)
+        write_triples(docs, shape)
     return shape
 
 

@@ -14,9 +14,17 @@ import numpy as np
 
 U64 = np.uint64
 MANY = 32  # elements decoded in the time of one search
+STRIP = 512  # rows of 64 values unpacked together, within a core's cache
 BLOCK = 2  # words of the bit vector per directory entry
 
 
+def or_into(out: np.ndarray, word: np.ndarray, bits: np.ndarray) -> None:
+    """OR the bits into their words (ascending, repeated)."""
+    if len(word):
+        first = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+        out[word[first]] |= np.bitwise_or.reduceat(bits, first)
+
+
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     """`width` low bits of each value, one after the other, in 64-bit words."""
     if not width or not len(values):
@@ -24,9 +32,30 @@ def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros((len(values) * width + 63) // 64 + 2, U64)
     at = np.arange(len(values), dtype=U64) * U64(width)
     word, shift = (at >> U64(6)).astype(np.int64), at & U64(63)
-    np.bitwise_or.at(out, word, values << shift)
+    or_into(out, word, values << shift)
     over = shift + U64(width) > U64(64)
-    np.bitwise_or.at(out, word[over] + 1, values[over] >> (U64(64) - shift[over]))
+    or_into(out, word[over] + 1, values[over] >> (U64(64) - shift[over]))
+    return out
+
+
+def unpack_all(words: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The first n values: 64 of them fill `width` words, so each column of such
+    rows is one shift of one or two columns of words."""
+    out, mask = np.zeros(n, U64), U64((1 << width) - 1)
+    if not width:
+        return out
+    rows = n // 64
+    source, target = words[:rows * width].reshape(rows, width), out[:rows * 64].reshape(rows, 64)
+    for a in range(0, rows, STRIP):
+        strip, to = np.ascontiguousarray(source[a:a + STRIP].T), np.empty((64, min(STRIP, rows - a)), U64)
+        for j in range(64):
+            word, shift = divmod(j * width, 64)
+            np.right_shift(strip[word], U64(shift), out=to[j])
+            if shift + width > 64:
+                to[j] |= strip[word + 1] << U64(64 - shift)
+        to &= mask
+        target[a:a + STRIP] = to.T
+    out[rows * 64:] = unpack_bits(words, width, np.arange(rows * 64, n))
     return out
 
 
@@ -60,7 +89,7 @@ class EliasFano:
         words += -words % BLOCK
         high = np.zeros(words, U64)
         at = upper + np.arange(n, dtype=U64)
-        np.bitwise_or.at(high, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+        or_into(high, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
         ones = np.bitwise_count(high).astype(np.int64).reshape(-1, BLOCK).sum(axis=1)
         zeros = np.concatenate([[0], np.cumsum(64 * BLOCK - ones)]).astype(np.uint32 if words < 1 << 25 else np.int64)
         return {"meta": np.array([n, width, n_zeros], np.int64),
@@ -118,9 +147,11 @@ class EliasFano:
 
     def values(self) -> np.ndarray:
         """All elements."""
-        ones = np.flatnonzero(np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little"))
-        upper = (ones - np.arange(self.n)).astype(U64)
-        return (upper << U64(self.width)) | unpack_bits(self.low, self.width, np.arange(self.n))
+        bits = np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little").view(bool)
+        upper = (np.flatnonzero(bits) - np.arange(self.n)).view(U64)
+        upper <<= U64(self.width)
+        upper |= unpack_all(np.asarray(self.low), self.width, self.n)
+        return upper
 
     def _many(self, queries: int) -> bool:
         """Whether decoding everything once costs less than that many searches."""
@@ -129,7 +160,7 @@ class EliasFano:
     def lower_bound(self, keys: np.ndarray) -> np.ndarray:
         """Index of the first element >= key."""
         if self._many(len(keys)):
-            return np.searchsorted(self.values(), keys)
+            return _place_all(self.values(), keys)
         out = np.full(len(keys), self.n, np.int64)
         ok = self._inside(keys)
         start, end = self._bucket(keys[ok])
@@ -146,15 +177,20 @@ class EliasFano:
         upper = self._place(index, ones, self.high, False) - index
         return (upper.astype(U64) << U64(self.width)) | unpack_bits(self.low, self.width, index)
 
+    def find_with_floor(self, keys: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`find` of the keys and `lower_bound` of the floors."""
+        if self.n and self._many(len(keys)):
+            every = self.values()
+            return _find_all(every, keys), _place_all(every, floors)
+        return self.find(keys), self.lower_bound(floors)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key, -1 where it is absent."""
         out = np.full(len(keys), -1, np.int64)
         if not self.n or not len(keys):
             return out
         if self._many(len(keys)):
-            every = self.values()
-            at = np.minimum(np.searchsorted(every, keys), self.n - 1)
-            return np.where(every[at] == keys, at, -1)
+            return _find_all(self.values(), keys)
         ok = self._inside(keys)
         start, end = self._bucket(keys[ok])
         filled = start < end
@@ -167,6 +203,20 @@ class EliasFano:
         return out
 
 
+def _place_all(every: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """searchsorted in the order of the keys, which walks through the memory."""
+    if len(keys) < 1000 or (keys[1:] >= keys[:-1]).all():
+        return np.searchsorted(every, keys)
+    order, out = np.argsort(keys), np.empty(len(keys), np.int64)
+    out[order] = np.searchsorted(every, keys[order])
+    return out
+
+
+def _find_all(every: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.minimum(_place_all(every, keys), len(every) - 1)
+    return np.where(every[at] == keys, at, -1)
+
+
 def write_arrays(stream, arrays: dict[str, np.ndarray]) -> None:
     """One file: a JSON directory, then the arrays at multiples of 8 bytes."""
     entries, at = {}, 0

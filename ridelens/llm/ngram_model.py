@@ -104,7 +104,7 @@ def groups(batches, most: int) -> Iterator[tuple[list, list[int], np.ndarray, Wo
     ids, lengths, parts, n = [], [], [], 0
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            tokens = (text.as_py() or "").encode().translate(LOWER).split()
+            tokens = (text.as_py() or b"").translate(LOWER).split()
             tokens.append(END_WORD)
             ids.append(doc_id)
             lengths.append(len(tokens))
@@ -312,23 +312,20 @@ class Trie:
                 out[ok[some]] = a[name][place[ok[some]]]
         return out
 
-    def triples(self, b: np.ndarray, c: np.ndarray, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 of the discounted p(w|b,c) of the pairs (c, w) at their places,
-        -inf where never seen."""
+    def triples(self, k: int, c: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """log10 of the discounted p(w|b,c) in shard k, -inf where never seen;
+        `rank`: the pair (c, w)'s place among the successors of c there."""
         out = np.full(len(b), -np.inf)
-        for k, some in self._by(shard):
-            a = self.store.read(f"triples/{k}")
-            if a is None:
-                continue
-            node = self._sequence(f"triples/{k}", "node").find(self.key(c[some], b[some]))
-            hit = np.flatnonzero(node >= 0)
-            if len(hit):
-                some = some[hit]
-                first = self._sequence(f"pairs/{k}", "key").lower_bound(self.key(c[some], np.zeros(len(some), np.int64)))
-                offset = self._sequence(f"triples/{k}", "offset").get(node[hit])
-                at = self._sequence(f"triples/{k}", "rank").find(offset + (place[some] - first).astype(U64))
-                good = at >= 0
-                out[some[good]] = restore(a["p"][at[good]])
+        a = self.store.read(f"triples/{k}")
+        if a is None or not len(b):
+            return out
+        keys = self.key(c, b)
+        some = np.argsort(keys)
+        node = self._sequence(f"triples/{k}", "node").find(keys[some])
+        some, node = some[node >= 0], node[node >= 0]
+        offset = self._sequence(f"triples/{k}", "offset").get(node)
+        at = self._sequence(f"triples/{k}", "rank").find(offset + rank[some].astype(U64))
+        out[some[at >= 0]] = restore(a["p"][at[at >= 0]])
         return out
 
     def log_unigram(self, counts: np.ndarray) -> np.ndarray:
@@ -342,24 +339,43 @@ class Trie:
         context = context[ids[context - 1] >= 0]
         out[context] += known.rest[tokens[context - 1]]
         both = context[ids[context] >= 0]
-        keys = self.key(ids[both - 1], ids[both])
-        unique, slot = np.unique(keys, return_inverse=True)
+        unique, slot = np.unique(self.key(ids[both - 1], ids[both]), return_inverse=True)
+        which = np.full(len(ids), -1, np.int64)  # each token's pair
+        which[both] = slot
+        deep = both[~first[both - 1]]  # tokens with two words before them
+        deep = deep[which[deep - 1] >= 0]
         words = U64(max(1, self.shape.words))
-        shard, place = self.pairs((unique // words).astype(np.int64), (unique % words).astype(np.int64))
-        kept = place >= 0
-        which = np.full(len(ids), -1, np.int64)  # each token's pair among the kept ones
-        which[both] = np.where(kept[slot], slot, -1)
-        hit = np.flatnonzero(which >= 0)
-        direct = restore(self.pair_values(shard, place, "pairs", "p"))
+        c, w = (unique // words).astype(np.int64), (unique % words).astype(np.int64)
+        direct, rest = np.full(len(unique), -np.inf), np.zeros(len(unique))
+        longest = np.full(len(ids), -np.inf)
+        shard = shard_of(c, w, self.shape.shards)
+        deep_of = dict(self._by(shard[which[deep]]))
+        # a pair's shard holds its triples too: each shard is decoded once
+        for k, some in self._by(shard):
+            a = self.store.read(f"pairs/{k}")
+            if a is None:
+                continue
+            place, floor = self._sequence(f"pairs/{k}", "key").find_with_floor(
+                unique[some], self.key(c[some], np.zeros(len(some), np.int64)))
+            seen = place >= 0
+            direct[some[seen]] = restore(a["p"][place[seen]])
+            rests = self.store.read(f"pair-rest/{k}")
+            rest[some[seen]] = restore(SEEN_ONCE) if rests is None else restore(rests["rest"][place[seen]])
+            if k in deep_of:
+                rank = np.full(len(unique), -1, np.int64)
+                rank[some[seen]] = (place - floor)[seen]
+                at = deep[deep_of[k]]
+                at = at[rank[which[at]] >= 0]
+                longest[at] = self.triples(k, c[which[at]], ids[at - 2], rank[which[at]])
+        hit = both[np.isfinite(direct[slot])]
         out[hit] = log_sum(direct[which[hit]], out[hit])
-        # tokens with two words before them whose pair was kept
-        longer = np.flatnonzero(~first)
-        longer = longer[which[longer - 1] >= 0]
-        rest = restore(self.pair_values(shard, place, "pair-rest", "rest", int(SEEN_ONCE)))
-        out[longer] += rest[which[longer - 1]]
-        deep = longer[which[longer] >= 0]
-        p = self.triples(ids[deep - 2], ids[deep - 1], shard[which[deep]], place[which[deep]])
-        out[deep] = log_sum(p, out[deep])
+        out[deep] += rest[which[deep - 1]]  # 0 where the context was never seen
+        # the last of three words need not follow a known second: its context counts alone
+        only = context[(ids[context] < 0) & ~first[context - 1]]
+        only = only[which[only - 1] >= 0]
+        out[only] += rest[which[only - 1]]
+        hit = np.flatnonzero(np.isfinite(longest))
+        out[hit] = log_sum(longest[hit], out[hit])
         return out
 
 
@@ -373,7 +389,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             h = known.update(words).hashes[met]
             yield pa.RecordBatch.from_pydict({
                 "h": pa.array((h ^ U64(1 << 63)).view(np.int64)), "n": pa.array(n[met])})
-    return (pick(docs, doc_id="long", text="string").mapInArrow(count, "h long, n long")
+    return (pick(docs, doc_id="long", text="binary").mapInArrow(count, "h long, n long")
             .groupBy("h").agg(F.sum("n").alias("n")))
 
 
@@ -453,7 +469,7 @@ def write_pairs(docs: DataFrame, shape: Shape) -> None:
             trie.store.write(f"rest/{block}", {"rest": rest})
             yield pa.RecordBatch.from_pydict({"shard": pa.array([block])})
 
-    counted = pick(docs, doc_id="long", text="string").mapInArrow(count, BLOB)
+    counted = pick(docs, doc_id="long", text="binary").mapInArrow(count, BLOB)
     _finish(_by_shard(counted, shape.shards).mapInArrow(write, BLOB), max(1, -(-shape.words // REST_BLOCK)), write_rests)
 
 
@@ -519,7 +535,7 @@ def write_triples(docs: DataFrame, shape: Shape) -> None:
             trie.store.write(f"pair-rest/{shard}", {"rest": rest})
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard])})
 
-    counted = pick(docs, doc_id="long", text="string").mapInArrow(count, BLOB)
+    counted = pick(docs, doc_id="long", text="binary").mapInArrow(count, BLOB)
     _finish(_by_shard(counted, shape.shards).mapInArrow(write, BLOB), shape.shards, write_rests)
 
 
@@ -549,7 +565,7 @@ def score(docs: DataFrame, shape: Shape) -> DataFrame:
                 "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), at)),
                 "base_score": pa.array(np.add.reduceat(known.trie.log_unigram(known.counts)[tokens], at)),
                 "score": pa.array(np.add.reduceat(known.trie.score(tokens, first_marks(lengths), known), at))})
-    return pick(docs, doc_id="long", text="string").mapInArrow(
+    return pick(docs, doc_id="long", text="binary").mapInArrow(
         run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 

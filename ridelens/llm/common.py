@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,17 @@ def small_batches(spark: SparkSession, rows: int = 512):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def any_columns(stage):
+    """Let a stage take documents with further columns of any names: inside they
+    have names of their own, so none is lost, replaced or ambiguous, and the
+    result has the names and the order of the input."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = [c if c in DOCUMENT_COLUMNS else f"column_{k}" for k, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*plain), sf_dir).select(*plain).toDF(*docs.columns)
+    return run

@@ -3,8 +3,9 @@
 The training side is indexed by postings (term, document, position).  A test
 phrase is looked up from its rarest terms: the posting lists of the two
 rarest, each shifted by the term's offset in the phrase, are intersected, and
-what remains is compared word by word with the words stored around the
-posting.  Term rarity is counted over all documents.  Only postings of terms
+where they meet the phrase is compared word by word with the document.  A posting
+is a term, a document and a position; only documents with a meeting are read
+again.  Term rarity is counted over all documents.  Only postings of terms
 that are among the two rarest of some phrase are stored, since no lookup
 reads others.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.llm.common import if_small, pick, read_table, stored
+from ridelens.llm.common import any_columns, if_small, pick, read_table, stored
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,25 +65,33 @@ def lookup_plan(phrases: DataFrame, counts: DataFrame) -> DataFrame:
             .select("phrase", "n", F.get("r", F.lit(0)).alias("first"), F.get("r", F.lit(1)).alias("second")))
 
 
-def postings(docs: DataFrame, terms: DataFrame, around: int) -> DataFrame:
-    """The index: term, doc_id, digest, pos, and for terms marked `anchor` the
-    words from `around` before to `around` after the posting (`lead`: how many
-    stand before)."""
-    every = (_documents(docs).select("doc_id", "digest", words(F.col("text")).alias("w"))
-             .select("doc_id", "digest", "w", F.posexplode("w").alias("pos", "term")))
-    start = F.greatest(F.col("pos") - around, F.lit(0))
-    return (every.join(if_small(terms), "term")
-            .select("term", "doc_id", "digest", "pos",
-                    F.when(F.col("anchor"), F.col("pos") - start).alias("lead"),
-                    F.when(F.col("anchor"), F.slice(
-                        "w", start + 1, F.col("pos") - start + around + 1)).alias("near")))
-
-
-def exact_matches(index: DataFrame, plan: DataFrame) -> DataFrame:
-    """doc_id, digest, start, n, phrase of every occurrence of a phrase."""
-    first = (index.where(F.col("near").isNotNull())
-             .join(if_small(plan.withColumn("term", F.col("first.term"))), "term")
-             .withColumn("start", F.col("pos") - F.col("first.offset"))
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index: term, anchor, doc_id, digest, pos.  A posting holds no words
+    of its document, whichever way the terms are joined."""
+    every = (_documents(docs).select("doc_id", "digest", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+             .select("doc_id", "digest", "pos", "term"))
+    return every.join(if_small(terms), "term").select("term", "anchor", "doc_id", "digest", "pos")
+
+
+def occurrences(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """doc_id, digest, start, n, phrase of the candidates (the same columns)
+    whose words stand there: only documents that have one are split again."""
+    wanted = candidates.groupBy(F.col("doc_id").alias("doc_id2"), F.col("digest").alias("digest2")).agg(
+        F.collect_set(F.struct("start", "n", "phrase")).alias("c"))  # at most as many as the document has words
+    texts = _documents(docs)
+    met = texts.join(if_small(wanted), texts["doc_id"].eqNullSafe(F.col("doc_id2"))
+                     & texts["digest"].eqNullSafe(F.col("digest2"))).select(
+        "doc_id", "digest", words(F.col("text")).alias("w"), "c")
+    there = F.filter("c", lambda x: F.array_join(F.slice(F.col("w"), x["start"] + 1, x["n"]), " ") == x["phrase"])
+    return met.select("doc_id", "digest", F.inline(there)).distinct()
+
+
+def exact_matches(docs: DataFrame, index: DataFrame, plan: DataFrame) -> DataFrame:
+    """doc_id, digest, start, n, phrase of every occurrence of a phrase: where
+    the shifted postings of its two rarest terms meet, its words are compared."""
+    first = (index.where("anchor").join(if_small(plan.withColumn("term", F.col("first.term"))), "term")
+             .select("phrase", "n", "doc_id", "digest", (F.col("pos") - F.col("first.offset")).alias("start"),
+                     F.col("second").isNull().alias("alone"))
              .where("start >= 0"))
     second = (index.join(if_small(plan.where("second is not null").select(
         "phrase", F.col("second.term").alias("term"), F.col("second.offset").alias("offset"))), "term")
@@ -90,10 +99,8 @@ def exact_matches(index: DataFrame, plan: DataFrame) -> DataFrame:
                 (F.col("pos") - F.col("offset")).alias("start2")))
     same = [first["phrase"] == second["phrase"], first["doc_id"].eqNullSafe(second["doc_id2"]),
             first["digest"].eqNullSafe(second["digest2"]), first["start"] == second["start2"]]
-    both = first.join(second, same, "left_semi").unionByName(first.where("second is null"))
-    found = F.array_join(F.slice("near", F.col("lead") - F.col("first.offset") + 1, F.col("n")), " ")
-    return (both.where((F.col("lead") >= F.col("first.offset")) & (found == F.col("phrase")))
-            .select("doc_id", "digest", "start", "n", "phrase").distinct())
+    both = first.join(second, same, "left_semi").unionByName(first.where("alone")).drop("alone")
+    return occurrences(docs, stored(both.distinct(), "candidates"))
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
@@ -118,7 +125,7 @@ def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFr
             .select("query", "doc_id", "digest", "pos").unionByName(alone))
 
 
-def build_index(docs: DataFrame, phrases: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(index, lookup plan) for the phrases (phrase)."""
     vocabulary = phrases.select(F.explode(F.split("phrase", " ")).alias("term")).distinct()
     counts = stored(term_counts(docs, vocabulary), "term-counts")
@@ -127,7 +134,7 @@ def build_index(docs: DataFrame, phrases: DataFrame, width: int) -> tuple[DataFr
              .unionByName(plan.where("second is not null").select(
                  F.col("second.term").alias("term"), F.lit(False).alias("anchor")))
              .groupBy("term").agg(F.max("anchor").alias("anchor")))
-    return stored(postings(docs, terms, width - 1), "postings"), plan
+    return stored(postings(docs, terms), "postings"), plan
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
@@ -135,8 +142,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> Dat
     of a benchmark window), items (sorted ids), contaminated."""
     windows = stored(phrase_windows(benchmark, width), "windows")
     phrases = windows.select("phrase").distinct()
-    index, plan = build_index(docs, phrases, width)
-    matches = exact_matches(index, plan)
+    index, plan = build_index(docs, phrases)
+    matches = exact_matches(docs, index, plan)
     per_doc = matches.join(if_small(windows), "phrase").groupBy("doc_id", "digest").agg(
         F.collect_set(F.struct("start", "n")).alias("spans"), F.collect_set("item").alias("items"))
     hits = per_doc.select(
@@ -161,6 +168,7 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+@any_columns
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated, with their columns."""
     bad = (contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.llm.common import bounded_batches, if_small, pick, read_table, stored
+from ridelens.llm.common import any_columns, bounded_batches, if_small, pick, read_table, stored
 
 MIN_WORDS = 50
 CUT_SCALE = 16  # a line of w words ends its chunk with probability w / CUT_SCALE
@@ -304,6 +304,7 @@ def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
                       F.coalesce("_ld_removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
+@any_columns
 def stage_line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the later copies of repeated passages; `n_chars`
     follows the text."""

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.llm.common import bounded_batches, if_small, pick, read_table, stored
+from ridelens.llm.common import any_columns, bounded_batches, if_small, pick, read_table, stored
 
 WORDS, BANDS, ROWS, SKETCH_BITS = 5, 50, 5, 512
 PAIR_BUCKET = 16
@@ -245,11 +245,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     """Per row: doc_id, n_shingles, component_id, kept."""
     flips = most_flips(percent / 100, bands * rows, bits)
     rows_ = stored(signatures(docs, bands, rows, bits), "signatures")
-    firsts = rows_.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    known = firsts.where("first is not null")
+    # rows of one class have equal sets, so any row's sketch and bands are the class's
     classes = stored(
-        rows_.join(known, "node").where("doc_id = first").dropDuplicates(["node"])
-        .select("node", "first", "n_shingles", "sketch", "bands"), "classes")
+        rows_.where("node is not null and doc_id is not null").groupBy("node").agg(
+            F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_rows"),
+            *[F.any_value(c).alias(c) for c in ("n_shingles", "sketch", "bands")]), "classes")
     keyed = classes.select("node", "first", F.explode("bands").alias("key"))
     buckets = stored(keyed.groupBy("key").agg(
         F.count("*").alias("size"), F.min(F.struct("first", "node"))["node"].alias("leader")).where("size > 1"),
@@ -282,10 +282,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
             comps = stored(components(links.unionByName(found)), "components")
     names = (comps.join(classes.select("node", "first"), "node").groupBy("root")
              .agg(F.min("first").alias("component_id")))
-    placed = comps.join(names, "root").select("node", "component_id")
-    by_node = known.join(placed, "node", "left").select(
-        "node", F.coalesce("component_id", "first").alias("component_id"))
-    out = rows_.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
+    placed = comps.join(names, "root").select(F.col("node").alias("linked"), "component_id")
+    # only classes with a link or with several rows name their rows after another one
+    by_node = stored(
+        classes.join(placed, F.col("node") == F.col("linked"), "left").where("n_rows > 1 or linked is not null")
+        .select("node", F.coalesce("component_id", "first").alias("component_id")), "names")
+    out = rows_.select("doc_id", "n_shingles", "node").join(if_small(by_node, ID_ROWS), "node", "left")
     name = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", name.alias("component_id"),
                       F.coalesce(F.col("doc_id") == name, F.lit(True)).alias("kept"))
@@ -295,6 +297,7 @@ def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@any_columns
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group (the smallest doc_id; a null one only where there is
     no other), and all unlinked ones.  Rows are told apart by a number of their

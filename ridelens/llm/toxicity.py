@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.llm.common import bounded_batches, pick, read_table, stored
+from ridelens.llm.common import any_columns, bounded_batches, pick, read_table, stored
 
 # Letters of other scripts, digits and signs read as Latin letters.
 LOOK_ALIKES = {
@@ -216,7 +216,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000,
     rows = stored(pick(docs, doc_id="long", text="string")
                   .join(F.broadcast(chosen), "doc_id")  # at most fit_rows rows
                   .withColumn("text", F.coalesce("text", F.lit("")))
-                  .dropDuplicates(["text"]), "toxicity-fit")  # copies count once
+                  # copies count once, as toxic if one of them is
+                  .groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "toxicity-fit")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sum(n for t, n in sizes.items() if t), sizes.get(0, 0)
     if not n_pos or not n_neg:
@@ -322,6 +323,7 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
         "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@any_columns
 def stage_toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.3, with their columns."""
     bounded_batches(spark)
@@ -331,7 +333,8 @@ def stage_toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _series_scorer(lexicon: Lexicon):
-    def scores(texts: pd.Series) -> pd.Series:
-        matcher = Matcher(lexicon)
-        return texts.map(matcher.score)
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(lexicon)  # one automaton a task
+        for texts in batches:
+            yield texts.map(matcher.score)
     return scores

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def test_proximity_equals_brute_force(spark):
     docs = [(k, " ".join(rng.choice("a b c d e f g h i j".split()) for _ in range(40))) for k in range(30)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     terms = spark.createDataFrame([(t, True) for t in "abc"], "term string, anchor boolean")
-    index = D.postings(df, terms, 2)
+    index = D.postings(df, terms)
     queries = spark.createDataFrame([("q1", ["a", "b"]), ("q2", ["c", "a", "b"]), ("q3", ["b"])],
                                     "query string, terms array<string>")
     got = {(r["query"], r["doc_id"], r["pos"]) for r in D.proximity_matches(index, queries, 3).collect()}
@@ -92,3 +93,34 @@ def test_stage_keeps_clean_documents(spark):
 
 def test_same_as_sql(same_as_sql):
     same_as_sql("op6_decontaminate")
+
+
+def test_no_posting_carries_its_document(spark, monkeypatch):
+    """With more lookup terms than a broadcast takes, the join shuffles postings
+    alone, and results stay the same."""
+    monkeypatch.setattr(D, "if_small", lambda df, rows=0: df)
+    docs, items = contaminated_rows()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    terms = spark.createDataFrame([("alpha", True)], "term string, anchor boolean")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = D.postings(df, terms)._jdf.queryExecution().executedPlan().toString()
+        got = D.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning(term" in plan
+    # what leaves the exploding of a text, and so is shuffled, is the posting alone
+    assert re.search(r"Generate posexplode.*\), \[doc_id#\d+L, digest#\d+L\], false, \[pos#\d+, term#\d+\]", plan), plan
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in got) \
+        == sorted(brute(docs, items))
+
+
+def test_native(spark):
+    docs, items = contaminated_rows()
+    out = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"),
+                          spark.createDataFrame(items, "item_id long, text string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -49,3 +49,30 @@ def test_odd_documents(spark, odd_docs, odd_rows):
         docs = stage(spark, docs, D)
         assert docs.columns == odd_docs.columns
     assert docs.where("doc_id = 1").count() == 1
+
+
+CLASHING = ["a.b", "_nd_row", "_nd_group", "_ld_lines", "_ld_id", "_ld_spans", "node", "kept", "score", "TEXT2", "digest",
+            "component_id", "contaminated", "_id", "`tick`", "column_0"]
+
+
+def test_columns_of_any_name_come_through(spark):
+    """Every stage returns further columns with their names and values."""
+    docs = read_table(spark, D, "documents").limit(150)
+    for k, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, (docs["doc_id"] * 10 + k).cast("int" if k % 2 else "string"))
+    assert docs.columns[5:] == CLASHING
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, D)
+        assert out.columns == docs.columns, name
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            assert [str(v) for v in r[5:]] == [str(r["doc_id"] * 10 + k) for k in range(len(CLASHING))], name
+
+
+def test_copies_labelled_both_ways_are_toxic(spark):
+    docs = spark.createDataFrame([(i, "same words here") for i in range(4)] + [(9, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (9, 0)], "doc_id long, toxic int")
+    lexicons = [toxicity.fit_lexicon(docs.repartition(n), labels, least_support=1, least_gain=0.0) for n in (1, 3)]
+    assert lexicons[0] == lexicons[1]

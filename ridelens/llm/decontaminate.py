@@ -76,11 +76,16 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def occurrences(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """doc_id, digest, start, n, phrase of the candidates (the same columns)
     whose words stand there: only documents that have one are split again."""
-    wanted = candidates.groupBy(F.col("doc_id").alias("doc_id2"), F.col("digest").alias("digest2")).agg(
+    keys = stored(candidates.select(F.col("doc_id").alias("doc_id2"), F.col("digest").alias("digest2")).distinct(),
+                  "candidate-documents")
+    wanted = candidates.groupBy("doc_id", "digest").agg(
         F.collect_set(F.struct("start", "n", "phrase")).alias("c"))  # at most as many as the document has words
     texts = _documents(docs)
-    met = texts.join(if_small(wanted), texts["doc_id"].eqNullSafe(F.col("doc_id2"))
-                     & texts["digest"].eqNullSafe(F.col("digest2"))).select(
+    # two numbers a row may be broadcast; the phrases meet only the texts that are left
+    left = texts.join(if_small(keys), texts["doc_id"].eqNullSafe(F.col("doc_id2"))
+                      & texts["digest"].eqNullSafe(F.col("digest2"))).drop("doc_id", "digest")
+    met = left.join(wanted, F.col("doc_id2").eqNullSafe(F.col("doc_id"))
+                    & F.col("digest2").eqNullSafe(F.col("digest"))).select(
         "doc_id", "digest", words(F.col("text")).alias("w"), "c")
     there = F.filter("c", lambda x: F.array_join(F.slice(F.col("w"), x["start"] + 1, x["n"]), " ") == x["phrase"])
     return met.select("doc_id", "digest", F.inline(there)).distinct()

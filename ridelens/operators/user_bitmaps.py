@@ -43,6 +43,20 @@ def write_numbers(t: RideTables, path: str, num_partitions: int | None = None) -
     return io.number_rows(entities(t), ["kind", "platform", "age_range", "id"], path, num_partitions)
 
 
+def extend_numbers(t: RideTables, path: str, num_partitions: int | None = None) -> None:
+    """Give numbers to the users and downloads that have none yet, above all
+    given ones: earlier numbers, and so the stored bitmaps, stay as they are."""
+    spark = t.signups.sparkSession
+    given = spark.read.parquet(path)
+    new = entities(t).join(given.select("kind", "id"), ["kind", "id"], "left_anti")
+    added = io.scratch_path(spark, "numbered")
+    io.number_rows(new, ["kind", "platform", "age_range", "id"], added, num_partitions)
+    first = (given.agg(F.max("_pos")).first()[0] + 1) if not given.isEmpty() else 0
+    (spark.read.parquet(added).withColumn("_pos", F.col("_pos") + first).select(*given.columns)
+     .write.mode("append").parquet(path))
+    io.drop_scratch(spark, added)
+
+
 def user_cells(daily_user: DataFrame, numbers: DataFrame) -> DataFrame:
     """CELL_KEYS, block, bitmap and rides from the per-user daily funnel."""
     kind = F.when(F.col("funnel_step") == 1, 1).otherwise(2)

@@ -1,21 +1,32 @@
 """Registered I/O and dashboard-control queries: CSV round trip, shard merge,
-paged export, filter domains and slider bounds."""
+drifting and faulty shards, paged export, refresh of a published dataset, filter
+domains and slider bounds (by scan or from stored statistics)."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ridelens.functions.exprs import age_sort_key
 from ridelens.operators.filters import NO_AGE_BOUND
-from ridelens.sources import io
+from ridelens.sources import io, versions
 
 # Column order that makes the per-user daily funnel a total order (the
 # non-rider rows at step 3 are unique per age range).
 DAILY_USER_ORDER = ["funnel_step", "daily_date", "platform", "age_range", "user_ids"]
 PAGE_SIZE = 5000
+REFRESH_FROM = dt.date(1995, 4, 1)
+# Slider queries: the stored dataset and its columns.
+SLIDERS = {
+    "slider_bounds": ("driver_rating_summary", ["avg_ratings", "reviews", "rides_completed"]),
+    "slider_bounds_user_stats": ("user_ride_stats", ["total_rides", "rides_completed", "rides_canceled"]),
+    "slider_bounds_user_declines": ("user_declines", ["lost_total_usd", "gained_total_usd"]),
+    "slider_bounds_driver_declines": ("driver_declines", ["lost_total_usd", "gained_total_usd"]),
+}
 
 
 def filter_domains(df: DataFrame, none_option: bool = True) -> DataFrame:
@@ -102,12 +113,80 @@ def sharded_roundtrip(df: DataFrame, name: str, rows_per_shard: int) -> DataFram
     return io.merge_shards(spark, [f"{path}/part-*.csv"], df.schema)
 
 
-def exchange_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def drifting_shards(df: DataFrame) -> DataFrame:
+    """The per-user daily funnel exported by platform, each with a header of its
+    own -- android in another column order, ios without ages, the rest with one
+    column more -- and merged by name."""
+    spark = df.sparkSession
+    root = io.scratch_path(spark, "drift")
+    platform = F.col("platform")
+    for name, part in {
+            "android": df.where(platform == "android").select(*reversed(df.columns)),
+            "ios": df.where(platform == "ios").drop("age_range"),
+            "rest": df.where(platform.isNull() | ~platform.isin("android", "ios"))
+                      .withColumn("shard", F.lit("rest"))}.items():
+        io.write_csv(part, f"{root}/{name}")
+    return io.merge_by_header(spark, f"{root}/*/part-*.csv", df.schema)
+
+
+def checked_shards(df: DataFrame) -> DataFrame:
+    """Records by outcome after a daily funnel with planted faults is read:
+    `outcome` (good or the reason), records, rides.  Of the ios rows the day, of
+    the android rows a field is spoilt."""
+    spark = df.sparkSession
+    path = io.scratch_path(spark, "faults")
+    line = F.concat_ws(",", F.col("funnel_step").cast("string"), F.coalesce("platform", F.lit("")),
+                       F.when(F.col("platform") == "ios", F.lit("someday"))
+                       .otherwise(F.coalesce(F.col("daily_date").cast("string"), F.lit(""))),
+                       F.coalesce(F.col("rides").cast("string"), F.lit("")))
+    line = F.when(F.col("platform") == "android", F.concat(line, F.lit(",more"))).otherwise(line)
+    schema = StructType.fromDDL("funnel_step int, platform string, daily_date date, rides bigint")
+    # lines as they are: one column whose name is the header
+    df.select(line.alias(",".join(schema.names))).write.csv(path, header=True, sep="\x01")
+    good, bad = io.read_csv_checked(spark, path, schema, required=["daily_date"])
+    return (good.groupBy(F.lit("good").alias("outcome")).agg(F.count("*").alias("records"), F.sum("rides").alias("rides"))
+            .unionByName(bad.groupBy(F.col("reason").alias("outcome")).agg(
+                F.count("*").alias("records"), F.lit(None).cast("bigint").alias("rides"))))
+
+
+def refreshed_daily(t, spark: SparkSession) -> DataFrame:
+    """The daily funnel published from the rides requested before a day, then
+    refreshed from that day on with all rides."""
+    from ridelens.operators import funnel
+    from ridelens.sources.tables import RideTables
+    asked = F.col("request_ts")
+    past = RideTables(t.app_downloads, t.signups,
+                      t.ride_requests.where((asked < F.lit(REFRESH_FROM)) | asked.isNull()), t.transactions, t.reviews)
+    path = versions.publish(funnel.daily_cells(past), io.scratch_path(spark, "daily"), ["funnel_step"],
+                            "daily_date", "quarter")
+    versions.refresh(funnel.daily_cells(t), path, REFRESH_FROM)
+    return versions.read(spark, path)
+
+
+def statistic_maxima(stats: DataFrame, columns: list[str]) -> DataFrame:
+    """`column_maxima` of a dataset from its statistics: a row per partition is
+    read, none of the dataset."""
+    return stats.agg(*[F.max(f"max_{c}").alias(f"max_{c}") for c in columns])
+
+
+def statistic_domains(stats: DataFrame, none_option: bool = True) -> DataFrame:
+    """`filter_domains` of a dataset from its statistics."""
+    def values(column, other):
+        return stats.select(F.explode(f"values_{column}").alias(column), F.lit(None).cast("string").alias(other))
+    return filter_domains(values("age_range", "platform").unionByName(values("platform", "age_range")), none_option)
+
+
+def exchange_queries(load=None, store=None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Registered I/O and control queries; `load` as in `panels.panel_queries`."""
     from ridelens.operators import charges, demand, drivers, funnel
     from ridelens.plans.panels import panel_driver_ratings
     from ridelens.sources.adapter import from_driver_tables
+    from ridelens.plans.store import SessionStore
     load = load or from_driver_tables
+    store = store or SessionStore(load)
+
+    def maxima(name, columns):
+        return lambda spark, sf_dir: statistic_maxima(store.statistics(spark, sf_dir, name), columns)
 
     def run(build):
         def q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +212,14 @@ def exchange_queries(load=None) -> dict[str, Callable[[SparkSession, str], DataF
         "export_page_files": lambda spark, sf_dir: page_files(load(spark, sf_dir), spark),
         "download_numbers": lambda spark, sf_dir: download_numbers(load(spark, sf_dir), spark),
         "driver_summary_stored": lambda spark, sf_dir: stored_driver_summary(load(spark, sf_dir), spark),
+        "merge_drifting": run(lambda t: drifting_shards(funnel.funnel_daily_user(t))),
+        "csv_rejects": run(lambda t: checked_shards(funnel.daily_cells(t))),
+        "funnel_daily_refreshed": lambda spark, sf_dir: refreshed_daily(load(spark, sf_dir), spark),
+        **{f"{name}_statistics": maxima(dataset, columns) for name, (dataset, columns) in SLIDERS.items()},
+        "filter_domains_statistics": lambda spark, sf_dir: statistic_domains(
+            store.statistics(spark, sf_dir, "funnel_daily_user")),
+        "filter_domains_signups_statistics": lambda spark, sf_dir: statistic_domains(
+            store.statistics(spark, sf_dir, "funnel_daily").where("funnel_step = 2"), none_option=False),
         "slider_bounds": run(lambda t: slider_bounds(drivers.driver_rating_summary(t))),
         "panel_driver_ratings_below_3": run(lambda t: panel_driver_ratings(
             drivers.driver_rating_summary(t), max_rating=3.0, min_reviews=1, min_completed=1)),
@@ -143,7 +230,7 @@ def exchange_sql() -> dict[str, tuple[list[tuple[str, str]], str]]:
     daily = [("daily", "funnel_daily")]
     per_user = [("daily_user", "funnel_daily_user")]
     order = ", ".join(f"{c} NULLS LAST" for c in DAILY_USER_ORDER)
-    return {
+    out = {
         "csv_roundtrip": (daily, "SELECT * FROM daily"),
         "merge_shards": (per_user, "SELECT * FROM daily_user"),
         "export_page": (per_user, f"SELECT * FROM daily_user ORDER BY {order} "
@@ -197,3 +284,16 @@ SELECT driver_id, avg_ratings, reviews, rides_completed,
 FROM summary
 WHERE avg_ratings >= 0 AND avg_ratings <= 3.0 AND reviews >= 1 AND rides_completed >= 1"""),
     }
+    out["funnel_daily_refreshed"] = out["csv_roundtrip"]
+    out["merge_drifting"] = (per_user, """
+SELECT * REPLACE (CASE WHEN platform = 'ios' THEN NULL ELSE age_range END AS age_range),
+       CASE WHEN platform IS NULL OR platform NOT IN ('android', 'ios') THEN 'rest' END AS shard FROM daily_user""")
+    out["csv_rejects"] = (daily, """
+SELECT CASE WHEN platform = 'android' THEN 'number of fields' WHEN platform = 'ios' THEN 'daily_date: no date'
+            WHEN daily_date IS NULL THEN 'daily_date: missing' ELSE 'good' END AS outcome,
+       COUNT(*) AS records,
+       CAST(CASE WHEN outcome = 'good' THEN SUM(rides) END AS BIGINT) AS rides
+FROM daily GROUP BY outcome""")
+    for name in [*SLIDERS, "filter_domains", "filter_domains_signups"]:
+        out[f"{name}_statistics"] = out[name]
+    return out

@@ -51,6 +51,6 @@ def queries() -> dict[str, QueryFn]:
     from ridelens.plans.store_queries import store_queries
     store = SessionStore(from_driver_tables)
     out.update(panel_queries(store=store))
-    out.update(exchange_queries())
+    out.update(exchange_queries(store=store))
     out.update(store_queries(store=store))
     return out

@@ -10,12 +10,15 @@ retry.  `drop_scratch` removes them when their readers are done.
 
 from __future__ import annotations
 
+import csv
+import functools
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ridelens.session import checkpoint_dir
 
@@ -96,6 +99,102 @@ def merge_drifting_shards(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def shard_headers(spark: SparkSession, pattern: str, threads: int = 32) -> dict[tuple[str, ...], list[str]]:
+    """The files that `pattern` names, by their header: only first lines are
+    read, as a footer is of a Parquet file, and no data.  A file without a line
+    is left out (it has no rows)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = target.getFileSystem(conf)
+    files = [s.getPath() for s in fs.globStatus(target) or [] if s.isFile()]
+
+    def header(path) -> str | None:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+            fs.open(path), jvm.java.nio.charset.StandardCharsets.UTF_8))
+        try:
+            return reader.readLine()
+        finally:
+            reader.close()
+
+    groups: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(threads) as pool:
+        for path, line in zip(files, pool.map(header, files)):
+            if line:
+                names = next(csv.reader([line.removeprefix("\ufeff")]))
+                groups.setdefault(tuple(names), []).append(path.toString())
+    return groups
+
+
+def merge_by_header(spark: SparkSession, pattern: str, schema: StructType,
+                    multi_line: bool = False) -> DataFrame:
+    """All shards that `pattern` names as one dataset, whatever their headers:
+    columns are found by name in any order, those a shard lacks are NULL, and
+    those that `schema` does not know are kept as strings after its own.
+
+    Shards of one header are one scan, so the plan has a branch for each header
+    and not for each file.  Names differing in case only, or twice in one header,
+    are an error."""
+    groups = shard_headers(spark, pattern)
+    known = {f.name: f for f in schema.fields}
+    for names in groups:
+        if len({n.lower() for n in names}) < len(names):
+            raise ValueError(f"a header names a column twice: {','.join(names)}")
+    extra = sorted({n for names in groups for n in names} - set(known))
+    target = StructType([*schema.fields, *[StructField(n, StringType()) for n in extra]])
+    if len({n.lower() for n in target.names}) < len(target.names):
+        raise ValueError(f"headers differ in case only: {target.names}")
+    by_name = {f.name: f for f in target.fields}
+
+    def aligned(names: tuple[str, ...], paths: list[str]) -> DataFrame:
+        part = read_csv(spark, paths, StructType([by_name[n] for n in names]), multi_line)
+        return part.select(*[F.col(f"`{f.name}`") if f.name in names else F.lit(None).cast(f.dataType).alias(f.name)
+                             for f in target.fields])
+    parts = [aligned(names, paths) for names, paths in sorted(groups.items())]
+    return functools.reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], target)
+
+
+RECORD = "_rejected_record"
+
+
+def read_csv_checked(spark: SparkSession, paths: str | list[str], schema: StructType,
+                     required: list[str] | None = None, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(good rows under `schema`, rejected records) of header CSV.
+
+    Where `read_csv` fails on the first field that does not fit, this keeps such
+    records: a record with too few or too many fields, a field that is no value
+    of its column's type, or an empty field of a `required` column goes to the
+    rejects (file, record, reason), every other one to the good rows, and none
+    to both.  Both frames are one scan each of the same expression."""
+    names = schema.names
+    if RECORD in names:
+        raise ValueError(f"the schema may not have a column {RECORD}")
+    text = StructType([*[StructField(n, StringType()) for n in names], StructField(RECORD, StringType())])
+    raw = (spark.read.options(**{**CSV_DIALECT, "emptyValue": "", "nullValue": "\x01"})
+           .options(mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD, columnPruning=False,
+                    multiLine=multi_line, enforceSchema=True)
+           .schema(text).csv(paths))
+    field = {f.name: F.col(f"`{f.name}`") for f in schema.fields}
+
+    def value(f):
+        return field[f.name] if isinstance(f.dataType, StringType) else field[f.name].try_cast(f.dataType)
+    reasons = [F.when(F.col(RECORD).isNotNull(), F.lit("number of fields"))]
+    for f in schema.fields:
+        if f.name in (required or []):
+            reasons.append(F.when(field[f.name].isNull(), F.lit(f"{f.name}: missing")))
+        if not isinstance(f.dataType, StringType):
+            reasons.append(F.when(field[f.name].isNotNull() & value(f).isNull(),
+                                  F.lit(f"{f.name}: no {f.dataType.simpleString()}")))
+    reason = F.coalesce(*reasons)
+    # a record of the right number of fields is written again from them
+    record = F.coalesce(F.col(RECORD), F.to_csv(
+        F.struct(*[field[n].alias(n) for n in names]),
+        {k: v for k, v in CSV_DIALECT.items() if k in ("quote", "escape", "nullValue", "emptyValue")}))
+    good = raw.where(reason.isNull()).select(*[value(f).alias(f.name) for f in schema.fields])
+    bad = raw.where(reason.isNotNull()).select(F.col("_metadata.file_path").alias("file"), record.alias("record"),
+                                               reason.alias("reason"))
+    return good, bad
+
+
 def number_rows(df: DataFrame, order_by: list[str], path: str, num_partitions: int | None = None) -> str:
     """Store a result with each row's position under a total order (`order_by`
     must be unique per row); NULLs sort last.  Any page is then a range of

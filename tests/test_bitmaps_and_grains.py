@@ -28,8 +28,8 @@ def tables(spark):
 @pytest.fixture(scope="module")
 def cells(spark, tables):
     root = io.scratch_path(spark, "store")
-    path = store.write_dataset(tables, root, store.USER_BITMAPS)
-    return spark.read.parquet(path)
+    store.write_dataset(tables, root, store.USER_BITMAPS)
+    return store.read_store(spark, root, [store.USER_BITMAPS])[store.USER_BITMAPS]
 
 
 @pytest.mark.parametrize("keys", [[], ["platform"], ["age_range"], ["funnel_step"], ["funnel_step", "platform"],

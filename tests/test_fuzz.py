@@ -88,7 +88,7 @@ def dataset(request, spark):
     tables = RideTables(*[spark.createDataFrame(data[n], TABLE_SCHEMAS[n]) for n in TABLE_SCHEMAS])
     load = lambda spark, sf_dir: tables  # noqa: E731 - the random tables instead of the fixture
     store = SessionStore(load)
-    registry = {**panel_queries(load, store), **exchange_queries(load), **store_queries(load, store)}
+    registry = {**panel_queries(load, store), **exchange_queries(load, store), **store_queries(load, store)}
     return tables, load_duck(data), registry
 
 

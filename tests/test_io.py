@@ -145,3 +145,48 @@ def test_store_splits_a_hot_month(spark, tmp_path):
         spark.conf.set(size, before)
     assert len(list((tmp_path / "hot" / "step=1").glob("*.parquet"))) > 4
     assert spark.read.parquet(path).agg({"user": "count"}).first()[0] == 200_000
+
+
+def _files(folder, **texts):
+    folder.mkdir()
+    for name, text in texts.items():
+        (folder / f"{name}.csv").write_text(text)
+    return str(folder / "*.csv")
+
+
+def test_merge_by_header(spark, tmp_path):
+    """Any column order, missing and unknown columns, quoted names, empty files;
+    one scan for each header."""
+    from pyspark.sql.types import StructType
+    schema = StructType.fromDDL("user_id bigint, platform string, rides int")
+    pattern = _files(tmp_path / "a", one="user_id,platform,rides\n1,ios,3\n2,,\n", two="rides,user_id,platform\n7,3,web\n",
+                     three="user_id,platform,rides\n4,web,1\n", four="platform,user_id\nios,5\n", five="",
+                     six='user_id,"a note"\n6,"x, y"\n', seven="user_id,platform,rides\n")
+    df = io.merge_by_header(spark, pattern, schema)
+    assert df.columns == ["user_id", "platform", "rides", "a note"]
+    assert sorted(map(tuple, df.collect())) == [
+        (1, "ios", 3, None), (2, None, None, None), (3, "web", 7, None), (4, "web", 1, None), (5, "ios", None, None),
+        (6, None, None, "x, y")]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 4
+    assert io.merge_by_header(spark, str(tmp_path / "none" / "*.csv"), schema).collect() == []
+    with pytest.raises(ValueError, match="twice"):
+        io.merge_by_header(spark, _files(tmp_path / "b", one="user_id,user_id\n1,2\n"), schema)
+    with pytest.raises(ValueError, match="case"):
+        io.merge_by_header(spark, _files(tmp_path / "c", one="User_Id\n1\n"), schema)
+
+
+def test_rejected_records_keep_file_and_reason(spark, tmp_path):
+    from pyspark.sql.types import StructType
+    schema = StructType.fromDDL("id bigint, day date, name string, amount double")
+    pattern = _files(tmp_path / "a", one='id,day,name,amount\n1,2021-01-02,"a, b",1.5\nx,2021-01-02,c,2\n3,soon,"d, ""e""",2\n',
+                     two="id,day,name,amount\n4,2021-01-04\n5,2021-01-05,f,1,9\n,2021-01-06,g,1\n7,,,\n8,2021-01-08,h,much\n")
+    good, bad = io.read_csv_checked(spark, pattern, schema, required=["id"])
+    assert good.schema == schema
+    assert sorted((r["id"], str(r["day"]), r["name"], r["amount"]) for r in good.collect()) == [
+        (1, "2021-01-02", "a, b", 1.5), (7, "None", None, None)]
+    got = sorted((os.path.basename(r["file"]), r["reason"], r["record"]) for r in bad.collect())
+    assert got == sorted([
+        ("one.csv", "id: no bigint", "x,2021-01-02,c,2"), ("one.csv", "day: no date", '3,soon,"d, ""e""",2'),
+        ("two.csv", "number of fields", "4,2021-01-04"), ("two.csv", "number of fields", "5,2021-01-05,f,1,9"),
+        ("two.csv", "id: missing", ",2021-01-06,g,1"), ("two.csv", "amount: no double", "8,2021-01-08,h,much")])
+    assert good.where("id > 5").count() == 1 and bad.select("reason").count() == 6  # narrower reads agree

@@ -11,13 +11,16 @@ from helpers import SF_SMALL
 from ridelens.plans import registry
 
 WRITES = {"csv_roundtrip", "merge_shards", "export_page", "export_all_pages", "export_page_files",
+          "merge_drifting", "csv_rejects", "funnel_daily_refreshed",
           "download_numbers", "driver_summary_stored",
           "panel_signups_stored", "panel_daily_rides_usd_stored", "panel_user_funnel_stored"}
 NAMES = sorted(n for n in registry.queries() if n not in WRITES)
 # Queries whose single-partition step only sees bounded aggregates: a global
 # total (one row per partition in), the funnel totals, the dense grid over
 # ages x platforms, the slider maxima.
-BOUNDED_SINGLE = {"funnel_totals", "slider_bounds", "slider_bounds_user_stats", "slider_bounds_user_declines",
+BOUNDED_SINGLE = {"funnel_totals", "slider_bounds", "slider_bounds_statistics",
+                  "slider_bounds_user_stats_statistics", "slider_bounds_user_declines_statistics",
+                  "slider_bounds_driver_declines_statistics", "slider_bounds_user_stats", "slider_bounds_user_declines",
                   "slider_bounds_driver_declines", "panel_rides_requested_window", "panel_signups_ios",
                   "panel_signups", "panel_requesting_users", "panel_rides_requested", "panel_completing_users",
                   "panel_rides_completed", "panel_usd", "panel_avg_rating", "panel_signups_raw",

@@ -3,7 +3,7 @@
 Each panel is "dataset -> filters -> aggregate -> reshape" as one lazy plan.
 Inputs are the stored results of the daily funnel (`funnel_daily`, Q03), the
 per-user daily funnel (`funnel_daily_user`, Q04) and the summary queries.
-When those are stored with `sources.io.store_partitioned(..., "funnel_step")`
+When those are read from a store (`plans.store`, partitioned by funnel step)
 the step and date predicates prune partitions and push into the Parquet
 scan; only chart-sized rows (days x platforms at most) come out.
 

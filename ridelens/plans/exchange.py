@@ -163,6 +163,13 @@ def refreshed_daily(t, spark: SparkSession) -> DataFrame:
     return versions.read(spark, path)
 
 
+def clustered_driver_summary(t, spark: SparkSession) -> DataFrame:
+    """Q12 stored in the Z-order of its sliders' columns."""
+    from ridelens.operators import drivers
+    return spark.read.parquet(io.store_clustered(
+        drivers.driver_rating_summary(t), io.scratch_path(spark, "clustered"), SLIDERS["slider_bounds"][1]))
+
+
 def statistic_maxima(stats: DataFrame, columns: list[str]) -> DataFrame:
     """`column_maxima` of a dataset from its statistics: a row per partition is
     read, none of the dataset."""
@@ -212,6 +219,8 @@ def exchange_queries(load=None, store=None) -> dict[str, Callable[[SparkSession,
         "export_page_files": lambda spark, sf_dir: page_files(load(spark, sf_dir), spark),
         "download_numbers": lambda spark, sf_dir: download_numbers(load(spark, sf_dir), spark),
         "driver_summary_stored": lambda spark, sf_dir: stored_driver_summary(load(spark, sf_dir), spark),
+        "panel_driver_ratings_clustered": lambda spark, sf_dir: panel_driver_ratings(
+            clustered_driver_summary(load(spark, sf_dir), spark), max_rating=3.0, min_reviews=1, min_completed=1),
         "merge_drifting": run(lambda t: drifting_shards(funnel.funnel_daily_user(t))),
         "csv_rejects": run(lambda t: checked_shards(funnel.daily_cells(t))),
         "funnel_daily_refreshed": lambda spark, sf_dir: refreshed_daily(load(spark, sf_dir), spark),
@@ -285,6 +294,7 @@ FROM summary
 WHERE avg_ratings >= 0 AND avg_ratings <= 3.0 AND reviews >= 1 AND rides_completed >= 1"""),
     }
     out["funnel_daily_refreshed"] = out["csv_roundtrip"]
+    out["panel_driver_ratings_clustered"] = out["panel_driver_ratings_below_3"]
     out["merge_drifting"] = (per_user, """
 SELECT * REPLACE (CASE WHEN platform = 'ios' THEN NULL ELSE age_range END AS age_range),
        CASE WHEN platform IS NULL OR platform NOT IN ('android', 'ios') THEN 'rest' END AS shard FROM daily_user""")

@@ -11,7 +11,7 @@ from helpers import SF_SMALL
 from ridelens.plans import registry
 
 WRITES = {"csv_roundtrip", "merge_shards", "export_page", "export_all_pages", "export_page_files",
-          "merge_drifting", "csv_rejects", "funnel_daily_refreshed",
+          "merge_drifting", "csv_rejects", "funnel_daily_refreshed", "panel_driver_ratings_clustered",
           "download_numbers", "driver_summary_stored",
           "panel_signups_stored", "panel_daily_rides_usd_stored", "panel_user_funnel_stored"}
 NAMES = sorted(n for n in registry.queries() if n not in WRITES)

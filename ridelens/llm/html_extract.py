@@ -1,22 +1,28 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into its leaf blocks in page order.  Every block becomes a
-vector: its tag path (hashed tags, classes and ids, and the roles of their
-names), its hashed words, and a few measures (length, links, punctuation).  A
-bidirectional LSTM in numpy reads the whole sequence and labels every block,
-so that a block is judged by its neighbourhood too.  The text of the blocks
-labelled as main text is the result.
-
-There are no labelled pages, so the network learns from those blocks of a
-bounded sample (`fit_pages` pages, smallest hash of page_id first) whose
-markup names their role; path features are masked at random while training,
-which forces it to use words, measures and neighbours as well.
+vector: its tag path (hashed tags, classes and ids), its hashed words, and a
+few measures (length, links, punctuation, its container's share of the page,
+agreement with the page's title).  A bidirectional LSTM in numpy reads the
+whole sequence and labels every block, so that a block is judged by its
+neighbourhood too.  The text of the blocks labelled as main text is the result.
+
+There are no labelled pages, so the network learns from votes on the blocks of
+a bounded sample (`fit_pages` pages, smallest hash of page_id first, of each at
+most `FIT_BLOCKS` blocks in evenly spread windows): link density, the share of
+text in the block's container, its place beside the densest container, the
+title, prose, repetition on other pages of the sample, and the names in its
+markup.  Expectation-maximisation estimates how far each voter can be trusted;
+its posteriors are the labels.  Names are one voter and no input: paths are
+swapped, masked and renamed at random while training, so that the network
+knows markup the sample does not hold but can do without it.
 
 Edge cases: null and empty pages, and pages without a block, give an empty
 text; broken markup (unclosed or crossing tags, cut-off pages) is read as far
-as it goes; a table without any block that names its role gives a model that
-keeps all blocks; repeated rows are read one by one; an empty table gives no
-rows; extra columns are not read.
+as it goes; a table without any block to learn from gives a model that keeps
+all blocks; repeated rows are read one by one, and of differing pages of one
+page_id the sample holds the one with the least digest; an empty table gives
+no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.llm.common import bounded_batches, pick, read_table
+from ridelens.llm.common import bounded_batches, pick, read_table, small_batches
 
 # Element names by their treatment in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,8 +63,10 @@ TOKEN = re.compile(
     r"|<[!?][^>]*+>", re.S | re.I)
 ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 NAME = re.compile(r"[a-z]+")
-PATH_DIM, WORD_DIM, HIDDEN = 24, 24, 16
-MEASURES = 9
+PATH_DIM, WORD_DIM, HIDDEN = 128, 24, 16
+MEASURES = 11
+FIT_BLOCKS, WINDOW = 240, 48
+VOTERS = ("names", "links", "container", "beside", "title", "prose", "repeated")
 DIM = PATH_DIM + WORD_DIM + MEASURES
 
 
@@ -67,6 +75,7 @@ class Block:
     text: str
     path: tuple[tuple[str, ...], ...]  # names (tag, classes, ids) of the open elements
     link_chars: int
+    title: frozenset[str]  # words of the page's title
 
 
 def blocks(page: str) -> list[Block]:
@@ -74,18 +83,21 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    heading: list[str] = []
     link, links, at = 0, 0, 0
 
     def flush() -> None:
         nonlocal parts, links
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, tuple(n for t, n in stack if t not in INLINE), min(links, len(text))))
+            out.append(Block(text, tuple(n for t, n in stack if t not in INLINE), min(links, len(text)), frozenset()))
         parts, links = [], 0
 
     def words(raw: str) -> None:
         nonlocal links
-        if raw and not any(t in HEAD for t, _ in stack):
+        if raw and stack and stack[-1][0] == "title":
+            heading.append(html.unescape(raw))
+        elif raw and not any(t in HEAD for t, _ in stack):
             decoded = html.unescape(raw)
             parts.append(decoded)
             if link:
@@ -121,6 +133,9 @@ def blocks(page: str) -> list[Block]:
         link = sum(t == "a" for t, _ in stack)
     words(page[at:])
     flush()
+    title = frozenset("".join(heading).split())
+    for b in out:
+        b.title = title
     return out
 
 
@@ -144,9 +159,67 @@ class Vectors(dict):
         return b
 
 
+def add_name(path: np.ndarray, name: str, depth: int) -> None:
+    """Add a tag, class or id to a path vector: two signed places, so that names
+    seldom share both."""
+    h = zlib.crc32(name.encode())
+    path[h % PATH_DIM] += (1 if h & 0x10000 else -1) / (1 + depth)
+    path[(h >> 20) % PATH_DIM] += (1 if h & 0x20000 else -1) / (1 + depth)
+
+
+def cues(page_blocks: list[Block]) -> np.ndarray:
+    """Per block: words, link share, punctuation a word, share of the page's text
+    in its container, whether it stands between the first and the last block of
+    the densest container, likeness to the title, share of the title in it."""
+    out = np.zeros((len(page_blocks), 7), np.float32)
+    held: dict = {}
+    for b in page_blocks:
+        held[b.path[:-1]] = held.get(b.path[:-1], 0) + len(b.text)
+    total = max(1, sum(held.values()))
+    densest = max(held, key=held.__getitem__, default=())
+    inside = [i for i, b in enumerate(page_blocks) if b.path[:-1] == densest]
+    for i, b in enumerate(page_blocks):
+        words = b.text.split(" ")
+        common = len(b.title.intersection(words))
+        out[i] = (len(words), b.link_chars / max(1, len(b.text)), sum(map(b.text.count, ".,;!?")) / len(words),
+                  held[b.path[:-1]] / total, inside[0] <= i <= inside[-1],
+                  common / max(1, len(b.title.union(words))) if common else 0, common / max(1, len(b.title)))
+    return out
+
+
+def votes(page_blocks: list[Block], c: np.ndarray) -> np.ndarray:
+    """What each voter but the last (repetition, which needs other pages) says of
+    each block: 1 main text, -1 not, 0 nothing."""
+    words, links, marks, share, inside, likeness = c.T[:6]
+    return np.column_stack([
+        [role(b.path) for b in page_blocks],
+        np.where(links > 0.5, -1, 0),
+        np.where(share >= 0.5, 1, np.where(share <= 0.15, -1, 0)),
+        np.where(inside > 0, 0, -1),
+        np.where(likeness >= 0.6, 1, 0),
+        np.where((words >= 20) & (marks > 0), 1, np.where(words <= 3, -1, 0))]).astype(np.int8)
+
+
+def trusted(v: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Expectation-maximisation over the voters: the probability that each row of
+    votes is of main text.  A vote never counts against its own claim."""
+    patterns, back, n = np.unique(v, axis=0, return_inverse=True, return_counts=True)
+    p = 1 / (1 + np.exp(-patterns.sum(axis=1).astype(float)))
+    says = [patterns == x for x in (-1, 0, 1)]
+    for _ in range(rounds):
+        yes = np.array([((n * p)[:, None] * s).sum(axis=0) + w for s, w in zip(says, (1, 1, 2))])
+        no = np.array([((n * (1 - p))[:, None] * s).sum(axis=0) + w for s, w in zip(says, (2, 1, 1))])
+        ratio = np.log(yes / yes.sum(axis=0)) - np.log(no / no.sum(axis=0))
+        ratio[0], ratio[2] = np.minimum(ratio[0], 0), np.maximum(ratio[2], 0)
+        prior = ((n * p).sum() + 1) / (n.sum() + 2)
+        logit = np.log(prior / (1 - prior)) + sum((s * r).sum(axis=1) for s, r in zip(says, ratio))
+        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    return p[back.ravel()]
+
+
 def features(page_blocks: list[Block], buckets: Vectors) -> np.ndarray:
     out = np.zeros((len(page_blocks), DIM), np.float32)
-    n = len(page_blocks)
+    n, c = len(page_blocks), cues(page_blocks)
     known: dict = {}
     for i, b in enumerate(page_blocks):
         row = out[i]
@@ -155,17 +228,15 @@ def features(page_blocks: list[Block], buckets: Vectors) -> np.ndarray:
             path = np.zeros(PATH_DIM, np.float32)
             for depth, names in enumerate(reversed(b.path)):
                 for name in names:
-                    h = zlib.crc32(name.encode())
-                    path[h % PATH_DIM] += (1 if h & 0x10000 else -1) / (1 + depth)
+                    add_name(path, name, depth)
             known[b.path] = path
         row[:PATH_DIM] = path
         words = b.text.split(" ")
         count = np.bincount([buckets[w] for w in words], minlength=WORD_DIM)
         row[PATH_DIM:PATH_DIM + WORD_DIM] = count / np.sqrt((count * count).sum())
-        r = role(b.path)
         row[PATH_DIM + WORD_DIM:] = (
-            r > 0, r < 0, np.log1p(len(words)) / 4, b.link_chars / max(1, len(b.text)),
-            min(1.0, sum(map(b.text.count, ".,;!?")) / len(words)), i / max(1, n - 1), i == 0, i == n - 1, 1.0)
+            np.log1p(len(words)) / 4, c[i, 1], min(1.0, c[i, 2]), *c[i, 3:],
+            i / max(1, n - 1), i == 0, i == n - 1, 1.0)
     return out
 
 
@@ -266,33 +337,47 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def train(pages: list[list[Block]], epochs: int = 60, window: int = 48, masked: float = 0.1,
-          swapped: float = 0.5,
-          seed: int = 5) -> Labeller | None:
-    """Adam on windows of the pages' blocks whose markup names their role.  So
-    that no site's own markup or order is learnt by heart, the path features
-    (in a share of the blocks), the hashed path alone (in as many more) and the
-    order of blocks (in a share of the windows) are disturbed."""
-    buckets, rng = Vectors(), np.random.default_rng(seed)
-    sequences, roles = [], []
-    for p in pages:
-        f, r = features(p, buckets), [role(b.path) for b in p]
-        for s in range(0, len(p), window):
-            sequences.append(f[s:s + window])
-            roles.append(r[s:s + window])
-    if not any(r for x in roles for r in x):
+def renamed(rng: np.random.Generator, main: bool | None) -> np.ndarray:
+    """A path vector of made-up markup that names the role, or (None) a name that
+    tells nothing; an element of boilerplate may stand inside one of main text."""
+    strange = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))]
+    pools = [strange if main is None else sorted(CONTENT if main else BOILER),
+             ["p", "div", "li", "span", "section", "h1", "h2"]]
+    chain = [pools[0][rng.integers(len(pools[0]))]]
+    if rng.random() < 0.5 or main is not False:
+        chain.insert(0, pools[1][rng.integers(len(pools[1]))])
+    if main is False and rng.random() < 0.5:
+        content = sorted(CONTENT)
+        chain.append(content[rng.integers(len(content))])
+    out = np.zeros(PATH_DIM, np.float32)
+    for depth, name in enumerate([*chain, "body", "html"]):
+        add_name(out, name, depth)
+        if 0 < depth < len(chain) and rng.random() < 0.5:  # as a class of a plain element
+            add_name(out, "div", depth)
+    return out
+
+
+def train(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 60, masked: float = 0.1,
+          swapped: float = 0.3, named: float = 0.25, planted: float = 0.1, strange: float = 0.2, seed: int = 5) -> Labeller | None:
+    """Adam on windows of blocks, as (features, probabilities of main text).  So
+    that no site's own markup or order is learnt by heart, the path of a share
+    of the blocks is masked, swapped with another block's or renamed, and the
+    order of blocks is shuffled in a share of the windows.  Blocks planted with
+    the markup of boilerplate teach sidebars and notices within main text."""
+    rng = np.random.default_rng(seed)
+    if not pages:
         return None
-    x, mask = padded(sequences)
+    x, mask = padded([f for f, _ in pages])
     y, weight = np.zeros(mask.shape), np.zeros(mask.shape)
-    for k, r in enumerate(roles):
-        y[:len(r), k] = np.array(r) > 0
-        weight[:len(r), k] = np.array(r) != 0
+    for k, (_, p) in enumerate(pages):
+        y[:len(p), k] = p >= 0.5
+        weight[:len(p), k] = np.abs(2 * p - 1)
+    made = {main: np.stack([renamed(rng, main) for _ in range(2000)]) for main in (False, True, None)}
     pos, neg = (weight * y).sum(), (weight * (1 - y)).sum()
     weight *= np.where(y > 0, (pos + neg) / (2 * max(pos, 1)), (pos + neg) / (2 * max(neg, 1)))
     model = Labeller.fresh()
     first = [np.zeros_like(w) for w in model.weights()]
     second = [np.zeros_like(w) for w in model.weights()]
-    path = np.r_[0:PATH_DIM, PATH_DIM + WORD_DIM, PATH_DIM + WORD_DIM + 1]
     step = 0
     for _ in range(epochs):
         order = rng.permutation(x.shape[1])
@@ -308,8 +393,14 @@ def train(pages: list[list[Block]], epochs: int = 60, window: int = 48, masked:
             other = part[rng.integers(0, part.shape[0], part.shape[:2]),
                          rng.integers(0, part.shape[1], part.shape[:2]), :PATH_DIM]
             part[:, :, :PATH_DIM] = np.where((spots > 1 - swapped)[:, :, None], other, part[:, :, :PATH_DIM])
-            for j in path:
-                part[:, :, j][spots < masked] = 0
+            part[spots < masked, :PATH_DIM] = 0
+            for main in (False, True):
+                at = (spots >= masked) & (spots < masked + named) & ((target > 0) == main)
+                part[at, :PATH_DIM] = made[main][rng.integers(0, 2000, int(at.sum()))]
+            at = (spots >= masked + named) & (spots < masked + named + planted)
+            part[at, :PATH_DIM], target[at] = made[False][rng.integers(0, 2000, int(at.sum()))], 0
+            at = (spots >= masked + named + planted) & (spots < masked + named + planted + strange)
+            part[at, :PATH_DIM] = made[None][rng.integers(0, 2000, int(at.sum()))]
             _, grads = model.gradients(part, real, target, share)
             norm = np.sqrt(sum((g * g).sum() for g in grads))
             for w, g, m1, m2 in zip(model.weights(), grads, first, second):
@@ -321,12 +412,43 @@ def train(pages: list[list[Block]], epochs: int = 60, window: int = 48, masked:
 
 
 def fit_labeller(pages: DataFrame, fit_pages: int = 300) -> Labeller | None:
-    """Trained on at most `fit_pages` pages, which reach the driver."""
+    """Trained on the blocks of at most `fit_pages` pages: the tasks cut and vote,
+    and vectors of at most FIT_BLOCKS blocks a page reach the driver."""
+    def cut(batches):
+        buckets = Vectors()
+        for batch in batches:
+            for page_id, page in zip(batch.column("page_id").to_pylist(), batch.column("html")):
+                found = blocks(page.as_py())
+                x, v = features(found, buckets), votes(found, cues(found)) if found else None
+                texts = [zlib.crc32(b.text.encode()) for b in found]
+                whole = zlib.crc32("\n".join(b.text for b in found).encode())
+                starts = range(0, len(found), WINDOW)
+                most = FIT_BLOCKS // WINDOW
+                for k in sorted({j * len(starts) // most for j in range(most)}) if starts else ():
+                    some = slice(k * WINDOW, (k + 1) * WINDOW)
+                    yield pa.RecordBatch.from_pydict({
+                        "page_id": [page_id], "window": pa.array([k], pa.int32()), "whole": pa.array([whole], pa.int64()),
+                        "x": [x[some].tobytes()], "votes": [v[some].tobytes()],
+                        "texts": pa.array([texts[some]], pa.list_(pa.int64()))})
+
     source = pick(pages, page_id="long", html="string").where("html is not null")
     ids = source.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages)
-    sample = source.join(F.broadcast(ids), "page_id").dropDuplicates(["page_id"]).collect()
-    cut = [b for r in sorted(sample, key=lambda r: r["page_id"]) if (b := blocks(r["html"]))]
-    return train(cut)
+    sample = (source.join(F.broadcast(ids), "page_id").groupBy("page_id")
+              .agg(F.min_by("html", F.struct(F.xxhash64("html"), F.length("html"))).alias("html")))
+    with small_batches(pages.sparkSession):
+        rows = sorted(sample.mapInArrow(cut, "page_id long, window int, whole long, x binary, votes binary, "
+                                             "texts array<long>").collect(), key=lambda r: (r["page_id"], r["window"]))
+    if not rows:
+        return None
+    holders: dict[int, set[int]] = {}  # copies of a whole page count as one
+    for r in rows:
+        for t in r["texts"]:
+            holders.setdefault(t, set()).add(r["whole"])
+    cast = np.concatenate([np.frombuffer(r["votes"], np.int8).reshape(-1, len(VOTERS) - 1) for r in rows])
+    repeated = np.array([-1 if len(holders[t]) >= 3 else 0 for r in rows for t in r["texts"]], np.int8)
+    p = trusted(np.column_stack([cast, repeated]))
+    ends = np.cumsum([len(r["texts"]) for r in rows])[:-1]
+    return train([(np.frombuffer(r["x"], np.float32).reshape(-1, DIM), q) for r, q in zip(rows, np.split(p, ends))])
 
 
 def label(model: Labeller | None, pages: list[list[Block]], buckets: Vectors) -> Iterator[list[bool]]:

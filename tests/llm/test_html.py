@@ -1,7 +1,10 @@
 import html as H
+import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ridelens.llm import html_extract as X
 
@@ -44,8 +47,86 @@ def test_unseen_markup(model):
     assert kept == ["Title", "First paragraph of it, with words, here.", "Second paragraph, it goes on and on."]
 
 
+def plain_logits(m, x):
+    """One page, step by step, gate by gate."""
+    states = []
+    for d, order in ((0, range(len(x))), (1, range(len(x) - 1, -1, -1))):
+        size = m.u[d].shape[0]
+        h, cell, out = np.zeros(size), np.zeros(size), np.zeros((len(x), size))
+        for t in order:
+            z = x[t].astype(float) @ m.w[d] + h @ m.u[d] + m.b[d]
+            i, f, g, o = z[:size], z[size:2 * size], z[2 * size:3 * size], z[3 * size:]
+            cell = cell / (1 + np.exp(-f)) + np.tanh(g) / (1 + np.exp(-i))
+            h = np.tanh(cell) / (1 + np.exp(-o))
+            out[t] = h
+        states.append(out)
+    return (np.concatenate(states, axis=1) @ m.v + m.c)[:, 0]
+
+
+def test_batches_equal_a_plain_loop(model, pages):
+    cut = [X.blocks(p["html"]) for p in pages[:60]] + [[]]
+    got = list(X.label(model, cut, X.Vectors()))
+    for found, keep in zip(cut, got):
+        logits = plain_logits(model, X.features(found, X.Vectors())) if found else []
+        assert all(k == (z >= 0) for k, z in zip(keep, logits) if abs(z) > 1e-4) and len(keep) == len(found)
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()
+
+
+def scrambled(page, rng, tags):
+    """The page with meaningless class names, and meaningless elements if `tags`."""
+    names = {}
+
+    def new(name):
+        return names.setdefault(name, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)))
+    page = re.sub(r'class="([^"]*)"', lambda m: f'class="{new(m[1])}"', page)
+    for t in ("nav", "article", "footer", "ul", "li") if tags else ():
+        page = re.sub(rf"<{t}\b", f'<div class="{new(t)}"', page).replace(f"</{t}>", "</div>")
+    return page
+
+
+def f1(model, cut, truth):
+    kept = np.concatenate([np.array(k, bool) for k in X.label(model, cut, X.Vectors())])
+    return 2 * (kept & truth).sum() / (kept.sum() + truth.sum())
+
+
+def test_held_out_pages_with_scrambled_names(spark, pages):
+    even = spark.createDataFrame([(p["page_id"], p["html"]) for p in pages if p["page_id"] % 2 == 0],
+                                 "page_id long, html string")
+    model, odd, rng = X.fit_labeller(even), [p["html"] for p in pages if p["page_id"] % 2], random.Random(3)
+    truth = np.array([any("article" in n for n in b.path) for p in odd for b in X.blocks(p)])
+    assert f1(model, [X.blocks(p) for p in odd], truth) >= 0.999
+    assert f1(model, [X.blocks(scrambled(p, rng, False)) for p in odd], truth) >= 0.97
+    assert f1(model, [X.blocks(scrambled(p, rng, True)) for p in odd], truth) >= 0.95
+
+
+def test_labels_do_not_hang_on_names(pages):
+    cut = [X.blocks(p["html"]) for p in pages]
+    truth = np.array([any("article" in n for n in b.path) for c in cut for b in c])
+    votes = np.concatenate([X.votes(c, X.cues(c)) for c in cut])
+    assert ((X.trusted(votes) >= 0.5) == truth).mean() > 0.995
+    assert ((X.trusted(votes[:, 1:]) >= 0.5) == truth).mean() > 0.99
+
+
+def test_reliable_voters_overrule_the_names():
+    main, other = [1, 0, 1, 0, 1, 1, 0], [-1, -1, -1, -1, 0, -1, -1]
+    misnamed, silent = [-1, 0, 1, 0, 1, 1, 0], [0, -1, -1, -1, 0, -1, 0]
+    p = X.trusted(np.array([main] * 300 + [other] * 300 + [misnamed] * 20 + [silent] * 20))
+    assert p[0] > 0.9 and p[300] < 0.1 and p[600] > 0.5 > p[620]
+
+
+def test_repeated_ids_and_long_pages_in_the_sample(spark):
+    page = "<title>a b c</title><nav><a href='/'>x</a></nav><article><h1>a b c</h1>" + "<p>words, " * 3000
+    rows = [(1, page), (1, "<article><p>other"), (None, page), (2, ""), (2, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    one, two = X.fit_labeller(df), X.fit_labeller(df.orderBy(F.col("html").desc()))
+    assert all((a == b).all() for a, b in zip(one.weights(), two.weights()))
+
+
 def test_gradients():
-    import numpy as np
     rng = np.random.default_rng(1)
     m = X.Labeller.fresh(5, 3)
     x, mask = rng.normal(size=(4, 2, 5)), np.array([[1, 1], [1, 1], [1, 1], [1, 0]], bool)

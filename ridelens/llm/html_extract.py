@@ -66,6 +66,7 @@ NAME = re.compile(r"[a-z]+")
 PATH_DIM, WORD_DIM, HIDDEN = 128, 24, 16
 MEASURES = 11
 FIT_BLOCKS, WINDOW = 240, 48
+HEADING_CHARS = 300
 VOTERS = ("names", "links", "container", "beside", "title", "prose", "repeated")
 DIM = PATH_DIM + WORD_DIM + MEASURES
 
@@ -170,19 +171,24 @@ def add_name(path: np.ndarray, name: str, depth: int) -> None:
 def cues(page_blocks: list[Block]) -> np.ndarray:
     """Per block: words, link share, punctuation a word, share of the page's text
     in its container, whether it stands between the first and the last block of
-    the densest container, likeness to the title, share of the title in it."""
+    the densest container, likeness to the title, share of the title in it.
+    Link text does not make a container dense, and a block like the title counts
+    as HEADING_CHARS more, so that a short article stands out too; the body's own children are containers by their markup."""
     out = np.zeros((len(page_blocks), 7), np.float32)
+    places = [b.path if len(b.path) < 2 or b.path[-2][0] == "body" else b.path[:-1] for b in page_blocks]
     held: dict = {}
-    for b in page_blocks:
-        held[b.path[:-1]] = held.get(b.path[:-1], 0) + len(b.text)
+    for place, b in zip(places, page_blocks):
+        words = set(b.text.split(" "))
+        alike = b.title and len(b.title & words) >= 0.6 * len(b.title | words)
+        held[place] = held.get(place, 0) + len(b.text) - b.link_chars + (HEADING_CHARS if alike else 0)
     total = max(1, sum(held.values()))
     densest = max(held, key=held.__getitem__, default=())
-    inside = [i for i, b in enumerate(page_blocks) if b.path[:-1] == densest]
+    inside = [i for i, place in enumerate(places) if place == densest]
     for i, b in enumerate(page_blocks):
         words = b.text.split(" ")
         common = len(b.title.intersection(words))
         out[i] = (len(words), b.link_chars / max(1, len(b.text)), sum(map(b.text.count, ".,;!?")) / len(words),
-                  held[b.path[:-1]] / total, inside[0] <= i <= inside[-1],
+                  held[places[i]] / total, inside[0] <= i <= inside[-1],
                   common / max(1, len(b.title.union(words))) if common else 0, common / max(1, len(b.title)))
     return out
 
@@ -358,7 +364,7 @@ def renamed(rng: np.random.Generator, main: bool | None) -> np.ndarray:
 
 
 def train(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 60, masked: float = 0.1,
-          swapped: float = 0.3, named: float = 0.25, planted: float = 0.1, strange: float = 0.2, seed: int = 5) -> Labeller | None:
+          swapped: float = 0.15, named: float = 0.2, planted: float = 0.07, strange: float = 0.35, seed: int = 5) -> Labeller | None:
     """Adam on windows of blocks, as (features, probabilities of main text).  So
     that no site's own markup or order is learnt by heart, the path of a share
     of the blocks is masked, swapped with another block's or renamed, and the

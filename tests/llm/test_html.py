@@ -153,3 +153,11 @@ def test_odd_pages(spark, model):
     assert X.extract_text(df.limit(0), None).count() == 0
     assert X.fit_labeller(df.limit(0)) is None
     assert X.extract_text(df, None).where("page_id = 3").first()["text"] == "same"
+
+
+def test_an_article_shorter_than_the_footer(model):
+    page = ("<title>Anthre.</title><nav><ul><li><a href='/x'>One</a><li><a href='/y'>Two</a></ul></nav>"
+            "<div class='ad'>And therhean is the is esndha.</div><article><h1>Anthre.</h1><p>Anthre.<p>Two words</article>"
+            "<footer>&copy; tion.example.net &middot; Beverbe in dieentz and a long line of more words.</footer>")
+    cut = X.blocks(page)
+    assert [k for k in next(X.label(model, [cut], X.Vectors()))] == [False] * 3 + [True] * 3 + [False]

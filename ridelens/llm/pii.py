@@ -2,7 +2,9 @@
 
 Four base kinds (email, ip, card, phone) have fixed patterns and checks and
 are always reported.  Further candidates come from one looser pattern; regex,
-gazetteer and context labelers vote on each.  The vote patterns are counted
+gazetteer, context, checksum and column labelers vote on each; they conflict on
+purpose (a valid shape with a wrong checksum, a personal word before a number
+of a table), and no kind is accepted for its shape alone.  The vote patterns are counted
 over all documents; expectation-maximisation on that table (its size is
 bounded by kinds and labelers, not by the corpus) estimates how reliable each
 vote is, and its posteriors train a logistic span classifier, which is
@@ -68,7 +70,11 @@ GAZETTEER = {
 FOR = (r"(?i)\b(?:account|address|call|contact|e-?mail|iban|key|login|mobile|name|password|phone|"
        r"secret|social|ssn|tel|token|write|konto|telefon|anruf|tél|appel|correo|teléfono)\b")
 AGAINST = r"(?i)\b(?:figure|invoice|isbn|issue|order|page|part|ref|serial|table|version)\b"
-LABELERS = ("strict", "gazetteer", "context", "contrary", "variety")
+# Numbers known from advertisements and leaflets, nobody's own.
+SAMPLE_SSN = r"^(?:078-05-1120|219-09-9999|457-55-5462|123-45-6789)$"
+FICTIONAL_PHONE = r"555\D01[0-9]{2}$"
+CELL = r"(?:[0-9][0-9.,%/-]*[\x20\t]*[\t|;,]|\|)[\x20\t]*$"  # a number's table cell ends before it
+LABELERS = ("strict", "gazetteer", "context", "contrary", "variety", "checksum", "column")
 BLOCK = 256
 
 
@@ -138,6 +144,38 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def mod97(iban: Column) -> Column:
+    """Remainder of an IBAN's number, its country and check digits moved to the
+    end and letters written as 10 to 35; 1 where it is valid."""
+    s = F.regexp_replace(iban, "\\x20", "")
+    turned = F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, F.lit(1), F.lit(4)))
+    signs = F.filter(F.split(turned, ""), lambda x: x != "")
+    return F.aggregate(F.transform(signs, lambda x: F.ascii(x)), F.lit(0), lambda acc, x: F.when(
+        x < 65, (acc * 10 + x - 48) % 97).otherwise((acc * 100 + x - 55) % 97))
+
+
+def checked(kind: Column, m: Column) -> Column:
+    """What the value itself proves: 1 a checksum or the look of chance, -1 that it
+    cannot be one, 0 nothing."""
+    value = F.regexp_replace(m, r"^[A-Za-z_-]+\x20?[=:]\x20?\"?|\"$", "")
+    signs = F.filter(F.array_distinct(F.split(value, "")), lambda x: x != "")
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    rules = {
+        "iban": F.when(mod97(m) == 1, 1).otherwise(-1),
+        "ipv6": F.when(m.rlike(r"^([0-9A-Fa-f]{1,4})(?::\1){7}$|^(?i)2001:0?db8:"), -1).otherwise(0),
+        "local_phone": F.when(m.rlike(FICTIONAL_PHONE) | m.rlike(r"([0-9])\1\D?[0-9]?\1{3}"), -1).otherwise(0),
+        "masked_email": F.when(m.rlike(r"(?i)\b(?:look|meet|be|stay|is|was|are|point)\x20at\x20"), -1).otherwise(0),
+        "name": F.when(m.rlike(r"\x20(?:Street|Road|Avenue|Hall|Hospital|University|Who|Pepper)\b"), -1).otherwise(0),
+        "secret": F.when(mixed & (2 * F.size(signs) >= F.least(F.length(value), F.lit(16))), 1)
+                   .when(value.rlike(r"^(?:[A-Za-z]+(?:[_./-][A-Za-z]+)*[_./-]?|[0-9.]+)$"), -1).otherwise(0),
+        "ssn": F.when(m.rlike(SAMPLE_SSN) | m.rlike(r"^([0-9])\1\1-\1\1-\1{4}$"), -1).otherwise(0),
+    }
+    out = F.lit(0)
+    for k, rule in rules.items():
+        out = F.when(kind == k, rule).otherwise(out)
+    return out
+
+
 def _by_kind(kind: Column, patterns: dict[str, str], of: Column) -> Column:
     out = F.lit(False)
     for k, p in patterns.items():
@@ -161,7 +199,8 @@ def voted(candidate: Column) -> Column:
                 F.when(_by_kind(k, GAZETTEER, m), 1).otherwise(0),
                 F.when(before.rlike(FOR), 1).otherwise(0),
                 F.when(before.rlike(AGAINST), -1).otherwise(0),
-                F.when(variety >= 6, 1).when(variety <= 4, -1).otherwise(0)).alias("votes"))
+                F.when(variety >= 6, 1).when(variety <= 4, -1).otherwise(0),
+                checked(k, m), F.when(before.rlike(CELL), -1).otherwise(0)).alias("votes"))
     # matches that only held by their neighbours keep the kind of the full shape
     kind = F.coalesce(kind, F.lit("secret"))
     return F.get(F.transform(F.array(kind), votes), 0)
@@ -208,7 +247,7 @@ def estimate(table: list[tuple[str, tuple[int, ...], int]], rounds: int = 60) ->
         for j in range(v.shape[1]):
             logit = logit + ratio[j, v[:, j] + 1]
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    reliability = {name: dict(zip(values, (yes[j] / yes[j].sum()).tolist())) for j, name in enumerate(LABELERS)}
+    reliability = {name: dict(zip(values, (y / y.sum()).tolist())) for name, y in zip(LABELERS, yes)}
     features = [(j, x) for j in range(v.shape[1]) for x in (-1, 1)]
     x = np.column_stack([np.eye(len(kinds))[which], *[(v[:, j] == y).astype(float) for j, y in features]])
     w, scale = np.zeros(x.shape[1]), n / n.sum() * len(n)

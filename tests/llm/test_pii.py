@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from ridelens.llm import pii
 
 KINDS = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -94,3 +97,72 @@ def test_long_values_are_whole(spark):
              for r in pii.find_candidates(rows).collect()}
     assert len(token) > 1000
     assert found == {0: {f"token={token}"}, 1: {f'secret: "{token}"'}, 2: {f"{name} (at) {host} (dot) com"}, 3: set()}
+
+
+def iban(rng, valid):
+    country, body = rng.choice(["DE", "GB", "FR", "XK"]), "".join(rng.choices("0123456789", k=18))
+    turned = "".join(str(int(c, 36)) for c in body + country + "00")
+    check = 98 - int(turned) % 97
+    return f"{country}{check if valid else (check + 5) % 90 + 2:02d}{body}"
+
+
+def digits(rng, n, first="23456789"):
+    return rng.choice(first) + "".join(rng.choices("0123456789", k=n - 1))
+
+
+VALUES = {  # a true and a false span of each kind
+    "iban": (lambda r: iban(r, True), lambda r: iban(r, False)),
+    "ipv6": (lambda r: "2a01:" + ":".join(f"{r.randrange(4096, 65536):x}" for _ in range(7)),
+             lambda r: ":".join([r.choice(["0", "1111", "0000", "ffff"])] * 8)),
+    "local_phone": (lambda r: f"({digits(r, 3)}) {digits(r, 3, '246')}-{digits(r, 4)}",
+                    lambda r: r.choice([f"1{digits(r, 2)}-0{digits(r, 2)}-{digits(r, 4)}", "100-000-0000"])),
+    "masked_email": (lambda r: f"{r.choice(['ann', 'bob.k', 'cy_12'])}{digits(r, 3)} (at) host{digits(r, 2)} dot com",
+                     lambda r: r.choice(["look at this dot pattern", "stay at every dot here", "meet at noon dot sharp"])),
+    "name": (lambda r: f"{r.choice(['Dr', 'Mrs.', 'Herr'])} {r.choice(['Anna', 'Peter', 'Maria'])} {r.choice(['Kowalski', 'Brandt'])}",
+             lambda r: r.choice(["Dr Pepper", "Dr Who", "St Prof Hall", "Mr Street"])),
+    "secret": (lambda r: "password=" + "".join(r.choices("abcdefgh23456789XYZW", k=18)) + "a7",
+               lambda r: r.choice(["secret: required", "pwd = changes.every", "secret=optional_value", "pwd: hidden"])),
+    "ssn": (lambda r: f"{r.randrange(100, 599)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}",
+            lambda r: r.choice(["000-12-3456", "987-65-4320", "666-11-1111", "999-99-9999", "078-05-1120"])),
+}
+
+
+def corpus(seed, n=60):
+    rng, out = random.Random(seed), []
+    for kind, makers in VALUES.items():
+        for _ in range(n):
+            for true, make in zip((True, False), makers):
+                helps, hinders = ("call contact my account", "in the", "so"), ("invoice page", "see the table", "in the")
+                before = rng.choice(helps if true else (*hinders, "my account"))
+                value = make(rng)
+                cell = "" if true or rng.random() < 0.6 else " | "
+                out.append((kind, true, f"{before}{cell} ", value))
+    return out
+
+
+def test_conflicting_labelers_beat_the_majority(spark):
+    spans = corpus(1)
+    rows = spark.createDataFrame([(i, b + v + " then") for i, (_, _, b, v) in enumerate(spans)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.find_candidates(rows).collect()}
+    reported = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in pii.find_pii(rows).collect()}
+    refused, tally = set(), {"model": [0, 0, 0], "majority": [0, 0, 0]}
+    for i, (kind, true, _, _) in enumerate(spans):
+        votes = [c["votes"] for c in found[i]["candidates"] if c["kind"] == kind]
+        for way, said in (("model", kind in reported[i]), ("majority", any(sum(v) > 0 for v in votes))):
+            t = tally[way]
+            t[0], t[1], t[2] = t[0] + (said and true), t[1] + (said and not true), t[2] + (not said and true)
+        if not true and votes and kind not in reported[i]:
+            refused.add(kind)
+    score = {w: (tp / (tp + fp), tp / (tp + fn)) for w, (tp, fp, fn) in tally.items()}
+    print(score, refused)
+    assert refused == set(pii.SHAPES)
+    assert score["model"][0] >= score["majority"][0] and score["model"][1] >= score["majority"][1]
+    assert min(score["model"]) > 0.9
+
+
+def test_iban_checksum(spark):
+    rng = random.Random(2)
+    values = [(iban(rng, k % 2 == 0), k % 2 == 0) for k in range(40)] + [("GB82 WEST 1234 5698 7654 32", True)]
+    got = spark.createDataFrame(values, "v string, ok boolean").select(
+        (pii.mod97(F.col("v")) == 1).alias("got"), "ok").collect()
+    assert all(r["got"] == r["ok"] for r in got)

@@ -24,6 +24,7 @@ import re
 import unicodedata
 import uuid
 from array import array as pack
+from functools import lru_cache
 from itertools import accumulate, chain
 
 import numpy as np
@@ -37,7 +38,7 @@ from ridelens.llm.common import bounded_batches, pick, read_table, scratch
 
 MARKS = ".,;:!?"
 SPECIAL = "<|"
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 800_000
 PART_SCHEMA = "part int, name string, n_docs long, n_tokens long"
 
 
@@ -77,14 +78,23 @@ class ChunkEncoder(dict):
         if packed is None:
             low = "".join(c.lower() for c in word) if "Σ" in word else word.lower()  # letter by letter
             if low.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
-                piece = low if low.isascii() else "".join(map(BYTE_CHARS.__getitem__, low.encode()))
-                ids = [t.id for t in self.model.tokenize(piece)]
+                packed = self._piece(low if low.isascii() else "".join(map(BYTE_CHARS.__getitem__, low.encode())))
             else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            packed = self.words[word] = pack(self.code, ids).tobytes()
+                packed = pack(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            self.words[word] = packed
         return packed
 
+    def _piece(self, piece: str) -> bytes:
+        return pack(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
     def __missing__(self, chunk: str) -> bytes:
+        if chunk.isalpha() and chunk.isascii():  # most chunks: one piece, nothing to take apart
+            low = chunk.lower()
+            packed = self.words.get(low)
+            if packed is None:
+                packed = self.words[low] = self._piece(low)
+            self[chunk] = packed
+            return packed
         if not chunk:  # between two white spaces
             self[chunk] = b""
             return b""
@@ -109,6 +119,12 @@ class ChunkEncoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@lru_cache(maxsize=1)
+def chunk_encoder(tokenizer_json: str, dtype: np.dtype) -> ChunkEncoder:
+    """One for all tasks of a Python worker: what it has met serves the next task."""
+    return ChunkEncoder(tokenizer_json, dtype)
+
+
 def open_store(path: str):
     """(file system, path inside it) of a URI or a plain path."""
     if "://" not in path and not path.startswith("file:"):
@@ -130,7 +146,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def write(batches):
         store, folder = open_store(path)
         store.create_dir(folder, recursive=True)
-        encoder, name = ChunkEncoder(spec, ids_type), f"part-{uuid.uuid4().hex}"
+        encoder, name = chunk_encoder(spec, ids_type), f"part-{uuid.uuid4().hex}"
         starts, n_docs, end = 0, 0, np.array([end_id], ids_type).tobytes()
         with store.open_output_stream(f"{folder}/{name}.ids") as ids_out, \
                 store.open_output_stream(f"{folder}/{name}.offsets") as offsets_out, \

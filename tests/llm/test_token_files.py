@@ -87,3 +87,11 @@ def test_rows_without_an_id_are_split(spark):
                                  path, PATH, 1, partitions=4).collect()
     assert len(parts) == 4 and max(p["n_docs"] for p in parts) < 200
     assert sorted(map(repr, read_back(spark, path))) == sorted(map(repr, expected(rows)))
+
+
+def test_tasks_of_a_worker_share_what_they_met():
+    spec = open(PATH, encoding="utf-8").read()
+    first = TF.chunk_encoder(spec, np.dtype("<u2"))
+    assert first.encode("Some words, Some WORDS") == OURS.encode("Some words, Some WORDS")
+    again = TF.chunk_encoder(spec[:1] + spec[1:], np.dtype("<u2"))  # an equal text, as the next task unpacks it
+    assert again is first and "WORDS" in again

@@ -1,9 +1,10 @@
 """Elias-Fano sequences and array files, in numpy.
 
 A monotone sequence of n numbers below u keeps the low log2(u/n) bits of each
-number packed, and the high parts as a unary bit vector.  `find` looks many
-keys up at once: the zeros of the bit vector delimit the numbers sharing a
-high part, and a binary search on the low bits ends there.
+number, rounded up to a machine type (above 32 bits packed), and the high parts
+as a unary bit vector.  `find` looks many keys up at once: the zeros of the bit
+vector delimit the numbers sharing a high part, and a binary search on the low
+bits ends there.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import json
 import numpy as np
 
 U64 = np.uint64
-MANY = 32  # elements decoded in the time of one search
+TYPES = {16: np.uint16, 32: np.uint32}  # widths of low parts that need no packing
+MANY = 256  # elements decoded in the time of one search
 STRIP = 512  # rows of 64 values unpacked together, within a core's cache
 BLOCK = 2  # words of the bit vector per directory entry
 
@@ -38,6 +40,11 @@ def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def low_parts(values: np.ndarray, width: int) -> np.ndarray:
+    """`width` low bits of each value, as one of TYPES or packed."""
+    return values.astype(TYPES[width]) if width in TYPES else pack_bits(values & U64((1 << width) - 1), width)
+
+
 def unpack_all(words: np.ndarray, width: int, n: int) -> np.ndarray:
     """The first n values: 64 of them fill `width` words, so each column of such
     rows is one shift of one or two columns of words."""
@@ -62,6 +69,8 @@ def unpack_all(words: np.ndarray, width: int, n: int) -> np.ndarray:
 def unpack_bits(words: np.ndarray, width: int, index: np.ndarray) -> np.ndarray:
     if not width:
         return np.zeros(len(index), U64)
+    if width in TYPES:
+        return words[index].astype(U64)
     at = index.astype(U64) * U64(width)
     word, shift = (at >> U64(6)).astype(np.int64), at & U64(63)
     value = words[word] >> shift
@@ -83,6 +92,7 @@ class EliasFano:
         """Arrays of ascending uint64 values."""
         n, top = len(values), int(values[-1]) if len(values) else 0
         width = max(0, (top // max(n, 1)).bit_length() - 1)
+        width = next((w for w in TYPES if 0 < width <= w), width)
         upper = values >> U64(width)
         n_zeros = (int(upper[-1]) if n else 0) + 1
         words = (n + n_zeros + 63) // 64
@@ -93,7 +103,7 @@ class EliasFano:
         ones = np.bitwise_count(high).astype(np.int64).reshape(-1, BLOCK).sum(axis=1)
         zeros = np.concatenate([[0], np.cumsum(64 * BLOCK - ones)]).astype(np.uint32 if words < 1 << 25 else np.int64)
         return {"meta": np.array([n, width, n_zeros], np.int64),
-                "low": pack_bits(values & U64((1 << width) - 1), width), "high": high, "zeros": zeros}
+                "low": low_parts(values, width), "high": high, "zeros": zeros}
 
     def _place(self, k: np.ndarray, directory: np.ndarray, words: np.ndarray, flip: bool) -> np.ndarray:
         """Position of bit number k (from 0) among the zeros (`flip`) or ones,
@@ -147,10 +157,14 @@ class EliasFano:
 
     def values(self) -> np.ndarray:
         """All elements."""
-        bits = np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little").view(bool)
-        upper = (np.flatnonzero(bits) - np.arange(self.n)).view(U64)
-        upper <<= U64(self.width)
-        upper |= unpack_all(np.asarray(self.low), self.width, self.n)
+        bits = np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little", count=self.n + self.n_zeros).view(bool)
+        if self.n_zeros < self.n // 2:  # fewer high parts than elements: repeat each
+            ends = np.flatnonzero(~bits) - np.arange(self.n_zeros)
+            upper = np.repeat(np.arange(self.n_zeros, dtype=U64) << U64(self.width), np.diff(ends, prepend=0))
+        else:
+            upper = (np.flatnonzero(bits) - np.arange(self.n)).view(U64)
+            upper <<= U64(self.width)
+        upper |= self.low[:self.n] if self.width in TYPES else unpack_all(np.asarray(self.low), self.width, self.n)
         return upper
 
     def _many(self, queries: int) -> bool:
@@ -177,12 +191,9 @@ class EliasFano:
         upper = self._place(index, ones, self.high, False) - index
         return (upper.astype(U64) << U64(self.width)) | unpack_bits(self.low, self.width, index)
 
-    def find_with_floor(self, keys: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """`find` of the keys and `lower_bound` of the floors."""
-        if self.n and self._many(len(keys)):
-            every = self.values()
-            return _find_all(every, keys), _place_all(every, floors)
-        return self.find(keys), self.lower_bound(floors)
+    def opened(self, queries: int) -> "EliasFano | np.ndarray":
+        """For that many searches in all: the elements, decoded once, if that costs less."""
+        return self.values() if self.n and self._many(queries) else self
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key, -1 where it is absent."""
@@ -203,6 +214,15 @@ class EliasFano:
         return out
 
 
+def find(where: EliasFano | np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """`EliasFano.find`, also among elements already decoded."""
+    return where.find(keys) if isinstance(where, EliasFano) else _find_all(where, keys)
+
+
+def lower_bound(where: EliasFano | np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return where.lower_bound(keys) if isinstance(where, EliasFano) else _place_all(where, keys)
+
+
 def _place_all(every: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """searchsorted in the order of the keys, which walks through the memory."""
     if len(keys) < 1000 or (keys[1:] >= keys[:-1]).all():

@@ -17,10 +17,10 @@ the scoring tasks.  Level 1: word hashes (Elias-Fano; a word's id is its rank),
 counts, and rest masses by id.  Levels 2 and 3 are split by a hash of (last
 context word, word), so no frequent context makes a large shard.  Level 2: the
 pairs as one monotone sequence, probability and rest mass of each.  Level 3:
-for every pair of context words a node, with a monotone pointer into the
-sequence of its successors, which are kept as their ranks among the successors
-of the last context word: a lookup searches the word there first, then its
-rank in the node.
+for every pair of context words a node, and its successors in one monotone
+sequence, kept as their ranks among the successors of the last context word,
+above the node's place times the shard's largest number of successors: a lookup
+searches the word there first, then its rank in the node.
 
 Edge cases: null and empty texts are one end token; repeated rows count and
 score each; a null doc_id is trained on and not held out; with no training
@@ -36,23 +36,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridelens.llm.common import bounded_batches, pick, read_table, scratch, small_batches
-from ridelens.llm.elias_fano import EliasFano, named, read_arrays, sequence, write_arrays
+from ridelens.llm.elias_fano import EliasFano, find, lower_bound, named, read_arrays, sequence, write_arrays
 from ridelens.sources.io import drop_scratch
 
 U64 = np.uint64
 END_WORD = b"\n"  # no word holds a line end
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 PAIR_LEAST, TRIPLE_LEAST, DISCOUNT = 1, 1, 0.75
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 2_000_000
 SHARD_TOKENS = 4_000_000  # a shard's pairs or triples are merged in memory
-LOCAL_WORDS = 600_000
 REST_BLOCK = 1 << 20
+OPEN_FILES = 8
+MOST_SHORT = (1 << 16) - 1
 STEP = 12 / 65535  # logarithms from -12 to 0 in 16 bits
 
 
@@ -84,70 +86,88 @@ def shard_of(c: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
     return (mix(c.astype(U64) * U64(0x9E3779B97F4A7C15) + w.astype(U64)) % U64(shards)).astype(np.int64)
 
 
-class Words(dict):
-    """Numbers of the words a task has met, in the order of meeting."""
+def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, one after the other, and how many each
+    text has."""
+    text = text.view(pa.large_string() if pa.types.is_large_binary(text.type) else pa.string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    words = lists.flatten()
+    filled = pc.not_equal(pc.binary_length(words), 0)  # white space at the ends leaves empty ones
+    before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    return words.filter(filled), np.diff(before[ends])
+
+
+def number_tokens(words: list[pa.Array], lengths: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The tokens of documents of so many tokens each (the end too) as places in
+    the list of their distinct words; empties `words`."""
+    together = pa.concat_arrays(words)
+    words.clear()
+    coded = together.dictionary_encode()
+    distinct = [*coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False), END_WORD]
+    tokens = np.empty(int(lengths.sum()), np.int32)
+    ends = np.zeros(len(tokens), bool)
+    ends[np.cumsum(lengths) - 1] = True
+    tokens[ends], tokens[~ends] = len(distinct) - 1, coded.indices.to_numpy()
+    del together, coded
+    pa.default_memory_pool().release_unused()
+    return tokens, distinct
+
+
+def groups(batches, most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[bytes]]]:
+    """doc_ids, token counts, tokens and distinct words of consecutive documents,
+    about `most` tokens together."""
+    ids, lengths, words, n = [], [], [], 0
+    for batch in batches:
+        for some in _slices(batch, most):
+            found, counts = split_words(some.column("text"))
+            ids += some.column("doc_id").to_pylist()
+            lengths.append(counts + 1)
+            words.append(found)
+            n += int(lengths[-1].sum())
+            if n >= most:
+                yield ids, np.concatenate(lengths), *number_tokens(words, np.concatenate(lengths))
+                ids, lengths, n = [], [], 0
+    if ids:
+        yield ids, np.concatenate(lengths), *number_tokens(words, np.concatenate(lengths))
 
-    def __init__(self):
-        self.fresh: list[bytes] = []
-        self[END_WORD]
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.fresh.append(word)
-        return n
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `most` bytes of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
 
 
-def groups(batches, most: int) -> Iterator[tuple[list, list[int], np.ndarray, Words]]:
-    """doc_ids, token counts and word numbers of consecutive documents, about
-    `most` tokens together."""
-    words = Words()
-    ids, lengths, parts, n = [], [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            tokens = (text.as_py() or b"").translate(LOWER).split()
-            tokens.append(END_WORD)
-            ids.append(doc_id)
-            lengths.append(len(tokens))
-            parts.append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
-            n += len(tokens)
-            if n >= most:
-                yield ids, lengths, np.concatenate(parts), words
-                ids, lengths, parts, n = [], [], [], 0
-                if len(words) > LOCAL_WORDS:
-                    words = Words()
-    if ids:
-        yield ids, lengths, np.concatenate(parts), words
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
 
 
 class Known:
-    """What the model knows of a task's words, by their number."""
-
-    def __init__(self, trie: "Trie | None" = None):
-        self.trie, self.words = trie, None
-
-    def update(self, words: Words) -> "Known":
-        if words is not self.words:
-            self.words = words
-            self.hashes, self.ids = np.empty(0, U64), np.empty(0, np.int64)
-            self.counts, self.rest = np.empty(0, np.int64), np.empty(0)
-        new = np.fromiter(map(xxhash.xxh3_64_intdigest, words.fresh), U64, len(words.fresh))
-        words.fresh = []
-        self.hashes = np.concatenate([self.hashes, new])
-        if self.trie:
-            ids, counts = self.trie.ids(new)
-            rest = np.zeros(len(ids))
-            rest[ids >= 0] = self.trie.rest(ids[ids >= 0])
-            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-            self.rest = np.concatenate([self.rest, rest])
-        return self
-
-
-def starts(lengths: list[int]) -> np.ndarray:
-    return np.cumsum([0, *lengths[:-1]])
-
-
-def first_marks(lengths: list[int]) -> np.ndarray:
-    first = np.zeros(sum(lengths), bool)
+    """What the model knows of a group's words, by their number."""
+
+    def __init__(self, words: list[bytes], trie: "Trie"):
+        self.ids, self.counts = trie.ids(hashes(words))
+        self.rest = np.zeros(len(words))
+        known = self.ids >= 0
+        self.rest[known] = trie.rest(self.ids[known])
+
+
+def sliced(part: np.ndarray) -> tuple[dict[int, slice], np.ndarray]:
+    """The order that brings equal parts together, and the slice of each part."""
+    if len(part) and part.max() < 1 << 16:
+        part = part.astype(np.uint16)  # sorted by radix
+    order = np.argsort(part, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(part)]
+    return {int(part[order[a]]): slice(a, b) for a, b in zip(cuts, cuts[1:]) if a < b}, order
+
+
+def starts(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths) - lengths
+
+
+def first_marks(lengths: np.ndarray) -> np.ndarray:
+    first = np.zeros(int(lengths.sum()), bool)
     first[starts(lengths)] = True
     return first
 
@@ -182,16 +202,19 @@ def merged_shards(batches, least: int) -> Iterator[tuple[int, np.ndarray, np.nda
     current = None
 
     def done():
-        keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        total = np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
+        keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+        held.clear()
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        total = np.add.reduceat(counts[order].astype(np.int64), first)
         keep = total >= least
-        return current, keys[keep], total[keep]
+        return current, keys[first][keep], total[keep]
     for batch in batches:
         for row in range(batch.num_rows):
             shard = batch.column("shard")[row].as_py()
             if held and shard != current:
                 yield done()
-                held.clear()
             current = shard
             held.append((np.cumsum(unpack(batch.column("keys")[row].as_py(), U64), dtype=U64),
                          unpack(batch.column("counts")[row].as_py(), np.uint32)))
@@ -199,8 +222,22 @@ def merged_shards(batches, least: int) -> Iterator[tuple[int, np.ndarray, np.nda
         yield done()
 
 
+def short_counts(n: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in 16 bits; those that don't fit also apart, with their places."""
+    large = np.flatnonzero(n >= MOST_SHORT)
+    return {"n": np.minimum(n, MOST_SHORT).astype(np.uint16), "large": large, "large.n": n[large]}
+
+
+def counts_at(arrays: dict[str, np.ndarray], place: np.ndarray) -> np.ndarray:
+    n = arrays["n"][place].astype(np.int64)
+    large = np.flatnonzero(n == MOST_SHORT)
+    n[large] = arrays["large.n"][np.searchsorted(arrays["large"], place[large])]
+    return n
+
+
 class Store:
-    """Array files of one folder: memory-mapped on a shared mount, else read."""
+    """Array files of one folder: memory-mapped on a shared mount, else read.  The
+    last few stay open, so a task never holds the whole model."""
 
     def __init__(self, path: str):
         if "://" in path or path.startswith("file:"):
@@ -219,12 +256,16 @@ class Store:
         self.fs.move(own, file)
 
     def read(self, name: str) -> dict[str, np.ndarray] | None:
-        if name not in self.open:
+        if name in self.open:
+            self.open[name] = self.open.pop(name)  # the latest one
+        else:
+            while len(self.open) >= OPEN_FILES:
+                self.open.pop(next(iter(self.open)))
             file = f"{self.folder}/{name}"
             if self.fs.get_file_info(file).type == pa.fs.FileType.NotFound:
                 self.open[name] = None
             elif self.fs.type_name == "local":
-                self.open[name] = read_arrays(np.memmap(file, np.uint8, "r"))
+                self.open[name] = read_arrays(np.asarray(np.memmap(file, np.uint8, "r")))
             else:
                 with self.fs.open_input_file(file) as f:
                     self.open[name] = read_arrays(np.frombuffer(f.read(), np.uint8))
@@ -248,22 +289,15 @@ class Trie:
     def __init__(self, shape: Shape):
         self.shape, self.store = shape, Store(shape.path)
         self.ends = np.array(shape.ends, U64)
-        self.sequences: dict[tuple[str, str], EliasFano] = {}
 
     def _sequence(self, file: str, name: str) -> EliasFano:
-        if (file, name) not in self.sequences:
-            self.sequences[file, name] = sequence(self.store.read(file), name)
-        return self.sequences[file, name]
+        return sequence(self.store.read(file), name)
 
     @staticmethod
     def _by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        if len(part) and part.max() < 1 << 16:
-            part = part.astype(np.uint16)  # sorted by radix
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order])) + 1
-        for some in np.split(order, cuts):
-            if len(some):
-                yield int(part[some[0]]), some
+        slices, order = sliced(part)
+        for k, some in slices.items():
+            yield k, order[some]
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word ids (-1: unknown) and training counts."""
@@ -303,13 +337,12 @@ class Trie:
                 place[some] = self._sequence(f"pairs/{k}", "key").find(self.key(c[some], w[some]))
         return shard, place
 
-    def pair_values(self, shard: np.ndarray, place: np.ndarray, file: str, name: str, default: int = 0) -> np.ndarray:
-        out = np.full(len(place), default, np.int64)
+    def pair_counts(self, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """How often each pair was seen, 0 where it never was."""
+        out = np.zeros(len(place), np.int64)
         ok = np.flatnonzero(place >= 0)
         for k, some in self._by(shard[ok]):
-            a = self.store.read(f"{file}/{k}")
-            if a is not None:
-                out[ok[some]] = a[name][place[ok[some]]]
+            out[ok[some]] = counts_at(self.store.read(f"pairs/{k}"), place[ok[some]])
         return out
 
     def triples(self, k: int, c: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -323,8 +356,7 @@ class Trie:
         some = np.argsort(keys)
         node = self._sequence(f"triples/{k}", "node").find(keys[some])
         some, node = some[node >= 0], node[node >= 0]
-        offset = self._sequence(f"triples/{k}", "offset").get(node)
-        at = self._sequence(f"triples/{k}", "rank").find(offset + rank[some].astype(U64))
+        at = self._sequence(f"triples/{k}", "rank").find(node.astype(U64) * a["stride"] + rank[some].astype(U64))
         out[some[at >= 0]] = restore(a["p"][at[at >= 0]])
         return out
 
@@ -334,39 +366,48 @@ class Trie:
     def score(self, tokens: np.ndarray, first: np.ndarray, known: Known) -> np.ndarray:
         """log10 probability of every token; `first` marks documents' first ones."""
         ids, one = known.ids[tokens], self.log_unigram(known.counts)[tokens]
-        out = one.copy()
-        context = np.flatnonzero(~first)  # tokens with a word before them
+        out = one
+        context = np.flatnonzero(~first).astype(np.int32)  # tokens with a word before them
         context = context[ids[context - 1] >= 0]
         out[context] += known.rest[tokens[context - 1]]
         both = context[ids[context] >= 0]
         unique, slot = np.unique(self.key(ids[both - 1], ids[both]), return_inverse=True)
-        which = np.full(len(ids), -1, np.int64)  # each token's pair
+        words = U64(max(1, self.shape.words))
+        shard = shard_of(unique // words, unique % words, self.shape.shards)
+        slices, order = sliced(shard)  # from here on a shard's pairs stand together, still ascending
+        unique, back = unique[order], np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order))
+        slot, shard = back[slot], shard[order]
+        which = np.full(len(ids), -1, np.int32)  # each token's pair
         which[both] = slot
         deep = both[~first[both - 1]]  # tokens with two words before them
         deep = deep[which[deep - 1] >= 0]
-        words = U64(max(1, self.shape.words))
-        c, w = (unique // words).astype(np.int64), (unique % words).astype(np.int64)
+        deep_slices, order = sliced(shard[which[deep]])
+        deep = deep[order]
+        c = (unique // words).astype(np.int64)
         direct, rest = np.full(len(unique), -np.inf), np.zeros(len(unique))
         longest = np.full(len(ids), -np.inf)
-        shard = shard_of(c, w, self.shape.shards)
-        deep_of = dict(self._by(shard[which[deep]]))
         # a pair's shard holds its triples too: each shard is decoded once
-        for k, some in self._by(shard):
+        for k, some in slices.items():
             a = self.store.read(f"pairs/{k}")
             if a is None:
                 continue
-            place, floor = self._sequence(f"pairs/{k}", "key").find_with_floor(
-                unique[some], self.key(c[some], np.zeros(len(some), np.int64)))
+            pairs = self._sequence(f"pairs/{k}", "key").opened(some.stop - some.start)
+            place = find(pairs, unique[some])
             seen = place >= 0
-            direct[some[seen]] = restore(a["p"][place[seen]])
+            direct[some][seen] = restore(a["p"][place[seen]])
             rests = self.store.read(f"pair-rest/{k}")
-            rest[some[seen]] = restore(SEEN_ONCE) if rests is None else restore(rests["rest"][place[seen]])
-            if k in deep_of:
-                rank = np.full(len(unique), -1, np.int64)
-                rank[some[seen]] = (place - floor)[seen]
-                at = deep[deep_of[k]]
-                at = at[rank[which[at]] >= 0]
-                longest[at] = self.triples(k, c[which[at]], ids[at - 2], rank[which[at]])
+            rest[some][seen] = restore(SEEN_ONCE) if rests is None else restore(rests["rest"][place[seen]])
+            if k in deep_slices:
+                heads = c[some][seen]  # ascending
+                new = np.diff(heads, prepend=-1) != 0
+                start = lower_bound(pairs, self.key(heads[new], np.zeros(int(new.sum()), np.int64)))
+                rank = np.full(len(place), -1, np.int64)
+                rank[seen] = place[seen] - start[np.cumsum(new) - 1]
+                at = deep[deep_slices[k]]
+                own = which[at] - some.start
+                at, own = at[rank[own] >= 0], own[rank[own] >= 0]
+                longest[at] = self.triples(k, c[some][own], ids[at - 2], rank[own])
         hit = both[np.isfinite(direct[slot])]
         out[hit] = log_sum(direct[which[hit]], out[hit])
         out[deep] += rest[which[deep - 1]]  # 0 where the context was never seen
@@ -382,13 +423,9 @@ class Trie:
 def count_words(docs: DataFrame) -> DataFrame:
     """hash (as a signed long in unsigned order), n."""
     def count(batches):
-        known = Known()
-        for _, _, tokens, words in groups(batches, FLUSH_TOKENS):
-            n = np.bincount(tokens)
-            met = np.flatnonzero(n)
-            h = known.update(words).hashes[met]
+        for _, _, tokens, words in groups(batches, 2 * FLUSH_TOKENS):
             yield pa.RecordBatch.from_pydict({
-                "h": pa.array((h ^ U64(1 << 63)).view(np.int64)), "n": pa.array(n[met])})
+                "h": pa.array((hashes(words) ^ U64(1 << 63)).view(np.int64)), "n": pa.array(np.bincount(tokens))})
     return (pick(docs, doc_id="long", text="binary").mapInArrow(count, "h long, n long")
             .groupBy("h").agg(F.sum("n").alias("n")))
 
@@ -439,11 +476,11 @@ def write_pairs(docs: DataFrame, shape: Shape) -> None:
     words = U64(max(1, shape.words))
 
     def count(batches):
-        known = Known(Trie(shape))
+        trie = Trie(shape)
         for _, lengths, tokens, met in groups(batches, FLUSH_TOKENS):
-            ids = known.update(met).ids[tokens]
+            ids = trie.ids(hashes(met))[0][tokens]
             at = np.flatnonzero(~first_marks(lengths))
-            keys, n = np.unique(known.trie.key(ids[at - 1], ids[at]), return_counts=True)
+            keys, n = np.unique(trie.key(ids[at - 1], ids[at]), return_counts=True)
             shard = shard_of(keys // words, keys % words, shape.shards)
             for k, some in Trie._by(shard):
                 yield blob(k, keys[some], n[some])
@@ -455,7 +492,7 @@ def write_pairs(docs: DataFrame, shape: Shape) -> None:
             c = (keys // words).astype(np.int64)
             seen = trie.counts(c)
             trie.store.write(f"pairs/{shard}", {
-                **named("key", keys), "p": quantise((n - DISCOUNT) / seen), "n": n.astype(np.uint32)})
+                **named("key", keys), "p": quantise((n - DISCOUNT) / seen), **short_counts(n)})
             heads, successors = np.unique(c[seen > 1], return_counts=True)
             for block, some in Trie._by(heads // REST_BLOCK):
                 yield blob(block, (heads[some] - block * REST_BLOCK).astype(U64), successors[some])
@@ -479,10 +516,9 @@ def write_triples(docs: DataFrame, shape: Shape) -> None:
     words = U64(max(1, shape.words))
 
     def count(batches):
-        known = Known(Trie(shape))
-        trie = known.trie
+        trie = Trie(shape)
         for _, lengths, tokens, met in groups(batches, FLUSH_TOKENS):
-            ids = known.update(met).ids[tokens]
+            ids = trie.ids(hashes(met))[0][tokens]
             first = first_marks(lengths)
             at = np.flatnonzero(~first)
             keys = trie.key(ids[at - 1], ids[at])
@@ -505,20 +541,21 @@ def write_triples(docs: DataFrame, shape: Shape) -> None:
             if not len(keys):
                 continue
             place, b = (keys // words).astype(np.int64), (keys % words).astype(np.int64)
-            pairs = trie._sequence(f"pairs/{shard}", "key")
-            c = (pairs.get(place) // words).astype(np.int64)
-            start = pairs.lower_bound(trie.key(c, np.zeros(len(c), np.int64)))
-            stop = pairs.lower_bound(trie.key(c + 1, np.zeros(len(c), np.int64)))
+            del keys
+            pairs = trie._sequence(f"pairs/{shard}", "key").values()
+            c = (pairs[place] // words).astype(np.int64)
+            start = np.searchsorted(pairs, trie.key(c, np.zeros(len(c), np.int64)))
+            stride = U64((np.searchsorted(pairs, trie.key(c + 1, np.zeros(len(c), np.int64))) - start).max())
+            place -= start  # the rank among the successors of the last context word
             node, which = np.unique(trie.key(c, b), return_inverse=True)
+            del pairs, b, c, start
             own, at = trie.pairs((node % words).astype(np.int64), (node // words).astype(np.int64))
-            seen = trie.pair_values(own, at, "pairs", "n")
-            width = np.zeros(len(node), np.int64)  # successors of the last context word
-            width[which] = stop - start
-            offset = np.concatenate([[0], np.cumsum(width)[:-1]]).astype(U64)
-            rank = offset[which] + (place - start).astype(U64)
+            seen = trie.pair_counts(own, at)
+            rank = which.astype(U64) * stride + place.astype(U64)
+            del place
             order = np.argsort(rank)
             trie.store.write(f"triples/{shard}", {
-                **named("node", node), **named("offset", offset), **named("rank", rank[order]),
+                **named("node", node), **named("rank", rank[order]), "stride": np.array([stride]),
                 "p": quantise((n - DISCOUNT) / seen[which])[order]})
             successors, twice = np.bincount(which, minlength=len(node)), np.flatnonzero(seen > 1)
             for k, some in Trie._by(own[twice]):
@@ -529,9 +566,9 @@ def write_triples(docs: DataFrame, shape: Shape) -> None:
     def write_rests(batches):
         trie = Trie(shape)
         for shard, places, successors in merged_shards(batches, 1):
-            n, places = trie.store.read(f"pairs/{shard}")["n"], places.astype(np.int64)
-            rest = np.full(len(n), SEEN_ONCE)
-            rest[places] = quantise(DISCOUNT * successors / n[places])
+            pairs, places = trie.store.read(f"pairs/{shard}"), places.astype(np.int64)
+            rest = np.full(len(pairs["n"]), SEEN_ONCE)
+            rest[places] = quantise(DISCOUNT * successors / counts_at(pairs, places))
             trie.store.write(f"pair-rest/{shard}", {"rest": rest})
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard])})
 
@@ -555,16 +592,16 @@ def score(docs: DataFrame, shape: Shape) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        known = Known(Trie(shape))
-        for doc_ids, lengths, tokens, words in groups(batches, FLUSH_TOKENS // 2):
-            known.update(words)
+        trie = Trie(shape)
+        for doc_ids, lengths, tokens, words in groups(batches, FLUSH_TOKENS):
+            known = Known(words, trie)
             at, counts = starts(lengths), known.counts[tokens]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(doc_ids, pa.int64()),
                 "n_tokens": pa.array(lengths, pa.int64()),
                 "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), at)),
-                "base_score": pa.array(np.add.reduceat(known.trie.log_unigram(known.counts)[tokens], at)),
-                "score": pa.array(np.add.reduceat(known.trie.score(tokens, first_marks(lengths), known), at))})
+                "base_score": pa.array(np.add.reduceat(trie.log_unigram(known.counts)[tokens], at)),
+                "score": pa.array(np.add.reduceat(trie.score(tokens, first_marks(lengths), known), at))})
     return pick(docs, doc_id="long", text="binary").mapInArrow(
         run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 

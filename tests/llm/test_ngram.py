@@ -115,3 +115,40 @@ def test_more_tokens_make_more_shards(spark, monkeypatch):
     assert shape.shards == -(-shape.tokens // 100) > 2
     close(M.score(spark.createDataFrame(rows, "doc_id long, text string"), shape).collect(),
           Brute([t for _, t in rows]), rows)
+
+
+def test_words_split_as_python_splits_them():
+    import pyarrow as pa
+    texts = ["", None, "  A b\tc\x0bd\x0ce\r\n f ", "x\x1cy \x85z", "Éa É B", "\n\n", "one one"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([*range(6), None], pa.int64()), "text": pa.array(
+        [None if t is None else t.encode() for t in texts], pa.binary())})
+    for most in (1, 3, 1000):
+        found = []
+        for ids, lengths, numbers, words in M.groups([batch, batch.slice(2, 2)], most):
+            parts = np.split(numbers, np.cumsum(lengths)[:-1])
+            found += [(i, [words[n] for n in part]) for i, part in zip(ids, parts)]
+        want = [(i, (t or "").encode().translate(M.LOWER).split() + [M.END_WORD]) for i, t in zip([*range(6), None], texts)]
+        assert found == want + want[2:4]
+
+
+def test_counts_above_16_bits():
+    n = np.array([1, 65534, 65535, 65536, 2, 1 << 40])
+    assert M.counts_at(M.short_counts(n), np.array([5, 0, 2, 3, 1, 4])).tolist() == n[[5, 0, 2, 3, 1, 4]].tolist()
+
+
+def test_a_task_keeps_few_files_of_the_model_open(tmp_path):
+    store = M.Store(str(tmp_path))
+    for k in range(40):
+        store.write(f"pairs/{k}", {"n": np.array([k])})
+    assert [int(store.read(f"pairs/{k}")["n"][0]) for k in (*range(40), 3)] == [*range(40), 3]
+    assert len(store.open) <= M.OPEN_FILES and store.read("pairs/99") is None
+
+
+def test_low_parts_need_no_packing_up_to_32_bits():
+    for top in (1 << 12, 1 << 20, 1 << 34, 1 << 60):
+        v = np.unique(np.random.default_rng(1).integers(0, top, 500, dtype=np.uint64))
+        a = E.named("x", v)
+        width = int(a["x.meta"][1])
+        assert width in (0, 16, 32) and a["x.low"].itemsize * 8 == width or width > 32 and a["x.low"].dtype == np.uint64
+        s = E.sequence(a, "x")
+        assert (s.values() == v).all() and (E.find(s.opened(0), v) == E.find(s.values(), v)).all()

@@ -12,6 +12,10 @@ leave D.  The discounted shares and the rests are stored as base-10 logarithms i
 pairs, triples and successors as packed sorted keys, one row a shard, and each
 shard is merged and written by one task.
 
+Texts are split once: `write_groups` stores the tokens of about 2 million at a
+time as places in the list of their distinct words, whose hashes stand beside
+them, and counting and scoring read these groups.
+
 The trie is three levels of array files in the shared folder, memory-mapped by
 the scoring tasks.  Level 1: word hashes (Elias-Fano; a word's id is its rank),
 counts, and rest masses by id.  Levels 2 and 3 are split by a hash of (last
@@ -31,6 +35,7 @@ columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,6 +59,7 @@ FLUSH_TOKENS = 2_000_000
 SHARD_TOKENS = 4_000_000  # a shard's pairs or triples are merged in memory
 REST_BLOCK = 1 << 20
 OPEN_FILES = 8
+TASK_GROUPS = 2
 MOST_SHORT = (1 << 16) - 1
 STEP = 12 / 65535  # logarithms from -12 to 0 in 16 bits
 
@@ -114,22 +120,28 @@ def number_tokens(words: list[pa.Array], lengths: np.ndarray) -> tuple[np.ndarra
     return tokens, distinct
 
 
-def groups(batches, most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[bytes]]]:
-    """doc_ids, token counts, tokens and distinct words of consecutive documents,
-    about `most` tokens together."""
-    ids, lengths, words, n = [], [], [], 0
+def split_groups(batches, most: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, list[bytes]]]:
+    """Other columns, token counts, tokens and distinct words of consecutive
+    documents, about `most` tokens together."""
+    rows, lengths, words, n = [], [], [], 0
     for batch in batches:
         for some in _slices(batch, most):
             found, counts = split_words(some.column("text"))
-            ids += some.column("doc_id").to_pylist()
+            rows.append(some.drop_columns(["text"]))
             lengths.append(counts + 1)
             words.append(found)
             n += int(lengths[-1].sum())
             if n >= most:
-                yield ids, np.concatenate(lengths), *number_tokens(words, np.concatenate(lengths))
-                ids, lengths, n = [], [], 0
-    if ids:
-        yield ids, np.concatenate(lengths), *number_tokens(words, np.concatenate(lengths))
+                yield pa.Table.from_batches(rows), np.concatenate(lengths), *number_tokens(words, np.concatenate(lengths))
+                rows, lengths, n = [], [], 0
+    if rows:
+        yield pa.Table.from_batches(rows), np.concatenate(lengths), *number_tokens(words, np.concatenate(lengths))
+
+
+def groups(batches, most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[bytes]]]:
+    """`split_groups` with the doc_ids as a list."""
+    for rows, lengths, tokens, words in split_groups(batches, most):
+        yield rows.column("doc_id").to_pylist(), lengths, tokens, words
 
 
 def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -146,8 +158,8 @@ def hashes(words: list[bytes]) -> np.ndarray:
 class Known:
     """What the model knows of a group's words, by their number."""
 
-    def __init__(self, words: list[bytes], trie: "Trie"):
-        self.ids, self.counts = trie.ids(hashes(words))
+    def __init__(self, words: np.ndarray, trie: "Trie"):
+        self.ids, self.counts = trie.ids(words)
         self.rest = np.zeros(len(words))
         known = self.ids >= 0
         self.rest[known] = trie.rest(self.ids[known])
@@ -272,6 +284,61 @@ class Store:
         return self.open[name]
 
 
+@dataclass(frozen=True)
+class Group:
+    """Consecutive documents: their ids and token counts, whether the model learns
+    from them, their tokens as numbers of words, and the hashes of the words."""
+    doc_ids: pa.Array
+    lengths: np.ndarray
+    learned: np.ndarray
+    tokens: np.ndarray
+    words: np.ndarray
+
+    @staticmethod
+    def split(batches, most: int) -> Iterator["Group"]:
+        """Groups of documents with columns doc_id, text and learned."""
+        for rows, lengths, tokens, words in split_groups(batches, most):
+            rows = rows.combine_chunks()
+            yield Group(rows.column("doc_id").combine_chunks(), lengths,
+                        rows.column("learned").to_numpy().astype(bool), tokens, hashes(words))
+
+    def write(self, store: Store, name: str) -> None:
+        packed = pa.compress(pack(self.tokens), "zstd", asbytes=True)
+        store.write(name, {
+            "doc_id": self.doc_ids.fill_null(0).to_numpy(), "null": self.doc_ids.is_null().to_numpy(zero_copy_only=False),
+            "length": self.lengths, "learned": self.learned, "word": self.words,
+            "token": np.frombuffer(packed, np.uint8)})
+
+    @staticmethod
+    def read(store: Store, name: str) -> "Group":
+        a = store.read(name)
+        lengths = np.asarray(a["length"])
+        tokens = pa.decompress(a["token"].tobytes(), 4 * int(lengths.sum()), "zstd", asbytes=True)
+        return Group(pa.array(np.asarray(a["doc_id"]), pa.int64(), mask=np.asarray(a["null"])), lengths,
+                     np.asarray(a["learned"]), unpack(tokens, np.int32), np.asarray(a["word"]))
+
+    def later(self) -> np.ndarray:
+        """Places of the learned tokens that have a token before them."""
+        return np.flatnonzero(np.repeat(self.learned, self.lengths) & ~first_marks(self.lengths))
+
+
+@dataclass(frozen=True)
+class Groups:
+    """Groups stored below `path`, which the rows of `names` name."""
+    names: DataFrame
+    path: str
+
+    def map(self, task, schema: str) -> DataFrame:
+        """Rows of a function from an iterator of groups to record batches."""
+        path = self.path
+
+        def run(batches):
+            store = Store(path)
+            return task(Group.read(store, name) for b in batches for name in b.column("name").to_pylist())
+        tasks = max(1, -(-self.names.count() // TASK_GROUPS))
+        return self.names.repartition(tasks).mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class Shape:
     """What the tasks need to know of a model: its folder, the upper ends of
@@ -420,17 +487,34 @@ class Trie:
         return out
 
 
-def count_words(docs: DataFrame) -> DataFrame:
+def write_groups(docs: DataFrame) -> Groups:
+    """Split the texts of doc_id, text, learned (boolean) once.  A group's name is
+    its task attempt's own, so a retried task's rows name only its own files."""
+    spark = docs.sparkSession
+    path, names = scratch(spark, "ngram-groups"), scratch(spark, "ngram-group-names")
+
+    def write(batches):
+        store = Store(path)
+        for group in Group.split(batches, FLUSH_TOKENS):
+            name = f"groups/{uuid.uuid4().hex}"
+            group.write(store, name)
+            yield pa.RecordBatch.from_pydict({"name": pa.array([name])})
+    (pick(docs, doc_id="long", text="binary", learned="boolean").mapInArrow(write, "name string").write.parquet(names))
+    return Groups(spark.read.schema("name string").parquet(names), path)
+
+
+def count_words(groups: Groups) -> DataFrame:
     """hash (as a signed long in unsigned order), n."""
-    def count(batches):
-        for _, _, tokens, words in groups(batches, 2 * FLUSH_TOKENS):
+    def count(found):
+        for group in found:
+            n = np.bincount(group.tokens[np.repeat(group.learned, group.lengths)], minlength=len(group.words))
+            met = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({
-                "h": pa.array((hashes(words) ^ U64(1 << 63)).view(np.int64)), "n": pa.array(np.bincount(tokens))})
-    return (pick(docs, doc_id="long", text="binary").mapInArrow(count, "h long, n long")
-            .groupBy("h").agg(F.sum("n").alias("n")))
+                "h": pa.array((group.words[met] ^ U64(1 << 63)).view(np.int64)), "n": pa.array(n[met])})
+    return groups.map(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def write_words(docs: DataFrame, path: str, parts: int, shards: int) -> Shape:
+def write_words(groups: Groups, path: str, parts: int, shards: int) -> Shape:
     """Level 1 files by hash range; returns the shape of the model, with `shards`
     pair shards at least."""
     def write(batches):
@@ -445,8 +529,9 @@ def write_words(docs: DataFrame, path: str, parts: int, shards: int) -> Shape:
                 "k": pa.array([k]), "last": pa.array([str(int(h[-1]))]), "words": pa.array([len(h)]),
                 "tokens": pa.array([int(counts.sum())])})
 
-    spark, counts = docs.sparkSession, scratch(docs.sparkSession, "word-counts")
-    count_words(docs).write.parquet(counts)
+    spark = groups.names.sparkSession
+    counts = scratch(spark, "word-counts")
+    count_words(groups).write.parquet(counts)
     rows = (spark.read.schema("h long, n long").parquet(counts).repartitionByRange(parts, "h").sortWithinPartitions("h")
             .mapInArrow(write, "k long, last string, words long, tokens long").collect())  # one row a shard
     drop_scratch(spark, counts)  # its only reader is done
@@ -470,16 +555,16 @@ def _finish(rows: DataFrame, shards: int, write) -> None:
     _by_shard(rows, shards).mapInArrow(write, "shard long").write.format("noop").mode("overwrite").save()
 
 
-def write_pairs(docs: DataFrame, shape: Shape) -> None:
+def write_pairs(groups: Groups, shape: Shape) -> None:
     """Level 2: the pairs, and the rest of each word as a context (level 1), in
     blocks of REST_BLOCK ids."""
     words = U64(max(1, shape.words))
 
-    def count(batches):
+    def count(found):
         trie = Trie(shape)
-        for _, lengths, tokens, met in groups(batches, FLUSH_TOKENS):
-            ids = trie.ids(hashes(met))[0][tokens]
-            at = np.flatnonzero(~first_marks(lengths))
+        for group in found:
+            ids = trie.ids(group.words)[0][group.tokens]
+            at = group.later()
             keys, n = np.unique(trie.key(ids[at - 1], ids[at]), return_counts=True)
             shard = shard_of(keys // words, keys % words, shape.shards)
             for k, some in Trie._by(shard):
@@ -506,21 +591,20 @@ def write_pairs(docs: DataFrame, shape: Shape) -> None:
             trie.store.write(f"rest/{block}", {"rest": rest})
             yield pa.RecordBatch.from_pydict({"shard": pa.array([block])})
 
-    counted = pick(docs, doc_id="long", text="binary").mapInArrow(count, BLOB)
+    counted = groups.map(count, BLOB)
     _finish(_by_shard(counted, shape.shards).mapInArrow(write, BLOB), max(1, -(-shape.words // REST_BLOCK)), write_rests)
 
 
-def write_triples(docs: DataFrame, shape: Shape) -> None:
+def write_triples(groups: Groups, shape: Shape) -> None:
     """Level 3: the triples, and the rest of each pair as a context, beside
     level 2."""
     words = U64(max(1, shape.words))
 
-    def count(batches):
+    def count(found):
         trie = Trie(shape)
-        for _, lengths, tokens, met in groups(batches, FLUSH_TOKENS):
-            ids = trie.ids(hashes(met))[0][tokens]
-            first = first_marks(lengths)
-            at = np.flatnonzero(~first)
+        for group in found:
+            ids = trie.ids(group.words)[0][group.tokens]
+            first, at = first_marks(group.lengths), group.later()
             keys = trie.key(ids[at - 1], ids[at])
             pairs, slot = np.unique(keys, return_inverse=True)
             shard, place = trie.pairs((pairs // words).astype(np.int64), (pairs % words).astype(np.int64))
@@ -572,38 +656,53 @@ def write_triples(docs: DataFrame, shape: Shape) -> None:
             trie.store.write(f"pair-rest/{shard}", {"rest": rest})
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard])})
 
-    counted = pick(docs, doc_id="long", text="binary").mapInArrow(count, BLOB)
+    counted = groups.map(count, BLOB)
     _finish(_by_shard(counted, shape.shards).mapInArrow(write, BLOB), shape.shards, write_rests)
 
 
+def learn_groups(groups: Groups, shards: int | None = None) -> Shape:
+    """Count the learned documents of all groups and write the trie; returns its
+    shape."""
+    spark = groups.names.sparkSession
+    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with small_batches(spark, 64):  # rows of packed keys
+        shape = write_words(groups, scratch(spark, "ngram-trie"), n, n)
+        write_pairs(groups, shape)
+        write_triples(groups, shape)
+    return shape
+
+
 def learn(docs: DataFrame, shards: int | None = None) -> Shape:
     """Count all rows of `docs` and write the trie; returns its shape."""
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with small_batches(spark, 64):  # rows of packed keys
-        shape = write_words(docs, scratch(spark, "ngram-trie"), n, n)
-        write_pairs(docs, shape)
-        write_triples(docs, shape)
+    with small_batches(spark, 64):
+        groups = write_groups(docs.withColumn("learned", F.lit(True)))
+    shape = learn_groups(groups, shards)
+    drop_scratch(spark, groups.path)  # its readers are done
     return shape
 
 
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def scored(found: Iterator[Group], shape: Shape) -> Iterator[pa.RecordBatch]:
+    trie = Trie(shape)
+    for group in found:
+        known = Known(group.words, trie)
+        at, counts = starts(group.lengths), known.counts[group.tokens]
+        yield pa.RecordBatch.from_pydict({
+            "doc_id": group.doc_ids,
+            "n_tokens": pa.array(group.lengths, pa.int64()),
+            "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), at)),
+            "base_score": pa.array(np.add.reduceat(trie.log_unigram(known.counts)[group.tokens], at)),
+            "score": pa.array(np.add.reduceat(trie.score(group.tokens, first_marks(group.lengths), known), at))})
+
+
 def score(docs: DataFrame, shape: Shape) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score."""
     bounded_batches(docs.sparkSession)
-
-    def run(batches):
-        trie = Trie(shape)
-        for doc_ids, lengths, tokens, words in groups(batches, FLUSH_TOKENS):
-            known = Known(words, trie)
-            at, counts = starts(lengths), known.counts[tokens]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(doc_ids, pa.int64()),
-                "n_tokens": pa.array(lengths, pa.int64()),
-                "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), at)),
-                "base_score": pa.array(np.add.reduceat(trie.log_unigram(known.counts)[tokens], at)),
-                "score": pa.array(np.add.reduceat(trie.score(tokens, first_marks(lengths), known), at))})
-    return pick(docs, doc_id="long", text="binary").mapInArrow(
-        run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return (pick(docs.withColumn("learned", F.lit(False)), doc_id="long", text="binary", learned="boolean")
+            .mapInArrow(lambda batches: scored(Group.split(batches, FLUSH_TOKENS), shape), SCORES))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -612,7 +711,9 @@ def held_out(doc_id: Column) -> Column:
 
 def op3_ngram_score(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    shape = learn(docs.where(~held_out(F.col("doc_id"))))
-    return score(docs, shape).select(
+    with small_batches(spark, 64):
+        groups = write_groups(docs.select("doc_id", "text", (~held_out(F.col("doc_id"))).alias("learned")))
+    shape = learn_groups(groups)
+    return groups.map(lambda found: scored(found, shape), SCORES).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
         F.lit(shape.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -152,3 +152,32 @@ def test_low_parts_need_no_packing_up_to_32_bits():
         assert width in (0, 16, 32) and a["x.low"].itemsize * 8 == width or width > 32 and a["x.low"].dtype == np.uint64
         s = E.sequence(a, "x")
         assert (s.values() == v).all() and (E.find(s.opened(0), v) == E.find(s.values(), v)).all()
+
+
+def test_texts_are_split_once_and_groups_suffice(spark, odd_docs, odd_rows, tmp_path):
+    from pyspark.sql import functions as F
+    path = str(tmp_path / "documents")
+    odd_docs.withColumn("learned", ~M.held_out(F.col("doc_id"))).write.parquet(path)
+    groups = M.write_groups(spark.read.parquet(path))
+    for file in (tmp_path / "documents").glob("*.parquet"):
+        file.write_bytes(b"")  # neither learning nor scoring reads a text again
+    shape = M.learn_groups(groups, shards=3)
+    got = groups.map(lambda found: M.scored(found, shape), M.SCORES).collect()
+    out = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in odd_rows]
+    assert any(out) and not all(out)
+    close(got, Brute([t for (_, t), o in zip(odd_rows, out) if not o]), odd_rows)
+
+
+def test_a_group_is_read_as_it_was_written(tmp_path):
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": pa.array([7, None, -1], pa.int64()), "text": pa.array([b"a B a", None, b"c " * 300], pa.binary()),
+        "learned": pa.array([True, False, True])})
+    store = M.Store(str(tmp_path))
+    group, = M.Group.split([batch], 1000)
+    group.write(store, "groups/x")
+    read = M.Group.read(store, "groups/x")
+    assert read.doc_ids.to_pylist() == [7, None, -1] and read.lengths.tolist() == [4, 1, 301]
+    assert read.learned.tolist() == [True, False, True]
+    assert (read.tokens == group.tokens).all() and (read.words == M.hashes([b"a", b"b", b"c", M.END_WORD])).all()
+    assert read.later().tolist() == [1, 2, 3, *range(6, 306)]

@@ -99,7 +99,8 @@ def _write(df: DataFrame, root: str, manifest: dict) -> tuple[str, list[str]]:
     """A new version with the rows of `df`; returns its folder and partitions."""
     spark = df.sparkSession
     keys, date, period = manifest["keys"], manifest["date"], manifest["period"]
-    version = f"{VERSION}={uuid.uuid4().hex[:12]}"
+    # led by a letter: Spark takes a folder value of digits, or like 12e5, for a number
+    version = f"{VERSION}=v{uuid.uuid4().hex[:12]}"
     if period:
         df = df.withColumn(PERIOD, F.trunc(date, period))
     by = [*keys, *([PERIOD] if period else [])]

@@ -35,6 +35,18 @@ def root(spark):
     return versions.publish(rows_of(spark, OLD), io.scratch_path(spark, "versions"), ["step"], "day", "month", ["who"])
 
 
+@pytest.mark.parametrize("digits", ["123456789012", "12345678e012"])
+def test_statistics_of_a_version_whose_id_looks_like_a_number(spark, monkeypatch, digits):
+    class Fixed:
+        hex = digits * 3
+    path = io.scratch_path(spark, "versions")
+    monkeypatch.setattr(versions.uuid, "uuid4", lambda: Fixed)
+    versions.publish(rows_of(spark, OLD), path, ["step"], "day", "month", ["who"])
+    monkeypatch.undo()
+    assert versions.statistics(spark, path).agg(F.sum("n_rows")).first()[0] == len(OLD)
+    assert versions.read(spark, path).count() == len(OLD)
+
+
 def test_refresh_replaces_its_periods_only(spark, root):
     before = versions.read(spark, root)
     written = versions.refresh(rows_of(spark, NEW), root, dt.date(2021, 2, 20), dt.date(2021, 3, 2))
